@@ -1,0 +1,49 @@
+"""DuckDB twins of the registered queries (same column names, same rounding)."""
+
+from __future__ import annotations
+
+from rankmart.plans import params as P
+
+ORACLE: dict[str, str] = {}
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _case_inverse(col: str, groups: dict) -> str:
+    parts = " ".join(f"WHEN {col} IN ({', '.join(_q(v) for v in vs)}) THEN {_q(k)}" for k, vs in groups.items())
+    return f"CASE {parts} END"
+
+
+_LB_INPUT = f"""
+  SELECT 'u' || CAST(user_id AS VARCHAR) || '@' || strftime(ts, '%Y-%m-%d') AS entity,
+         {_case_inverse('event_type', P.LB_CATEGORIES)} AS category,
+         value AS score, ts
+  FROM events"""
+
+_LB_SCORES = f"""
+  lb_in AS ({_LB_INPUT}),
+  lb_best AS (SELECT entity, category, max(score) AS score FROM lb_in
+              WHERE entity IS NOT NULL AND category IS NOT NULL GROUP BY entity, category),
+  lb_q AS (SELECT * FROM lb_best WHERE entity IN
+             (SELECT entity FROM lb_best GROUP BY entity HAVING count(*) >= {P.LB_MIN_CATEGORIES})),
+  lb_st AS (SELECT category, avg(score) AS mu, stddev_samp(score) AS sd FROM lb_q GROUP BY category),
+  lb_z AS (SELECT q.entity, q.category, q.score,
+                  CASE WHEN st.sd > 0 THEN (q.score - st.mu) / st.sd ELSE 0.0 END AS z
+           FROM lb_q q JOIN lb_st st USING (category)),
+  lb_avg AS (SELECT entity, round(avg(z), 9) AS avg_z FROM lb_z GROUP BY entity),
+  lb_top AS (SELECT entity, avg_z,
+                    row_number() OVER (ORDER BY avg_z DESC NULLS LAST, entity) AS rank
+             FROM lb_avg ORDER BY avg_z DESC NULLS LAST, entity LIMIT {P.LB_TOP_N})"""
+
+_pivot = ",\n  ".join(
+    f"max(CASE WHEN z.category = {_q(c)} THEN z.score * {P.LB_SCALE} END) AS \"{c}\"" for c in P.LB_CATEGORIES)
+
+ORACLE["zscore_leaderboard"] = f"""
+WITH {_LB_SCORES}
+SELECT t.rank, t.entity, round(t.avg_z, 6) AS avg_z,
+  {_pivot}
+FROM lb_top t LEFT JOIN lb_z z USING (entity)
+GROUP BY t.rank, t.entity, t.avg_z
+ORDER BY t.rank"""

@@ -1,0 +1,53 @@
+"""Registered queries on the driver tables: each is (spark, sf_dir) -> DataFrame.
+
+Every query reads whole tables; the oracle twin of each is in
+``rankmart.plans.oracle``. Column names and rounding match the oracle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankmart.functions import map_lookup_inverse  # noqa: F401  (re-exported helper)
+from rankmart.operators import (
+    mark_best, rank_matrix, zscore_scores,
+)
+from rankmart.plans import params as P
+from rankmart.sources import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def register(fn):
+    QUERIES[fn.__name__.removeprefix("q_")] = fn
+    return fn
+
+
+# --------------------------------------------------------------------------- M1
+
+def _lb_input(spark, sf):
+    """events -> (entity, category, score): entity = user-day, category by event type."""
+    ev = table(spark, sf, "events")
+    cat = map_lookup_inverse(F.col("event_type"), P.LB_CATEGORIES)
+    return ev.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@"),
+                 F.date_format("ts", "yyyy-MM-dd")).alias("entity"),
+        cat.alias("category"),
+        F.col("value").alias("score"),
+        F.col("ts"),
+    )
+
+
+def _lb_scores(spark, sf):
+    return zscore_scores(_lb_input(spark, sf), "entity", "category", "score",
+                         P.LB_MIN_CATEGORIES, len(P.LB_CATEGORIES))
+
+
+@register
+def q_zscore_leaderboard(spark, sf):
+    wide = rank_matrix(_lb_scores(spark, sf), "entity", "category", list(P.LB_CATEGORIES),
+                       "score", P.LB_TOP_N, P.LB_SCALE)
+    return wide.select("rank", "entity", F.round("avg_z", 6).alias("avg_z"), *list(P.LB_CATEGORIES))
