@@ -25,7 +25,9 @@ def minmax_scale(df: DataFrame, col: str, lo: float, hi: float, fallback: float,
     scaled = F.when(F.col("_mx") > F.col("_mn"),
                     F.lit(float(lo)) + (F.col(col) - F.col("_mn")) / (F.col("_mx") - F.col("_mn")) * F.lit(float(hi - lo))
                     ).otherwise(F.lit(float(fallback)))
-    return joined.withColumn(out, F.when(F.col(col).isNotNull(), scaled)).drop("_mn", "_mx")
+    # A null value stays null when the group has a range; without a range
+    # every row of the group gets the fallback (like the scalar in pandas).
+    return joined.withColumn(out, scaled).drop("_mn", "_mx")
 
 
 def log_minmax(df: DataFrame, col: str, lo: float, hi: float, fallback: float, out: str,

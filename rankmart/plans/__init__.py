@@ -1 +1,7 @@
-"""Plans: the marts (M1-M12) and the registered queries on the driver tables."""
+"""Plans: the marts (M1-M12) and the registered queries on the driver tables.
+
+Importing this package registers every query (see ``registry``).
+"""
+
+from rankmart.plans import leaderboard  # noqa: F401
+from rankmart.plans.registry import ORACLE, QUERIES  # noqa: F401
