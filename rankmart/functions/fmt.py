@@ -13,11 +13,11 @@ def _c(c) -> Column:
 def short_number(c, missing: str | None = None) -> Column:
     """1234567 -> "1M", 4321 -> "4K", 999 -> "999" (X26).
 
-    Rounds half-up (Spark's format), where Python formatting rounds half-even.
+    Rounds half-up (N5), where Python formatting rounds half-even.
     """
     c = _c(c)
-    out = (F.when(c >= 1_000_000, F.concat(F.format_string("%.0f", c / 1_000_000), F.lit("M")))
-           .when(c >= 1_000, F.concat(F.format_string("%.0f", c / 1_000), F.lit("K")))
+    out = (F.when(c >= 1_000_000, F.concat(F.round(c / 1_000_000, 0).cast("long").cast("string"), F.lit("M")))
+           .when(c >= 1_000, F.concat(F.round(c / 1_000, 0).cast("long").cast("string"), F.lit("K")))
            .otherwise(c.cast("long").cast("string")))
     return F.coalesce(out, F.lit(missing)) if missing is not None else out
 

@@ -20,7 +20,7 @@ def nan_to_null(c) -> Column:
 
 def to_double(c) -> Column:
     """Text or number to double; blank, unparsable and NaN become null."""
-    return nan_to_null(F.try_cast(_c(c).cast("string"), "double"))
+    return nan_to_null(_c(c).cast("string").try_cast("double"))
 
 
 def decay_weight(age_days, k: float = 0.693, half_life_days: float = 60.0) -> Column:

@@ -11,4 +11,4 @@ from rankmart.operators.share import value_share, share_stats  # noqa: F401
 from rankmart.operators.scale import minmax_scale, log_minmax, impute_median  # noqa: F401
 from rankmart.operators.timeline import append_missing  # noqa: F401
 from rankmart.operators.capability import capability_counts  # noqa: F401
-from rankmart.operators.geo import jitter_flagged  # noqa: F401
+from rankmart.operators.geo import jitter_flagged, region_of  # noqa: F401

@@ -22,3 +22,13 @@ def jitter_flagged(df: DataFrame, flag: str, key, lat: str, lon: str, seed: int
               .withColumn(lat, F.when(on, F.col(lat) + hash_jitter(key, seed, "lat", lat_half)).otherwise(F.col(lat)))
               .withColumn(lon, F.when(on, F.col(lon) + hash_jitter(key, seed, "lon", lon_half)).otherwise(F.col(lon)))
               .drop("_n_flagged"))
+
+
+def region_of(country, region_map: dict, eu_countries, other: str = "Other"):
+    """Two-level lookup: exact map first, then the European set, else ``other``."""
+    from rankmart.operators.lookup import map_lookup
+
+    c = F.col(country) if isinstance(country, str) else country
+    return F.coalesce(map_lookup(c, region_map),
+                      F.when(c.isin(list(eu_countries)), F.lit("Europe")),
+                      F.lit(other))

@@ -15,3 +15,38 @@ LB_CATEGORIES = {
 LB_TOP_N = 8
 LB_MIN_CATEGORIES = len(LB_CATEGORIES) - 1
 LB_SCALE = 1.0
+
+# Decayed downloads on lineitem: model id = nation/supplier, one row per line.
+DD_AS_OF = "2001-11-05"
+DD_EXCLUDED_ORGS = ["NATION_3", "NATION_7", "community"]
+DD_DISPLAY = {"NATION_0": "Nation Zero", "NATION_1": "Nation One", "NATION_2": "Nation Two",
+              "NATION_10": "Nation Ten"}
+DD_TOP_N = 12
+DD_DOWNLOADS_SCALE = 100
+
+# Trending on orders: top 15 by total price in source order.
+TR_AS_OF = "2001-08-02"
+TR_TOP_N = 15
+
+# Modality champions on events: tag list (the last tag has no data).
+MC_TAGS = [("click", "Clicks"), ("view", "Views"), ("purchase", "Purchases"),
+           ("signup", "Signups"), ("refund", "Refunds")]
+MC_ORGS = {"user1": "First user", "user2": "Second user", "user42": "User 42"}
+
+# Package downloads on events: trailing windows before as_of.
+PK_AS_OF = "2024-01-31 00:00:00"
+PK_DISPLAY = {"click": "Clicks", "view": "Views", "purchase": "Purchases"}
+PK_COMPANY = {"click": "Engagement", "view": "Engagement", "purchase": "Revenue", "signup": "Growth"}
+PK_PACKAGES = ["click", "view", "purchase", "signup", "error"]
+
+# Chip share on customer/nation: maker = nation name.
+CHIP_COUNTRY = {"NATION_0": "US", "NATION_1": "US", "NATION_2": "US",
+                "NATION_3": "China", "NATION_4": "China", "NATION_5": "Japan"}
+CHIP_TOP_N = 10
+
+# Cluster map on supplier/nation/region: country = nation, owner = region name,
+# coordinates = nation centroid (unknown for region 4), flag = negative balance.
+GEO_REGION_MAP = {"NATION_0": "United States", "NATION_1": "China"}
+GEO_EU = ["NATION_5", "NATION_6", "NATION_7", "NATION_8", "NATION_9", "NATION_10"]
+GEO_NO_COORD_REGION = 4
+GEO_OWNER_TOP_N = 3
