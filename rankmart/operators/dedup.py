@@ -46,3 +46,21 @@ def top_n(df: DataFrame, order_by, n: int, rank_col: str | None = "rank") -> Dat
 
 def ordered(keys: Sequence) -> list:
     return _cols(keys)
+
+
+def first_by_aggregate(df: DataFrame, keys, order_cols, payload, extra=()) -> DataFrame:
+    """One row per key: the row with the smallest ``order_cols`` tuple, as an aggregate.
+
+    ``order_cols`` are ascending sort keys (negate a number for descending);
+    ``payload`` are the columns to carry. ``extra`` are more aggregate
+    expressions over the same group (e.g. the group's first source
+    position). A min over a struct is a partial aggregate: each map task
+    reduces a hot key to one row before the shuffle.
+    """
+    order_cols = _cols(order_cols)
+    payload = list(payload) if not isinstance(payload, str) else [payload]
+    fields = [c.alias(f"_o{i}") for i, c in enumerate(order_cols)] + [F.col(p).alias(p) for p in payload]
+    keys = _cols(keys)
+    agg = df.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("_first"), *extra)
+    return agg.select(*[c for c in agg.columns if c != "_first"],
+                      *[F.col(f"_first.{p}").alias(p) for p in payload])

@@ -50,3 +50,20 @@ GEO_REGION_MAP = {"NATION_0": "United States", "NATION_1": "China"}
 GEO_EU = ["NATION_5", "NATION_6", "NATION_7", "NATION_8", "NATION_9", "NATION_10"]
 GEO_NO_COORD_REGION = 4
 GEO_OWNER_TOP_N = 3
+
+# Price map on lineitem/part: org = brand, id = org/part-name-shipdate.
+PR_AS_OF = "2001-11-05 00:00:00"
+PR_ORGS = ["brand1", "brand2", "brand3", "brand4", "brand5", "brand6", "brand7", "brand8"]
+
+# Context sizes on documents: variant ids from source/lang with a date or tag suffix.
+CTX_EXCLUDE_IDS = ["src0/en"]
+
+# Capability matrix on events: variant = user-day, inputs = types with value < 100,
+# outputs = types with value >= 100, org = one of 12 user cohorts.
+CAP_ORGS_N = 12
+CAP_SPLIT = 100.0
+CAP_SPEC = [("Vision", "input", "view"), ("Audio in", "input", "click"),
+            ("Video in", "input", "purchase"), ("Files", "input", "signup"),
+            ("Image gen", "output", "view"), ("Audio gen", "output", "purchase")]
+CAP_ORG_NAMES = {"org0": "Cohort zero", "org1": "Cohort one", "org5": "Cohort five"}
+CAP_TOP_N = 10
