@@ -67,3 +67,22 @@ CAP_SPEC = [("Vision", "input", "view"), ("Audio in", "input", "click"),
             ("Image gen", "output", "view"), ("Audio gen", "output", "purchase")]
 CAP_ORG_NAMES = {"org0": "Cohort zero", "org1": "Cohort one", "org5": "Cohort five"}
 CAP_TOP_N = 10
+
+# Release timeline on orders/customer: A = dated orders of mapped segments,
+# B = customers with their last order date and a prefix-rule org.
+TL_MIN_DATE = "1997-01-01"
+TL_ORG_MAP = {"AUTOMOBILE": "Motors", "BUILDING": "Build", "FURNITURE": "Home", "HOUSEHOLD": "Home"}
+TL_PREFIX_RULES = [(["AUTO"], "Motors"), (["BUILD", "FURN"], "Build"), (["MACH"], "Machines")]
+TL_FALLBACK_SIZE = 12.0
+
+# Flagship variants on part/lineitem: model = "brand Noun Adjective".
+FL_AS_OF = "2001-11-05"
+FL_MONTHS = 6
+FL_STRIP = [r"\s+Hot$", r"\s+Cold$", r"\s+Large$", r"\s+Small$", r"\s+Red$", r"\s+Blue$",
+            r"\s+New$", r"\s+Old$"]
+FL_TIERS = [("Large", 4), ("Hot", 4), ("Red", 3), ("Small", 1), ("Cold", 1), ("Old", 1)]
+
+# Rule leaderboard on part: org by case-insensitive substring, first rule wins.
+RL_RULES = [(["ring", "rod"], "Jewel Co"), (["bolt", "gear"], "Hardware Co"),
+            (["hot", "cold"], "Thermal Co"), (["widget", "gizmo"], "Gadget Co")]
+RL_TOP_N = 15
