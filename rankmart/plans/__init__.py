@@ -3,5 +3,5 @@
 Importing this package registers every query (see ``registry``).
 """
 
-from rankmart.plans import leaderboard, hub, hardware, catalog, timeline  # noqa: F401
+from rankmart.plans import leaderboard, hub, hardware, catalog, timeline, feeds  # noqa: F401
 from rankmart.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -86,3 +86,13 @@ FL_TIERS = [("Large", 4), ("Hot", 4), ("Red", 3), ("Small", 1), ("Cold", 1), ("O
 RL_RULES = [(["ring", "rod"], "Jewel Co"), (["bolt", "gear"], "Hardware Co"),
             (["hot", "cold"], "Thermal Co"), (["widget", "gizmo"], "Gadget Co")]
 RL_TOP_N = 15
+
+# Snapshot freshness on events: source = event type, fetched_at = ts.
+SN_AS_OF = "2024-01-30 23:00:00"
+SN_TTLS = {"click": 300, "view": 21600, "purchase": 86400, "signup": 86400, "error": 300}
+SN_SOURCES = ["click", "view", "purchase", "signup", "error", "refund"]
+
+# Feeds.
+TOPK_LANG = "en"
+TOPK_N = 200
+PAGE_PATTERN = r"^https?://[^/]+/([a-z]{2})/([0-9]+)"
