@@ -5,7 +5,7 @@ from rankmart.functions.text import (  # noqa: F401
     family_key_suffix, classify_first, normalise_name, first_line,
 )
 from rankmart.functions.numeric import (  # noqa: F401
-    to_double, nan_to_null, decay_weight, log_clip, hash_uniform, hash_jitter,
+    to_double, nan_to_null, decay_weight, log_clip, clip_lower, hash_uniform, hash_jitter,
     trunc_to_long,
 )
 from rankmart.functions.dates import (  # noqa: F401

@@ -28,9 +28,15 @@ def decay_weight(age_days, k: float = 0.693, half_life_days: float = 60.0) -> Co
     return F.exp(F.lit(-float(k)) * _c(age_days) / F.lit(float(half_life_days)))
 
 
+def clip_lower(c, lower: float) -> Column:
+    """max(x, lower) with null kept null (greatest() would return ``lower`` for null)."""
+    c = _c(c).cast("double")
+    return F.when(c.isNotNull(), F.greatest(c, F.lit(float(lower))))
+
+
 def log_clip(c, lower: float = 1.0) -> Column:
-    """log10 of the value clipped from below."""
-    return F.log10(F.greatest(_c(c).cast("double"), F.lit(float(lower))))
+    """log10 of the value clipped from below; null stays null."""
+    return F.log10(clip_lower(c, lower))
 
 
 def trunc_to_long(c, digits: int = 6) -> Column:

@@ -162,7 +162,7 @@ def geo_stats(spark, sf):
 
 
 @query("log_size_scale", """
-WITH s AS (SELECT s_suppkey, s_acctbal, log10(greatest(s_acctbal, 1.0)) AS lg FROM supplier),
+WITH s AS (SELECT s_suppkey, s_acctbal, log10(CASE WHEN s_acctbal IS NOT NULL THEN greatest(s_acctbal, 1.0) END) AS lg FROM supplier),
   b AS (SELECT min(lg) AS mn, max(lg) AS mx FROM s)
 SELECT s_suppkey, s_acctbal,
        round(CASE WHEN mx > mn THEN 4.0 + (lg - mn) / (mx - mn) * 20.0 ELSE 10.0 END, 6) AS dot_size

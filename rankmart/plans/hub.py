@@ -17,9 +17,9 @@ from rankmart.sources import table
 _DD_ORG = "(CASE WHEN contains(id, '/') THEN split_part(id, '/', 1) ELSE 'community' END)"
 _DD_SQL_BASE = f"""
   w AS (SELECT l_suppkey, CAST(l_quantity * {P.DD_DOWNLOADS_SCALE} AS BIGINT) AS downloads,
-               exp(-0.693 * coalesce(greatest(date_diff('day',
+               exp(-0.693 * greatest(coalesce(date_diff('day',
                    TRY_CAST(substr(strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.000Z'), 1, 10) AS DATE),
-                   DATE '{P.DD_AS_OF}'), 0), 365) / 60.0) AS weight
+                   DATE '{P.DD_AS_OF}'), 365), 0) / 60.0) AS weight
         FROM lineitem),
   s AS (SELECT s.s_suppkey, n.n_name || '/' || s.s_name AS id
         FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey),

@@ -1,0 +1,330 @@
+"""The twelve marts on the source feeds' shapes (see ``rankmart.sources.feeds``).
+
+Each builder is ``(DataFrames..., as_of, **params) -> DataFrame`` and uses the
+fixed values in ``rankmart.fixed`` by default. Insight rows are separate
+one-row DataFrames. All work is Spark expressions; no Python UDF.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rankmart import fixed
+from rankmart.functions import (
+    classify_first, clip_lower, family_key_dated, family_key_suffix, family_key_tagged, iso_prefix_date,
+    map_lookup_inverse, org_of, short_name, strict_date, to_double, age_days,
+)
+from rankmart.operators import (
+    append_missing, bucket_counts, capability_counts, impute_median, jitter_flagged, keep_first,
+    log_minmax, map_lookup, minmax_scale, rank_matrix, region_of, share_stats, top_n, value_share,
+    zscore_scores,
+)
+from rankmart.operators.capability import modality_count
+from rankmart.operators.decay import decay_column, decayed_sum
+from rankmart.operators.dedup import first_by_aggregate
+from rankmart.sources.feeds import require_rows
+
+
+def _as_of_date(as_of):
+    return F.lit(str(as_of)[:10]).cast("date")
+
+
+# ----------------------------------------------------------------------- M1
+
+def leaderboard_scores(bench: DataFrame, category_map: dict = fixed.CATEGORY_MAP, check: bool = True) -> DataFrame:
+    """Mapped benchmark rows -> qualified (model_group, category, performance, z)."""
+    known = [b for bs in category_map.values() for b in bs]
+    rows = (bench.filter(F.col("benchmark").isin(known))
+                 .withColumn("category", map_lookup_inverse(F.col("benchmark"), category_map)))
+    if check and rows.isEmpty():
+        sample = [r[0] for r in bench.select("benchmark").distinct().limit(20).collect()]
+        raise ValueError(f"No matching benchmarks found in data. Expected benchmarks: {known}. "
+                         f"Available benchmarks: {sample}")
+    return zscore_scores(rows, "model_group", "category", "performance",
+                         len(category_map) - 1, len(category_map))
+
+
+def leaderboard_matrix(bench: DataFrame, category_map: dict = fixed.CATEGORY_MAP,
+                       top_n_: int = fixed.LEADERBOARD_TOP_N) -> DataFrame:
+    """rank, model_group, avg_z, one column per category in display order (x100)."""
+    scores = leaderboard_scores(bench, category_map)
+    return rank_matrix(scores, "model_group", "category", list(category_map), "performance", top_n_, 100.0)
+
+
+def leaderboard_insight(bench: DataFrame, category_map: dict = fixed.CATEGORY_MAP,
+                        top_n_: int = fixed.LEADERBOARD_TOP_N) -> DataFrame:
+    """last_date, total_evaluated, num_dropped (over the whole input), leader and its best category."""
+    cats = list(category_map)
+    known = [b for bs in category_map.values() for b in bs]
+    wide = leaderboard_matrix(bench, category_map, top_n_)
+    best = None
+    for c in cats:
+        hit = F.col(f"`{c}`") == F.col("best_value")
+        best = F.when(hit, F.lit(c)) if best is None else best.when(hit, F.lit(c))
+    lead = (wide.filter(F.col("rank") == 1)
+                .withColumn("best_value", F.greatest(*[F.col(f"`{c}`") for c in cats]))
+                .select(F.col("model_group").alias("top_model"), best.alias("best_category"), "best_value"))
+    k = bench.agg(F.count_distinct("model_group").alias("total_evaluated"),
+                  F.max(F.when(F.col("benchmark").isin(known), F.col("date"))).alias("last_date"))
+    shown = wide.agg(F.count(F.lit(1)).alias("n_shown"))
+    return (k.crossJoin(shown).crossJoin(lead)
+             .withColumn("num_dropped", F.col("total_evaluated") - F.col("n_shown")))
+
+
+# ----------------------------------------------------------------------- M2
+
+def context_families(catalog: DataFrame, exclude=fixed.CONTEXT_EXCLUDE_IDS,
+                     tags=fixed.CONTEXT_VARIANT_TAGS) -> DataFrame:
+    """Largest context per family (first seen wins ties) with the family's first position."""
+    rows = (catalog.withColumn("ctx", F.coalesce("context_length", F.lit(0)))
+                   .filter(~F.col("id").isin(list(exclude)) & (F.col("ctx") > 0))
+                   .withColumn("family_key", family_key_tagged(F.coalesce("id", F.lit("")), tags))
+                   .withColumn("org", org_of(F.coalesce("id", F.lit("")), ""))
+                   .withColumn("name", F.coalesce("name", "id")))
+    return first_by_aggregate(rows, "family_key", [-F.col("ctx"), F.col("src_pos")],
+                              ["id", "name", "ctx", "org"], extra=[F.min("src_pos").alias("first_pos")])
+
+
+def context_buckets(spark: SparkSession, catalog: DataFrame) -> DataFrame:
+    """bucket, count, examples for the six size buckets, empty ones included."""
+    fam = context_families(catalog)
+    return bucket_counts(spark, fam, "ctx", "name", fixed.CONTEXT_BUCKETS, F.col("first_pos").asc(),
+                         examples=fixed.BUCKET_EXAMPLES, none_text=fixed.NO_EXAMPLES)
+
+
+def context_insight(catalog: DataFrame) -> DataFrame:
+    fam = context_families(catalog)
+    top = F.min(F.struct((-F.col("ctx")).alias("c"), F.col("first_pos").alias("p"),
+                         F.col("name").alias("n"), F.col("id").alias("i")))
+    return fam.agg(F.count(F.lit(1)).alias("total_unique"), top.alias("t")).select(
+        "total_unique", F.col("t.i").alias("max_id"), F.col("t.n").alias("max_name"), (-F.col("t.c")).alias("max_ctx"))
+
+
+# ----------------------------------------------------------------------- M3
+
+def pricing(catalog: DataFrame, as_of, orgs=fixed.TOP_ORGS) -> DataFrame:
+    """Newest model per family among the listed orgs, per-1M prices, outliers and old models out."""
+    as_of_epoch = F.unix_seconds(F.lit(str(as_of)).cast("timestamp"))
+    p = to_double(F.coalesce(F.nullif(F.col("pricing.prompt"), F.lit("")), F.lit("0")))
+    c = to_double(F.coalesce(F.nullif(F.col("pricing.completion"), F.lit("")), F.lit("0")))
+    rows = (catalog.withColumn("org", F.split("id", "/").getItem(0))
+                   .filter(F.col("org").isin(list(orgs)))
+                   .withColumn("p_raw", p).withColumn("c_raw", c)
+                   .filter((F.col("p_raw") > 0) & (F.col("c_raw") > 0))
+                   .withColumn("prompt_1m", F.col("p_raw") * 1e6)
+                   .withColumn("completion_1m", F.col("c_raw") * 1e6)
+                   .filter((F.col("prompt_1m") <= fixed.PRICE_CAP_PER_1M) & (F.col("completion_1m") <= fixed.PRICE_CAP_PER_1M))
+                   .withColumn("created", F.coalesce("created", F.lit(0)))
+                   .filter(F.col("created") >= as_of_epoch - fixed.PRICE_MAX_AGE_SECONDS)
+                   .withColumn("family", family_key_dated("id")))
+    kept = keep_first(rows, "family", [F.col("created").desc(), F.col("id").asc()])
+    out = kept.select(F.coalesce("name", "id").alias("name"), "org", F.col("org").alias("org_display"),
+                      F.round("prompt_1m", 3).alias("prompt_1m"), F.round("completion_1m", 3).alias("completion_1m"),
+                      F.coalesce("context_length", F.lit(0)).alias("context_length"))
+    return log_minmax(out, "context_length", 5.0, 28.0, 16.5, "dot_size")
+
+
+def pricing_insight(priced: DataFrame) -> DataFrame:
+    tot = F.col("prompt_1m") + F.col("completion_1m")
+    m = F.min(F.struct(tot.alias("t"), F.col("name").alias("n")))
+    return priced.agg(F.count(F.lit(1)).alias("n_models"), m.alias("m")).select(
+        "n_models", F.col("m.n").alias("cheapest"), F.col("m.t").alias("cheapest_total"))
+
+
+# ----------------------------------------------------------------------- M4
+
+def benchmark_models(bench: DataFrame, rules=fixed.BENCHMARK_ORG_PREFIXES) -> DataFrame:
+    """model_group, latest date, org by name prefix; unknown org or date dropped."""
+    g = bench.filter(F.col("model_group").isNotNull()).groupBy("model_group").agg(F.max("date").alias("date"))
+    return (g.withColumn("org", classify_first("model_group", rules, "prefix"))
+             .filter(F.col("org").isNotNull())
+             .withColumn("date", strict_date(F.substring("date", 1, 10)))
+             .filter(F.col("date").isNotNull()))
+
+
+def timeline(notable: DataFrame, bench: DataFrame | None = None, org_map: dict = fixed.TIMELINE_ORG_MAP) -> DataFrame:
+    """model, org, date, compute_flop, parameters, has_compute (notable + missing benchmark models)."""
+    a = (notable.select(
+            F.col("Model").alias("model"),
+            map_lookup("Organization", org_map).alias("org"),
+            strict_date(F.substring("Publication date", 1, 10)).alias("date"),
+            to_double("Training compute (FLOP)").alias("compute_flop"),
+            to_double("Parameters").alias("parameters"))
+         .filter(F.col("date") >= F.lit(fixed.TIMELINE_MIN_DATE).cast("date"))
+         .filter(F.col("org").isNotNull())
+         .withColumn("has_compute", F.col("compute_flop").isNotNull()))
+    if bench is None:
+        return a
+    b = benchmark_models(bench).select(F.col("model_group").alias("model"), "org", "date",
+                                       F.lit(None).cast("double").alias("compute_flop"),
+                                       F.lit(None).cast("double").alias("parameters"),
+                                       F.lit(False).alias("has_compute"))
+    return append_missing(a, b, "model", "model")
+
+
+def flagship(rows: DataFrame, as_of, months: int = fixed.FLAGSHIP_MONTHS) -> DataFrame:
+    """Recent rows, highest tier then newest per family of stripped names."""
+    recent = rows.filter(F.col("date") >= F.add_months(_as_of_date(as_of), -months))
+    recent = (recent.withColumn("_family", family_key_suffix("model", fixed.FAMILY_STRIP_PATTERNS))
+                    .withColumn("_tier", classify_first("model", fixed.TIER_KEYWORDS, "contains", fixed.DEFAULT_TIER)))
+    kept = keep_first(recent, "_family", [F.col("_tier").desc(), F.col("date").desc(), F.col("model").asc()])
+    return kept.drop("_family", "_tier")
+
+
+def timeline_sizes(tl: DataFrame) -> DataFrame:
+    """Rows with compute and their dot size: per org clip 1, median fill, log10, 6-22 (else 12)."""
+    c = tl.filter("has_compute").withColumn("_p", clip_lower("parameters", 1.0))
+    c = impute_median(c, "_p", "org", "_pf").withColumn("_lg", F.log10("_pf"))
+    return minmax_scale(c, "_lg", 6.0, 22.0, 12.0, "size", by="org").drop("_p", "_pf", "_lg")
+
+
+def timeline_insight(tl: DataFrame, as_of) -> DataFrame:
+    oc = (tl.filter(F.col("org").isNotNull()).groupBy("org").agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("org").alias("o"))).alias("m")))
+    recent = flagship(tl.filter(~F.col("has_compute")), as_of).agg(F.count(F.lit(1)).alias("num_recent"))
+    big = F.min(F.when(F.col("has_compute"), F.struct((-F.col("compute_flop")).alias("c"), F.col("model").alias("m"),
+                                                      F.col("org").alias("o"))))
+    one = tl.agg(big.alias("b"), F.min(F.when(F.col("has_compute"), F.col("compute_flop"))).alias("mn"))
+    return one.crossJoin(oc).crossJoin(recent).select(
+        F.col("m.o").alias("most_active"), (-F.col("m.k")).alias("most_active_count"), "num_recent",
+        F.col("b.m").alias("biggest_model"), F.col("b.o").alias("biggest_org"), (-F.col("b.c")).alias("biggest_compute"),
+        (F.col("mn") * 0.15).alias("rug_y"))
+
+
+# ----------------------------------------------------------------------- M5
+
+def capabilities(catalog: DataFrame, top_n_: int = fixed.CAPABILITY_TOP_N) -> DataFrame:
+    """Per org: unique families and how many have each capability (most capable variant per family)."""
+    rows = (catalog.withColumn("inputs", F.coalesce("architecture.input_modalities", F.array().cast("array<string>")))
+                   .withColumn("outputs", F.coalesce("architecture.output_modalities", F.array().cast("array<string>")))
+                   .withColumn("family", family_key_dated("id"))
+                   .withColumn("n_mod", modality_count("inputs", "outputs")))
+    kept = keep_first(rows, "family", [F.col("n_mod").desc(), F.col("src_pos").asc()])
+    kept = kept.withColumn("org", F.split("id", "/").getItem(0))
+    caps = capability_counts(kept, "org", "inputs", "outputs", fixed.CAPABILITY_SPEC, top_n_)
+    return caps.withColumn("display_name", map_lookup("org", fixed.CAPABILITY_ORG_NAMES, F.col("org")))
+
+
+# ----------------------------------------------------------------------- M6
+
+def chip_counts(hardware: DataFrame) -> DataFrame:
+    return (value_share(hardware, "Manufacturer", "manufacturer")
+            .withColumn("country", map_lookup("manufacturer", fixed.CHIP_MANUFACTURER_COUNTRY, "Other")))
+
+
+def chip_dominance(hardware: DataFrame, top_n_: int = fixed.CHIP_TOP_N) -> DataFrame:
+    return top_n(chip_counts(hardware), [F.col("count").desc(), F.col("manufacturer").asc()], top_n_)
+
+
+def chip_insight(hardware: DataFrame) -> DataFrame:
+    total = hardware.agg(F.count(F.lit(1)).alias("total"))
+    return share_stats(chip_counts(hardware), "manufacturer", "country", total).withColumnRenamed("top_key", "top_maker")
+
+
+# ----------------------------------------------------------------------- M7
+
+def gpu_map(clusters: DataFrame) -> DataFrame:
+    """Clusters with coordinates: region, dot size, jittered anonymised points."""
+    rows = (clusters.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+                    .withColumn("region", region_of("Country", fixed.GPU_REGION_MAP, fixed.EU_COUNTRIES))
+                    .withColumn("h100_equiv", F.coalesce(to_double("`H100 equivalents`"), F.lit(0.0)))
+                    .withColumn("power_mw", to_double("`Power Capacity (MW)`"))
+                    .withColumn("anonymized", F.coalesce(F.lower("Name").contains(fixed.ANONYMIZED_MARK), F.lit(False))))
+    rows = log_minmax(rows, "h100_equiv", 4.0, 24.0, 10.0, "dot_size")
+    # Row key for the jitter: the row's content plus its rank among identical rows
+    # (identical rows are interchangeable, so any order among them is the same output).
+    content = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in clusters.columns])
+    rows = rows.withColumn("_content", content)
+    rows = rows.withColumn("_dup", F.row_number().over(Window.partitionBy("_content").orderBy("_content")))
+    rows = jitter_flagged(rows, "anonymized", F.concat_ws("#", "_content", F.col("_dup").cast("string")),
+                          "latitude", "longitude", fixed.JITTER_SEED, fixed.JITTER_LAT, fixed.JITTER_LON)
+    return rows.select(
+        F.coalesce("Name", F.lit("Unknown")).alias("name"), F.coalesce("Owner", F.lit("Unknown")).alias("owner"),
+        F.coalesce("Country", F.lit("Unknown")).alias("country"), "region",
+        F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "h100_equiv", "power_mw",
+        F.coalesce("`Chip type (primary)`", F.lit("Not disclosed")).alias("chip_type"),
+        F.coalesce("Status", F.lit("Unknown")).alias("status"), "dot_size", "anonymized")
+
+
+def gpu_stats(clusters: DataFrame) -> DataFrame:
+    rows = clusters.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    return rows.agg(F.count(F.lit(1)).alias("total_clusters"),
+                    F.coalesce(F.sum(to_double("`Power Capacity (MW)`")), F.lit(0.0)).alias("total_mw"))
+
+
+def gpu_top_owners(clusters: DataFrame, n: int = fixed.OWNER_TOP_N) -> DataFrame:
+    rows = (clusters.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.col("Owner").isNotNull())
+                    .groupBy(F.col("Owner").alias("owner"))
+                    .agg(F.sum(F.coalesce(to_double("`H100 equivalents`"), F.lit(0.0))).alias("h100_total")))
+    return top_n(rows, [F.col("h100_total").desc(), F.col("owner").asc()], n)
+
+
+def gpu_country_counts(clusters: DataFrame) -> DataFrame:
+    rows = clusters.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    return value_share(rows, "Country", "country")
+
+
+def gpu_region_counts(mapped: DataFrame) -> DataFrame:
+    return mapped.groupBy("region", "anonymized").agg(F.count(F.lit(1)).alias("count"))
+
+
+# ----------------------------------------------------------------------- M8
+
+def downloads(hub: DataFrame, as_of, top_n_: int = fixed.DOWNLOADS_TOP_N) -> DataFrame:
+    """Recency-weighted downloads per org (60-day half life), top n."""
+    rows = (hub.withColumn("org", org_of(F.coalesce("id", F.lit("")), "community"))
+               .filter(~F.col("org").isin(fixed.DOWNLOADS_EXCLUDED_ORGS))
+               .withColumn("weight", decay_column(iso_prefix_date("createdAt"), _as_of_date(as_of),
+                                                  fixed.DECAY_K, fixed.HALF_LIFE_DAYS, fixed.MISSING_AGE_DAYS))
+               .withColumn("dl", F.coalesce("downloads", F.lit(0))))
+    g = decayed_sum(rows, "org", "dl")
+    top = top_n(g, [F.col("downloads").desc(), F.col("org").asc()], top_n_)
+    return top.withColumn("display_name", map_lookup("org", fixed.ORG_DISPLAY_NAMES, F.col("org")))
+
+
+# ----------------------------------------------------------------------- M9
+
+def trending(hub_trending: DataFrame, as_of) -> DataFrame:
+    created = F.substring(F.coalesce("createdAt", F.lit("")), 1, 10)
+    return hub_trending.select(
+        (F.col("src_pos") + 1).alias("rank"),
+        short_name(F.coalesce("id", F.lit(""))).alias("model_name"),
+        org_of(F.coalesce("id", F.lit("")), "—").alias("org"),
+        F.coalesce("likes", F.lit(0)).alias("likes"), F.coalesce("downloads", F.lit(0)).alias("downloads"),
+        created.alias("created_date"), age_days(iso_prefix_date(created), _as_of_date(as_of)).alias("days_ago"))
+
+
+# ---------------------------------------------------------------------- M10
+
+def modality_champions(champions: DataFrame) -> DataFrame:
+    """label, model_name, org, display_org, downloads, likes (from one champion per tag)."""
+    return champions.select("label", "model_name", "org",
+                            map_lookup("org", fixed.MODALITY_ORG_NAMES, F.col("org")).alias("display_org"),
+                            "downloads", "likes")
+
+
+# ---------------------------------------------------------------------- M11
+
+def coding_leaderboard(results: DataFrame, top_n_: int = fixed.SWEBENCH_TOP_N) -> DataFrame:
+    rows = results.withColumn("_score", F.coalesce("resolved", F.lit(0.0)))
+    top = top_n(rows, [F.col("_score").desc(), F.col("src_pos").asc()], top_n_)
+    return top.select(
+        "rank", F.coalesce("name", F.lit("Unknown")).alias("name"), F.col("_score").alias("resolved"),
+        classify_first(F.coalesce("name", F.lit("")), fixed.SWEBENCH_ORG_PATTERNS, "contains_ci", "Other").alias("org"),
+        F.coalesce("date", F.lit("")).alias("date"),
+        (F.coalesce("os_model", F.lit(False)) | F.coalesce("os_system", F.lit(False))).alias("is_open"))
+
+
+# ---------------------------------------------------------------------- M12
+
+def package_downloads(packages: DataFrame) -> DataFrame:
+    rows = packages.select(
+        "package", map_lookup("package", fixed.PYPI_DISPLAY_NAMES, F.col("package")).alias("display_name"),
+        F.coalesce("last_week", F.lit(0)).alias("last_week"), F.coalesce("last_month", F.lit(0)).alias("last_month"),
+        map_lookup("package", fixed.PYPI_COMPANY_MAP, "Other").alias("company"))
+    return rows.orderBy(F.col("last_week").desc(), F.col("package").asc())
+
+
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("DataFrame", "SparkSession", "Window", "F", "fixed")]
+require_rows = require_rows

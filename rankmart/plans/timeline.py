@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankmart.functions import classify_first, family_key_suffix, log_clip, normalise_name, strict_date, to_double
+from rankmart.functions import classify_first, clip_lower, family_key_suffix, strict_date, to_double
 from rankmart.operators import append_missing, impute_median, keep_first, map_lookup, minmax_scale, top_n
 from rankmart.plans import params as P
 from rankmart.plans.registry import case_map, case_rules, query
@@ -123,7 +123,8 @@ def release_timeline_kpis(spark, sf):
 
 @query("group_median_impute", f"""
 WITH {_TL_SQL},
-  c AS (SELECT model, org, date, compute_flop, greatest(parameters, 1.0) AS p FROM tl WHERE has_compute),
+  c AS (SELECT model, org, date, compute_flop, CASE WHEN parameters IS NOT NULL THEN greatest(parameters, 1.0) END AS p
+        FROM tl WHERE has_compute),
   m AS (SELECT org, median(p) AS med FROM c GROUP BY org),
   l AS (SELECT c.*, log10(coalesce(c.p, m.med)) AS lg FROM c JOIN m USING (org)),
   bd AS (SELECT org, min(lg) AS mn, max(lg) AS mx FROM l GROUP BY org)
@@ -135,7 +136,7 @@ def group_median_impute(spark, sf):
     log10, min-max to 6-22, 12 when the org has no spread (A21 W9 W10 X16 X17 X18)."""
     c = (timeline(spark, sf).filter("has_compute")
          .select("model", "org", "date", "compute_flop",
-                 F.greatest(F.col("parameters"), F.lit(1.0)).alias("p")))
+                 clip_lower("parameters", 1.0).alias("p")))
     filled = impute_median(c, "p", "org", "p_filled")
     logged = filled.withColumn("lg", F.log10("p_filled"))
     sized = minmax_scale(logged, "lg", 6.0, 22.0, P.TL_FALLBACK_SIZE, "size", by="org")
