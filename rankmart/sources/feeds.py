@@ -117,7 +117,7 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 def read_hub_models(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of hub models (S6, S7) with their position in the response."""
     wrapper = T.ArrayType(HUB_MODEL)
-    txt = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("src_file"))
+    txt = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("src_file"))
     return (txt.select("src_file", F.posexplode(F.from_json("value", wrapper)).alias("src_pos", "m"))
                .select("src_file", "src_pos", "m.*"))
 
@@ -152,7 +152,7 @@ def read_leaderboard_page(spark: SparkSession, path: str, category: str = fixed.
 
     Pages without the block give no rows (use ``require_rows`` to fail).
     """
-    pages = spark.read.option("wholetext", True).text(path)
+    pages = spark.read.text(path, wholetext=True)
     block = pages.select(F.regexp_extract("value", pattern, 1).alias("js")).filter(F.col("js") != "")
     cats = block.select(F.from_json("js", LEADERBOARD_DATA).alias("cats"))
     pick = F.coalesce(F.get(F.filter("cats", lambda c: c["name"] == category), 0), F.get(F.col("cats"), 0))
