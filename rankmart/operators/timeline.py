@@ -15,7 +15,8 @@ def append_missing(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFr
     missing columns null. AQE picks broadcast or shuffle for A's name set
     from its measured size.
     """
-    names = a.select(normalise_name(a_key).alias("_k")).filter(F.col("_k").isNotNull())
+    # distinct is a partial aggregate: each map task ships one row per name.
+    names = a.select(normalise_name(a_key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
     extra = (b.withColumn("_k", normalise_name(b_key))
               .join(names, "_k", "left_anti")
               .drop("_k"))

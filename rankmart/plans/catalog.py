@@ -61,6 +61,11 @@ def price_rows(spark, sf):
           .withColumn("prompt_1m", F.col("p_raw") * 1e6)
           .withColumn("completion_1m", F.col("c_raw") * 1e6)
           .filter((F.col("prompt_1m") <= fixed.PRICE_CAP_PER_1M) & (F.col("completion_1m") <= fixed.PRICE_CAP_PER_1M)))
+    # Newest line per part first: the family order (created, id, line keys) is,
+    # within one part, (created, line keys), so this cut keeps every possible
+    # winner while the join shuffles one row per part instead of every line.
+    li = keep_first(li.withColumn("_c", F.unix_seconds(F.col("l_shipdate").cast("timestamp"))), "l_partkey",
+                    [F.col("_c").desc(), F.col("l_orderkey").asc(), F.col("l_linenumber").asc()]).drop("_c")
     rows = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     idc = F.concat("org", F.lit("/"), F.regexp_replace("p_name", " ", "-"), F.lit("-"),
                    F.date_format("l_shipdate", "yyyy-MM-dd"))
