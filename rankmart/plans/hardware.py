@@ -150,15 +150,20 @@ def owner_totals(spark, sf):
 @query("geo_stats", f"""
 WITH {_GEO_BASE}
 SELECT count(*) AS total_clusters, round(coalesce(sum(power_mw), 0.0), 2) AS total_mw,
-       count(DISTINCT country) AS n_countries, count(*) FILTER (WHERE anonymized) AS n_anonymized
+       count(DISTINCT country) AS n_countries, count(*) FILTER (WHERE anonymized) AS n_anonymized,
+       count(*) FILTER (WHERE region = 'United States') AS us_clusters,
+       count(*) FILTER (WHERE region = 'China') AS cn_clusters
 FROM geo""")
 def geo_stats(spark, sf):
-    """Totals after the coordinate filter; an all-missing power column sums to 0."""
+    """Totals after the coordinate filter; an all-missing power column sums to 0 (N11);
+    per-region counts are 0 when the region is absent (A22, A23)."""
     return geo_rows(spark, sf).agg(
         F.count(F.lit(1)).alias("total_clusters"),
         F.round(F.coalesce(F.sum("power_mw"), F.lit(0.0)), 2).alias("total_mw"),
         F.count_distinct("country").alias("n_countries"),
-        F.count_if("anonymized").alias("n_anonymized"))
+        F.count_if("anonymized").alias("n_anonymized"),
+        F.count_if(F.col("region") == "United States").alias("us_clusters"),
+        F.count_if(F.col("region") == "China").alias("cn_clusters"))
 
 
 @query("log_size_scale", """

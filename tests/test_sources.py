@@ -85,3 +85,14 @@ def test_latest_dated_file(spark, tmp_dir):
     rows = S.read_latest_dated_csv(spark, d, schema).collect()
     assert sorted(r["Model"] for r in rows) == ["new", "newer"]
     assert {r["file_stamp"] for r in rows} == {"20250301"}
+
+
+def test_mart_sink_snapshots(spark, tmp_dir):
+    from rankmart.sources.sinks import read_mart, write_mart
+    path = os.path.join(tmp_dir, "mart")
+    a = spark.createDataFrame([("x", 1)], "k string, v int")
+    write_mart(a, path, "2025-06-01")
+    write_mart(spark.createDataFrame([("y", 2)], "k string, v int"), path, "2025-06-02")
+    write_mart(spark.createDataFrame([("z", 3)], "k string, v int"), path, "2025-06-02")  # rerun: replaced
+    assert sorted(r["k"] for r in read_mart(spark, path).collect()) == ["z"]
+    assert sorted(r["k"] for r in read_mart(spark, path, "2025-06-01").collect()) == ["x"]
