@@ -10,15 +10,27 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
+
+
+def _iso_day(s: Column) -> Column:
+    # The regex fixes the shape (no "2025-01", "2025-1-3" or trailing text, which a
+    # lenient cast accepts); try_cast then nulls impossible days. Cheaper per row
+    # than a pattern-based parse.
+    return F.when(s.rlike(ISO_DAY), s.try_cast("date"))
+
+
 def strict_date(c, fmt: str = "yyyy-MM-dd") -> Column:
     """Parse with one fixed format; anything else is null."""
-    return F.try_to_timestamp(_c(c).cast("string"), F.lit(fmt)).cast("date")
+    s = _c(c).cast("string")
+    if fmt == "yyyy-MM-dd":
+        return _iso_day(s)
+    return F.try_to_timestamp(s, F.lit(fmt)).cast("date")
 
 
 def iso_prefix_date(c) -> Column:
     """First 10 characters of an ISO timestamp as a date, null if invalid (X11)."""
-    s = F.substring(F.coalesce(_c(c).cast("string"), F.lit("")), 1, 10)
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(s, F.lit("yyyy-MM-dd")).cast("date"))
+    return _iso_day(F.substring(F.coalesce(_c(c).cast("string"), F.lit("")), 1, 10))
 
 
 def age_days(d, as_of, clamp: bool = False, missing=None) -> Column:

@@ -68,7 +68,7 @@ def price_rows(spark, sf):
                     [F.col("_c").desc(), F.col("l_orderkey").asc(), F.col("l_linenumber").asc()]).drop("_c")
     rows = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
     idc = F.concat("org", F.lit("/"), F.regexp_replace("p_name", " ", "-"), F.lit("-"),
-                   F.date_format("l_shipdate", "yyyy-MM-dd"))
+                   F.to_date("l_shipdate").cast("string"))
     rows = (rows.withColumn("id", idc)
                 .withColumn("org", org_of("id"))
                 .withColumn("created", F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
@@ -229,7 +229,7 @@ def capability_matrix(spark, sf):
         F.array_sort(F.collect_set(F.when(F.col("value") >= P.CAP_SPLIT, F.col("event_type")))).alias("outputs"))
     v = v.withColumn("id", F.concat(F.lit("org"), (F.col("user_id") % P.CAP_ORGS_N).cast("string"),
                                     F.lit("/u"), F.col("user_id").cast("string"), F.lit("-"),
-                                    F.date_format("day", "yyyy-MM-dd")))
+                                    F.col("day").cast("string")))
     v = v.withColumn("family", family_key_dated("id")).withColumn("n_mod", modality_count("inputs", "outputs"))
     kept = keep_first(v, "family", [F.col("n_mod").desc(), F.col("day").asc()])
     kept = kept.withColumn("org", org_of("id"))

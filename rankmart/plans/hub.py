@@ -18,7 +18,7 @@ _DD_ORG = "(CASE WHEN contains(id, '/') THEN split_part(id, '/', 1) ELSE 'commun
 _DD_SQL_BASE = f"""
   w AS (SELECT l_suppkey, CAST(l_quantity * {P.DD_DOWNLOADS_SCALE} AS BIGINT) AS downloads,
                exp(-0.693 * greatest(coalesce(date_diff('day',
-                   TRY_CAST(substr(strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.000Z'), 1, 10) AS DATE),
+                   TRY_CAST(substr(CAST(l_shipdate AS VARCHAR), 1, 10) AS DATE),
                    DATE '{P.DD_AS_OF}'), 365), 0) / 60.0) AS weight
         FROM lineitem),
   s AS (SELECT s.s_suppkey, n.n_name || '/' || s.s_name AS id
@@ -46,7 +46,7 @@ def dd_orgs(spark, sf):
     li = table(spark, sf, "lineitem").select(
         "l_suppkey",
         (F.col("l_quantity") * P.DD_DOWNLOADS_SCALE).cast("long").alias("downloads"),
-        F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("created_at"))
+        F.col("l_shipdate").cast("string").alias("created_at"))
     li = li.withColumn("weight", decay_column(iso_prefix_date("created_at"), P.DD_AS_OF))
     per_supp = li.groupBy("l_suppkey").agg(F.sum(F.col("downloads") * F.col("weight")).alias("wsum"),
                                            F.count(F.lit(1)).alias("n"))
@@ -111,7 +111,7 @@ def tr_rows(spark, sf):
     o = table(spark, sf, "orders")
     src = top_n(o, [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], P.TR_TOP_N)
     idc = F.concat("o_orderpriority", F.lit("/order-"), F.col("o_orderkey").cast("string"))
-    created = F.date_format("o_orderdate", "yyyy-MM-dd")
+    created = F.to_date("o_orderdate").cast("string")
     return src.select(
         "rank",
         short_name(idc).alias("model_name"),

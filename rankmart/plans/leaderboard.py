@@ -23,7 +23,7 @@ def lb_input(spark, sf):
     ev = table(spark, sf, "events")
     return ev.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@"),
-                 F.date_format("ts", "yyyy-MM-dd")).alias("entity"),
+                 F.to_date("ts").cast("string")).alias("entity"),
         map_lookup_inverse(F.col("event_type"), P.LB_CATEGORIES).alias("category"),
         F.col("value").alias("score"),
         F.col("ts"),

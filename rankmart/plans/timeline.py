@@ -25,7 +25,7 @@ def last_seen(spark, sf):
             .filter(F.col("org").isNotNull()))
     return (last.join(cust, F.col("o_custkey") == F.col("c_custkey"))
                 .select(F.col("c_name").alias("model_group"),
-                        strict_date(F.date_format("last_date", "yyyy-MM-dd")).alias("date"), "org")
+                        strict_date(F.to_date("last_date").cast("string")).alias("date"), "org")
                 .filter(F.col("date").isNotNull()))
 
 
@@ -51,7 +51,7 @@ def notable(spark, sf):
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_name").alias("model"),
         map_lookup("c_mktsegment", P.TL_ORG_MAP).alias("org"),
-        strict_date(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"),
+        strict_date(F.to_date("o_orderdate").cast("string")).alias("date"),
         to_double(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("string"))
                    .otherwise(F.lit("unknown"))).alias("compute_flop"),
         to_double(F.when(F.col("o_orderpriority") != "5-LOW", (F.col("o_totalprice") / 1000).cast("string"))
