@@ -64,3 +64,24 @@ def first_by_aggregate(df: DataFrame, keys, order_cols, payload, extra=()) -> Da
     agg = df.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("_first"), *extra)
     return agg.select(*[c for c in agg.columns if c != "_first"],
                       *[F.col(f"_first.{p}").alias(p) for p in payload])
+
+
+def number_duplicates(df: DataFrame, out: str = "dup_rank", chunk: int = 1 << 20) -> DataFrame:
+    """Every row with ``out`` = 1..n among the rows identical to it.
+
+    Identical rows are interchangeable, so the ranks need no order: rows are
+    counted per distinct content (a partial aggregate, so a value held by a
+    third of the table is reduced map-side), each count is cut into chunks of
+    ``chunk`` ranks, the chunks are spread over the cluster by hash, and each
+    task regenerates only its chunks' rows. The result is the same multiset
+    under any partitioning, and no task holds more than one chunk of a hot
+    value at a time.
+    """
+    cols = df.columns
+    counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"),
+                                                               ((F.col("_n") - 1) / chunk).cast("long"))))
+    spread = chunks.repartition("_chunk", *cols)
+    lo = F.col("_chunk") * chunk + 1
+    hi = F.least(F.col("_n"), (F.col("_chunk") + 1) * chunk)
+    return spread.select(*cols, F.explode(F.sequence(lo, hi)).alias(out))

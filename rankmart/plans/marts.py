@@ -7,7 +7,7 @@ one-row DataFrames. All work is Spark expressions; no Python UDF.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmart import fixed
@@ -22,7 +22,7 @@ from rankmart.operators import (
 )
 from rankmart.operators.capability import modality_count
 from rankmart.operators.decay import decay_column, decayed_sum
-from rankmart.operators.dedup import first_by_aggregate
+from rankmart.operators.dedup import first_by_aggregate, number_duplicates
 from rankmart.sources.feeds import require_rows
 
 
@@ -233,10 +233,10 @@ def gpu_map(clusters: DataFrame) -> DataFrame:
                     .withColumn("anonymized", F.coalesce(F.lower("Name").contains(fixed.ANONYMIZED_MARK), F.lit(False))))
     rows = log_minmax(rows, "h100_equiv", 4.0, 24.0, 10.0, "dot_size")
     # Row key for the jitter: the row's content plus its rank among identical rows
-    # (identical rows are interchangeable, so any order among them is the same output).
+    # (identical rows are interchangeable, so the ranks need no order and the
+    # numbering is skew-safe; see number_duplicates).
     content = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in clusters.columns])
-    rows = rows.withColumn("_content", content)
-    rows = rows.withColumn("_dup", F.row_number().over(Window.partitionBy("_content").orderBy("_content")))
+    rows = number_duplicates(rows.withColumn("_content", content), "_dup")
     rows = jitter_flagged(rows, "anonymized", F.concat_ws("#", "_content", F.col("_dup").cast("string")),
                           "latitude", "longitude", fixed.JITTER_SEED, fixed.JITTER_LAT, fixed.JITTER_LON)
     return rows.select(
@@ -326,5 +326,5 @@ def package_downloads(packages: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("last_week").desc(), F.col("package").asc())
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("DataFrame", "SparkSession", "Window", "F", "fixed")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("DataFrame", "SparkSession", "F", "fixed")]
 require_rows = require_rows

@@ -226,3 +226,12 @@ def test_package_downloads(spark):
                               "package string, last_day long, last_week long, last_month long")
     got = [(r["package"], r["display_name"], r["company"]) for r in M.package_downloads(p).collect()]
     assert got == [("langchain", "LangChain", "Other"), ("newpkg", "newpkg", "Other"), ("openai", "OpenAI", "OpenAI")]
+
+
+def test_number_duplicates_is_skew_safe_and_exact(spark):
+    from rankmart.operators.dedup import number_duplicates
+    df = spark.createDataFrame([("a", 1)] * 7 + [("b", 2)] * 2 + [("c", None)], "k string, v int")
+    got = sorted((r["k"], r["dup_rank"]) for r in number_duplicates(df, chunk=3).collect())
+    assert got == [("a", i) for i in range(1, 8)] + [("b", 1), ("b", 2), ("c", 1)]
+    again = sorted((r["k"], r["dup_rank"]) for r in number_duplicates(df.repartition(5), chunk=2).collect())
+    assert again == got
