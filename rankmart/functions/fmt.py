@@ -25,7 +25,7 @@ def short_number(c, missing: str | None = None) -> Column:
 def short_tokens(c) -> Column:
     """Token counts with integer thousands: 131072 -> "131K"."""
     c = _c(c).cast("long")
-    return (F.when(c >= 1_000_000, F.concat(F.format_string("%.1f", c / 1_000_000), F.lit("M")))
+    return (F.when(c >= 1_000_000, F.concat(F.format_string("%.1f", F.round(c / 1_000_000, 1)), F.lit("M")))
             .when(c >= 1_000, F.concat((c / 1000).cast("long").cast("string"), F.lit("K")))
             .otherwise(c.cast("string")))
 

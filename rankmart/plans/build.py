@@ -62,7 +62,9 @@ def build_all(spark: SparkSession, landing: str, out: str, as_of: str, snapshot_
 
     if (p := feed("catalog")):
         catalog = S.read_catalog(spark, p).checkpoint()
-        put("pricing", M.pricing(catalog, as_of))
+        priced = M.pricing(catalog, as_of)
+        put("pricing", priced)
+        put("pricing_insight", M.pricing_insight(priced))
         put("context_buckets", M.context_buckets(spark, catalog))
         put("context_insight", M.context_insight(catalog))
         put("capabilities", M.capabilities(catalog))
@@ -80,16 +82,25 @@ def build_all(spark: SparkSession, landing: str, out: str, as_of: str, snapshot_
         put("gpu_stats", M.gpu_stats(cl))
         put("gpu_owners", M.gpu_top_owners(cl))
         put("gpu_countries", M.gpu_country_counts(cl))
+        put("gpu_insight", M.gpu_insight(cl))
 
     if (p := feed("hub_top")):
-        put("downloads", M.downloads(S.read_hub_models(spark, p), as_of))
+        top = M.downloads(S.read_hub_models(spark, p), as_of)
+        put("downloads", top)
+        put("downloads_insight", M.downloads_insight(top))
     if (p := feed("hub_trending")):
-        put("trending", M.trending(S.read_hub_models(spark, p), as_of))
+        tr = M.trending(S.read_hub_models(spark, p), as_of)
+        put("trending", tr)
+        put("trending_insight", M.trending_insight(tr))
     if (p := feed("hub_modality")):
         champs = S.modality_champions_from_hub(spark, S.read_hub_models(spark, p))
-        put("modality_champions", M.modality_champions(champs))
+        mc = M.modality_champions(champs)
+        put("modality_champions", mc)
+        put("modality_insight", M.modality_insight(mc))
     if (p := feed("leaderboard")):
-        put("coding", M.coding_leaderboard(S.read_leaderboard_page(spark, p)))
+        board = M.coding_leaderboard(S.read_leaderboard_page(spark, p))
+        put("coding", board)
+        put("coding_insight", M.coding_insight(board))
     if (p := feed("pypi")):
         put("packages", M.package_downloads(S.read_package_downloads(spark, p)))
     return written

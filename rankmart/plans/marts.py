@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from rankmart import fixed
 from rankmart.functions import (
-    classify_first, clip_lower, family_key_dated, family_key_suffix, family_key_tagged, iso_prefix_date,
+    short_number, short_tokens, classify_first, clip_lower, family_key_dated, family_key_suffix, family_key_tagged, iso_prefix_date,
     map_lookup_inverse, org_of, short_name, strict_date, to_double, age_days,
 )
 from rankmart.operators import (
-    append_missing, bucket_counts, capability_counts, impute_median, jitter_flagged, keep_first,
+    bucketize, append_missing, bucket_counts, capability_counts, impute_median, jitter_flagged, keep_first,
     log_minmax, map_lookup, minmax_scale, rank_matrix, region_of, share_stats, top_n, value_share,
     zscore_scores,
 )
@@ -68,8 +68,11 @@ def leaderboard_insight(bench: DataFrame, category_map: dict = fixed.CATEGORY_MA
     k = bench.agg(F.count_distinct("model_group").alias("total_evaluated"),
                   F.max(F.when(F.col("benchmark").isin(known), F.col("date"))).alias("last_date"))
     shown = wide.agg(F.count(F.lit(1)).alias("n_shown"))
-    return (k.crossJoin(shown).crossJoin(lead)
+    out = (k.crossJoin(shown).crossJoin(lead)
              .withColumn("num_dropped", F.col("total_evaluated") - F.col("n_shown")))
+    return out.withColumn("insight", F.format_string(
+        "%s leads overall, scoring highest in %s (%.1f%%). %d models ranked from %d evaluated (%d had insufficient data).",
+        "top_model", "best_category", F.round("best_value", 1), "n_shown", "total_evaluated", "num_dropped"))
 
 
 # ----------------------------------------------------------------------- M2
@@ -93,12 +96,22 @@ def context_buckets(spark: SparkSession, catalog: DataFrame) -> DataFrame:
                          examples=fixed.BUCKET_EXAMPLES, none_text=fixed.NO_EXAMPLES)
 
 
-def context_insight(catalog: DataFrame) -> DataFrame:
+def context_insight(catalog: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Unique families, the largest one, and the sweet-spot / over-1M bucket counts."""
     fam = context_families(catalog)
     top = F.min(F.struct((-F.col("ctx")).alias("c"), F.col("first_pos").alias("p"),
                          F.col("name").alias("n"), F.col("id").alias("i")))
-    return fam.agg(F.count(F.lit(1)).alias("total_unique"), top.alias("t")).select(
-        "total_unique", F.col("t.i").alias("max_id"), F.col("t.n").alias("max_name"), (-F.col("t.c")).alias("max_ctx"))
+    labelled = fam.withColumn("_b", bucketize("ctx", fixed.CONTEXT_BUCKETS))
+    sweet = [i for i, (lab, _, _) in enumerate(fixed.CONTEXT_BUCKETS, 1) if lab == "32–128K"][0]
+    big = len(fixed.CONTEXT_BUCKETS)
+    one = labelled.agg(F.count(F.lit(1)).alias("total_unique"), top.alias("t"),
+                       F.count_if(F.col("_b") == sweet).alias("sweet_spot"),
+                       F.count_if(F.col("_b") == big).alias("over_1m"))
+    one = one.select("total_unique", "sweet_spot", "over_1m", F.col("t.i").alias("max_id"),
+                     F.col("t.n").alias("max_name"), (-F.col("t.c")).alias("max_ctx"))
+    return one.withColumn("insight", F.format_string(
+        "%d unique model families. The sweet spot is 32–128K tokens (%d models), but %d models now exceed 1M tokens "
+        "— led by %s at %s.", "total_unique", "sweet_spot", "over_1m", "max_name", short_tokens("max_ctx")))
 
 
 # ----------------------------------------------------------------------- M3
@@ -126,10 +139,16 @@ def pricing(catalog: DataFrame, as_of, orgs=fixed.TOP_ORGS) -> DataFrame:
 
 
 def pricing_insight(priced: DataFrame) -> DataFrame:
+    """Model count and the cheapest model by prompt + completion price (ties: name)."""
     tot = F.col("prompt_1m") + F.col("completion_1m")
-    m = F.min(F.struct(tot.alias("t"), F.col("name").alias("n")))
-    return priced.agg(F.count(F.lit(1)).alias("n_models"), m.alias("m")).select(
-        "n_models", F.col("m.n").alias("cheapest"), F.col("m.t").alias("cheapest_total"))
+    m = F.min(F.struct(tot.alias("t"), F.col("name").alias("n"), F.col("prompt_1m").alias("p"),
+                       F.col("completion_1m").alias("c")))
+    one = priced.agg(F.count(F.lit(1)).alias("n_models"), m.alias("m")).select(
+        "n_models", F.col("m.n").alias("cheapest"), F.col("m.t").alias("cheapest_total"),
+        F.col("m.p").alias("cheapest_prompt"), F.col("m.c").alias("cheapest_completion"))
+    return one.withColumn("insight", F.format_string(
+        "%d models compared. Cheapest overall: %s ($%.2f prompt + $%.2f completion per 1M tokens).",
+        "n_models", "cheapest", F.round("cheapest_prompt", 2), F.round("cheapest_completion", 2)))
 
 
 # ----------------------------------------------------------------------- M4
@@ -186,10 +205,19 @@ def timeline_insight(tl: DataFrame, as_of) -> DataFrame:
     big = F.min(F.when(F.col("has_compute"), F.struct((-F.col("compute_flop")).alias("c"), F.col("model").alias("m"),
                                                       F.col("org").alias("o"))))
     one = tl.agg(big.alias("b"), F.min(F.when(F.col("has_compute"), F.col("compute_flop"))).alias("mn"))
-    return one.crossJoin(oc).crossJoin(recent).select(
+    out = one.crossJoin(oc).crossJoin(recent).select(
         F.col("m.o").alias("most_active"), (-F.col("m.k")).alias("most_active_count"), "num_recent",
         F.col("b.m").alias("biggest_model"), F.col("b.o").alias("biggest_org"), (-F.col("b.c")).alias("biggest_compute"),
         (F.col("mn") * 0.15).alias("rug_y"))
+    with_compute = F.format_string(
+        "Since 2020, %s has released %d notable models — more than anyone else. The largest training run "
+        "recorded: %s by %s (%.1e FLOP).", "most_active", "most_active_count", "biggest_model", "biggest_org",
+        "biggest_compute")
+    recent_txt = F.when(F.col("num_recent") > 0, F.format_string(" %d recent models are awaiting compute data.",
+                                                                 "num_recent")).otherwise(F.lit(""))
+    no_compute = F.format_string("%s leads with %d notable models since 2020.", "most_active", "most_active_count")
+    return out.withColumn("insight", F.when(F.col("biggest_model").isNotNull(), F.concat(with_compute, recent_txt))
+                                      .otherwise(no_compute))
 
 
 # ----------------------------------------------------------------------- M5
@@ -219,7 +247,11 @@ def chip_dominance(hardware: DataFrame, top_n_: int = fixed.CHIP_TOP_N) -> DataF
 
 def chip_insight(hardware: DataFrame) -> DataFrame:
     total = hardware.agg(F.count(F.lit(1)).alias("total"))
-    return share_stats(chip_counts(hardware), "manufacturer", "country", total).withColumnRenamed("top_key", "top_maker")
+    st = share_stats(chip_counts(hardware), "manufacturer", "country", total).withColumnRenamed("top_key", "top_maker")
+    return st.withColumn("insight", F.format_string(
+        "%s dominates with %d of %d registered AI chips (%.0f%%). The hidden story: China has %d chip manufacturers "
+        "(%d chips) vs %d for the US (%d chips).", "top_maker", "top_count", "total", F.round("top_share", 0),
+        "cn_makers", "cn_count", "us_makers", "us_count"))
 
 
 # ----------------------------------------------------------------------- M7
@@ -265,6 +297,27 @@ def gpu_country_counts(clusters: DataFrame) -> DataFrame:
     return value_share(rows, "Country", "country")
 
 
+def gpu_insight(clusters: DataFrame) -> DataFrame:
+    """Totals, China vs US cluster counts (0 when absent), power and the top-3 owners line."""
+    rows = clusters.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    k = rows.agg(F.count(F.lit(1)).alias("total_clusters"),
+                 F.count_distinct("Country").alias("n_countries"),
+                 F.count_if(F.col("Country") == "China").alias("cn_clusters"),
+                 F.count_if(F.col("Country") == "United States of America").alias("us_clusters"),
+                 F.coalesce(F.sum(to_double("`Power Capacity (MW)`")), F.lit(0.0)).alias("total_mw"))
+    h = F.col("h100_total")
+    part = F.when(h >= 1_000_000, F.format_string("%s (%,.1fM)", "owner", F.round(h / 1_000_000, 1))) \
+            .otherwise(F.format_string("%s (%,.0fK)", "owner", F.round(h / 1_000, 0)))
+    owners = (gpu_top_owners(clusters, 3).withColumn("_part", part)
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_part"))),
+                                            lambda x: x["_part"]), ", ").alias("top_owners")))
+    one = k.crossJoin(owners)  # one row each
+    return one.withColumn("insight", F.format_string(
+        "%d GPU clusters across %d countries. China leads with %d clusters vs %d for the US. Total power: %,.0f MW. "
+        "Biggest investors by H100 equivalents: %s.", "total_clusters", "n_countries", "cn_clusters", "us_clusters",
+        F.round("total_mw", 0), "top_owners"))
+
+
 def gpu_region_counts(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy("region", "anonymized").agg(F.count(F.lit(1)).alias("count"))
 
@@ -283,6 +336,18 @@ def downloads(hub: DataFrame, as_of, top_n_: int = fixed.DOWNLOADS_TOP_N) -> Dat
     return top.withColumn("display_name", map_lookup("org", fixed.ORG_DISPLAY_NAMES, F.col("org")))
 
 
+def downloads_insight(top: DataFrame) -> DataFrame:
+    """Leader of the shown orgs and the total over them."""
+    lead = F.min(F.struct((-F.col("downloads")).alias("d"), F.col("org").alias("o"),
+                          F.col("display_name").alias("n"), F.col("model_count").alias("c")))
+    one = top.agg(lead.alias("l"), F.sum("downloads").alias("shown_total")).select(
+        F.col("l.n").alias("leader"), (-F.col("l.d")).alias("leader_downloads"), F.col("l.c").alias("leader_models"),
+        "shown_total")
+    return one.withColumn("insight", F.format_string(
+        "%s leads with %s downloads across %d models in the top 200. Total across top 12 orgs: %s.",
+        "leader", short_number("leader_downloads"), "leader_models", short_number("shown_total")))
+
+
 # ----------------------------------------------------------------------- M9
 
 def trending(hub_trending: DataFrame, as_of) -> DataFrame:
@@ -295,6 +360,22 @@ def trending(hub_trending: DataFrame, as_of) -> DataFrame:
         created.alias("created_date"), age_days(iso_prefix_date(created), _as_of_date(as_of)).alias("days_ago"))
 
 
+def trending_insight(tr: DataFrame) -> DataFrame:
+    """Leader by downloads (its rank need not be 1) and the freshest model."""
+    lead = F.min(F.struct((-F.col("downloads")).alias("d"), F.col("rank").alias("r"),
+                          F.col("model_name").alias("m"), F.col("org").alias("o")))
+    fresh = F.min(F.when(F.col("days_ago").isNotNull(), F.struct(F.col("days_ago").alias("a"), F.col("rank").alias("r"),
+                                                                 F.col("model_name").alias("m"))))
+    one = tr.agg(lead.alias("l"), fresh.alias("f")).select(
+        F.col("l.r").alias("leader_rank"), F.col("l.m").alias("leader"), F.col("l.o").alias("leader_org"),
+        (-F.col("l.d")).alias("leader_downloads"), F.col("f.m").alias("freshest"), F.col("f.a").alias("freshest_days"))
+    head = F.format_string("#%d %s by %s leads with %s downloads.", "leader_rank", "leader", "leader_org",
+                           short_number("leader_downloads"))
+    tail = F.when(F.col("freshest").isNotNull(),
+                  F.format_string(" Freshest: %s (%d days old).", "freshest", "freshest_days")).otherwise(F.lit(""))
+    return one.withColumn("insight", F.concat(head, tail))
+
+
 # ---------------------------------------------------------------------- M10
 
 def modality_champions(champions: DataFrame) -> DataFrame:
@@ -304,6 +385,16 @@ def modality_champions(champions: DataFrame) -> DataFrame:
                             "downloads", "likes")
 
 
+def modality_insight(champions: DataFrame, n_modalities: int = len(fixed.HF_MODALITY_TAGS)) -> DataFrame:
+    lead = F.min(F.struct((-F.col("downloads")).alias("d"), F.col("label").alias("l"),
+                          F.col("model_name").alias("m"), F.col("display_org").alias("o")))
+    one = champions.agg(lead.alias("x")).select(F.col("x.o").alias("display_org"), F.col("x.m").alias("model_name"),
+                                                F.col("x.l").alias("label"), (-F.col("x.d")).alias("downloads"))
+    return one.withColumn("insight", F.format_string(
+        "Across %d AI modalities, %s's %s leads %s with %s downloads.", F.lit(n_modalities), "display_org",
+        "model_name", "label", short_number("downloads")))
+
+
 # ---------------------------------------------------------------------- M11
 
 def coding_leaderboard(results: DataFrame, top_n_: int = fixed.SWEBENCH_TOP_N) -> DataFrame:
@@ -316,6 +407,15 @@ def coding_leaderboard(results: DataFrame, top_n_: int = fixed.SWEBENCH_TOP_N) -
         (F.coalesce("os_model", F.lit(False)) | F.coalesce("os_system", F.lit(False))).alias("is_open"))
 
 
+def coding_insight(board: DataFrame) -> DataFrame:
+    lead = F.min(F.struct(F.col("rank").alias("r"), F.col("name").alias("n"), F.col("resolved").alias("s")))
+    one = board.agg(lead.alias("l"), F.count_if("is_open").alias("open_count"), F.count(F.lit(1)).alias("shown"))
+    one = one.select(F.col("l.n").alias("leader"), F.col("l.s").alias("resolved"), "open_count", "shown")
+    return one.withColumn("insight", F.format_string(
+        "%s leads at %.1f%% of real GitHub issues resolved. %d of the top %d systems use open-source components.",
+        "leader", F.round("resolved", 1), "open_count", "shown"))
+
+
 # ---------------------------------------------------------------------- M12
 
 def package_downloads(packages: DataFrame) -> DataFrame:

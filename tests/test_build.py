@@ -38,7 +38,7 @@ def test_build_all(spark, tmp_dir):
     write(f"{land}/pypi/openai.json", json.dumps({"package": "openai", "data": {"last_week": 10, "last_month": 40}}))
     out = os.path.join(tmp_dir, "marts")
     written = build_all(spark, land, out, "2025-06-01 00:00:00")
-    assert len(written) == 22
+    assert len(written) == 28
     lb = read_mart(spark, written["leaderboard"]).orderBy("rank").collect()
     assert [r["model_group"] for r in lb] == ["Gemini 3 Pro", "Claude 4", "GPT-5"]
     tl = {r["model"] for r in read_mart(spark, written["timeline"]).collect()}
@@ -46,3 +46,7 @@ def test_build_all(spark, tmp_dir):
     assert read_mart(spark, written["coding"]).first()["org"] == "Anthropic"
     assert read_mart(spark, written["gpu_stats"]).first()["total_clusters"] == 3
     assert read_mart(spark, written["pricing"]).first()["prompt_1m"] == 2.5
+    assert read_mart(spark, written["coding_insight"]).first()["insight"] == (
+        "Claude agent leads at 70.5% of real GitHub issues resolved. 0 of the top 1 systems use open-source components.")
+    assert read_mart(spark, written["modality_insight"]).first()["insight"] == (
+        "Across 7 AI modalities, Hexgrad's k leads Voice with 5 downloads.")

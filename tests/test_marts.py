@@ -235,3 +235,22 @@ def test_number_duplicates_is_skew_safe_and_exact(spark):
     assert got == [("a", i) for i in range(1, 8)] + [("b", 1), ("b", 2), ("c", 1)]
     again = sorted((r["k"], r["dup_rank"]) for r in number_duplicates(df.repartition(5), chunk=2).collect())
     assert again == got
+
+
+def test_insight_sentences(spark):
+    hw = spark.createDataFrame([("NVIDIA",)] * 3 + [("Huawei",)] * 2 + [("Acme",)], S.ML_HARDWARE)
+    assert M.chip_insight(hw).first()["insight"] == (
+        "NVIDIA dominates with 3 of 6 registered AI chips (50%). The hidden story: China has 1 chip manufacturers "
+        "(2 chips) vs 1 for the US (3 chips).")
+    cl = clusters(spark, [("A", "Big Co", "China", None, None, 1.0, 1.0, "2500000", "1200.4"),
+                          ("B", "Small Co", "United States of America", None, None, 1.0, 1.0, "1500", None)])
+    assert M.gpu_insight(cl).first()["insight"] == (
+        "2 GPU clusters across 2 countries. China leads with 1 clusters vs 1 for the US. Total power: 1,200 MW. "
+        "Biggest investors by H100 equivalents: Big Co (2.5M), Small Co (2K).")
+    rows = [("o/a", 0, 0, 2_000_000, "1", "1", None, None), ("o/b", 0, 0, 65_536, "1", "1", None, None)]
+    assert M.context_insight(catalog_rows(spark, rows)).first()["insight"] == (
+        "2 unique model families. The sweet spot is 32–128K tokens (1 models), but 1 models now exceed 1M tokens "
+        "— led by 0 at 2.0M.")
+    t = M.trending(hub(spark, [("a/x", 5, 2, "2025-05-30", None, None, 9.0),
+                               ("b/y", 1500, 1, "2025-05-01", None, None, 8.0)]), "2025-06-01")
+    assert M.trending_insight(t).first()["insight"] == "#2 y by b leads with 2K downloads. Freshest: x (2 days old)."
