@@ -5,7 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import uuid
+
+from pyspark.sql import types as T
+
 from rankmart.operators import top_n
+from rankmart.session import checkpoint_dir
+from rankmart.sources.feeds import read_csv
 from rankmart.plans import params as P
 from rankmart.plans.registry import case_map, query, sql_list
 from rankmart.sources import table
@@ -97,3 +103,36 @@ def last_refresh_status(spark, sf):
     """Status line per listed source; a source never fetched shows Fetching...."""
     snaps = table(spark, sf, "events").select(F.col("event_type").alias("source"), F.col("ts").alias("fetched_at"))
     return last_refresh(spark, snaps, P.SN_SOURCES)
+
+
+_CSV_LANDED = T.StructType([
+    T.StructField("c_custkey", T.LongType()),
+    T.StructField("c_name", T.StringType()),
+    T.StructField("c_mktsegment", T.StringType()),
+    T.StructField("c_acctbal", T.DoubleType()),
+])
+
+
+@query("src_csv", """
+SELECT c_mktsegment, count(*) AS n,
+       count(*) FILTER (WHERE NOT (c_acctbal >= 100)) AS n_missing_balance,
+       round(sum(CASE WHEN c_acctbal >= 100 THEN c_acctbal END), 2) AS sum_balance
+FROM customer GROUP BY c_mktsegment""")
+def src_csv(spark, sf):
+    """Land the table as CSV with header, "NaN" and blank cells, read it back with an explicit
+    schema (S1-S4, N1, N3): "NaN" and blank become null and aggregates skip them.
+
+    The files go to the cluster's shared checkpoint folder (one new folder per run).
+    """
+    landing = f"{checkpoint_dir(spark).rstrip('/')}/landed-csv/{uuid.uuid4().hex}"
+    c = table(spark, sf, "customer")
+    bal = (F.when(F.col("c_acctbal") < 0, F.lit("NaN"))
+            .when(F.col("c_acctbal") < 100, F.lit(""))
+            .otherwise(F.col("c_acctbal").cast("string")))
+    (c.select("c_custkey", "c_name", "c_mktsegment", bal.alias("c_acctbal"))
+      .write.option("header", True).option("emptyValue", "").mode("overwrite").csv(landing))
+    back = read_csv(spark, landing, _CSV_LANDED)
+    return back.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("c_acctbal").isNull()).alias("n_missing_balance"),
+        F.round(F.sum("c_acctbal"), 2).alias("sum_balance"))
