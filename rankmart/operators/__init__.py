@@ -3,12 +3,12 @@
 from rankmart.operators.dedup import keep_first, top_n  # noqa: F401
 from rankmart.operators.lookup import map_lookup, lookup, dim_frame, assert_rows  # noqa: F401
 from rankmart.operators.rank import (  # noqa: F401
-    best_per_entity, zscore_scores, rank_entities, rank_matrix, pivot_ranked, mark_best,
+    best_per_entity, zscore_scores, rank_entities, rank_matrix, entity_matrix, pivot_ranked, mark_best,
 )
 from rankmart.operators.bucket import bucketize, bucket_counts  # noqa: F401
 from rankmart.operators.decay import decayed_sum  # noqa: F401
 from rankmart.operators.share import value_share, share_stats  # noqa: F401
-from rankmart.operators.scale import minmax_scale, log_minmax, impute_median  # noqa: F401
+from rankmart.operators.scale import minmax_expr, minmax_scale, log_minmax, impute_median  # noqa: F401
 from rankmart.operators.timeline import append_missing  # noqa: F401
 from rankmart.operators.capability import capability_counts  # noqa: F401
-from rankmart.operators.geo import jitter_flagged, region_of  # noqa: F401
+from rankmart.operators.geo import jitter_columns, jitter_flagged, region_of  # noqa: F401

@@ -17,11 +17,17 @@ def jitter_flagged(df: DataFrame, flag: str, key, lat: str, lon: str, seed: int
     (broadcast of a proven size).
     """
     n = df.agg(F.count_if(F.col(flag)).alias("_n_flagged"))
-    on = F.col(flag) & (F.col("_n_flagged") > 1)
-    return (df.crossJoin(F.broadcast(n))
-              .withColumn(lat, F.when(on, F.col(lat) + hash_jitter(key, seed, "lat", lat_half)).otherwise(F.col(lat)))
-              .withColumn(lon, F.when(on, F.col(lon) + hash_jitter(key, seed, "lon", lon_half)).otherwise(F.col(lon)))
-              .drop("_n_flagged"))
+    return jitter_columns(df.crossJoin(F.broadcast(n)), flag, "_n_flagged", key, lat, lon, seed,
+                          lat_half, lon_half).drop("_n_flagged")
+
+
+def jitter_columns(df: DataFrame, flag: str, n_flagged: str, key, lat: str, lon: str, seed: int = 42,
+                   lat_half: float = 5.0, lon_half: float = 8.0) -> DataFrame:
+    """The jitter of ``jitter_flagged`` with the flagged count already on every row
+    (so one global aggregate can serve several statistics)."""
+    on = F.col(flag) & (F.col(n_flagged) > 1)
+    return (df.withColumn(lat, F.when(on, F.col(lat) + hash_jitter(key, seed, "lat", lat_half)).otherwise(F.col(lat)))
+              .withColumn(lon, F.when(on, F.col(lon) + hash_jitter(key, seed, "lon", lon_half)).otherwise(F.col(lon))))
 
 
 def region_of(country, region_map: dict, eu_countries, other: str = "Other"):

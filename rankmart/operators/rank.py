@@ -66,10 +66,20 @@ def rank_matrix(scores: DataFrame, entity: str, category: str, categories: Seque
     ranked rows never join back to the scores and the fact table is read
     once. The schema is stable: an empty category stays a null column.
     """
+    wide = entity_matrix(scores, entity, category, categories, score, scale, digits)
+    return top_n(wide, [F.col("avg_z").desc_nulls_last(), F.col(entity).asc()], n)
+
+
+def entity_matrix(scores: DataFrame, entity: str, category: str, categories: Sequence[str],
+                  score: str, scale: float = 100.0, digits: int = 9) -> DataFrame:
+    """Every qualified entity: mean z and one column per category (before the top-n cut).
+
+    ``scores`` is already partitioned by entity (the coverage window), so
+    this aggregate adds no exchange.
+    """
     cells = [F.max(F.when(F.col(category) == c, F.col(score) * F.lit(float(scale)))).alias(c)
              for c in categories]
-    wide = scores.groupBy(entity).agg(F.round(F.avg("z"), digits).alias("avg_z"), *cells)
-    return top_n(wide, [F.col("avg_z").desc_nulls_last(), F.col(entity).asc()], n)
+    return scores.groupBy(entity).agg(F.round(F.avg("z"), digits).alias("avg_z"), *cells)
 
 
 def pivot_ranked(scores: DataFrame, ranked: DataFrame, entity: str, category: str,

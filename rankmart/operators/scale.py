@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from rankmart.functions.numeric import log_clip
 
 
+def minmax_expr(col, mn, mx, lo: float, hi: float, fallback: float):
+    """lo + (x - mn)/(mx - mn) * (hi - lo), or ``fallback`` when the range is empty.
+
+    A null value stays null when there is a range; without a range every row
+    gets the fallback (like the scalar in pandas).
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    mn = F.col(mn) if isinstance(mn, str) else mn
+    mx = F.col(mx) if isinstance(mx, str) else mx
+    return F.when(mx > mn, F.lit(float(lo)) + (c - mn) / (mx - mn) * F.lit(float(hi - lo))).otherwise(F.lit(float(fallback)))
+
+
 def minmax_scale(df: DataFrame, col: str, lo: float, hi: float, fallback: float,
                  out: str, by: Sequence[str] | str | None = None) -> DataFrame:
     """lo + (x - min)/(max - min) * (hi - lo); ``fallback`` when max == min.
@@ -22,12 +34,7 @@ def minmax_scale(df: DataFrame, col: str, lo: float, hi: float, fallback: float,
     keys = [by] if isinstance(by, str) else list(by or [])
     bounds = (df.groupBy(*keys) if keys else df).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     joined = df.join(bounds, keys, "left") if keys else df.crossJoin(F.broadcast(bounds))
-    scaled = F.when(F.col("_mx") > F.col("_mn"),
-                    F.lit(float(lo)) + (F.col(col) - F.col("_mn")) / (F.col("_mx") - F.col("_mn")) * F.lit(float(hi - lo))
-                    ).otherwise(F.lit(float(fallback)))
-    # A null value stays null when the group has a range; without a range
-    # every row of the group gets the fallback (like the scalar in pandas).
-    return joined.withColumn(out, scaled).drop("_mn", "_mx")
+    return joined.withColumn(out, minmax_expr(col, "_mn", "_mx", lo, hi, fallback)).drop("_mn", "_mx")
 
 
 def log_minmax(df: DataFrame, col: str, lo: float, hi: float, fallback: float, out: str,

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankmart.functions import to_double
+from rankmart.functions import log_clip, to_double
 from rankmart.operators import (
-    jitter_flagged, log_minmax, map_lookup, region_of, share_stats, top_n,
+    jitter_columns, log_minmax, map_lookup, minmax_expr, region_of, share_stats, top_n,
 )
 from rankmart.plans import params as P
 from rankmart.plans.registry import case_map, query, sql_list
@@ -85,9 +85,14 @@ def geo_rows(spark, sf):
                             .otherwise(F.lit("n/a"))).alias("power_mw"),
                  F.coalesce(F.col("s_acctbal") < 0, F.lit(False)).alias("anonymized"))
              .filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
-    rows = rows.withColumn("region", region_of("country", P.GEO_REGION_MAP, P.GEO_EU))
-    rows = log_minmax(rows, "h100_equiv", 4.0, 24.0, 10.0, "dot_size")
-    return jitter_flagged(rows, "anonymized", F.col("s_suppkey"), "lat", "lon", seed=42)
+    rows = (rows.withColumn("region", region_of("country", P.GEO_REGION_MAP, P.GEO_EU))
+                .withColumn("_lg", log_clip("h100_equiv")))
+    # Both global statistics (dot-size bounds, flagged count) in one pass; one row, broadcast.
+    stats = rows.agg(F.min("_lg").alias("_mn"), F.max("_lg").alias("_mx"),
+                     F.count_if("anonymized").alias("_nf"))
+    rows = rows.crossJoin(F.broadcast(stats)).withColumn("dot_size", minmax_expr("_lg", "_mn", "_mx", 4.0, 24.0, 10.0))
+    rows = jitter_columns(rows, "anonymized", "_nf", F.col("s_suppkey"), "lat", "lon", seed=42)
+    return rows.drop("_lg", "_mn", "_mx", "_nf")
 
 
 _GEO_BASE = f"""

@@ -85,7 +85,8 @@ def decayed_downloads_kpis(spark, sf):
     orgs = dd_orgs(spark, sf)
     top = dd_top(spark, sf)
     k = top.agg(F.sum("downloads").cast("long").alias("shown_total"))
-    n = orgs.agg(F.count(F.lit(1)).alias("n_orgs"))
+    # count of whole rows: keeps the sums alive so the branch shares the ranking's exchanges
+    n = orgs.agg(F.count(F.struct(*orgs.columns)).alias("n_orgs"))
     lead = top.filter(F.col("rank") == 1).select(F.col("org").alias("top_org"),
                                                  F.col("display_name").alias("top_display"),
                                                  F.col("downloads").alias("top_downloads"))

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankmart.functions import map_lookup_inverse, rank_label, truncate_label, epoch_utc_label
-from rankmart.operators import best_per_entity, mark_best, minmax_scale, rank_matrix, zscore_scores
+from rankmart.operators import (
+    best_per_entity, entity_matrix, mark_best, minmax_scale, rank_matrix, top_n, zscore_scores,
+)
 from rankmart.plans import params as P
 from rankmart.plans.registry import case_groups, q, query
 from rankmart.sources import table
@@ -128,8 +130,8 @@ FROM k, top1""")
 def leaderboard_kpis(spark, sf):
     """One insight row: evaluated / qualified / shown / dropped, freshness, leader."""
     inp = lb_input(spark, sf)
-    scores = lb_scores(spark, sf)
-    wide = lb_matrix(spark, sf)
+    every = entity_matrix(lb_scores(spark, sf), "entity", "category", CATS, "score", P.LB_SCALE)
+    wide = top_n(every, [F.col("avg_z").desc_nulls_last(), F.col("entity").asc()], P.LB_TOP_N)
     best_v = F.greatest(*[F.col(c) for c in CATS])
     best_c = None
     for c in CATS:  # first column holding the maximum (idxmax)
@@ -139,9 +141,11 @@ def leaderboard_kpis(spark, sf):
                 .select(F.col("entity").alias("top_entity"), best_c.alias("top_category"), "top_value"))
     k1 = inp.agg(F.count_distinct("entity").alias("total_evaluated"),
                  F.max(F.when(F.col("category").isNotNull(), F.col("ts"))).alias("last_ts"))
-    k2 = scores.agg(F.count_distinct("entity").alias("n_qualified"))
-    k3 = wide.agg(F.count(F.lit(1)).alias("n_shown"))
-    one = k1.crossJoin(k2).crossJoin(k3).crossJoin(top1)  # single-row frames
+    # Counting the whole matrix row keeps every column alive, so this branch is the
+    # same sub-plan as the ranking one and shares its exchanges.
+    k2 = every.agg(F.count(F.struct(*every.columns)).alias("n_qualified"))
+    one = (k1.crossJoin(k2).crossJoin(top1)  # single-row frames
+             .withColumn("n_shown", F.least(F.col("n_qualified"), F.lit(P.LB_TOP_N).cast("long"))))
     dropped = F.col("total_evaluated") - F.col("n_shown")
     return one.select(
         "total_evaluated", "n_qualified", "n_shown", dropped.alias("n_dropped"), "last_ts",

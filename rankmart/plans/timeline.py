@@ -109,13 +109,16 @@ SELECT (SELECT count(*) FROM tl) AS n_rows,
 def release_timeline_kpis(spark, sf):
     """Most active org over the whole union, largest run, rug level."""
     tl = timeline(spark, sf)
-    oc = (tl.filter(F.col("org").isNotNull()).groupBy("org").agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("org").alias("o"))).alias("m")))
+    # One partial aggregate per org carries every statistic; the global answer is
+    # a reduction of that small per-org table (one pass over the union).
     big = F.min(F.when(F.col("has_compute"), F.struct((-F.col("compute_flop")).alias("c"), F.col("model").alias("m"),
                                                       F.col("date").alias("d"), F.col("org").alias("o"))))
-    one = tl.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("has_compute").alias("n_with_compute"),
-                 big.alias("b"), F.min(F.when(F.col("has_compute"), F.col("compute_flop"))).alias("mn"))
-    return one.crossJoin(oc).select(
+    per_org = tl.groupBy("org").agg(F.count(F.lit(1)).alias("n"), F.count_if("has_compute").alias("nc"),
+                                    big.alias("b"), F.min(F.when(F.col("has_compute"), F.col("compute_flop"))).alias("mn"))
+    one = per_org.agg(
+        F.sum("n").alias("n_rows"), F.sum("nc").alias("n_with_compute"), F.min("b").alias("b"), F.min("mn").alias("mn"),
+        F.min(F.when(F.col("org").isNotNull(), F.struct((-F.col("n")).alias("k"), F.col("org").alias("o")))).alias("m"))
+    return one.select(
         "n_rows", "n_with_compute", F.col("m.o").alias("most_active_org"), (-F.col("m.k")).alias("most_active_count"),
         F.col("b.m").alias("biggest_model"), F.col("b.o").alias("biggest_org"), (-F.col("b.c")).alias("biggest_compute"),
         F.round(F.col("mn") * 0.15, 6).alias("rug_level"))
