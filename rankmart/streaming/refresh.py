@@ -25,8 +25,9 @@ def start_refresh(spark: SparkSession, landing_dir: str, schema: StructType, sna
 
     * new files in ``landing_dir`` are read with an explicit schema;
     * each batch is tagged with ``source`` and its fetch time (the file's
-      modification time) and appended as Parquet to ``snapshot_table``,
-      partitioned by source;
+      modification time) and written as Parquet to ``snapshot_table``,
+      partitioned by source and batch id (a replayed batch overwrites only
+      its own partition, so the table never holds a batch twice);
     * ``rebuild(spark, snapshots)`` then recomputes the marts from the whole
       snapshot table.
 
@@ -46,7 +47,15 @@ def start_refresh(spark: SparkSession, landing_dir: str, schema: StructType, sna
         F.col("_metadata.file_name").alias("payload_file"))
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        df.write.mode("append").partitionBy("source").parquet(snapshot_table)
+        # A replayed epoch (after a failure) rewrites its own partition instead of
+        # appending its rows a second time: the landing is idempotent per batch.
+        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            (df.withColumn("batch_id", F.lit(int(epoch_id)).cast("long"))
+               .write.mode("overwrite").partitionBy("source", "batch_id").parquet(snapshot_table))
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
         if rebuild is not None:
             rebuild(spark, spark.read.parquet(snapshot_table))
 

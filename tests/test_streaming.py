@@ -52,3 +52,9 @@ def test_refresh_stream_available_now(spark, tmp_dir):
     out = spark.read.parquet(table)
     assert out.count() == 3 and seen and seen[-1] == 3
     assert {r["source"] for r in out.select("source").collect()} == {"pypi"}
+    # more files land: the restarted stream resumes after the committed batch
+    with open(os.path.join(land, "snap9.json"), "w") as f:
+        f.write(json.dumps({"package": "p9", "last_week": 9}) + "\n")
+    q2 = start_refresh(spark, land, schema, table, "pypi", checkpoint=os.path.join(tmp_dir, "ckpt"))
+    q2.awaitTermination(120)
+    assert spark.read.parquet(table).count() == 4
