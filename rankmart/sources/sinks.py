@@ -12,14 +12,9 @@ def write_mart(df: DataFrame, path: str, snapshot_date: str, partition_col: str
     Dynamic partition overwrite replaces only this snapshot's folder, so a
     retried or repeated run is idempotent and older snapshots stay.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.withColumn(partition_col, F.lit(snapshot_date).cast("date"))
-           .write.mode("overwrite").partitionBy(partition_col).parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.withColumn(partition_col, F.lit(snapshot_date).cast("date"))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(partition_col).parquet(path))
 
 
 def read_mart(spark: SparkSession, path: str, snapshot_date: str | None = None,

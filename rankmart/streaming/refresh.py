@@ -49,13 +49,9 @@ def start_refresh(spark: SparkSession, landing_dir: str, schema: StructType, sna
     def batch(df: DataFrame, epoch_id: int) -> None:
         # A replayed epoch (after a failure) rewrites its own partition instead of
         # appending its rows a second time: the landing is idempotent per batch.
-        prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            (df.withColumn("batch_id", F.lit(int(epoch_id)).cast("long"))
-               .write.mode("overwrite").partitionBy("source", "batch_id").parquet(snapshot_table))
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+        (df.withColumn("batch_id", F.lit(int(epoch_id)).cast("long"))
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("source", "batch_id").parquet(snapshot_table))
         if rebuild is not None:
             rebuild(spark, spark.read.parquet(snapshot_table))
 
