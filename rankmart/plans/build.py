@@ -19,7 +19,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from rankmart.plans import marts as M
-from rankmart.session import checkpoint_dir
+from rankmart.session import apply_runtime_conf, checkpoint_dir
 from rankmart.sources import feeds as S
 from rankmart.sources.sinks import write_mart
 
@@ -33,6 +33,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def build_all(spark: SparkSession, landing: str, out: str, as_of: str, snapshot_date: str | None = None) -> dict:
     """Build and write every mart whose feed is landed; returns {mart: path}."""
+    apply_runtime_conf(spark)
     checkpoint_dir(spark)
     snap = snapshot_date or str(as_of)[:10]
     written: dict[str, str] = {}

@@ -21,6 +21,21 @@ BASE_CONF = {
 }
 
 
+RUNTIME_CONF = {k: v for k, v in BASE_CONF.items() if k.startswith("spark.sql.")}
+
+
+def apply_runtime_conf(spark: SparkSession) -> SparkSession:
+    """Apply the session-level SQL settings the jobs rely on (UTC clock, AQE) to a session
+    built elsewhere (e.g. by a scheduler or a notebook)."""
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            try:
+                spark.conf.set(k, v)
+            except Exception:  # a read-only setting on a shared session
+                pass
+    return spark
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "rankmart", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the library's settings.
