@@ -10,7 +10,7 @@ from rankmart.operators import bucket_counts, capability_counts, keep_first, log
 from rankmart.operators.capability import modality_count
 from rankmart.operators.dedup import first_by_aggregate
 from rankmart.plans import params as P
-from rankmart.plans.registry import case_map, q, query, sql_list
+from rankmart.plans.registry import case_map, q, query, spark_round, sql_list
 from rankmart.sources import table
 
 # ----------------------------------------------------------------------- M3
@@ -31,7 +31,9 @@ _PR_SQL = f"""
           AND created >= CAST(epoch(TIMESTAMP '{P.PR_AS_OF}') AS BIGINT) - {fixed.PRICE_MAX_AGE_SECONDS}),
   k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY created DESC, id, l_orderkey, l_linenumber) AS rn FROM f) WHERE rn = 1),
   b AS (SELECT min(log10(greatest(context_length, 1))) AS mn, max(log10(greatest(context_length, 1))) AS mx FROM k),
-  pr AS (SELECT family, id AS name, org, round(prompt_1m, 3) AS prompt_1m, round(completion_1m, 3) AS completion_1m,
+  pr AS (SELECT family, id AS name, org,
+                {spark_round('prompt_1m', 3)} AS prompt_1m,
+                {spark_round('completion_1m', 3)} AS completion_1m,
                 context_length,
                 round(CASE WHEN mx > mn THEN 5.0 + (log10(greatest(context_length, 1)) - mn) / (mx - mn) * 23.0 ELSE 16.5 END, 6) AS dot_size
          FROM k, b)"""
@@ -93,7 +95,8 @@ def price_latest_family(spark, sf):
 @query("price_latest_family_kpis", f"""
 WITH {_PR_SQL}
 SELECT (SELECT count(*) FROM pr) AS n_models, (SELECT count(DISTINCT org) FROM pr) AS n_orgs,
-       name AS cheapest_name, org AS cheapest_org, round(prompt_1m + completion_1m, 3) AS cheapest_total
+       name AS cheapest_name, org AS cheapest_org,
+       {spark_round('prompt_1m + completion_1m', 3)} AS cheapest_total
 FROM pr ORDER BY prompt_1m + completion_1m, name LIMIT 1""")
 def price_latest_family_kpis(spark, sf):
     """Cheapest model by prompt + completion price."""

@@ -141,20 +141,20 @@ def geo_counts(spark, sf):
 
 @query("owner_totals", f"""
 WITH {_GEO_BASE},
-  o AS (SELECT owner, round(sum(h100_equiv), 2) AS h100_total FROM geo WHERE owner IS NOT NULL GROUP BY owner)
+  o AS (SELECT owner, round(sum(h100_equiv), 6) AS h100_total FROM geo WHERE owner IS NOT NULL GROUP BY owner)
 SELECT row_number() OVER (ORDER BY h100_total DESC, owner) AS rank, owner, h100_total
 FROM o ORDER BY h100_total DESC, owner LIMIT {P.GEO_OWNER_TOP_N}""")
 def owner_totals(spark, sf):
     """Capacity per owner, top n."""
     o = (geo_rows(spark, sf).filter(F.col("owner").isNotNull())
-         .groupBy("owner").agg(F.round(F.sum("h100_equiv"), 2).alias("h100_total")))
+         .groupBy("owner").agg(F.round(F.sum("h100_equiv"), 6).alias("h100_total")))
     return top_n(o, [F.col("h100_total").desc(), F.col("owner").asc()], P.GEO_OWNER_TOP_N) \
         .select("rank", "owner", "h100_total")
 
 
 @query("geo_stats", f"""
 WITH {_GEO_BASE}
-SELECT count(*) AS total_clusters, round(coalesce(sum(power_mw), 0.0), 2) AS total_mw,
+SELECT count(*) AS total_clusters, round(coalesce(sum(power_mw), 0.0), 6) AS total_mw,
        count(DISTINCT country) AS n_countries, count(*) FILTER (WHERE anonymized) AS n_anonymized,
        count(*) FILTER (WHERE region = 'United States') AS us_clusters,
        count(*) FILTER (WHERE region = 'China') AS cn_clusters
@@ -164,7 +164,7 @@ def geo_stats(spark, sf):
     per-region counts are 0 when the region is absent (A22, A23)."""
     return geo_rows(spark, sf).agg(
         F.count(F.lit(1)).alias("total_clusters"),
-        F.round(F.coalesce(F.sum("power_mw"), F.lit(0.0)), 2).alias("total_mw"),
+        F.round(F.coalesce(F.sum("power_mw"), F.lit(0.0)), 6).alias("total_mw"),
         F.count_distinct("country").alias("n_countries"),
         F.count_if("anonymized").alias("n_anonymized"),
         F.count_if(F.col("region") == "United States").alias("us_clusters"),

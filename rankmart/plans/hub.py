@@ -98,9 +98,10 @@ def decayed_downloads_kpis(spark, sf):
 _TR_SQL = f"""
   src AS (SELECT o_orderpriority || '/order-' || CAST(o_orderkey AS VARCHAR) AS id,
                  o_custkey AS likes, CAST(trunc(o_totalprice) AS BIGINT) AS downloads,
-                 strftime(o_orderdate, '%Y-%m-%d') AS created_date
+                 strftime(o_orderdate, '%Y-%m-%d') AS created_date,
+                 row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS src_rank
           FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT {P.TR_TOP_N}),
-  tr AS (SELECT row_number() OVER (ORDER BY downloads DESC, id) AS rank0, *, 
+  tr AS (SELECT *, 
                 CASE WHEN contains(id, '/') THEN substr(id, strpos(id, '/') + 1) ELSE id END AS model_name,
                 CASE WHEN contains(id, '/') THEN split_part(id, '/', 1) ELSE '—' END AS org,
                 date_diff('day', TRY_CAST(created_date AS DATE), DATE '{P.TR_AS_OF}') AS days_ago
@@ -126,8 +127,7 @@ def tr_rows(spark, sf):
 
 @query("trending", f"""
 WITH {_TR_SQL}
-SELECT row_number() OVER (ORDER BY downloads DESC, id) AS rank, model_name, org, likes, downloads,
-       created_date, days_ago
+SELECT src_rank AS rank, model_name, org, likes, downloads, created_date, days_ago
 FROM tr""")
 def trending(spark, sf):
     return tr_rows(spark, sf)
@@ -135,7 +135,7 @@ def trending(spark, sf):
 
 @query("trending_kpis", f"""
 WITH {_TR_SQL},
-  r AS (SELECT row_number() OVER (ORDER BY downloads DESC, id) AS rank, * FROM tr)
+  r AS (SELECT src_rank AS rank, * FROM tr)
 SELECT (SELECT count(*) FROM r) AS n_models,
        (SELECT model_name FROM r ORDER BY downloads DESC, rank LIMIT 1) AS leader_model,
        (SELECT rank FROM r ORDER BY downloads DESC, rank LIMIT 1) AS leader_rank,

@@ -14,7 +14,7 @@ from rankmart.operators import (
     best_per_entity, entity_matrix, mark_best, minmax_scale, rank_matrix, top_n, zscore_scores,
 )
 from rankmart.plans import params as P
-from rankmart.plans.registry import case_groups, q, query
+from rankmart.plans.registry import case_groups, q, query, spark_round
 from rankmart.sources import table
 
 CATS = list(P.LB_CATEGORIES)
@@ -125,7 +125,8 @@ SELECT total_evaluated, n_qualified, n_shown, total_evaluated - n_shown AS n_dro
        strftime(last_ts, '%Y-%m-%d %H:%M') || ' UTC' AS updated_label,
        top_entity, top_category, top_value,
        printf('%s leads overall, scoring highest in %s (%.1f%%). %d models ranked from %d evaluated (%d had insufficient data).',
-              top_entity, top_category, round(top_value, 1), n_shown, total_evaluated, total_evaluated - n_shown) AS insight
+              top_entity, top_category, {spark_round('top_value', 1)},
+              n_shown, total_evaluated, total_evaluated - n_shown) AS insight
 FROM k, top1""")
 def leaderboard_kpis(spark, sf):
     """One insight row: evaluated / qualified / shown / dropped, freshness, leader."""

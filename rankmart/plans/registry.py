@@ -63,3 +63,13 @@ def case_rules(col: str, rules, mode: str, default: str = "NULL") -> str:
             cond = " OR ".join(f"contains(lower({col}), {q(p.lower())})" for p in pats)
         parts.append(f"WHEN {cond} THEN {q(label)}")
     return f"(CASE {' '.join(parts)} ELSE {default} END)"
+
+
+def spark_round(expr: str, digits: int) -> str:
+    """SQL twin of Spark's round() on a double: half-up on the shortest decimal text.
+
+    A plain round works on the binary value, so results differ from Spark's just
+    at ties (e.g. 42.253499999999995 -> 42.253 in Spark, 42.254 from a binary
+    round). Going through the shortest text of the double removes that gap.
+    """
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38, 17)), {digits}) AS DOUBLE)"
