@@ -17,15 +17,21 @@ def modality_count(inputs: str, outputs: str):
 
 
 def capability_counts(df: DataFrame, org: str, inputs: str, outputs: str,
-                      spec: Sequence[tuple], n: int) -> DataFrame:
+                      spec: Sequence[tuple], n: int, tiebreak: DataFrame | None = None) -> DataFrame:
     """Per org: number of families and, per capability, families that have it.
 
     ``spec`` rows are (column name, "input"|"output", modality). Top ``n``
-    orgs by family count (ties by org). One partial aggregate of
+    orgs by family count; ties by ``tiebreak`` (an (org, first_pos) table:
+    first appearance wins) and then by org. One partial aggregate of
     len(spec) + 1 conditional counts.
     """
     arrays = {"input": inputs, "output": outputs}
     caps = [F.sum(F.when(F.array_contains(F.col(arrays[side]), val), 1).otherwise(0)).cast("long").alias(name)
             for name, side, val in spec]
     agg = df.groupBy(org).agg(F.count(F.lit(1)).alias("total_models"), *caps)
-    return top_n(agg, [F.col("total_models").desc(), F.col(org).asc()], n)
+    order = [F.col("total_models").desc()]
+    if tiebreak is not None:
+        agg = agg.join(tiebreak, org, "left")
+        order.append(F.col("first_pos").asc_nulls_last())
+    out = top_n(agg, order + [F.col(org).asc()], n)
+    return out.drop("first_pos") if tiebreak is not None else out

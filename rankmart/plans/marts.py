@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankmart import fixed
 from rankmart.functions import (
-    short_number, short_tokens, classify_first, clip_lower, family_key_dated, family_key_suffix, family_key_tagged, iso_prefix_date,
+    nan_to_null, short_number, short_tokens, classify_first, clip_lower, family_key_dated, family_key_suffix, family_key_tagged, iso_prefix_date,
     map_lookup_inverse, org_of, short_name, strict_date, to_double, age_days,
 )
 from rankmart.operators import (
@@ -36,7 +36,9 @@ def leaderboard_scores(bench: DataFrame, category_map: dict = fixed.CATEGORY_MAP
     """Mapped benchmark rows -> qualified (model_group, category, performance, z)."""
     known = [b for bs in category_map.values() for b in bs]
     rows = (bench.filter(F.col("benchmark").isin(known))
-                 .withColumn("category", map_lookup_inverse(F.col("benchmark"), category_map)))
+                 .withColumn("category", map_lookup_inverse(F.col("benchmark"), category_map))
+                 # NaN would win Spark's max (pandas skips it): missing is null
+                 .withColumn("performance", nan_to_null(F.col("performance").cast("double"))))
     if check and rows.isEmpty():
         sample = [r[0] for r in bench.select("benchmark").distinct().limit(20).collect()]
         raise ValueError(f"No matching benchmarks found in data. Expected benchmarks: {known}. "
@@ -230,7 +232,9 @@ def capabilities(catalog: DataFrame, top_n_: int = fixed.CAPABILITY_TOP_N) -> Da
                    .withColumn("n_mod", modality_count("inputs", "outputs")))
     kept = keep_first(rows, "family", [F.col("n_mod").desc(), F.col("src_pos").asc()])
     kept = kept.withColumn("org", F.split("id", "/").getItem(0))
-    caps = capability_counts(kept, "org", "inputs", "outputs", fixed.CAPABILITY_SPEC, top_n_)
+    # Orgs tied on family count keep the order in which the org first appears.
+    first = rows.groupBy(F.split("id", "/").getItem(0).alias("org")).agg(F.min("src_pos").alias("first_pos"))
+    caps = capability_counts(kept, "org", "inputs", "outputs", fixed.CAPABILITY_SPEC, top_n_, tiebreak=first)
     return caps.withColumn("display_name", map_lookup("org", fixed.CAPABILITY_ORG_NAMES, F.col("org")))
 
 

@@ -254,3 +254,16 @@ def test_insight_sentences(spark):
     t = M.trending(hub(spark, [("a/x", 5, 2, "2025-05-30", None, None, 9.0),
                                ("b/y", 1500, 1, "2025-05-01", None, None, 8.0)]), "2025-06-01")
     assert M.trending_insight(t).first()["insight"] == "#2 y by b leads with 2K downloads. Freshest: x (2 days old)."
+
+
+def test_capabilities_ties_keep_first_appearance(spark):
+    rows = [("zeta/a", "a", 0, 1, "1", "1", ["image"], None), ("alpha/b", "b", 0, 1, "1", "1", None, None)]
+    got = [r["org"] for r in M.capabilities(catalog_rows(spark, rows)).orderBy("rank").collect()]
+    assert got == ["zeta", "alpha"]
+
+
+def test_leaderboard_nan_is_missing(spark):
+    rows = [("m", "A", BENCH_OF[c], 0.5, "2025-01-01") for c in CATS] + [("m", "A", "WeirdML", float("nan"), "x")]
+    rows += [("m", "B", BENCH_OF[c], 0.4, "2025-01-01") for c in CATS]
+    mat = {r["model_group"]: r for r in M.leaderboard_matrix(bench_rows(spark, rows)).collect()}
+    assert mat["A"]["Code"] == pytest.approx(50.0)
