@@ -84,3 +84,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
             pass
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def sizing(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Shuffle and scan sizing for a run over ``input_bytes`` of Parquet on ``total_cores`` cores.
+
+    * scan splits of ``target_partition_bytes`` (compressed), so a task's
+      decoded batch stays well inside executor memory;
+    * an initial shuffle width of at least 2 tasks per core and at least one
+      partition per target size of input (AQE then coalesces small
+      partitions to the advisory size and splits skewed ones);
+    * the broadcast threshold is left at Spark's default: only sides measured
+      under it at runtime are broadcast.
+
+    At 100 TB on 1,000 executors x 8 cores this gives ~400k initial shuffle
+    partitions of 256 MB, coalesced by AQE after each stage.
+    """
+    parts = max(2 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }

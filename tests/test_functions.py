@@ -110,3 +110,10 @@ def test_map_lookup_defaults(spark):
     assert got == ["US", "Other", "Other"]
     got2 = [r[0] for r in df.select(map_lookup("v", {"NVIDIA": "N"}, F.col("v"))).collect()]
     assert got2 == ["N", "Nobody", None]
+
+
+def test_sizing():
+    from rankmart.session import sizing
+    conf = sizing(100 * 2 ** 40, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert int(sizing(10 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
