@@ -1,5 +1,7 @@
 """Column-level helpers: every helper returns a native Spark Column (no UDFs)."""
 
+from rankmart.operators.lookup import map_lookup, map_lookup_inverse  # noqa: F401
+
 from rankmart.functions.text import (  # noqa: F401
     org_of, short_name, base_name, family_key_dated, family_key_tagged,
     family_key_suffix, classify_first, normalise_name, first_line,
@@ -14,10 +16,3 @@ from rankmart.functions.dates import (  # noqa: F401
 from rankmart.functions.fmt import (  # noqa: F401
     short_number, short_tokens, truncate_label, rank_label,
 )
-from rankmart.operators.lookup import map_lookup  # noqa: E402,F401
-
-
-def map_lookup_inverse(c, groups: dict, default=None):
-    """Look a value up in a one-to-many map {out: [values...]}."""
-    flat = {v: k for k, vs in groups.items() for v in vs}
-    return map_lookup(c, flat, default)

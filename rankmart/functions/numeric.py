@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,5 +56,3 @@ def hash_jitter(key, seed, axis: str, half_width: float) -> Column:
     """Offset uniform in [-half_width, half_width)."""
     return (hash_uniform(key, seed, axis) * 2.0 - 1.0) * F.lit(float(half_width))
 
-
-LN10 = math.log(10.0)

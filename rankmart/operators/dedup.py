@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +42,6 @@ def top_n(df: DataFrame, order_by, n: int, rank_col: str | None = "rank") -> Dat
     return cut.withColumn(rank_col, F.row_number().over(w))
 
 
-def ordered(keys: Sequence) -> list:
-    return _cols(keys)
-
-
 def first_by_aggregate(df: DataFrame, keys, order_cols, payload, extra=()) -> DataFrame:
     """One row per key: the row with the smallest ``order_cols`` tuple, as an aggregate.
 

@@ -26,6 +26,12 @@ def map_lookup(c, mapping: dict, default=None) -> Column:
     return F.coalesce(hit, default if isinstance(default, Column) else F.lit(default))
 
 
+def map_lookup_inverse(c, groups: dict, default=None) -> Column:
+    """Look a value up in a one-to-many map {out: [values...]}."""
+    flat = {v: k for k, vs in groups.items() for v in vs}
+    return map_lookup(c, flat, default)
+
+
 def dim_frame(spark: SparkSession, rows, schema: str) -> DataFrame:
     """Small dimension from literal rows (its size is the literal's size)."""
     return spark.createDataFrame(list(rows), schema)

@@ -78,7 +78,8 @@ def price_rows(spark, sf):
                 .withColumn("family", family_key_dated("id")))
     kept = keep_first(rows, "family", [F.col("created").desc(), F.col("id").asc(),
                                        F.col("l_orderkey").asc(), F.col("l_linenumber").asc()])
-    kept = kept.select("family", F.coalesce(F.lit(None).cast("string"), F.col("id")).alias("name"), "org",
+    # the analog rows have no display name, so the name falls back to the id (as in the source)
+    kept = kept.select("family", F.col("id").alias("name"), "org",
                        F.round("prompt_1m", 3).alias("prompt_1m"), F.round("completion_1m", 3).alias("completion_1m"),
                        "context_length")
     return log_minmax(kept, "context_length", 5.0, 28.0, 16.5, "dot_size") \

@@ -23,7 +23,6 @@ from rankmart.operators import (
 from rankmart.operators.capability import modality_count
 from rankmart.operators.decay import decay_column, decayed_sum
 from rankmart.operators.dedup import first_by_aggregate, number_duplicates
-from rankmart.sources.feeds import require_rows
 
 
 def _as_of_date(as_of):
@@ -430,5 +429,3 @@ def package_downloads(packages: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("last_week").desc(), F.col("package").asc())
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("DataFrame", "SparkSession", "F", "fixed")]
-require_rows = require_rows

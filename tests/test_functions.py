@@ -4,7 +4,6 @@ import datetime as dt
 import math
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from rankmart import fixed
