@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmart.functions.numeric import log_clip
@@ -45,18 +45,63 @@ def log_minmax(df: DataFrame, col: str, lo: float, hi: float, fallback: float, o
               .drop(tmp))
 
 
+def group_median(df: DataFrame, col: str, by: Sequence[str] | str, out: str = "median",
+                 buckets: int = 256, accuracy: int = 10000) -> DataFrame:
+    """Exact median per group (mean of the two middle values for an even count, like
+    pandas), one row per group that has a non-null value. Skew-safe:
+
+    1. distinct values are counted per group (a partial aggregate: a hot group
+       is reduced map-side and spread over tasks by value);
+    2. a bounded quantile sketch per group (``percentile_approx``) cuts the
+       group's values into ~``buckets`` ranges; counts per range give, with a
+       window over at most ``buckets`` rows per group, the range that holds
+       the middle rank;
+    3. only the distinct values of that range are ranked exactly.
+
+    No task ever holds a whole group: step 3 sees about 1/``buckets`` of a
+    group's distinct values. (Spark's own ``median`` keeps a value->count map
+    per group, which for a hot group with many distinct values is one task's
+    memory.)
+    """
+    keys = [by] if isinstance(by, str) else list(by)
+    vals = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    vc = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = vals.groupBy(*keys).agg(F.percentile_approx("_v", probs, accuracy).alias("_b"),
+                                     F.count(F.lit(1)).alias("_n"))
+    vb = (vc.join(bounds, keys)
+            .withColumn("_k", F.size(F.filter("_b", lambda b: b < F.col("_v"))))
+            .drop("_b"))
+    lo = F.floor((F.col("_n") - 1) / 2)
+    hi = F.floor(F.col("_n") / 2)
+    before = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = (vb.groupBy(*keys, "_k").agg(F.sum("_c").alias("_bc"), F.max("_n").alias("_n"))
+                    .withColumn("_before", F.coalesce(F.sum("_bc").over(before), F.lit(0))))
+    holds = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_bc"))
+    target = per_bucket.filter(holds(lo) | holds(hi)).select(*keys, "_k", "_before", "_n")
+    cand = vb.drop("_n").join(target, keys + ["_k"])
+    w = Window.partitionBy(*keys, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    cand = cand.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    at = lambda r: F.max(F.when((F.col("_start") <= r) & (r < F.col("_start") + F.col("_c")), F.col("_v")))
+    picked = cand.groupBy(*keys).agg(at(lo).alias("_lo"), at(hi).alias("_hi"))
+    return picked.select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * 0.5).alias(out))
+
+
 def impute_median(df: DataFrame, col: str, by: Sequence[str] | str, out: str,
-                  exact: bool = True, accuracy: int = 10000) -> DataFrame:
+                  method: str = "exact", accuracy: int = 10000) -> DataFrame:
     """Fill nulls with the group median (interpolated, like pandas).
 
-    ``exact`` uses Spark's percentile (partial value->count maps, so memory
-    grows with the distinct values of a group, not its rows); ``exact=False``
-    switches to percentile_approx with a bounded sketch for groups with
-    very many distinct values. A group with only nulls keeps null.
+    ``exact`` (default) is ``group_median``: exact and skew-safe.
+    ``percentile`` is Spark's built-in exact median (simplest plan; memory per
+    group grows with its distinct values). ``approx`` is percentile_approx
+    with a bounded sketch. A group with only nulls keeps null.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    med = F.median(col) if exact else F.percentile_approx(col, 0.5, accuracy)
-    meds = df.groupBy(*keys).agg(med.cast("double").alias("_med"))
+    if method == "exact":
+        meds = group_median(df, col, keys, "_med")
+    else:
+        med = F.median(col) if method == "percentile" else F.percentile_approx(col, 0.5, accuracy)
+        meds = df.groupBy(*keys).agg(med.cast("double").alias("_med"))
     return (df.join(meds, keys, "left")
               .withColumn(out, F.coalesce(F.col(col).cast("double"), F.col("_med")))
               .drop("_med"))

@@ -13,7 +13,7 @@ from rankmart.operators import bucket_counts, keep_first
 from rankmart.plans import marts as M
 from rankmart.sources import feeds as S
 
-SETTINGS = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=int(__import__("os").environ.get("PROP_EXAMPLES", "8")), deadline=None, suppress_health_check=list(HealthCheck))
 BENCHES = [bs[0] for bs in fixed.CATEGORY_MAP.values()] + ["OTIS Mock AIME 2024-2025", "Unlisted"]
 CAT_OF = {b: c for c, bs in fixed.CATEGORY_MAP.items() for b in bs}
 
@@ -101,3 +101,19 @@ def test_decayed_downloads_match_brute_force(spark, rows):
         acc[org] = (s + dl * math.exp(-0.693 * days / 60), n + 1)
     want = {o: (int(round(s, 6)), n) for o, (s, n) in acc.items()}
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["g1", "g2", "g3"]),
+                          st.one_of(st.none(), st.integers(-50, 50).map(float), st.floats(-1e6, 1e6, allow_nan=False))),
+                min_size=1, max_size=80),
+       st.sampled_from([2, 3, 7, 256]))
+def test_group_median_exact(spark, rows, buckets):
+    from rankmart.operators import group_median
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r["median"] for r in group_median(df.repartition(3), "v", "g", buckets=buckets).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "v"]).dropna()
+    want = pdf.groupby("g")["v"].median().to_dict()
+    assert set(got) == set(want)
+    for g in want:
+        assert math.isclose(got[g], want[g], rel_tol=1e-12, abs_tol=1e-9)
