@@ -9,6 +9,7 @@ from rankmart.functions import classify_first, clip_lower, family_key_suffix, st
 from rankmart.operators import append_missing, impute_median, keep_first, map_lookup, minmax_scale, top_n
 from rankmart.plans import params as P
 from rankmart.plans.registry import case_map, case_rules, query
+from rankmart.session import checkpoint_dir
 from rankmart.sources import table
 
 # ------------------------------------------------------------- M4 sources
@@ -137,9 +138,14 @@ FROM l JOIN bd USING (org)""")
 def group_median_impute(spark, sf):
     """Dot sizes of the rows with compute: per org, clip at 1, fill with the org median,
     log10, min-max to 6-22, 12 when the org has no spread (A21 W9 W10 X16 X17 X18)."""
+    # The median, its join back and the per-org bounds all read these rows: write
+    # them once to the shared checkpoint folder instead of re-deriving the
+    # two-source union in every branch (and to cut the lineage for retries).
+    checkpoint_dir(spark)
     c = (timeline(spark, sf).filter("has_compute")
          .select("model", "org", "date", "compute_flop",
-                 clip_lower("parameters", 1.0).alias("p")))
+                 clip_lower("parameters", 1.0).alias("p"))
+         .checkpoint())
     filled = impute_median(c, "p", "org", "p_filled")
     logged = filled.withColumn("lg", F.log10("p_filled"))
     sized = minmax_scale(logged, "lg", 6.0, 22.0, P.TL_FALLBACK_SIZE, "size", by="org")
