@@ -9,6 +9,6 @@ from rankmart.operators.bucket import bucketize, bucket_counts  # noqa: F401
 from rankmart.operators.decay import decayed_sum  # noqa: F401
 from rankmart.operators.share import value_share, share_stats  # noqa: F401
 from rankmart.operators.scale import minmax_expr, minmax_scale, log_minmax, group_median, impute_median  # noqa: F401
-from rankmart.operators.timeline import append_missing  # noqa: F401
+from rankmart.operators.timeline import append_missing, flagship_cut  # noqa: F401
 from rankmart.operators.capability import capability_counts  # noqa: F401
 from rankmart.operators.geo import jitter_columns, jitter_flagged, region_of  # noqa: F401

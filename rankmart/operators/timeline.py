@@ -21,3 +21,26 @@ def append_missing(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFr
               .join(names, "_k", "left_anti")
               .drop("_k"))
     return a.unionByName(extra, allowMissingColumns=True)
+
+
+def flagship_cut(df: DataFrame, as_of, months: int, strip_patterns, tiers, default_tier: int = 2,
+                 model: str = "model", date: str = "date", tiebreak=None) -> DataFrame:
+    """Recent rows only, then the highest tier and newest row per family.
+
+    * recent: ``date`` at or after the as_of *time* minus ``months`` calendar
+      months (month-end clamped), so with as_of at noon a row dated on the
+      cutoff day is already too old;
+    * family: ``model`` with each strip pattern applied once, in order;
+    * tier: the first keyword contained in ``model`` (case-sensitive), else
+      ``default_tier``;
+    * per family: tier desc, date desc, then ``tiebreak`` (default: model).
+    """
+    from rankmart.functions.text import classify_first, family_key_suffix
+    from rankmart.operators.dedup import keep_first
+
+    cutoff = F.lit(str(as_of)).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(months)} MONTHS")
+    recent = (df.filter(F.col(date).cast("timestamp_ntz") >= cutoff)
+                .withColumn("_family", family_key_suffix(model, strip_patterns))
+                .withColumn("_tier", classify_first(model, tiers, "contains", default_tier)))
+    ties = tiebreak if tiebreak is not None else [F.col(model).asc()]
+    return keep_first(recent, "_family", [F.col("_tier").desc(), F.col(date).desc(), *ties])

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from rankmart import fixed
 from rankmart.functions import (
-    nan_to_null, short_number, short_tokens, classify_first, clip_lower, family_key_dated, family_key_suffix, family_key_tagged, iso_prefix_date,
-    map_lookup_inverse, org_of, short_name, strict_date, to_double, age_days,
+    age_days, classify_first, clip_lower, family_key_dated, family_key_tagged, iso_prefix_date, nan_to_null,
+    map_lookup_inverse, org_of, short_name, short_number, short_tokens, strict_date, to_double,
 )
 from rankmart.operators import (
-    bucketize, append_missing, bucket_counts, capability_counts, impute_median, jitter_flagged, keep_first,
+    bucketize, append_missing, flagship_cut, bucket_counts, capability_counts, impute_median, jitter_flagged, keep_first,
     log_minmax, map_lookup, minmax_scale, rank_matrix, region_of, share_stats, top_n, value_share,
     zscore_scores,
 )
@@ -97,7 +97,7 @@ def context_buckets(spark: SparkSession, catalog: DataFrame) -> DataFrame:
                          examples=fixed.BUCKET_EXAMPLES, none_text=fixed.NO_EXAMPLES)
 
 
-def context_insight(catalog: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def context_insight(catalog: DataFrame) -> DataFrame:
     """Unique families, the largest one, and the sweet-spot / over-1M bucket counts."""
     fam = context_families(catalog)
     top = F.min(F.struct((-F.col("ctx")).alias("c"), F.col("first_pos").alias("p"),
@@ -184,11 +184,8 @@ def timeline(notable: DataFrame, bench: DataFrame | None = None, org_map: dict =
 
 
 def flagship(rows: DataFrame, as_of, months: int = fixed.FLAGSHIP_MONTHS) -> DataFrame:
-    """Recent rows, highest tier then newest per family of stripped names."""
-    recent = rows.filter(F.col("date") >= F.add_months(_as_of_date(as_of), -months))
-    recent = (recent.withColumn("_family", family_key_suffix("model", fixed.FAMILY_STRIP_PATTERNS))
-                    .withColumn("_tier", classify_first("model", fixed.TIER_KEYWORDS, "contains", fixed.DEFAULT_TIER)))
-    kept = keep_first(recent, "_family", [F.col("_tier").desc(), F.col("date").desc(), F.col("model").asc()])
+    """Recent rows, highest tier then newest per family of stripped names (see ``flagship_cut``)."""
+    kept = flagship_cut(rows, as_of, months, fixed.FAMILY_STRIP_PATTERNS, fixed.TIER_KEYWORDS, fixed.DEFAULT_TIER)
     return kept.drop("_family", "_tier")
 
 

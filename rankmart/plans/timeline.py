@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankmart.functions import classify_first, clip_lower, family_key_suffix, strict_date, to_double
-from rankmart.operators import append_missing, impute_median, keep_first, map_lookup, minmax_scale, top_n
+from rankmart.functions import classify_first, clip_lower, strict_date, to_double
+from rankmart.operators import append_missing, flagship_cut, impute_median, map_lookup, minmax_scale, top_n
 from rankmart.plans import params as P
 from rankmart.plans.registry import case_map, case_rules, query
 from rankmart.session import checkpoint_dir
@@ -187,15 +187,11 @@ def flagship_variant(spark, sf):
     """Recent rows only (calendar months before as_of), family by ordered suffix strip,
     highest tier then newest per family (F8 X6 X7 W3 O8)."""
     last = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.max("l_shipdate").cast("date").alias("date"))
-    cutoff = F.add_months(F.lit(P.FL_AS_OF).cast("date"), -P.FL_MONTHS)
     rows = (table(spark, sf, "part").join(last, F.col("l_partkey") == F.col("p_partkey"))
-            .filter(F.col("date") >= cutoff)
             .select("p_partkey", _fl_model().alias("model"), "date"))
-    rows = (rows.withColumn("family", family_key_suffix("model", P.FL_STRIP))
-                .withColumn("tier", classify_first("model", P.FL_TIERS, "contains", 2)))
-    kept = keep_first(rows, "family", [F.col("tier").desc(), F.col("date").desc(), F.col("model").asc(),
-                                       F.col("p_partkey").asc()])
-    return kept.select("family", "model", "p_partkey", "date", "tier")
+    kept = flagship_cut(rows, P.FL_AS_OF, P.FL_MONTHS, P.FL_STRIP, P.FL_TIERS, 2,
+                        tiebreak=[F.col("model").asc(), F.col("p_partkey").asc()])
+    return kept.select(F.col("_family").alias("family"), "model", "p_partkey", "date", F.col("_tier").alias("tier"))
 
 
 # ---------------------------------------------------------------------- M11

@@ -267,3 +267,13 @@ def test_leaderboard_nan_is_missing(spark):
     rows += [("m", "B", BENCH_OF[c], 0.4, "2025-01-01") for c in CATS]
     mat = {r["model_group"]: r for r in M.leaderboard_matrix(bench_rows(spark, rows)).collect()}
     assert mat["A"]["Code"] == pytest.approx(50.0)
+
+
+def test_flagship_cutoff_uses_as_of_time(spark):
+    rows = spark.createDataFrame([("X Pro", dt.date(2024, 12, 1)), ("Y", dt.date(2024, 12, 2))],
+                                 "model string, date date")
+    assert {r["model"] for r in M.flagship(rows, "2025-06-01 12:00:00").collect()} == {"Y"}
+    assert {r["model"] for r in M.flagship(rows, "2025-06-01").collect()} == {"X Pro", "Y"}
+    # month-end clamp: 2025-08-31 minus 6 months is 2025-02-28
+    clamp = spark.createDataFrame([("Z", dt.date(2025, 2, 28)), ("W", dt.date(2025, 2, 27))], "model string, date date")
+    assert {r["model"] for r in M.flagship(clamp, "2025-08-31").collect()} == {"Z"}
