@@ -36,7 +36,7 @@ def iso_prefix_date(c) -> Column:
 def age_days(d, as_of, clamp: bool = False, missing=None) -> Column:
     """Whole days from ``d`` to ``as_of`` (X12); optionally clamped at 0 and defaulted."""
     as_of_c = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
-    days = F.datediff(as_of_c, _c(d))
+    days = F.datediff(as_of_c, _c(d)).cast("long")
     if missing is not None:  # before the clamp: greatest() would turn null into 0
         days = F.coalesce(days, F.lit(missing))
     if clamp:

@@ -39,7 +39,7 @@ def top_n(df: DataFrame, order_by, n: int, rank_col: str | None = "rank") -> Dat
         return cut
     # n rows at most: the unpartitioned window runs over the limited set only.
     w = Window.orderBy(*_cols(order_by))
-    return cut.withColumn(rank_col, F.row_number().over(w))
+    return cut.withColumn(rank_col, F.row_number().over(w).cast("long"))
 
 
 def first_by_aggregate(df: DataFrame, keys, order_cols, payload, extra=()) -> DataFrame:

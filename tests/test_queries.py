@@ -112,3 +112,17 @@ def test_scans_are_pruned(plans, name):
 def test_scan_filter_pushed(plans):
     text = plans["price_latest_family"]
     assert re.search(r"PushedFilters: \[[^\]]*l_shipdate", text)
+
+
+SPARK_TO_SQL = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "DateType()": "DATE",
+                "TimestampNTZType()": "TIMESTAMP", "FloatType()": "FLOAT"}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_column_types_match_oracle(spark, con, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    got = {f.name: SPARK_TO_SQL.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields}
+    rel = con.sql(E.oracle_sql()[name])
+    want = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert got == want
