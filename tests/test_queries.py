@@ -126,3 +126,27 @@ def test_column_types_match_oracle(spark, con, name):
     rel = con.sql(E.oracle_sql()[name])
     want = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert got == want
+
+
+def _nodes(plan):
+    yield plan
+    kids = plan.children()
+    for i in range(kids.size()):
+        yield from _nodes(kids.apply(i))
+
+
+BOUNDED = ("TakeOrderedAndProjectExec", "GlobalLimitExec", "CollectLimitExec", "LocalTableScanExec")
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n != "src_csv"])
+def test_unpartitioned_windows_only_over_limits(spark, name):
+    """A window without partition keys pulls its input into one task: allowed only on top
+    of a top-k / limit (at most n rows)."""
+    plan = E.queries()[name](spark, SF_PLAN)._jdf.queryExecution().sparkPlan()
+    for node in _nodes(plan):
+        if node.getClass().getSimpleName() != "WindowExec" or node.partitionSpec().size() > 0:
+            continue
+        child = node.child()
+        while child.getClass().getSimpleName() in ("SortExec", "ProjectExec", "FilterExec"):
+            child = child.child()
+        assert child.getClass().getSimpleName() in BOUNDED, f"{name}: unkeyed window over {child.nodeName()}"
