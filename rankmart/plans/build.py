@@ -55,7 +55,7 @@ def build_all(spark: SparkSession, landing: str, out: str, as_of: str, snapshot_
         bench = None
 
     if (p := feed("notable")):
-        tl = M.timeline(S.read_csv(spark, p, S.NOTABLE_MODELS), bench).checkpoint()
+        tl = M.timeline(S.read_csv(spark, p, S.NOTABLE_MODELS, with_order=True), bench).checkpoint()
         put("timeline", tl)
         put("timeline_sizes", M.timeline_sizes(tl))
         put("timeline_flagship", M.flagship(tl.filter("NOT has_compute"), as_of))

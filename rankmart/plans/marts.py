@@ -164,28 +164,43 @@ def benchmark_models(bench: DataFrame, rules=fixed.BENCHMARK_ORG_PREFIXES) -> Da
 
 
 def timeline(notable: DataFrame, bench: DataFrame | None = None, org_map: dict = fixed.TIMELINE_ORG_MAP) -> DataFrame:
-    """model, org, date, compute_flop, parameters, has_compute (notable + missing benchmark models)."""
+    """model, org, date, compute_flop, parameters, has_compute (notable + missing benchmark models).
+
+    When ``notable`` carries ``src_order`` (``read_csv(with_order=True)``), the output keeps
+    the rows' order as ``src_order``: notable rows in file order, then the added benchmark
+    models by name (the order ties are resolved in by the flagship filter).
+    """
+    order = [F.col("src_order")] if "src_order" in notable.columns else []
     a = (notable.select(
             F.col("Model").alias("model"),
             map_lookup("Organization", org_map).alias("org"),
             strict_date(F.substring("Publication date", 1, 10)).alias("date"),
             to_double("Training compute (FLOP)").alias("compute_flop"),
-            to_double("Parameters").alias("parameters"))
+            to_double("Parameters").alias("parameters"), *order)
          .filter(F.col("date") >= F.lit(fixed.TIMELINE_MIN_DATE).cast("date"))
          .filter(F.col("org").isNotNull())
          .withColumn("has_compute", F.col("compute_flop").isNotNull()))
     if bench is None:
         return a
+    b_order = ([F.struct(F.lit(1).alias("part"), F.col("model_group").alias("file"), F.lit(0).cast("long").alias("block"),
+                         F.lit(0).cast("long").alias("row")).alias("src_order")] if order else [])
     b = benchmark_models(bench).select(F.col("model_group").alias("model"), "org", "date",
                                        F.lit(None).cast("double").alias("compute_flop"),
                                        F.lit(None).cast("double").alias("parameters"),
-                                       F.lit(False).alias("has_compute"))
+                                       F.lit(False).alias("has_compute"), *b_order)
     return append_missing(a, b, "model", "model")
 
 
 def flagship(rows: DataFrame, as_of, months: int = fixed.FLAGSHIP_MONTHS) -> DataFrame:
-    """Recent rows, highest tier then newest per family of stripped names (see ``flagship_cut``)."""
-    kept = flagship_cut(rows, as_of, months, fixed.FAMILY_STRIP_PATTERNS, fixed.TIER_KEYWORDS, fixed.DEFAULT_TIER)
+    """Recent rows, highest tier then newest per family of stripped names (see ``flagship_cut``).
+
+    Remaining ties go to the row first in source order when ``src_order`` is present (the
+    source sorts stably), else to the model name.
+    """
+    ties = ([F.col("src_order").asc(), F.col("model").asc()] if "src_order" in rows.columns
+            else [F.col("model").asc()])
+    kept = flagship_cut(rows, as_of, months, fixed.FAMILY_STRIP_PATTERNS, fixed.TIER_KEYWORDS, fixed.DEFAULT_TIER,
+                        tiebreak=ties)
     return kept.drop("_family", "_tier")
 
 

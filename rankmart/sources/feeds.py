@@ -93,16 +93,29 @@ PACKAGE_RECENT = T.StructType([
 ])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+SRC_ORDER = "struct<part int, file string, block bigint, row bigint>"
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, with_order: bool = False) -> DataFrame:
     """CSV with header and an explicit schema.
 
     Text "NaN" becomes NaN and then null; blank and unparsable numbers are
     null (PERMISSIVE), so aggregates skip them as pandas does (N1, N3).
+
+    ``with_order`` adds ``src_order``, the rows' order in the landed files:
+    (file name, start of the file split, row id). Splits of one file are read
+    in order and the row id grows within a task, so sorting on it gives file
+    order for any number of files and splits (N8: "first seen").
     """
     df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
           .option("nanValue", "NaN").option("enforceSchema", False).csv(path))
     dbl = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.select(*[nan_to_null(F.col(f"`{c}`")).alias(c) if c in dbl else F.col(f"`{c}`") for c in df.columns])
+    cols = [nan_to_null(F.col(f"`{c}`")).alias(c) if c in dbl else F.col(f"`{c}`") for c in df.columns]
+    if with_order:
+        cols.append(F.struct(F.lit(0).alias("part"), F.col("_metadata.file_name").alias("file"),
+                             F.col("_metadata.file_block_start").alias("block"),
+                             F.monotonically_increasing_id().alias("row")).alias("src_order"))
+    return df.select(*cols)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -277,3 +277,20 @@ def test_flagship_cutoff_uses_as_of_time(spark):
     # month-end clamp: 2025-08-31 minus 6 months is 2025-02-28
     clamp = spark.createDataFrame([("Z", dt.date(2025, 2, 28)), ("W", dt.date(2025, 2, 27))], "model string, date date")
     assert {r["model"] for r in M.flagship(clamp, "2025-08-31").collect()} == {"Z"}
+
+
+def test_flagship_ties_follow_source_order(spark, tmp_dir):
+    import os
+    d = os.path.join(tmp_dir, "notable")
+    os.makedirs(d)
+    with open(os.path.join(d, "n.csv"), "w") as f:
+        f.write("Model,Organization,Publication date,Training compute (FLOP),Parameters\n"
+                "Zeta Pro,OpenAI,2025-05-01,,\nAlpha Pro (beta),OpenAI,2025-05-01,,\n")
+    notable = S.read_csv(spark, d, S.NOTABLE_MODELS, with_order=True)
+    tl = M.timeline(notable)
+    # one family ("Gem"), same tier and date; the file's first row sorts last by name
+    same = tl.withColumn("model", F.when(F.col("model") == "Zeta Pro", F.lit("Gem Pro (z)"))
+                                   .otherwise(F.lit("Gem Pro (a)")))
+    kept = [r["model"] for r in M.flagship(same, "2025-06-01").collect()]
+    assert kept == ["Gem Pro (z)"]        # first in the file wins the tie, not the smaller name
+    assert [r["model"] for r in M.flagship(same.drop("src_order"), "2025-06-01").collect()] == ["Gem Pro (a)"]

@@ -96,3 +96,16 @@ def test_mart_sink_snapshots(spark, tmp_dir):
     write_mart(spark.createDataFrame([("z", 3)], "k string, v int"), path, "2025-06-02")  # rerun: replaced
     assert sorted(r["k"] for r in read_mart(spark, path).collect()) == ["z"]
     assert sorted(r["k"] for r in read_mart(spark, path, "2025-06-01").collect()) == ["x"]
+
+
+def test_csv_source_order_across_files_and_splits(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "hw")
+    write(os.path.join(d, "b.csv"), "Manufacturer\n" + "".join(f"b{i:05d}\n" for i in range(3000)))
+    write(os.path.join(d, "a.csv"), "Manufacturer\n" + "".join(f"a{i:05d}\n" for i in range(20)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")   # several splits per file
+    try:
+        df = S.read_csv(spark, d, S.ML_HARDWARE, with_order=True)
+        names = [r[0] for r in df.orderBy("src_order").select("Manufacturer").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert names == [f"a{i:05d}" for i in range(20)] + [f"b{i:05d}" for i in range(3000)]
