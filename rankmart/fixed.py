@@ -276,3 +276,36 @@ SOURCE_TTLS = {
 # Display formats.
 LABEL_MAX_LEN = 22
 ELLIPSIS = "…"
+
+# Fallback texts.
+UNKNOWN = "Unknown"
+NOT_DISCLOSED = "Not disclosed"
+OTHER = "Other"
+COMMUNITY_ORG = "community"
+NO_ORG = "—"
+
+# Refresh status line (after the source label).
+STATUS_FETCHING = "  ·  Fetching..."
+STATUS_REFRESHED = "  ·  Last refreshed: "
+
+# Insight sentences, as printf formats (Spark format_string / SQL printf).
+INSIGHT_LEADERBOARD = ("%s leads overall, scoring highest in %s (%.1f%%). "
+                       "%d models ranked from %d evaluated (%d had insufficient data).")
+INSIGHT_PRICING = "%d models compared. Cheapest overall: %s ($%.2f prompt + $%.2f completion per 1M tokens)."
+INSIGHT_DOWNLOADS = "%s leads with %s downloads across %d models in the top 200. Total across top 12 orgs: %s."
+INSIGHT_TIMELINE = ("Since 2020, %s has released %d notable models — more than anyone else. "
+                    "The largest training run recorded: %s by %s (%.1e FLOP).")
+INSIGHT_TIMELINE_RECENT = " %d recent models are awaiting compute data."
+INSIGHT_TIMELINE_NO_COMPUTE = "%s leads with %d notable models since 2020."
+INSIGHT_CONTEXT = ("%d unique model families. The sweet spot is 32–128K tokens (%d models), "
+                   "but %d models now exceed 1M tokens — led by %s at %s.")
+INSIGHT_CHIPS = ("%s dominates with %d of %d registered AI chips (%.0f%%). "
+                 "The hidden story: China has %d chip manufacturers (%d chips) vs %d for the US (%d chips).")
+INSIGHT_GPU = ("%d GPU clusters across %d countries. China leads with %d clusters vs %d for the US. "
+               "Total power: %,.0f MW. Biggest investors by H100 equivalents: %s.")
+OWNER_MILLIONS = "%s (%,.1fM)"
+OWNER_THOUSANDS = "%s (%,.0fK)"
+INSIGHT_TRENDING = "#%d %s by %s leads with %s downloads."
+INSIGHT_TRENDING_FRESHEST = " Freshest: %s (%d days old)."
+INSIGHT_MODALITY = "Across %d AI modalities, %s's %s leads %s with %s downloads."
+INSIGHT_CODING = "%s leads at %.1f%% of real GitHub issues resolved. %d of the top %d systems use open-source components."

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankmart import fixed
 from rankmart.functions import map_lookup_inverse, rank_label, truncate_label, epoch_utc_label
 from rankmart.operators import (
     best_per_entity, entity_matrix, mark_best, minmax_scale, rank_matrix, top_n, zscore_scores,
@@ -124,7 +125,7 @@ WITH {_SQL_SCORES},
 SELECT total_evaluated, n_qualified, n_shown, total_evaluated - n_shown AS n_dropped, last_ts,
        strftime(last_ts, '%Y-%m-%d %H:%M') || ' UTC' AS updated_label,
        top_entity, top_category, top_value,
-       printf('%s leads overall, scoring highest in %s (%.1f%%). %d models ranked from %d evaluated (%d had insufficient data).',
+       printf({q(fixed.INSIGHT_LEADERBOARD)},
               top_entity, top_category, {spark_round('top_value', 1)},
               n_shown, total_evaluated, total_evaluated - n_shown) AS insight
 FROM k, top1""")
@@ -152,6 +153,6 @@ def leaderboard_kpis(spark, sf):
         "total_evaluated", "n_qualified", "n_shown", dropped.alias("n_dropped"), "last_ts",
         epoch_utc_label(F.unix_timestamp(F.col("last_ts").cast("timestamp"))).alias("updated_label"),
         "top_entity", "top_category", "top_value",
-        F.format_string("%s leads overall, scoring highest in %s (%.1f%%). %d models ranked from %d evaluated (%d had insufficient data).",
+        F.format_string(fixed.INSIGHT_LEADERBOARD,
                         "top_entity", "top_category", F.round("top_value", 1), "n_shown", "total_evaluated", dropped).alias("insight"),
     )

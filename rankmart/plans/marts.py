@@ -72,7 +72,7 @@ def leaderboard_insight(bench: DataFrame, category_map: dict = fixed.CATEGORY_MA
     out = (k.crossJoin(shown).crossJoin(lead)
              .withColumn("num_dropped", F.col("total_evaluated") - F.col("n_shown")))
     return out.withColumn("insight", F.format_string(
-        "%s leads overall, scoring highest in %s (%.1f%%). %d models ranked from %d evaluated (%d had insufficient data).",
+        fixed.INSIGHT_LEADERBOARD,
         "top_model", "best_category", F.round("best_value", 1), "n_shown", "total_evaluated", "num_dropped"))
 
 
@@ -111,8 +111,7 @@ def context_insight(catalog: DataFrame) -> DataFrame:
     one = one.select("total_unique", "sweet_spot", "over_1m", F.col("t.i").alias("max_id"),
                      F.col("t.n").alias("max_name"), (-F.col("t.c")).alias("max_ctx"))
     return one.withColumn("insight", F.format_string(
-        "%d unique model families. The sweet spot is 32–128K tokens (%d models), but %d models now exceed 1M tokens "
-        "— led by %s at %s.", "total_unique", "sweet_spot", "over_1m", "max_name", short_tokens("max_ctx")))
+        fixed.INSIGHT_CONTEXT, "total_unique", "sweet_spot", "over_1m", "max_name", short_tokens("max_ctx")))
 
 
 # ----------------------------------------------------------------------- M3
@@ -148,7 +147,7 @@ def pricing_insight(priced: DataFrame) -> DataFrame:
         "n_models", F.col("m.n").alias("cheapest"), F.col("m.t").alias("cheapest_total"),
         F.col("m.p").alias("cheapest_prompt"), F.col("m.c").alias("cheapest_completion"))
     return one.withColumn("insight", F.format_string(
-        "%d models compared. Cheapest overall: %s ($%.2f prompt + $%.2f completion per 1M tokens).",
+        fixed.INSIGHT_PRICING,
         "n_models", "cheapest", F.round("cheapest_prompt", 2), F.round("cheapest_completion", 2)))
 
 
@@ -223,12 +222,11 @@ def timeline_insight(tl: DataFrame, as_of) -> DataFrame:
         F.col("b.m").alias("biggest_model"), F.col("b.o").alias("biggest_org"), (-F.col("b.c")).alias("biggest_compute"),
         (F.col("mn") * 0.15).alias("rug_y"))
     with_compute = F.format_string(
-        "Since 2020, %s has released %d notable models — more than anyone else. The largest training run "
-        "recorded: %s by %s (%.1e FLOP).", "most_active", "most_active_count", "biggest_model", "biggest_org",
+        fixed.INSIGHT_TIMELINE, "most_active", "most_active_count", "biggest_model", "biggest_org",
         "biggest_compute")
-    recent_txt = F.when(F.col("num_recent") > 0, F.format_string(" %d recent models are awaiting compute data.",
+    recent_txt = F.when(F.col("num_recent") > 0, F.format_string(fixed.INSIGHT_TIMELINE_RECENT,
                                                                  "num_recent")).otherwise(F.lit(""))
-    no_compute = F.format_string("%s leads with %d notable models since 2020.", "most_active", "most_active_count")
+    no_compute = F.format_string(fixed.INSIGHT_TIMELINE_NO_COMPUTE, "most_active", "most_active_count")
     return out.withColumn("insight", F.when(F.col("biggest_model").isNotNull(), F.concat(with_compute, recent_txt))
                                       .otherwise(no_compute))
 
@@ -253,7 +251,7 @@ def capabilities(catalog: DataFrame, top_n_: int = fixed.CAPABILITY_TOP_N) -> Da
 
 def chip_counts(hardware: DataFrame) -> DataFrame:
     return (value_share(hardware, "Manufacturer", "manufacturer")
-            .withColumn("country", map_lookup("manufacturer", fixed.CHIP_MANUFACTURER_COUNTRY, "Other")))
+            .withColumn("country", map_lookup("manufacturer", fixed.CHIP_MANUFACTURER_COUNTRY, fixed.OTHER)))
 
 
 def chip_dominance(hardware: DataFrame, top_n_: int = fixed.CHIP_TOP_N) -> DataFrame:
@@ -264,8 +262,7 @@ def chip_insight(hardware: DataFrame) -> DataFrame:
     total = hardware.agg(F.count(F.lit(1)).alias("total"))
     st = share_stats(chip_counts(hardware), "manufacturer", "country", total).withColumnRenamed("top_key", "top_maker")
     return st.withColumn("insight", F.format_string(
-        "%s dominates with %d of %d registered AI chips (%.0f%%). The hidden story: China has %d chip manufacturers "
-        "(%d chips) vs %d for the US (%d chips).", "top_maker", "top_count", "total", F.round("top_share", 0),
+        fixed.INSIGHT_CHIPS, "top_maker", "top_count", "total", F.round("top_share", 0),
         "cn_makers", "cn_count", "us_makers", "us_count"))
 
 
@@ -287,11 +284,11 @@ def gpu_map(clusters: DataFrame) -> DataFrame:
     rows = jitter_flagged(rows, "anonymized", F.concat_ws("#", "_content", F.col("_dup").cast("string")),
                           "latitude", "longitude", fixed.JITTER_SEED, fixed.JITTER_LAT, fixed.JITTER_LON)
     return rows.select(
-        F.coalesce("Name", F.lit("Unknown")).alias("name"), F.coalesce("Owner", F.lit("Unknown")).alias("owner"),
-        F.coalesce("Country", F.lit("Unknown")).alias("country"), "region",
+        F.coalesce("Name", F.lit(fixed.UNKNOWN)).alias("name"), F.coalesce("Owner", F.lit(fixed.UNKNOWN)).alias("owner"),
+        F.coalesce("Country", F.lit(fixed.UNKNOWN)).alias("country"), "region",
         F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "h100_equiv", "power_mw",
-        F.coalesce("`Chip type (primary)`", F.lit("Not disclosed")).alias("chip_type"),
-        F.coalesce("Status", F.lit("Unknown")).alias("status"), "dot_size", "anonymized")
+        F.coalesce("`Chip type (primary)`", F.lit(fixed.NOT_DISCLOSED)).alias("chip_type"),
+        F.coalesce("Status", F.lit(fixed.UNKNOWN)).alias("status"), "dot_size", "anonymized")
 
 
 def gpu_stats(clusters: DataFrame) -> DataFrame:
@@ -321,15 +318,14 @@ def gpu_insight(clusters: DataFrame) -> DataFrame:
                  F.count_if(F.col("Country") == "United States of America").alias("us_clusters"),
                  F.coalesce(F.sum(to_double("`Power Capacity (MW)`")), F.lit(0.0)).alias("total_mw"))
     h = F.col("h100_total")
-    part = F.when(h >= 1_000_000, F.format_string("%s (%,.1fM)", "owner", F.round(h / 1_000_000, 1))) \
-            .otherwise(F.format_string("%s (%,.0fK)", "owner", F.round(h / 1_000, 0)))
+    part = F.when(h >= 1_000_000, F.format_string(fixed.OWNER_MILLIONS, "owner", F.round(h / 1_000_000, 1))) \
+            .otherwise(F.format_string(fixed.OWNER_THOUSANDS, "owner", F.round(h / 1_000, 0)))
     owners = (gpu_top_owners(clusters, 3).withColumn("_part", part)
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_part"))),
                                             lambda x: x["_part"]), ", ").alias("top_owners")))
     one = k.crossJoin(owners)  # one row each
     return one.withColumn("insight", F.format_string(
-        "%d GPU clusters across %d countries. China leads with %d clusters vs %d for the US. Total power: %,.0f MW. "
-        "Biggest investors by H100 equivalents: %s.", "total_clusters", "n_countries", "cn_clusters", "us_clusters",
+        fixed.INSIGHT_GPU, "total_clusters", "n_countries", "cn_clusters", "us_clusters",
         F.round("total_mw", 0), "top_owners"))
 
 
@@ -341,7 +337,7 @@ def gpu_region_counts(mapped: DataFrame) -> DataFrame:
 
 def downloads(hub: DataFrame, as_of, top_n_: int = fixed.DOWNLOADS_TOP_N) -> DataFrame:
     """Recency-weighted downloads per org (60-day half life), top n."""
-    rows = (hub.withColumn("org", org_of(F.coalesce("id", F.lit("")), "community"))
+    rows = (hub.withColumn("org", org_of(F.coalesce("id", F.lit("")), fixed.COMMUNITY_ORG))
                .filter(~F.col("org").isin(fixed.DOWNLOADS_EXCLUDED_ORGS))
                .withColumn("weight", decay_column(iso_prefix_date("createdAt"), _as_of_date(as_of),
                                                   fixed.DECAY_K, fixed.HALF_LIFE_DAYS, fixed.MISSING_AGE_DAYS))
@@ -359,7 +355,7 @@ def downloads_insight(top: DataFrame) -> DataFrame:
         F.col("l.n").alias("leader"), (-F.col("l.d")).alias("leader_downloads"), F.col("l.c").alias("leader_models"),
         "shown_total")
     return one.withColumn("insight", F.format_string(
-        "%s leads with %s downloads across %d models in the top 200. Total across top 12 orgs: %s.",
+        fixed.INSIGHT_DOWNLOADS,
         "leader", short_number("leader_downloads"), "leader_models", short_number("shown_total")))
 
 
@@ -370,7 +366,7 @@ def trending(hub_trending: DataFrame, as_of) -> DataFrame:
     return hub_trending.select(
         (F.col("src_pos") + 1).alias("rank"),
         short_name(F.coalesce("id", F.lit(""))).alias("model_name"),
-        org_of(F.coalesce("id", F.lit("")), "—").alias("org"),
+        org_of(F.coalesce("id", F.lit("")), fixed.NO_ORG).alias("org"),
         F.coalesce("likes", F.lit(0)).alias("likes"), F.coalesce("downloads", F.lit(0)).alias("downloads"),
         created.alias("created_date"), age_days(iso_prefix_date(created), _as_of_date(as_of)).alias("days_ago"))
 
@@ -384,10 +380,10 @@ def trending_insight(tr: DataFrame) -> DataFrame:
     one = tr.agg(lead.alias("l"), fresh.alias("f")).select(
         F.col("l.r").alias("leader_rank"), F.col("l.m").alias("leader"), F.col("l.o").alias("leader_org"),
         (-F.col("l.d")).alias("leader_downloads"), F.col("f.m").alias("freshest"), F.col("f.a").alias("freshest_days"))
-    head = F.format_string("#%d %s by %s leads with %s downloads.", "leader_rank", "leader", "leader_org",
+    head = F.format_string(fixed.INSIGHT_TRENDING, "leader_rank", "leader", "leader_org",
                            short_number("leader_downloads"))
     tail = F.when(F.col("freshest").isNotNull(),
-                  F.format_string(" Freshest: %s (%d days old).", "freshest", "freshest_days")).otherwise(F.lit(""))
+                  F.format_string(fixed.INSIGHT_TRENDING_FRESHEST, "freshest", "freshest_days")).otherwise(F.lit(""))
     return one.withColumn("insight", F.concat(head, tail))
 
 
@@ -406,7 +402,7 @@ def modality_insight(champions: DataFrame, n_modalities: int = len(fixed.HF_MODA
     one = champions.agg(lead.alias("x")).select(F.col("x.o").alias("display_org"), F.col("x.m").alias("model_name"),
                                                 F.col("x.l").alias("label"), (-F.col("x.d")).alias("downloads"))
     return one.withColumn("insight", F.format_string(
-        "Across %d AI modalities, %s's %s leads %s with %s downloads.", F.lit(n_modalities), "display_org",
+        fixed.INSIGHT_MODALITY, F.lit(n_modalities), "display_org",
         "model_name", "label", short_number("downloads")))
 
 
@@ -416,8 +412,8 @@ def coding_leaderboard(results: DataFrame, top_n_: int = fixed.SWEBENCH_TOP_N) -
     rows = results.withColumn("_score", F.coalesce("resolved", F.lit(0.0)))
     top = top_n(rows, [F.col("_score").desc(), F.col("src_pos").asc()], top_n_)
     return top.select(
-        "rank", F.coalesce("name", F.lit("Unknown")).alias("name"), F.col("_score").alias("resolved"),
-        classify_first(F.coalesce("name", F.lit("")), fixed.SWEBENCH_ORG_PATTERNS, "contains_ci", "Other").alias("org"),
+        "rank", F.coalesce("name", F.lit(fixed.UNKNOWN)).alias("name"), F.col("_score").alias("resolved"),
+        classify_first(F.coalesce("name", F.lit("")), fixed.SWEBENCH_ORG_PATTERNS, "contains_ci", fixed.OTHER).alias("org"),
         F.coalesce("date", F.lit("")).alias("date"),
         (F.coalesce("os_model", F.lit(False)) | F.coalesce("os_system", F.lit(False))).alias("is_open"))
 
@@ -427,7 +423,7 @@ def coding_insight(board: DataFrame) -> DataFrame:
     one = board.agg(lead.alias("l"), F.count_if("is_open").alias("open_count"), F.count(F.lit(1)).alias("shown"))
     one = one.select(F.col("l.n").alias("leader"), F.col("l.s").alias("resolved"), "open_count", "shown")
     return one.withColumn("insight", F.format_string(
-        "%s leads at %.1f%% of real GitHub issues resolved. %d of the top %d systems use open-source components.",
+        fixed.INSIGHT_CODING,
         "leader", F.round("resolved", 1), "open_count", "shown"))
 
 
@@ -437,7 +433,7 @@ def package_downloads(packages: DataFrame) -> DataFrame:
     rows = packages.select(
         "package", map_lookup("package", fixed.PYPI_DISPLAY_NAMES, F.col("package")).alias("display_name"),
         F.coalesce("last_week", F.lit(0)).alias("last_week"), F.coalesce("last_month", F.lit(0)).alias("last_month"),
-        map_lookup("package", fixed.PYPI_COMPANY_MAP, "Other").alias("company"))
+        map_lookup("package", fixed.PYPI_COMPANY_MAP, fixed.OTHER).alias("company"))
     return rows.orderBy(F.col("last_week").desc(), F.col("package").asc())
 
 

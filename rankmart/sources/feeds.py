@@ -154,7 +154,7 @@ def modality_champions_from_hub(spark: SparkSession, hub: DataFrame, tags=fixed.
                        [F.col("downloads").desc_nulls_last(), F.col("id").asc()])
     return (champ.join(F.broadcast(dim), "tag")
                  .select("tag", "label", F.col("id").alias("model_id"), short_name("id").alias("model_name"),
-                         org_of("id", "—").alias("org"),
+                         org_of("id", fixed.NO_ORG).alias("org"),
                          F.coalesce("downloads", F.lit(0)).alias("downloads"),
                          F.coalesce("likes", F.lit(0)).alias("likes")))
 

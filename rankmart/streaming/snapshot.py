@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankmart import fixed
 from rankmart.functions.dates import epoch_utc_label
 from rankmart.operators.dedup import keep_first
 from rankmart.operators.lookup import map_lookup
@@ -55,7 +56,7 @@ def last_refresh(spark: SparkSession, df: DataFrame, sources, source: str = "sou
     dim = spark.createDataFrame([(s, labels.get(s, s)) for s in sources], "source string, source_label string")
     last = df.groupBy(F.col(source).alias("source")).agg(F.max(fetched_at).alias("last_fetched"))
     epoch = F.unix_seconds(F.col("last_fetched").cast("timestamp"))
-    text = F.when(F.col("last_fetched").isNull(), F.concat("source_label", F.lit("  ·  Fetching...")))\
-            .otherwise(F.concat("source_label", F.lit("  ·  Last refreshed: "), epoch_utc_label(epoch)))
+    text = F.when(F.col("last_fetched").isNull(), F.concat("source_label", F.lit(fixed.STATUS_FETCHING)))\
+            .otherwise(F.concat("source_label", F.lit(fixed.STATUS_REFRESHED), epoch_utc_label(epoch)))
     return dim.join(F.broadcast(last.join(F.broadcast(dim.select("source")), "source", "left_semi")), "source", "left") \
               .select("source", "last_fetched", text.alias("status"))
