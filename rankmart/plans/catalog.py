@@ -8,7 +8,7 @@ from rankmart import fixed
 from rankmart.functions import family_key_dated, family_key_tagged, org_of, to_double
 from rankmart.operators import bucket_counts, capability_counts, keep_first, log_minmax, map_lookup
 from rankmart.operators.capability import modality_count
-from rankmart.operators.dedup import first_by_aggregate
+from rankmart.operators.dedup import first_by_aggregate, number_duplicates
 from rankmart.plans import params as P
 from rankmart.plans.registry import case_map, q, query, spark_round, sql_list
 from rankmart.sources import table
@@ -241,3 +241,20 @@ def capability_matrix(spark, sf):
     names = [name for name, _, _ in P.CAP_SPEC]
     return caps.select("rank", "org", map_lookup("org", P.CAP_ORG_NAMES, F.col("org")).alias("display_name"),
                        "total_models", *[F.col(f"`{n}`") for n in names])
+
+
+# ------------------------------------------------------ duplicate ranks (X19 key)
+
+@query("duplicate_rank", """
+SELECT md5(text) AS text_md5, lang,
+       row_number() OVER (PARTITION BY md5(text), lang) AS dup_rank
+FROM documents""")
+def duplicate_rank(spark, sf):
+    """Rank of each row among identical rows (the jitter key for rows with no id).
+
+    Whole texts are hashed; identical (text, language) rows get ranks 1..n by
+    counting, chunking and regenerating (``number_duplicates``), so one text
+    copied a million times is spread over many tasks.
+    """
+    d = table(spark, sf, "documents").select(F.md5("text").alias("text_md5"), "lang")
+    return number_duplicates(d, "dup_rank")
