@@ -105,3 +105,29 @@ def build_all(spark: SparkSession, landing: str, out: str, as_of: str, snapshot_
     if (p := feed("pypi")):
         put("packages", M.package_downloads(S.read_package_downloads(spark, p)))
     return written
+
+
+def main(argv=None) -> None:
+    """spark-submit entry: build every mart from a landing folder.
+
+    spark-submit --py-files rankmart.zip -m rankmart.plans.build --landing s3://.../landing --out s3://.../marts \
+        --as-of "2025-06-01 00:00:00"
+    """
+    import argparse
+    import json
+
+    from rankmart.session import get_spark
+
+    ap = argparse.ArgumentParser(description="Build every mart from landed feed files.")
+    ap.add_argument("--landing", required=True, help="folder with one sub-folder per feed")
+    ap.add_argument("--out", required=True, help="folder for the marts (one sub-folder each)")
+    ap.add_argument("--as-of", required=True, help="reference time, e.g. '2025-06-01 00:00:00'")
+    ap.add_argument("--snapshot-date", default=None, help="partition to write (default: the as-of date)")
+    args = ap.parse_args(argv)
+    spark = get_spark(app_name="rankmart-build")
+    written = build_all(spark, args.landing, args.out, args.as_of, args.snapshot_date)
+    print(json.dumps(written, indent=1, sort_keys=True))
+
+
+if __name__ == "__main__":
+    main()

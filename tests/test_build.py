@@ -50,3 +50,13 @@ def test_build_all(spark, tmp_dir):
         "Claude agent leads at 70.5% of real GitHub issues resolved. 0 of the top 1 systems use open-source components.")
     assert read_mart(spark, written["modality_insight"]).first()["insight"] == (
         "Across 7 AI modalities, Hexgrad's k leads Voice with 5 downloads.")
+
+
+def test_build_cli(spark, tmp_dir, capsys):
+    from rankmart.plans.build import main
+    land = os.path.join(tmp_dir, "landing")
+    write(f"{land}/ml_hardware/h.csv", "Manufacturer\nNVIDIA\nAMD\nAMD\n")
+    main(["--landing", land, "--out", os.path.join(tmp_dir, "out"), "--as-of", "2025-06-01 00:00:00"])
+    out = json.loads(capsys.readouterr().out)
+    assert set(out) == {"chips", "chips_insight"}
+    assert read_mart(spark, out["chips"]).orderBy("rank").first()["manufacturer"] == "AMD"
