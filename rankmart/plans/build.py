@@ -110,8 +110,8 @@ def build_all(spark: SparkSession, landing: str, out: str, as_of: str, snapshot_
 def main(argv=None) -> None:
     """spark-submit entry: build every mart from a landing folder.
 
-    spark-submit --py-files rankmart.zip -m rankmart.plans.build --landing s3://.../landing --out s3://.../marts \
-        --as-of "2025-06-01 00:00:00"
+    spark-submit --py-files rankmart.zip rankmart/plans/build.py --landing <landing folder> \
+        --out <marts folder> --as-of "2025-06-01 00:00:00"
     """
     import argparse
     import json
