@@ -1,7 +1,9 @@
 """DataFrame -> DataFrame operators (use with ``df.transform``)."""
 
 from rankmart.operators.dedup import first_by_aggregate, keep_first, number_duplicates, top_n  # noqa: F401
-from rankmart.operators.lookup import map_lookup, map_lookup_inverse, lookup, dim_frame, assert_rows  # noqa: F401
+from rankmart.operators.lookup import (  # noqa: F401
+    map_lookup, map_lookup_inverse, lookup, dim_frame, assert_rows, check_rows,
+)
 from rankmart.operators.rank import (  # noqa: F401
     best_per_entity, zscore_scores, rank_entities, rank_matrix, entity_matrix, pivot_ranked, mark_best,
 )

@@ -66,3 +66,15 @@ def assert_rows(df: DataFrame, what: str, sample_col: str | None = None, source:
             hint = f" Available {sample_col}: {vals}"
         raise ValueError(f"No usable rows for {what}.{hint}")
     return df
+
+
+def check_rows(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """Row-level guard (S12): the job fails on the first row where ``condition`` is false.
+
+    The check is an expression evaluated where the rows already flow (no extra
+    pass, no driver round trip); rows pass through unchanged. Null counts as
+    a violation.
+    """
+    ok = F.coalesce(condition, F.lit(False))
+    # A filter keeps the check in the plan (an unused column would be pruned away).
+    return df.filter(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(message)).isNull()))

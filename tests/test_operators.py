@@ -66,3 +66,12 @@ def test_latest_snapshot_default_ttl(spark):
     assert row["ttl_seconds"] == 300 and row["is_fresh"] is False
     future = latest_snapshot(snaps, "2024-12-31 00:00:00", {"x": 300})
     assert future.count() == 0  # snapshots after as_of do not exist yet
+
+
+def test_check_rows(spark):
+    from rankmart.operators import check_rows
+    df = spark.createDataFrame([(1.0,), (2.0,)], "p double")
+    assert check_rows(df, F.col("p") > 0, "price must be positive").count() == 2
+    bad = check_rows(spark.createDataFrame([(1.0,), (None,)], "p double"), F.col("p") > 0, "price must be positive")
+    with pytest.raises(Exception, match="price must be positive"):
+        bad.collect()
