@@ -35,16 +35,13 @@ def zscore_scores(df: DataFrame, entity: str, category: str, score: str,
     """
     best = best_per_entity(df, entity, category, score)
     cover = F.count(F.lit(1)).over(Window.partitionBy(entity))
-    qualified = (best.withColumn("n_categories", cover)
-                     .filter(F.col("n_categories") >= min_categories)
-                     .drop("n_categories"))
+    qualified = (best.select(entity, category, score, cover.alias("_n"))
+                     .filter(F.col("_n") >= min_categories))
     stats = (qualified.groupBy(category)
                       .agg(F.avg(score).alias("cat_mean"), F.stddev_samp(score).alias("cat_std")))
     z = F.when(F.col("cat_std") > 0, (F.col(score) - F.col("cat_mean")) / F.col("cat_std")).otherwise(F.lit(0.0))
     # ``stats`` has one row per category: bounded by the category list.
-    return (qualified.join(F.broadcast(stats), category)
-                     .withColumn("z", z)
-                     .drop("cat_mean", "cat_std"))
+    return qualified.join(F.broadcast(stats), category).select(entity, category, score, z.alias("z"))
 
 
 def rank_entities(scores: DataFrame, entity: str, n: int, digits: int = 9) -> DataFrame:

@@ -60,8 +60,7 @@ def price_rows(spark, sf):
                   to_double((F.col("l_extendedprice") * F.col("l_tax") / 1e8).cast("string")).alias("c_raw"),
                   (F.col("l_quantity") * 1000).cast("long").alias("context_length"))
           .filter((F.col("p_raw") > 0) & (F.col("c_raw") > 0))
-          .withColumn("prompt_1m", F.col("p_raw") * 1e6)
-          .withColumn("completion_1m", F.col("c_raw") * 1e6)
+          .withColumns({"prompt_1m": F.col("p_raw") * 1e6, "completion_1m": F.col("c_raw") * 1e6})
           .filter((F.col("prompt_1m") <= fixed.PRICE_CAP_PER_1M) & (F.col("completion_1m") <= fixed.PRICE_CAP_PER_1M)))
     # Newest line per part first: the family order (created, id, line keys) is,
     # within one part, (created, line keys), so this cut keeps every possible
@@ -72,10 +71,9 @@ def price_rows(spark, sf):
     idc = F.concat("org", F.lit("/"), F.regexp_replace("p_name", " ", "-"), F.lit("-"),
                    F.to_date("l_shipdate").cast("string"))
     rows = (rows.withColumn("id", idc)
-                .withColumn("org", org_of("id"))
-                .withColumn("created", F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
-                .filter(F.col("created") >= as_of_epoch - fixed.PRICE_MAX_AGE_SECONDS)
-                .withColumn("family", family_key_dated("id")))
+                .withColumns({"org": org_of("id"), "family": family_key_dated("id"),
+                              "created": F.unix_seconds(F.col("l_shipdate").cast("timestamp"))})
+                .filter(F.col("created") >= as_of_epoch - fixed.PRICE_MAX_AGE_SECONDS))
     kept = keep_first(rows, "family", [F.col("created").desc(), F.col("id").asc(),
                                        F.col("l_orderkey").asc(), F.col("l_linenumber").asc()])
     # the analog rows have no display name, so the name falls back to the id (as in the source)

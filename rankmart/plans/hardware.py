@@ -85,8 +85,8 @@ def geo_rows(spark, sf):
                             .otherwise(F.lit("n/a"))).alias("power_mw"),
                  F.coalesce(F.col("s_acctbal") < 0, F.lit(False)).alias("anonymized"))
              .filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
-    rows = (rows.withColumn("region", region_of("country", P.GEO_REGION_MAP, P.GEO_EU))
-                .withColumn("_lg", log_clip("h100_equiv")))
+    rows = rows.withColumns({"region": region_of("country", P.GEO_REGION_MAP, P.GEO_EU),
+                             "_lg": log_clip("h100_equiv")})
     # Both global statistics (dot-size bounds, flagged count) in one pass; one row, broadcast.
     stats = rows.agg(F.min("_lg").alias("_mn"), F.max("_lg").alias("_mx"),
                      F.count_if("anonymized").alias("_nf"))
