@@ -60,3 +60,14 @@ def test_build_cli(spark, tmp_dir, capsys):
     out = json.loads(capsys.readouterr().out)
     assert set(out) == {"chips", "chips_insight"}
     assert read_mart(spark, out["chips"]).orderBy("rank").first()["manufacturer"] == "AMD"
+
+
+def test_build_rerun_is_idempotent(spark, tmp_dir):
+    land = os.path.join(tmp_dir, "landing")
+    write(f"{land}/ml_hardware/h.csv", "Manufacturer\nNVIDIA\nAMD\nAMD\n")
+    out = os.path.join(tmp_dir, "out")
+    first = build_all(spark, land, out, "2025-06-01 00:00:00")
+    build_all(spark, land, out, "2025-06-01 00:00:00")           # rerun of the same snapshot
+    build_all(spark, land, out, "2025-06-02 00:00:00")           # next snapshot
+    assert spark.read.parquet(first["chips"]).count() == 4       # 2 makers x 2 snapshots, no duplicates
+    assert read_mart(spark, first["chips"]).count() == 2

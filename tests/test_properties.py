@@ -117,3 +117,43 @@ def test_group_median_exact(spark, rows, buckets):
     assert set(got) == set(want)
     for g in want:
         assert math.isclose(got[g], want[g], rel_tol=1e-12, abs_tol=1e-9)
+
+
+names = st.sampled_from(["GPT-4", "gpt-4", " GPT-4 ", "Claude 3", "claude 3\t", "Gemini", "Llama 3", "o3-mini", None])
+
+
+@SETTINGS
+@given(st.lists(names, max_size=8), st.lists(names, max_size=8))
+def test_append_missing_matches_brute_force(spark, a_names, b_names):
+    from rankmart.operators import append_missing
+    a = spark.createDataFrame([(n, "A") for n in a_names], "model string, src string")
+    b = spark.createDataFrame([(n, "B", i) for i, n in enumerate(b_names)], "model string, src string, i int")
+    got = sorted((r["model"] or "", r["src"]) for r in append_missing(a, b, "model", "model").collect())
+    seen = {n.strip().lower() for n in a_names if n is not None}
+    want = [(n or "", "A") for n in a_names] + [(n or "", "B") for n in b_names
+                                                 if n is None or n.strip().lower() not in seen]
+    assert got == sorted(want)
+
+
+RULES = [(["gpt", "o3"], "OpenAI"), (["claude"], "Anthropic"), (["GPT-4"], "Never"), (["ll", "gem"], "Mixed")]
+
+
+@SETTINGS
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="GPTgptClaude -4o3llmein", max_size=12)), max_size=12),
+       st.sampled_from(["contains", "contains_ci", "prefix"]))
+def test_classify_first_matches_brute_force(spark, values, mode):
+    from rankmart.functions import classify_first
+
+    def brute(v):
+        if v is None:
+            return "Other"
+        for pats, label in RULES:
+            for p in pats:
+                hit = (p in v if mode == "contains" else p.lower() in v.lower() if mode == "contains_ci"
+                       else v.startswith(p))
+                if hit:
+                    return label
+        return "Other"
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    got = [r["c"] for r in df.select("i", classify_first("v", RULES, mode, "Other").alias("c")).orderBy("i").collect()]
+    assert got == [brute(v) for v in values]
