@@ -6,7 +6,9 @@ Layout of the landing folder (one sub-folder per feed, any number of files):
     catalog/*.json    hub_top/*.json hub_trending/*.json hub_modality/*.json
     leaderboard/*.html  pypi/*.json
 
-Missing feeds are skipped (their marts are not written). Sub-plans used by
+Only the newest landed file of each feed is used (per package for package
+stats), as the dashboard used its latest fetch. Missing feeds are skipped
+(their marts are not written). Sub-plans used by
 several marts (the catalog scan, the release timeline) are checkpointed to
 the cluster's shared checkpoint folder, so each is computed once and a lost
 executor does not send the later marts back to the raw files.
@@ -48,21 +50,22 @@ def build_all(spark: SparkSession, landing: str, out: str, as_of: str, snapshot_
         written[name] = path
 
     if (p := feed("benchmarks")):
-        bench = S.read_csv(spark, p, S.BENCH_SCORES)
+        bench = S.newest_snapshot(S.read_csv(spark, p, S.BENCH_SCORES, with_file=True))
         put("leaderboard", M.leaderboard_matrix(bench))
         put("leaderboard_insight", M.leaderboard_insight(bench))
     else:
         bench = None
 
     if (p := feed("notable")):
-        tl = M.timeline(S.read_csv(spark, p, S.NOTABLE_MODELS, with_order=True), bench).checkpoint()
+        notable = S.newest_snapshot(S.read_csv(spark, p, S.NOTABLE_MODELS, with_order=True, with_file=True))
+        tl = M.timeline(notable, bench).checkpoint()
         put("timeline", tl)
         put("timeline_sizes", M.timeline_sizes(tl))
         put("timeline_flagship", M.flagship(tl.filter("NOT has_compute"), as_of))
         put("timeline_insight", M.timeline_insight(tl, as_of))
 
     if (p := feed("catalog")):
-        catalog = S.read_catalog(spark, p).checkpoint()
+        catalog = S.newest_snapshot(S.read_catalog(spark, p)).checkpoint()
         priced = M.pricing(catalog, as_of)
         put("pricing", priced)
         put("pricing_insight", M.pricing_insight(priced))
@@ -71,12 +74,12 @@ def build_all(spark: SparkSession, landing: str, out: str, as_of: str, snapshot_
         put("capabilities", M.capabilities(catalog))
 
     if (p := feed("ml_hardware")):
-        hw = S.read_csv(spark, p, S.ML_HARDWARE)
+        hw = S.newest_snapshot(S.read_csv(spark, p, S.ML_HARDWARE, with_file=True))
         put("chips", M.chip_dominance(hw))
         put("chips_insight", M.chip_insight(hw))
 
     if (p := feed("gpu_clusters")):
-        cl = S.read_csv(spark, p, S.GPU_CLUSTERS)
+        cl = S.newest_snapshot(S.read_csv(spark, p, S.GPU_CLUSTERS, with_file=True))
         mapped = M.gpu_map(cl).checkpoint()
         put("gpu_map", mapped)
         put("gpu_regions", M.gpu_region_counts(mapped))
@@ -86,24 +89,24 @@ def build_all(spark: SparkSession, landing: str, out: str, as_of: str, snapshot_
         put("gpu_insight", M.gpu_insight(cl))
 
     if (p := feed("hub_top")):
-        top = M.downloads(S.read_hub_models(spark, p), as_of)
+        top = M.downloads(S.newest_snapshot(S.read_hub_models(spark, p)), as_of)
         put("downloads", top)
         put("downloads_insight", M.downloads_insight(top))
     if (p := feed("hub_trending")):
-        tr = M.trending(S.read_hub_models(spark, p), as_of)
+        tr = M.trending(S.newest_snapshot(S.read_hub_models(spark, p)), as_of)
         put("trending", tr)
         put("trending_insight", M.trending_insight(tr))
     if (p := feed("hub_modality")):
-        champs = S.modality_champions_from_hub(spark, S.read_hub_models(spark, p))
+        champs = S.modality_champions_from_hub(spark, S.newest_snapshot(S.read_hub_models(spark, p)))
         mc = M.modality_champions(champs)
         put("modality_champions", mc)
         put("modality_insight", M.modality_insight(mc))
     if (p := feed("leaderboard")):
-        board = M.coding_leaderboard(S.read_leaderboard_page(spark, p))
+        board = M.coding_leaderboard(S.newest_snapshot(S.read_leaderboard_page(spark, p)))
         put("coding", board)
         put("coding_insight", M.coding_insight(board))
     if (p := feed("pypi")):
-        put("packages", M.package_downloads(S.read_package_downloads(spark, p)))
+        put("packages", M.package_downloads(S.newest_snapshot(S.read_package_downloads(spark, p), "package")))
     return written
 
 

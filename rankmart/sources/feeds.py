@@ -96,12 +96,21 @@ PACKAGE_RECENT = T.StructType([
 SRC_ORDER = "struct<part int, file string, block bigint, row bigint>"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, with_order: bool = False) -> DataFrame:
+FILE_COLUMNS = ("src_file", "fetched_at", "src_order", "src_pos")
+
+
+def _fetched_at():
+    return F.col("_metadata.file_modification_time").cast("timestamp_ntz")
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, with_order: bool = False,
+             with_file: bool = False) -> DataFrame:
     """CSV with header and an explicit schema.
 
     Text "NaN" becomes NaN and then null; blank and unparsable numbers are
     null (PERMISSIVE), so aggregates skip them as pandas does (N1, N3).
 
+    ``with_file`` adds ``src_file`` and ``fetched_at`` (the file's landing time).
     ``with_order`` adds ``src_order``, the rows' order in the landed files:
     (file name, start of the file split, row id). Splits of one file are read
     in order and the row id grows within a task, so sorting on it gives file
@@ -111,6 +120,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, with_order: b
           .option("nanValue", "NaN").option("enforceSchema", False).csv(path))
     dbl = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
     cols = [nan_to_null(F.col(f"`{c}`")).alias(c) if c in dbl else F.col(f"`{c}`") for c in df.columns]
+    if with_file:
+        cols += [F.col("_metadata.file_name").alias("src_file"), _fetched_at().alias("fetched_at")]
     if with_order:
         cols.append(F.struct(F.lit(0).alias("part"), F.col("_metadata.file_name").alias("file"),
                              F.col("_metadata.file_block_start").alias("block"),
@@ -123,16 +134,18 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     position in the file (``src_pos``, the "first seen" order) and file name."""
     wrapper = T.StructType([T.StructField("data", T.ArrayType(CATALOG_MODEL))])
     raw = spark.read.schema(wrapper).option("multiLine", True).json(path) \
-        .select("data", F.col("_metadata.file_name").alias("src_file"))
-    return raw.select("src_file", F.posexplode("data").alias("src_pos", "m")).select("src_file", "src_pos", "m.*")
+        .select("data", F.col("_metadata.file_name").alias("src_file"), _fetched_at().alias("fetched_at"))
+    return (raw.select("src_file", "fetched_at", F.posexplode("data").alias("src_pos", "m"))
+               .select("src_file", "fetched_at", "src_pos", "m.*"))
 
 
 def read_hub_models(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of hub models (S6, S7) with their position in the response."""
     wrapper = T.ArrayType(HUB_MODEL)
-    txt = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("src_file"))
-    return (txt.select("src_file", F.posexplode(F.from_json("value", wrapper)).alias("src_pos", "m"))
-               .select("src_file", "src_pos", "m.*"))
+    txt = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("src_file"),
+                                                       _fetched_at().alias("fetched_at"))
+    return (txt.select("src_file", "fetched_at", F.posexplode(F.from_json("value", wrapper)).alias("src_pos", "m"))
+               .select("src_file", "fetched_at", "src_pos", "m.*"))
 
 
 def hub_top(df: DataFrame, order_col: str, n: int, pipeline_tag: str | None = fixed.HUB_PIPELINE_TAG) -> DataFrame:
@@ -166,12 +179,15 @@ def read_leaderboard_page(spark: SparkSession, path: str, category: str = fixed.
     Pages without the block give no rows (use ``require_rows`` to fail).
     """
     pages = spark.read.text(path, wholetext=True)
-    block = pages.select(F.regexp_extract("value", pattern, 1).alias("js")).filter(F.col("js") != "")
-    cats = block.select(F.from_json("js", LEADERBOARD_DATA).alias("cats"))
+    block = (pages.select(F.regexp_extract("value", pattern, 1).alias("js"),
+                          F.col("_metadata.file_name").alias("src_file"), _fetched_at().alias("fetched_at"))
+                  .filter(F.col("js") != ""))
+    cats = block.select("src_file", "fetched_at", F.from_json("js", LEADERBOARD_DATA).alias("cats"))
     pick = F.coalesce(F.get(F.filter("cats", lambda c: c["name"] == category), 0), F.get(F.col("cats"), 0))
-    return (cats.select(pick.alias("cat"))
-                .select(F.col("cat.name").alias("category"), F.posexplode("cat.results").alias("src_pos", "r"))
-                .select("category", "src_pos", "r.*"))
+    return (cats.select("src_file", "fetched_at", pick.alias("cat"))
+                .select("src_file", "fetched_at", F.col("cat.name").alias("category"),
+                        F.posexplode("cat.results").alias("src_pos", "r"))
+                .select("src_file", "fetched_at", "category", "src_pos", "r.*"))
 
 
 def read_package_downloads(spark: SparkSession, path: str) -> DataFrame:
@@ -180,10 +196,10 @@ def read_package_downloads(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType(PACKAGE_RECENT.fields + [T.StructField("_corrupt_record", T.StringType())])
     raw = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-           .select("*", F.col("_metadata.file_name").alias("file_name")))
+           .select("*", F.col("_metadata.file_name").alias("file_name"), _fetched_at().alias("fetched_at")))
     ok = raw.filter(F.col("_corrupt_record").isNull() & F.col("data").isNotNull())
     pkg = F.coalesce(F.col("package"), F.regexp_extract("file_name", r"^([^.]+)", 1))
-    return ok.select(pkg.alias("package"),
+    return ok.select(pkg.alias("package"), F.col("file_name").alias("src_file"), "fetched_at",
                      F.coalesce("data.last_day", F.lit(0)).alias("last_day"),
                      F.coalesce("data.last_week", F.lit(0)).alias("last_week"),
                      F.coalesce("data.last_month", F.lit(0)).alias("last_month"))
@@ -203,6 +219,22 @@ def read_latest_dated_csv(spark: SparkSession, path: str, schema: T.StructType,
     return stamped.join(F.broadcast(newest), "file_stamp", "left_semi")
 
 
+def newest_snapshot(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Rows of the newest landed file, overall or per ``key`` (e.g. per package).
+
+    Feeds land one file per fetch, so a folder accumulates snapshots; the
+    dashboard always used its latest fetch. The newest file is the largest
+    (fetched_at, src_file); overall it is a one-row aggregate (broadcast),
+    per key an aggregate joined back on the key.
+    """
+    snap = F.struct("fetched_at", "src_file")
+    if key is None:
+        newest = df.agg(F.max(snap).alias("_snap"))
+        return df.join(F.broadcast(newest), snap == F.col("_snap"), "left_semi")
+    newest = df.groupBy(key).agg(F.max(snap).alias("_snap"))
+    return df.join(newest, [key], "inner").filter(snap == F.col("_snap")).drop("_snap")
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Fail when a source gave nothing usable."""
     if df.isEmpty():

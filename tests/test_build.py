@@ -71,3 +71,24 @@ def test_build_rerun_is_idempotent(spark, tmp_dir):
     build_all(spark, land, out, "2025-06-02 00:00:00")           # next snapshot
     assert spark.read.parquet(first["chips"]).count() == 4       # 2 makers x 2 snapshots, no duplicates
     assert read_mart(spark, first["chips"]).count() == 2
+
+
+def test_build_uses_newest_snapshot_only(spark, tmp_dir):
+    land = os.path.join(tmp_dir, "landing")
+
+    def catalog(path, ids, mtime):
+        write(path, json.dumps({"data": [{"id": i, "name": i, "created": 1748000000, "context_length": 1000,
+                                          "pricing": {"prompt": "0.000001", "completion": "0.000001"}} for i in ids]}))
+        os.utime(path, (mtime, mtime))
+
+    catalog(f"{land}/catalog/2025-05-01.json", ["openai/old-model"], 1746057600)
+    catalog(f"{land}/catalog/2025-06-01.json", ["openai/new-model", "google/gemini-x"], 1748736000)
+    write(f"{land}/pypi/a.json", json.dumps({"package": "openai", "data": {"last_week": 1}}))
+    os.utime(f"{land}/pypi/a.json", (1746057600, 1746057600))
+    write(f"{land}/pypi/b.json", json.dumps({"package": "openai", "data": {"last_week": 7}}))
+    write(f"{land}/pypi/c.json", json.dumps({"package": "anthropic", "data": {"last_week": 3}}))
+    out = build_all(spark, land, os.path.join(tmp_dir, "out"), "2025-06-02 00:00:00")
+    names = sorted(r["name"] for r in read_mart(spark, out["pricing"]).collect())
+    assert names == ["google/gemini-x", "openai/new-model"]
+    pk = {r["package"]: r["last_week"] for r in read_mart(spark, out["packages"]).collect()}
+    assert pk == {"openai": 7, "anthropic": 3}
