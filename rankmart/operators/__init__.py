@@ -14,3 +14,4 @@ from rankmart.operators.scale import minmax_expr, minmax_scale, log_minmax, grou
 from rankmart.operators.timeline import append_missing, flagship_cut  # noqa: F401
 from rankmart.operators.capability import capability_counts  # noqa: F401
 from rankmart.operators.geo import jitter_columns, jitter_flagged, region_of  # noqa: F401
+from rankmart.operators.skew import salted_join  # noqa: F401

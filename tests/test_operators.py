@@ -75,3 +75,16 @@ def test_check_rows(spark):
     bad = check_rows(spark.createDataFrame([(1.0,), (None,)], "p double"), F.col("p") > 0, "price must be positive")
     with pytest.raises(Exception, match="price must be positive"):
         bad.collect()
+
+
+def test_salted_join_equals_plain_join(spark):
+    from rankmart.operators import salted_join
+    fact = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(300)] + [(999, 5)], "k long, v long")
+    dim = spark.createDataFrame([(k, f"name{k}") for k in range(0, 300, 3)] + [(0, "zero")], "dk long, name string")
+    dim = dim.dropDuplicates(["dk"])
+    for how in ("inner", "left"):
+        plain = sorted(tuple(r) for r in fact.join(dim, fact.k == dim.dk, how).collect())
+        salted = sorted(tuple(r) for r in salted_join(fact, dim, "k", "dk", how, hot_share=0.05, salts=4).collect())
+        assert salted == plain
+    with pytest.raises(ValueError):
+        salted_join(fact, dim, "k", "dk", "right")
