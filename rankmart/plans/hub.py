@@ -55,9 +55,8 @@ def dd_orgs(spark, sf):
             .select("s_suppkey", F.concat("n_name", F.lit("/"), "s_name").alias("id")))
     joined = (per_supp.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
                       .withColumn("org", org_of("id", "community"))
-                      .filter(~F.col("org").isin(P.DD_EXCLUDED_ORGS))
-                      .withColumn("one", F.lit(1.0)))
-    return decayed_sum(joined, "org", "wsum", weight_col="one", count_col="n")
+                      .filter(~F.col("org").isin(P.DD_EXCLUDED_ORGS)))
+    return decayed_sum(joined, "org", "wsum", weight_col=None, count_col="n")
 
 
 def dd_top(spark, sf):
