@@ -38,16 +38,22 @@ def dim_frame(spark: SparkSession, rows, schema: str) -> DataFrame:
 
 
 def lookup(df: DataFrame, dim: DataFrame, on, out: str, default=None,
-           how: str = "left", bounded: bool = False) -> DataFrame:
+           how: str = "left", bounded: bool = False, salted: bool = False) -> DataFrame:
     """Join a dimension table; unmatched rows get ``default`` (left) or drop (inner).
 
     ``bounded=True`` marks a dimension whose row count is known to be small
     (a literal list): only then it is broadcast by hint. Table dimensions are
     left to AQE, which broadcasts them only when their measured size is under
-    the threshold.
+    the threshold; ``salted=True`` (single key column) joins them with
+    ``salted_join`` so a key holding a large share of ``df`` is spread out.
     """
-    d = F.broadcast(dim) if bounded else dim
-    res = df.join(d, on=on, how=how)
+    if salted and not bounded and isinstance(on, str):
+        # keys holding a large share of ``df`` are spread over several tasks
+        from rankmart.operators.skew import salted_join
+        res = salted_join(df, dim.withColumnRenamed(on, "_dk"), on, "_dk", how).drop("_dk")
+    else:
+        d = F.broadcast(dim) if bounded else dim
+        res = df.join(d, on=on, how=how)
     if default is not None and how == "left":
         res = res.withColumn(out, F.coalesce(F.col(out), default if isinstance(default, Column) else F.lit(default)))
     return res

@@ -22,12 +22,14 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
     * the join is on (key, salt): the hot key's rows land in ``salts``
       different tasks instead of one.
 
-    ``how`` is ``inner`` or ``left`` (fact side preserved). AQE's skew-join
-    split does the same for sort-merge joins when its size thresholds fire;
-    this does not depend on them.
+    ``how`` is ``inner``, ``left`` (fact side preserved), ``left_semi`` or
+    ``left_anti`` (fact rows with / without a match; every salt of a hot key
+    sees all its dimension rows, so the answer is the unsalted one). AQE's
+    skew-join split does the same for sort-merge joins when its size
+    thresholds fire; this does not depend on them.
     """
-    if how not in ("inner", "left"):
-        raise ValueError("salted_join supports inner and left joins")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError("salted_join supports inner, left, left_semi and left_anti joins")
     counts = fact.groupBy(F.col(fact_key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n"))
     total = fact.agg(F.count(F.lit(1)).alias("_total"))
     hot = (counts.crossJoin(F.broadcast(total))
@@ -42,4 +44,5 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
                                            .otherwise(F.array(F.lit(0).cast("long")))))
             .drop("_hk", "_hot"))
     cond = (F.col(fact_key) == F.col(dim_key)) & (f["_salt"] == d["_salt"])
-    return f.join(d, cond, how).drop(f["_salt"]).drop(d["_salt"])
+    joined = f.join(d, cond, how).drop(f["_salt"])
+    return joined if how in ("left_semi", "left_anti") else joined.drop(d["_salt"])

@@ -8,19 +8,24 @@ from pyspark.sql import functions as F
 from rankmart.functions.text import normalise_name
 
 
-def append_missing(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
+def append_missing(a: DataFrame, b: DataFrame, a_key: str, b_key: str, salted: bool = False) -> DataFrame:
     """A, plus the rows of B whose case/space-normalised name is not among A's.
 
     A left anti join (null-safe, unlike NOT IN), then UNION ALL by name with
     missing columns null. AQE picks broadcast or shuffle for A's name set
-    from its measured size.
+    from its measured size; ``salted=True`` spreads names that hold a large
+    share of B's rows over several tasks (``salted_join``).
     """
+    from rankmart.operators.skew import salted_join
+
     # distinct is a partial aggregate: each map task ships one row per name.
     names = a.select(normalise_name(a_key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
-    extra = (b.withColumn("_k", normalise_name(b_key))
-              .join(names, "_k", "left_anti")
-              .drop("_k"))
-    return a.unionByName(extra, allowMissingColumns=True)
+    keyed = b.withColumn("_bk", normalise_name(b_key))
+    if salted:
+        extra = salted_join(keyed, names, "_bk", "_k", "left_anti")
+    else:
+        extra = keyed.join(names, F.col("_bk") == F.col("_k"), "left_anti")
+    return a.unionByName(extra.drop("_bk"), allowMissingColumns=True)
 
 
 def flagship_cut(df: DataFrame, as_of, months: int, strip_patterns, tiers, default_tier: int = 2,

@@ -88,3 +88,21 @@ def test_salted_join_equals_plain_join(spark):
         assert salted == plain
     with pytest.raises(ValueError):
         salted_join(fact, dim, "k", "dk", "right")
+
+
+def test_salted_semi_anti_and_wrappers(spark):
+    from rankmart.operators import append_missing, salted_join
+    fact = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(200)], "k long, v long")
+    dim = spark.createDataFrame([(k,) for k in range(0, 200, 4)], "dk long")
+    for how in ("left_semi", "left_anti"):
+        plain = sorted(tuple(r) for r in fact.join(dim, fact.k == dim.dk, how).collect())
+        salted = sorted(tuple(r) for r in salted_join(fact, dim, "k", "dk", how, hot_share=0.05, salts=4).collect())
+        assert salted == plain
+    a = spark.createDataFrame([("GPT-4",), ("Claude",)], "model string")
+    b = spark.createDataFrame([(" gpt-4 ",)] * 30 + [("Gemini",), ("claude",)], "model string")
+    assert sorted(r[0] for r in append_missing(a, b, "model", "model", salted=True).collect()) == \
+        sorted(r[0] for r in append_missing(a, b, "model", "model").collect()) == ["Claude", "GPT-4", "Gemini"]
+    dim2 = dim_frame(spark, [(0, "zero"), (4, "four")], "k long, name string")
+    plain = sorted(tuple(r) for r in lookup(fact, dim2, "k", "name", default="?").collect())
+    salted = sorted(tuple(r) for r in lookup(fact, dim2, "k", "name", default="?", salted=True).collect())
+    assert salted == plain
