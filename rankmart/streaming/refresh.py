@@ -58,3 +58,27 @@ def start_refresh(spark: SparkSession, landing_dir: str, schema: StructType, sna
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
+
+
+def stream_refresh_status(spark: SparkSession, snapshot_table: str, schema: StructType, status_table: str,
+                          available_now: bool = True, interval: str = "5 minutes", checkpoint: str | None = None):
+    """Keep a refresh-status table current from the snapshot table ``start_refresh`` writes.
+
+    A file stream over the snapshot table feeds a running aggregate per
+    source (newest ``fetched_at``, landed rows). Its state is one row per
+    source, so it stays small however many snapshots arrive; each micro-batch
+    rewrites ``status_table`` with the complete result.
+    ``schema`` is the snapshot rows' schema including ``source``,
+    ``fetched_at`` and ``batch_id``.
+    """
+    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/refresh-status"
+    snaps = spark.readStream.schema(schema).parquet(snapshot_table)
+    status = snaps.groupBy("source").agg(F.max("fetched_at").alias("last_fetched"),
+                                         F.count(F.lit(1)).alias("rows_landed"))
+
+    def batch(df: DataFrame, epoch_id: int) -> None:
+        df.write.mode("overwrite").parquet(status_table)
+
+    w = status.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", ckpt)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()

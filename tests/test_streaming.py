@@ -58,3 +58,23 @@ def test_refresh_stream_available_now(spark, tmp_dir):
     q2 = start_refresh(spark, land, schema, table, "pypi", checkpoint=os.path.join(tmp_dir, "ckpt"))
     q2.awaitTermination(120)
     assert spark.read.parquet(table).count() == 4
+
+
+def test_stream_refresh_status(spark, tmp_dir):
+    from rankmart.streaming import stream_refresh_status
+    land = os.path.join(tmp_dir, "landing")
+    os.makedirs(land)
+    for i in range(2):
+        with open(os.path.join(land, f"s{i}.json"), "w") as f:
+            f.write(json.dumps({"package": f"p{i}", "last_week": i}) + "\n")
+    table = os.path.join(tmp_dir, "snapshots")
+    schema = T.StructType([T.StructField("package", T.StringType()), T.StructField("last_week", T.LongType())])
+    start_refresh(spark, land, schema, table, "pypi", checkpoint=os.path.join(tmp_dir, "c1")).awaitTermination(120)
+    snap_schema = T.StructType(schema.fields + [T.StructField("fetched_at", T.TimestampNTZType()),
+                                                T.StructField("payload_file", T.StringType()),
+                                                T.StructField("source", T.StringType()),
+                                                T.StructField("batch_id", T.LongType())])
+    status = os.path.join(tmp_dir, "status")
+    stream_refresh_status(spark, table, snap_schema, status, checkpoint=os.path.join(tmp_dir, "c2")).awaitTermination(120)
+    rows = spark.read.parquet(status).collect()
+    assert [(r["source"], r["rows_landed"]) for r in rows] == [("pypi", 2)] and rows[0]["last_fetched"] is not None
