@@ -116,3 +116,17 @@ def test_sizing():
     conf = sizing(100 * 2 ** 40, 8000)
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert int(sizing(10 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_more_helpers(spark):
+    from rankmart.functions import first_line, short_tokens, trunc_to_long
+    df = spark.createDataFrame([(2_000_000,), (131_072,), (999,), (1_048_576,)], "v long")
+    assert [r[0] for r in df.select(short_tokens("v")).collect()] == ["2.0M", "131K", "999", "1.0M"]
+    assert one(spark, first_line(F.col("v")), "title\nbody\nmore") == "title"
+    assert one(spark, first_line(F.col("v")), "single") == "single"
+    assert one(spark, strict_date(F.col("v"), "dd/MM/yyyy"), "03/01/2025") == dt.date(2025, 1, 3)
+    assert one(spark, strict_date(F.col("v"), "dd/MM/yyyy"), "2025-01-03") is None
+    # rounding to 6 digits first: 12345.9999999996 is 12346, not 12345
+    assert one(spark, trunc_to_long(F.col("v")), 12345.9999999996, "v double") == 12346
+    assert one(spark, trunc_to_long(F.col("v")), 3.99, "v double") == 3
+    assert one(spark, to_double(F.col("v")), 7, "v int") == 7.0
