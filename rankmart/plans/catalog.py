@@ -88,6 +88,7 @@ def price_rows(spark, sf):
 WITH {_PR_SQL}
 SELECT * FROM pr""")
 def price_latest_family(spark, sf):
+    """Newest priced variant per family among allowed orgs, with dot size (M3)."""
     return price_rows(spark, sf)
 
 
@@ -152,6 +153,7 @@ def context_families(spark, sf):
 WITH {_CTX_SQL}
 SELECT family_key, id, name, ctx, org, first_pos FROM fam""")
 def context_family_max(spark, sf):
+    """Largest-context variant per family, first seen on ties, with the family's first position (M2)."""
     return context_families(spark, sf).select("family_key", "id", "name", "ctx", "org", "first_pos")
 
 

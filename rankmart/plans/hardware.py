@@ -40,6 +40,7 @@ WITH {_CHIP_SQL}
 SELECT row_number() OVER (ORDER BY count DESC, manufacturer) AS rank, manufacturer, count, country
 FROM cc ORDER BY count DESC, manufacturer LIMIT {P.CHIP_TOP_N}""")
 def chip_share(spark, sf):
+    """Top makers by row count with their country, "Other" when unmapped (M6)."""
     return top_n(chip_counts(spark, sf), [F.col("count").desc(), F.col("manufacturer").asc()], P.CHIP_TOP_N) \
         .select("rank", "manufacturer", "count", "country")
 
@@ -124,6 +125,7 @@ SELECT s_suppkey, name, owner, country, region, round(lat, 6) AS lat, round(lon,
        h100_equiv, round(power_mw, 6) AS power_mw, round(dot_size, 6) AS dot_size, anonymized
 FROM geo""")
 def geo_jitter(spark, sf):
+    """Cluster points with region, dot size and deterministic jitter of flagged rows (M7)."""
     g = geo_rows(spark, sf)
     return g.select("s_suppkey", "name", "owner", "country", "region",
                     F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "h100_equiv",

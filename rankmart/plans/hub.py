@@ -69,6 +69,7 @@ WITH {_DD_SQL_BASE}
 SELECT rank, org, display_name, downloads, model_count, {_SHORT_SQL.format(c='downloads')} AS downloads_label
 FROM top""")
 def decayed_downloads(spark, sf):
+    """Top orgs by recency-decayed downloads, with display name and short text (M8)."""
     return dd_top(spark, sf).select("rank", "org", "display_name", "downloads", "model_count",
                                     short_number("downloads").alias("downloads_label"))
 
@@ -129,6 +130,7 @@ WITH {_TR_SQL}
 SELECT src_rank AS rank, model_name, org, likes, downloads, created_date, days_ago
 FROM tr""")
 def trending(spark, sf):
+    """Top entries by trending score in source order, with org, short name and age (M9)."""
     return tr_rows(spark, sf)
 
 

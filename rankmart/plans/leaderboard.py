@@ -70,6 +70,7 @@ WITH {_SQL_SCORES}
 SELECT rank, entity, round(avg_z, 6) AS avg_z, {", ".join(f'"{c}"' for c in CATS)}
 FROM lb_top ORDER BY rank""")
 def zscore_leaderboard(spark, sf):
+    """Top entities by mean z-score across categories, one column per category (M1 matrix)."""
     return lb_matrix(spark, sf).select("rank", "entity", F.round("avg_z", 6).alias("avg_z"), *CATS)
 
 
@@ -78,6 +79,7 @@ WITH {_SQL_IN}
 SELECT entity, count(*) AS n_categories FROM lb_best
 GROUP BY entity HAVING count(*) >= {P.LB_MIN_CATEGORIES}""")
 def coverage_gate(spark, sf):
+    """Entities with best scores in at least N-1 of the N categories."""
     best = best_per_entity(lb_input(spark, sf), "entity", "category", "score")
     return (best.groupBy("entity").agg(F.count(F.lit(1)).alias("n_categories"))
                 .filter(F.col("n_categories") >= P.LB_MIN_CATEGORIES))

@@ -41,6 +41,7 @@ _LS_SQL = f"""
 WITH {_LS_SQL}
 SELECT model_group, date, org FROM ls WHERE org IS NOT NULL AND date IS NOT NULL""")
 def entity_last_seen(spark, sf):
+    """Last date per entity with its prefix-rule org; unmatched orgs dropped."""
     return last_seen(spark, sf)
 
 
@@ -95,6 +96,7 @@ _TL_SQL = _LS_SQL + f""",
 WITH {_TL_SQL}
 SELECT model, org, date, compute_flop, parameters, has_compute FROM tl""")
 def release_timeline(spark, sf):
+    """Catalogue rows plus the entities missing from them by normalised name (M4 union)."""
     return timeline(spark, sf).select("model", "org", "date", "compute_flop", "parameters", "has_compute")
 
 
@@ -223,6 +225,7 @@ def rl_rows(spark, sf):
 WITH {_RL_SQL}
 SELECT rank, name, resolved, org, is_open FROM rl""")
 def rule_leaderboard(spark, sf):
+    """Top entries by score with org from ordered case-insensitive rules and an open flag."""
     return rl_rows(spark, sf)
 
 
