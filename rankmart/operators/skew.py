@@ -22,6 +22,9 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
     * the join is on (key, salt): the hot key's rows land in ``salts``
       different tasks instead of one.
 
+    ``fact_key`` and ``dim_key`` must be different column names (rename one
+    side first when they clash). Null keys never match, as in a plain join.
+
     ``how`` is ``inner``, ``left`` (fact side preserved), ``left_semi`` or
     ``left_anti`` (fact rows with / without a match; every salt of a hot key
     sees all its dimension rows, so the answer is the unsalted one). AQE's
@@ -30,6 +33,8 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("salted_join supports inner, left, left_semi and left_anti joins")
+    if fact_key == dim_key:
+        raise ValueError("salted_join needs different key column names on the two sides")
     counts = fact.groupBy(F.col(fact_key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n"))
     total = fact.agg(F.count(F.lit(1)).alias("_total"))
     hot = (counts.crossJoin(F.broadcast(total))
