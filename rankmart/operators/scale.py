@@ -52,8 +52,9 @@ def group_median(df: DataFrame, col: str, by: Sequence[str] | str, out: str = "m
 
     1. distinct values are counted per group (a partial aggregate: a hot group
        is reduced map-side and spread over tasks by value);
-    2. a bounded quantile sketch per group (``percentile_approx``) cuts the
-       group's values into ~``buckets`` ranges; counts per range give, with a
+    2. a bounded quantile sketch per group (``percentile_approx`` over its
+       distinct values) cuts the group's values into ~``buckets`` ranges;
+       counts per range give, with a
        window over at most ``buckets`` rows per group, the range that holds
        the middle rank;
     3. only the distinct values of that range are ranked exactly.
@@ -67,8 +68,10 @@ def group_median(df: DataFrame, col: str, by: Sequence[str] | str, out: str = "m
     vals = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     vc = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = vals.groupBy(*keys).agg(F.percentile_approx("_v", probs, accuracy).alias("_b"),
-                                     F.count(F.lit(1)).alias("_n"))
+    # ranges cut on the group's distinct values: the exact step below ranks distinct
+    # values, so this balances its work (and the sketch reads fewer rows)
+    bounds = vc.groupBy(*keys).agg(F.percentile_approx("_v", probs, accuracy).alias("_b"),
+                                   F.sum("_c").alias("_n"))
     vb = (vc.join(bounds, keys)
             .withColumn("_k", F.size(F.filter("_b", lambda b: b < F.col("_v"))))
             .drop("_b"))
