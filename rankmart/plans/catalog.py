@@ -93,19 +93,26 @@ def price_latest_family(spark, sf):
 
 
 @query("price_latest_family_kpis", f"""
-WITH {_PR_SQL}
-SELECT (SELECT count(*) FROM pr) AS n_models, (SELECT count(DISTINCT org) FROM pr) AS n_orgs,
-       name AS cheapest_name, org AS cheapest_org,
-       {spark_round('prompt_1m + completion_1m', 3)} AS cheapest_total
-FROM pr ORDER BY prompt_1m + completion_1m, name LIMIT 1""")
+WITH {_PR_SQL},
+  c AS (SELECT (SELECT count(*) FROM pr) AS n_models, (SELECT count(DISTINCT org) FROM pr) AS n_orgs,
+               name AS cheapest_name, org AS cheapest_org,
+               {spark_round('prompt_1m + completion_1m', 3)} AS cheapest_total,
+               prompt_1m AS p, completion_1m AS cp
+        FROM pr ORDER BY prompt_1m + completion_1m, name LIMIT 1)
+SELECT n_models, n_orgs, cheapest_name, cheapest_org, cheapest_total,
+       printf({q(fixed.INSIGHT_PRICING)}, n_models, cheapest_name, {spark_round('p', 2)}, {spark_round('cp', 2)}) AS insight
+FROM c""")
 def price_latest_family_kpis(spark, sf):
     """Cheapest model by prompt + completion price."""
     pr = price_rows(spark, sf)
     tot = F.col("prompt_1m") + F.col("completion_1m")
-    cheap = F.min(F.struct(tot.alias("t"), F.col("name").alias("n"), F.col("org").alias("o")))
+    cheap = F.min(F.struct(tot.alias("t"), F.col("name").alias("n"), F.col("org").alias("o"),
+                           F.col("prompt_1m").alias("p"), F.col("completion_1m").alias("c")))
     one = pr.agg(F.count(F.lit(1)).alias("n_models"), F.count_distinct("org").alias("n_orgs"), cheap.alias("c"))
     return one.select("n_models", "n_orgs", F.col("c.n").alias("cheapest_name"), F.col("c.o").alias("cheapest_org"),
-                      F.round("c.t", 3).alias("cheapest_total"))
+                      F.round("c.t", 3).alias("cheapest_total"),
+                      F.format_string(fixed.INSIGHT_PRICING, "n_models", F.col("c.n"), F.round("c.p", 2),
+                                      F.round("c.c", 2)).alias("insight"))
 
 
 # ----------------------------------------------------------------------- M2

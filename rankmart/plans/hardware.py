@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankmart import fixed
 from rankmart.functions import log_clip, to_double
 from rankmart.operators import (
     jitter_columns, log_minmax, map_lookup, minmax_expr, region_of, share_stats, top_n,
 )
 from rankmart.plans import params as P
-from rankmart.plans.registry import case_map, query, sql_list
+from rankmart.plans.registry import case_map, q, query, spark_round, sql_list
 from rankmart.sources import table
 
 # ----------------------------------------------------------------------- M6
@@ -47,21 +48,27 @@ def chip_share(spark, sf):
 
 @query("chip_share_stats", f"""
 WITH {_CHIP_SQL},
-  t AS (SELECT manufacturer, count FROM cc ORDER BY count DESC, manufacturer LIMIT 1)
-SELECT (SELECT count(*) FROM customer) AS total,
+  t AS (SELECT manufacturer, count FROM cc ORDER BY count DESC, manufacturer LIMIT 1),
+  k AS (SELECT (SELECT count(*) FROM customer) AS total,
        coalesce(sum(count) FILTER (WHERE country = 'US'), 0)::BIGINT AS us_count,
        count(DISTINCT manufacturer) FILTER (WHERE country = 'US') AS us_makers,
        coalesce(sum(count) FILTER (WHERE country = 'China'), 0)::BIGINT AS cn_count,
        count(DISTINCT manufacturer) FILTER (WHERE country = 'China') AS cn_makers,
        (SELECT manufacturer FROM t) AS top_maker, (SELECT count FROM t) AS top_count,
        round((SELECT count FROM t) / (SELECT count(*) FROM customer) * 100.0, 6) AS top_share
-FROM cc""")
+FROM cc),
+  k2 AS (SELECT * FROM k)
+SELECT *, printf({q(fixed.INSIGHT_CHIPS)}, top_maker, top_count, total, {spark_round('top_share', 0)},
+                 cn_makers, cn_count, us_makers, us_count) AS insight
+FROM k2""")
 def chip_share_stats(spark, sf):
     """Totals over all makers, not just the shown top n."""
     counts = chip_counts(spark, sf)
     total = table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("total"))
-    stats = share_stats(counts, "manufacturer", "country", total)
-    return stats.withColumnRenamed("top_key", "top_maker")
+    stats = share_stats(counts, "manufacturer", "country", total).withColumnRenamed("top_key", "top_maker")
+    return stats.withColumn("insight", F.format_string(
+        fixed.INSIGHT_CHIPS, "top_maker", "top_count", "total", F.round("top_share", 0),
+        "cn_makers", "cn_count", "us_makers", "us_count"))
 
 
 # ----------------------------------------------------------------------- M7

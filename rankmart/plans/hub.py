@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankmart.functions import age_days, iso_prefix_date, org_of, short_name, short_number
 from rankmart.operators import keep_first, lookup, map_lookup, top_n
 from rankmart.operators.decay import decay_column, decayed_sum
+from rankmart import fixed
 from rankmart.plans import params as P
 from rankmart.plans.registry import case_map, q, query, sql_list
 from rankmart.sources import table
@@ -75,11 +76,13 @@ def decayed_downloads(spark, sf):
 
 
 @query("decayed_downloads_kpis", f"""
-WITH {_DD_SQL_BASE}
-SELECT (SELECT sum(downloads) FROM top)::BIGINT AS shown_total,
-       (SELECT count(*) FROM g) AS n_orgs,
-       t.org AS top_org, t.display_name AS top_display, t.downloads AS top_downloads
-FROM top t WHERE t.rank = 1""")
+WITH {_DD_SQL_BASE},
+  k AS (SELECT (SELECT sum(downloads) FROM top)::BIGINT AS shown_total, (SELECT count(*) FROM g) AS n_orgs,
+               t.org AS top_org, t.display_name AS top_display, t.downloads AS top_downloads, t.model_count AS top_models
+        FROM top t WHERE t.rank = 1)
+SELECT *, printf({q(fixed.INSIGHT_DOWNLOADS)}, top_display, {_SHORT_SQL.format(c='top_downloads')}, top_models,
+                 {_SHORT_SQL.format(c='shown_total')}) AS insight
+FROM k""")
 def decayed_downloads_kpis(spark, sf):
     """Sum over the shown top-n, org count, leader."""
     orgs = dd_orgs(spark, sf)
@@ -89,8 +92,11 @@ def decayed_downloads_kpis(spark, sf):
     n = orgs.agg(F.count(F.struct(*orgs.columns)).alias("n_orgs"))
     lead = top.filter(F.col("rank") == 1).select(F.col("org").alias("top_org"),
                                                  F.col("display_name").alias("top_display"),
-                                                 F.col("downloads").alias("top_downloads"))
-    return k.crossJoin(n).crossJoin(lead)
+                                                 F.col("downloads").alias("top_downloads"),
+                                                 F.col("model_count").alias("top_models"))
+    return k.crossJoin(n).crossJoin(lead).withColumn("insight", F.format_string(
+        fixed.INSIGHT_DOWNLOADS, "top_display", short_number("top_downloads"), "top_models",
+        short_number("shown_total")))
 
 
 # ----------------------------------------------------------------------- M9
@@ -136,21 +142,34 @@ def trending(spark, sf):
 
 @query("trending_kpis", f"""
 WITH {_TR_SQL},
-  r AS (SELECT src_rank AS rank, * FROM tr)
-SELECT (SELECT count(*) FROM r) AS n_models,
-       (SELECT model_name FROM r ORDER BY downloads DESC, rank LIMIT 1) AS leader_model,
-       (SELECT rank FROM r ORDER BY downloads DESC, rank LIMIT 1) AS leader_rank,
-       (SELECT model_name FROM r WHERE days_ago IS NOT NULL ORDER BY days_ago, rank LIMIT 1) AS freshest_model,
-       (SELECT days_ago FROM r WHERE days_ago IS NOT NULL ORDER BY days_ago, rank LIMIT 1) AS freshest_days""")
+  r AS (SELECT src_rank AS rank, * FROM tr),
+  ld AS (SELECT model_name, rank, org, downloads FROM r ORDER BY downloads DESC, rank LIMIT 1),
+  fr AS (SELECT model_name, days_ago FROM r WHERE days_ago IS NOT NULL ORDER BY days_ago, rank LIMIT 1),
+  k AS (SELECT (SELECT count(*) FROM r) AS n_models,
+               (SELECT model_name FROM ld) AS leader_model, (SELECT rank FROM ld) AS leader_rank,
+               (SELECT org FROM ld) AS leader_org, (SELECT downloads FROM ld) AS leader_downloads,
+               (SELECT model_name FROM fr) AS freshest_model, (SELECT days_ago FROM fr) AS freshest_days)
+SELECT *, printf({q(fixed.INSIGHT_TRENDING)}, leader_rank, leader_model, leader_org,
+                 {_SHORT_SQL.format(c='leader_downloads')})
+          || CASE WHEN freshest_model IS NOT NULL
+                  THEN printf({q(fixed.INSIGHT_TRENDING_FRESHEST)}, freshest_model, freshest_days) ELSE '' END AS insight
+FROM k""")
 def trending_kpis(spark, sf):
     """Leader by downloads (its rank need not be 1) and freshest model."""
     r = tr_rows(spark, sf)
-    lead = F.min(F.struct((-F.col("downloads")).alias("d"), F.col("rank").alias("r"), F.col("model_name").alias("m")))
+    lead = F.min(F.struct((-F.col("downloads")).alias("d"), F.col("rank").alias("r"), F.col("model_name").alias("m"),
+                          F.col("org").alias("o")))
     fresh = F.min(F.when(F.col("days_ago").isNotNull(),
                          F.struct(F.col("days_ago").alias("a"), F.col("rank").alias("r"), F.col("model_name").alias("m"))))
     one = r.agg(F.count(F.lit(1)).alias("n_models"), lead.alias("l"), fresh.alias("f"))
-    return one.select("n_models", F.col("l.m").alias("leader_model"), F.col("l.r").alias("leader_rank"),
-                      F.col("f.m").alias("freshest_model"), F.col("f.a").alias("freshest_days"))
+    one = one.select("n_models", F.col("l.m").alias("leader_model"), F.col("l.r").alias("leader_rank"),
+                     F.col("l.o").alias("leader_org"), (-F.col("l.d")).alias("leader_downloads"),
+                     F.col("f.m").alias("freshest_model"), F.col("f.a").alias("freshest_days"))
+    head = F.format_string(fixed.INSIGHT_TRENDING, "leader_rank", "leader_model", "leader_org",
+                           short_number("leader_downloads"))
+    tail = F.when(F.col("freshest_model").isNotNull(),
+                  F.format_string(fixed.INSIGHT_TRENDING_FRESHEST, "freshest_model", "freshest_days")).otherwise(F.lit(""))
+    return one.withColumn("insight", F.concat(head, tail))
 
 
 # ---------------------------------------------------------------------- M10

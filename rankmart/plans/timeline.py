@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankmart import fixed
 from rankmart.functions import classify_first, clip_lower, strict_date, to_double
 from rankmart.operators import append_missing, flagship_cut, impute_median, map_lookup, minmax_scale, salted_join, top_n
 from rankmart.plans import params as P
-from rankmart.plans.registry import case_map, case_rules, query
+from rankmart.plans.registry import case_map, case_rules, q, query, spark_round
 from rankmart.session import checkpoint_dir
 from rankmart.sources import table
 
@@ -230,14 +231,19 @@ def rule_leaderboard(spark, sf):
 
 
 @query("rule_leaderboard_kpis", f"""
-WITH {_RL_SQL}
-SELECT (SELECT count(*) FILTER (WHERE is_open) FROM rl) AS n_open,
-       (SELECT count(DISTINCT org) FROM rl) AS n_orgs, name AS top_name, org AS top_org, resolved AS top_resolved
-FROM rl WHERE rank = 1""")
+WITH {_RL_SQL},
+  k AS (SELECT (SELECT count(*) FILTER (WHERE is_open) FROM rl) AS n_open, (SELECT count(*) FROM rl) AS n_shown,
+               (SELECT count(DISTINCT org) FROM rl) AS n_orgs, name AS top_name, org AS top_org,
+               resolved AS top_resolved
+        FROM rl WHERE rank = 1)
+SELECT *, printf({q(fixed.INSIGHT_CODING)}, top_name, {spark_round('top_resolved', 1)}, n_open, n_shown) AS insight
+FROM k""")
 def rule_leaderboard_kpis(spark, sf):
     """Open entries among the shown ones and the leader."""
     rl = rl_rows(spark, sf)
-    k = rl.agg(F.count_if("is_open").alias("n_open"), F.count_distinct("org").alias("n_orgs"))
+    k = rl.agg(F.count_if("is_open").alias("n_open"), F.count(F.lit(1)).alias("n_shown"),
+               F.count_distinct("org").alias("n_orgs"))
     lead = rl.filter(F.col("rank") == 1).select(F.col("name").alias("top_name"), F.col("org").alias("top_org"),
                                                 F.col("resolved").alias("top_resolved"))
-    return k.crossJoin(lead)
+    return k.crossJoin(lead).withColumn("insight", F.format_string(
+        fixed.INSIGHT_CODING, "top_name", F.round("top_resolved", 1), "n_open", "n_shown"))
