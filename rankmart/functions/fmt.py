@@ -23,11 +23,11 @@ def short_number(c, missing: str | None = None) -> Column:
 
 
 def short_tokens(c) -> Column:
-    """Token counts with integer thousands: 131072 -> "131K"."""
+    """Token counts: one decimal in millions from 1M up, else integer thousands
+    (131072 -> "131K", 999 -> "0K", 2000000 -> "2.0M")."""
     c = _c(c).cast("long")
     return (F.when(c >= 1_000_000, F.concat(F.format_string("%.1f", F.round(c / 1_000_000, 1)), F.lit("M")))
-            .when(c >= 1_000, F.concat((c / 1000).cast("long").cast("string"), F.lit("K")))
-            .otherwise(c.cast("string")))
+            .otherwise(F.concat(F.floor(c / 1000).cast("long").cast("string"), F.lit("K"))))
 
 
 def truncate_label(c, max_len: int = 22, ellipsis: str = "…") -> Column:
