@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "inner",
-                hot_share: float = 0.01, salts: int = 16, salt_by: Sequence[str] | None = None) -> DataFrame:
+                hot_share: float = 0.01, salts: int = 16, salt_by: Sequence[str] | None = None,
+                broadcast_max_rows: int | None = None) -> DataFrame:
     """``fact JOIN dim ON fact_key = dim_key`` with hot keys spread over ``salts`` tasks.
 
     * hot keys: keys holding more than ``hot_share`` of the fact rows, found by
@@ -22,6 +23,11 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
     * the join is on (key, salt): the hot key's rows land in ``salts``
       different tasks instead of one.
 
+    ``broadcast_max_rows``: when given, the dimension's rows are counted
+    first (one number to the driver); at or under the limit the dimension is
+    broadcast and the fact side never moves (a hot key costs nothing then),
+    above it the salted plan runs. Broadcast only behind that size check.
+
     ``fact_key`` and ``dim_key`` must be different column names (rename one
     side first when they clash). Null keys never match, as in a plain join.
 
@@ -35,6 +41,8 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
         raise ValueError("salted_join supports inner, left, left_semi and left_anti joins")
     if fact_key == dim_key:
         raise ValueError("salted_join needs different key column names on the two sides")
+    if broadcast_max_rows is not None and dim.count() <= broadcast_max_rows:
+        return fact.join(F.broadcast(dim), F.col(fact_key) == F.col(dim_key), how)
     counts = fact.groupBy(F.col(fact_key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n"))
     total = fact.agg(F.count(F.lit(1)).alias("_total"))
     hot = (counts.crossJoin(F.broadcast(total))

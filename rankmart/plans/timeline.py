@@ -53,7 +53,7 @@ def notable(spark, sf):
     c = table(spark, sf, "customer")
     # one row per order is needed here (no pre-aggregation possible), so a customer
     # holding a large share of the orders is spread over several tasks
-    rows = salted_join(o, c, "o_custkey", "c_custkey").select(
+    rows = salted_join(o, c, "o_custkey", "c_custkey", broadcast_max_rows=P.TL_BROADCAST_MAX_ROWS).select(
         F.col("c_name").alias("model"),
         map_lookup("c_mktsegment", P.TL_ORG_MAP).alias("org"),
         strict_date(F.to_date("o_orderdate").cast("string")).alias("date"),
