@@ -98,7 +98,7 @@ def _class_counts(text: Column) -> list[list[tuple[str, Column]]]:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per language: character-class counts and the commonest words with their counts.
+    """One row per language: shares of the character classes, the commonest words, their shares and the rest's.
 
     Both come from all rows. Words are summed in each task before the shuffle on (language, word); the
     commonest are cut per task as well, so a hot language never meets in one task.
@@ -114,31 +114,30 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataF
     words = (rows.select("lang", F.explode(_words(F.col("t"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n")))
     # the commonest per language: first within 64 salts of it, then among those (Spark cuts both per task, too)
     salted = words.withColumn("salt", F.pmod(F.xxhash64("w"), F.lit(64)))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("ref_words"))
+    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     first = salted.withColumn("k", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "w"))).where(
         F.col("k") <= COMMON_WORDS)
     top = first.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(
         F.col("k") <= COMMON_WORDS)
     top = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "w", "n"))).alias("top"))
-    return (chars.join(totals, "lang").join(top, "lang")
-            .where(F.col("ref_words") >= MIN_REFERENCE_WORDS)
-            .select("lang", "ref_classes", "ref_words", F.transform("top", lambda x: x["w"]).alias("ref_top"),
-                    F.transform("top", lambda x: x["n"]).alias("ref_n")))
+    all_chars = F.aggregate("ref_classes", F.lit(0).cast("long"), lambda a, x: a + x)
+    all_top = F.aggregate("top", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return (chars.join(totals, "lang").join(top, "lang").where(F.col("total") >= MIN_REFERENCE_WORDS)
+            .withColumns({"all_chars": all_chars, "rest": F.col("total") - all_top})
+            .select("lang", F.transform("ref_classes", lambda x: x.cast("double") / F.col("all_chars")).alias("ref_chars"),
+                    F.transform("top", lambda x: x["w"]).alias("ref_top"),
+                    F.transform(F.concat(F.transform("top", lambda x: x["n"]), F.array("rest")),
+                                lambda x: x.cast("double") / F.col("total")).alias("ref_words")))
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays of one length (null where either sums to 0)."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    sp, sq = total(p), total(q)
-
+    """Jensen-Shannon distance of two arrays of shares, of one length."""
     def term(a, b):
-        a, b = a.cast("double") / sp, b.cast("double") / sq
-        m = (a + b) / 2
-        part = lambda x: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
+        part = lambda x: F.when(x > 0, x * F.log2(x / ((a + b) / 2))).otherwise(0.0)
         return (part(a) + part(b)) / 2
 
     div = F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda s, x: s + x)
-    return F.when((sp > 0) & (sq > 0), F.sqrt(F.greatest(div, F.lit(0.0))))
+    return F.sqrt(F.greatest(div, F.lit(0.0)))
 
 
 def measure(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFrame | None = None) -> DataFrame:
@@ -147,7 +146,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataF
         refs = stored(references(docs, text, lang), "quality-references")
     if refs.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:
         refs = F.broadcast(refs)  # at most 2000 rows of 16 words: far below a megabyte
-    refs = refs.select(F.col("lang").alias("_ref_lang"), "ref_classes", "ref_words", "ref_top", "ref_n")
+    refs = refs.select(F.col("lang").alias("_ref_lang"), "ref_chars", "ref_words", "ref_top")
     kept = F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("_row")
     out = docs.select(kept, F.coalesce(docs[f"`{lang}`"].cast("string"), F.lit("")).alias("_lang"),
                       F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("_text"))
@@ -160,11 +159,14 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataF
     out = out.withColumn("_counts", F.when(
         c("ref_top").isNotNull() & (c("n_words") >= MIN_WORDS_JS),
         F.slice(F.array(*[F.coalesce(seen(j), F.lit(0)).cast("long") for j in range(COMMON_WORDS)]), F.lit(1), F.size("ref_top"))))
-    rest = lambda total, part: F.concat(part, F.array(total - F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s + x)))
+    # shares first, each in a column of its own: a lambda evaluates what it refers to again for every element
     out = out.withColumns({
-        "char_js": F.when(c("_chars") >= MIN_CHARS_JS, js_distance(c("_classes"), c("ref_classes"))),
-        "word_js": F.when(c("_counts").isNotNull(), js_distance(rest(c("n_words"), c("_counts")),
-                                                               rest(c("ref_words"), c("ref_n"))))})
+        "_rest": c("n_words") - F.aggregate("_counts", F.lit(0).cast("long"), lambda s, x: s + x),
+        "_p_chars": F.when(c("_chars") >= MIN_CHARS_JS, F.transform("_classes", lambda x: x.cast("double") / c("_chars")))})
+    out = out.withColumn("_p_words", F.transform(F.concat("_counts", F.array("_rest")),
+                                                 lambda x: x.cast("double") / c("n_words")))
+    out = out.withColumns({"char_js": js_distance(c("_p_chars"), c("ref_chars")),
+                           "word_js": js_distance(c("_p_words"), c("ref_words"))})
     out = out.withColumn("base_failed", base_failed(c("n_words"), c("n_repeat_words")))
     out = out.withColumn("kept", ~c("base_failed") & (F.coalesce(c("char_js"), F.lit(0.0)) <= MAX_CHAR_JS)
                          & (F.coalesce(c("word_js"), F.lit(0.0)) <= MAX_WORD_JS))
