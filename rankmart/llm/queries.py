@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankmart.llm import quality
-from rankmart.llm.common import read_table
+from rankmart.llm import huffman, quality, token_cache
+from rankmart.llm.common import read_table, shared_path
 from rankmart.llm.quality_sql import QUALITY_SQL
 from rankmart.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -15,3 +16,19 @@ def op9_quality_divergence(spark, sf_dir):
     """Base counts, Jensen-Shannon distances to the language references and the verdict, per document."""
     out = quality.score_documents(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op3_token_digest_cache")
+def op3_token_digest_cache(spark, sf_dir):
+    """Token counts of every whole text through a digest cache that starts empty in the shared folder."""
+    out = token_cache.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                                   shared_path(spark, "token-cache"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op6_huffman_ids")
+def op6_huffman_ids(spark, sf_dir):
+    """Ids of every whole text, written as Huffman files and read back."""
+    path = shared_path(spark, "huffman-ids")
+    huffman.write_ids(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return huffman.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
