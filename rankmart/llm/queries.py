@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankmart.llm import huffman, quality, token_cache
+from rankmart.llm import huffman, packing, quality, token_cache
 from rankmart.llm.common import read_table, shared_path
 from rankmart.llm.quality_sql import QUALITY_SQL
 from rankmart.llm.registry import ORACLE, QUERIES, query  # noqa: F401
@@ -32,3 +32,10 @@ def op6_huffman_ids(spark, sf_dir):
     path = shared_path(spark, "huffman-ids")
     huffman.write_ids(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return huffman.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op2_pattern_packing")
+def op2_pattern_packing(spark, sf_dir):
+    """All documents in sequences of at most 4096 ids, by length patterns."""
+    out = packing.pack_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
