@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankmart.llm import huffman, packing, quality, token_cache
+from rankmart.llm import huffman, lm_scoring, packing, quality, token_cache
 from rankmart.llm.common import read_table, shared_path
 from rankmart.llm.quality_sql import QUALITY_SQL
 from rankmart.llm.registry import ORACLE, QUERIES, query  # noqa: F401
@@ -39,3 +39,9 @@ def op2_pattern_packing(spark, sf_dir):
     """All documents in sequences of at most 4096 ids, by length patterns."""
     out = packing.pack_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op1_deleted_interpolation")
+def op1_deleted_interpolation(spark, sf_dir):
+    """Deleted-interpolation word bigram scores of all whole texts, beside the add-0.1 unigram base."""
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), order=2)
