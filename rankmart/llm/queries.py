@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankmart.llm import huffman, lm_scoring, packing, quality, token_cache
+from rankmart.llm import chosen_path, huffman, lm_scoring, packing, quality, token_cache
 from rankmart.llm.common import read_table, shared_path
 from rankmart.llm.quality_sql import QUALITY_SQL
 from rankmart.llm.registry import ORACLE, QUERIES, query  # noqa: F401
@@ -45,3 +45,9 @@ def op2_pattern_packing(spark, sf_dir):
 def op1_deleted_interpolation(spark, sf_dir):
     """Deleted-interpolation word bigram scores of all whole texts, beside the add-0.1 unigram base."""
     return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), order=2)
+
+
+@query("op8_chosen_path_join")
+def op8_chosen_path_join(spark, sf_dir):
+    """Near-duplicate class, links to other texts and copies of every document (5-word shingles, Jaccard 0.8)."""
+    return chosen_path.classes(read_table(spark, sf_dir, "documents"))
