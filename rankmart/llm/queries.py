@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankmart.llm import chosen_path, huffman, lm_scoring, packing, quality, token_cache
+from rankmart.llm import chosen_path, decontam, huffman, lm_scoring, packing, quality, token_cache
 from rankmart.llm.common import read_table, shared_path
 from rankmart.llm.quality_sql import QUALITY_SQL
 from rankmart.llm.registry import ORACLE, QUERIES, query  # noqa: F401
@@ -51,3 +51,10 @@ def op1_deleted_interpolation(spark, sf_dir):
 def op8_chosen_path_join(spark, sf_dir):
     """Near-duplicate class, links to other texts and copies of every document (5-word shingles, Jaccard 0.8)."""
     return chosen_path.classes(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_template_decontamination")
+def op7_template_decontamination(spark, sf_dir):
+    """Benchmark items leaked into documents, also with other numbers, names or units."""
+    out = decontam.leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("doc_key").alias("doc_id"), "item_id", "n_matched", "coverage")
