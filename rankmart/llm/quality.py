@@ -181,5 +181,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", la
 
 
 def keep_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents with a good verdict, with their own columns."""
-    return measure(docs, text, lang).where("quality.kept").select("_row.*")
+    """The documents with a good verdict, with their own columns.
+
+    The judged rows are stored before the verdict filters them: pushed below the measures, the filter would
+    compute all of them again for each column it refers to.
+    """
+    judged = stored(measure(docs, text, lang).select("_row", F.col("quality.kept").alias("kept")), "judged")
+    return judged.where("kept").select("_row.*")
