@@ -155,10 +155,9 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataF
     out = out.drop("_r1", "_r2", "_r3", "_r4", "_r5", "_r6", "_lines", "_win", "_twice", "_at")
     out = out.join(refs, out["_lang"] == refs["_ref_lang"], "left")
     c = F.col
-    seen = lambda j: F.size("_words") - F.size(F.array_remove("_words", F.get("ref_top", F.lit(j))))
-    out = out.withColumn("_counts", F.when(
-        c("ref_top").isNotNull() & (c("n_words") >= MIN_WORDS_JS),
-        F.slice(F.array(*[F.coalesce(seen(j), F.lit(0)).cast("long") for j in range(COMMON_WORDS)]), F.lit(1), F.size("ref_top"))))
+    # one lambda for all common words: sixteen separate expressions would make a method too long to be compiled
+    out = out.withColumn("_counts", F.when(c("n_words") >= MIN_WORDS_JS, F.transform(
+        "ref_top", lambda w: c("n_words") - F.size(F.array_remove(c("_words"), w)))))
     # shares first, each in a column of its own: a lambda evaluates what it refers to again for every element
     out = out.withColumns({
         "_rest": c("n_words") - F.aggregate("_counts", F.lit(0).cast("long"), lambda s, x: s + x),
