@@ -6,8 +6,9 @@ Layout of the landing folder (one sub-folder per feed, any number of files):
     catalog/*.json    hub_top/*.json hub_trending/*.json hub_modality/*.json
     leaderboard/*.html  pypi/*.json
 
-Only the newest landed file of each feed is used (per package for package
-stats), as the dashboard used its latest fetch. Missing feeds are skipped
+Only the newest landed snapshot of each feed is used, with all its files (per
+package for package stats, per tag for the tag responses), as the dashboard
+used its latest fetch. Missing feeds are skipped
 (their marts are not written). Sub-plans used by
 several marts (the catalog scan, the release timeline) are checkpointed to
 the cluster's shared checkpoint folder, so each is computed once and a lost
@@ -97,7 +98,7 @@ def build_all(spark: SparkSession, landing: str, out: str, as_of: str, snapshot_
         put("trending", tr)
         put("trending_insight", M.trending_insight(tr))
     if (p := feed("hub_modality")):
-        champs = S.modality_champions_from_hub(spark, S.newest_snapshot(S.read_hub_models(spark, p)))
+        champs = S.modality_champions_from_hub(spark, S.newest_snapshot(S.read_hub_models(spark, p), "pipeline_tag"))
         mc = M.modality_champions(champs)
         put("modality_champions", mc)
         put("modality_insight", M.modality_insight(mc))

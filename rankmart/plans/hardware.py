@@ -73,8 +73,8 @@ def chip_share_stats(spark, sf):
 
 # ----------------------------------------------------------------------- M7
 
-def geo_rows(spark, sf):
-    """Cluster rows: coordinates, region, dot size and jitter."""
+def geo_base(spark, sf):
+    """Cluster rows with coordinates and region: all that counts and totals need."""
     s = table(spark, sf, "supplier")
     n = table(spark, sf, "nation")
     r = table(spark, sf, "region")
@@ -93,8 +93,12 @@ def geo_rows(spark, sf):
                             .otherwise(F.lit("n/a"))).alias("power_mw"),
                  F.coalesce(F.col("s_acctbal") < 0, F.lit(False)).alias("anonymized"))
              .filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()))
-    rows = rows.withColumns({"region": region_of("country", P.GEO_REGION_MAP, P.GEO_EU),
-                             "_lg": log_clip("h100_equiv")})
+    return rows.withColumn("region", region_of("country", P.GEO_REGION_MAP, P.GEO_EU))
+
+
+def geo_rows(spark, sf):
+    """The base rows with dot size and jitter, which need statistics of all rows."""
+    rows = geo_base(spark, sf).withColumn("_lg", log_clip("h100_equiv"))
     # Both global statistics (dot-size bounds, flagged count) in one pass; one row, broadcast.
     stats = rows.agg(F.min("_lg").alias("_mn"), F.max("_lg").alias("_mx"),
                      F.count_if("anonymized").alias("_nf"))
@@ -145,7 +149,7 @@ WITH {_GEO_BASE}
 SELECT region, anonymized, count(*) AS count FROM geo GROUP BY region, anonymized""")
 def geo_counts(spark, sf):
     """Clusters per (region, anonymized)."""
-    return geo_rows(spark, sf).groupBy("region", "anonymized").agg(F.count(F.lit(1)).alias("count"))
+    return geo_base(spark, sf).groupBy("region", "anonymized").agg(F.count(F.lit(1)).alias("count"))
 
 
 @query("owner_totals", f"""
@@ -155,7 +159,7 @@ SELECT row_number() OVER (ORDER BY h100_total DESC, owner) AS rank, owner, h100_
 FROM o ORDER BY h100_total DESC, owner LIMIT {P.GEO_OWNER_TOP_N}""")
 def owner_totals(spark, sf):
     """Capacity per owner, top n."""
-    o = (geo_rows(spark, sf).filter(F.col("owner").isNotNull())
+    o = (geo_base(spark, sf).filter(F.col("owner").isNotNull())
          .groupBy("owner").agg(F.round(F.sum("h100_equiv"), 6).alias("h100_total")))
     return top_n(o, [F.col("h100_total").desc(), F.col("owner").asc()], P.GEO_OWNER_TOP_N) \
         .select("rank", "owner", "h100_total")
@@ -171,7 +175,7 @@ FROM geo""")
 def geo_stats(spark, sf):
     """Totals after the coordinate filter; an all-missing power column sums to 0 (N11);
     per-region counts are 0 when the region is absent (A22, A23)."""
-    return geo_rows(spark, sf).agg(
+    return geo_base(spark, sf).agg(
         F.count(F.lit(1)).alias("total_clusters"),
         F.round(F.coalesce(F.sum("power_mw"), F.lit(0.0)), 6).alias("total_mw"),
         F.count_distinct("country").alias("n_countries"),

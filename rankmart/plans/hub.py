@@ -196,7 +196,7 @@ def modality_champions(spark, sf):
     event_type has a handful of values, so each tag is a hot key: the
     top-1 is cut per map task before the shuffle (partial WindowGroupLimit).
     """
-    ev = table(spark, sf, "events")
+    ev = table(spark, sf, "events").filter(F.col("event_type").isin([t for t, _ in P.MC_TAGS]))
     champ = keep_first(ev, "event_type", [F.col("value").desc(), F.col("event_id").asc()])
     tags = spark.createDataFrame(P.MC_TAGS, "tag string, label string")
     mid = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("/event-"), F.col("event_id").cast("string"))

@@ -45,9 +45,9 @@ def gpu_map(clusters: DataFrame) -> DataFrame:
     # Row key for the jitter: the row's content plus its rank among identical rows
     # (identical rows are interchangeable, so the ranks need no order and the
     # numbering is skew-safe; see number_duplicates).
-    data_cols = [c for c in clusters.columns if c not in ("src_file", "fetched_at", "src_order")]
+    data_cols = [c for c in clusters.columns if c not in ("src_file", "src_snapshot", "fetched_at", "src_order")]
     content = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in data_cols])
-    rows = number_duplicates(rows.withColumn("_content", content).drop("src_file", "fetched_at", "src_order"), "_dup")
+    rows = number_duplicates(rows.withColumn("_content", content).drop("src_file", "src_snapshot", "fetched_at", "src_order"), "_dup")
     rows = jitter_flagged(rows, "anonymized", F.concat_ws("#", "_content", F.col("_dup").cast("string")),
                           "latitude", "longitude", fixed.JITTER_SEED, fixed.JITTER_LAT, fixed.JITTER_LON)
     return rows.select(

@@ -21,8 +21,7 @@ def leaderboard_scores(bench: DataFrame, category_map: dict = fixed.CATEGORY_MAP
                  .withColumn("performance", nan_to_null(F.col("performance").cast("double"))))
     if check and rows.isEmpty():
         sample = [r[0] for r in bench.select("benchmark").distinct().limit(20).collect()]
-        raise ValueError(f"No matching benchmarks found in data. Expected benchmarks: {known}. "
-                         f"Available benchmarks: {sample}")
+        raise ValueError(f"none of the {len(known)} mapped benchmarks is in the feed; it has {sample}")
     return zscore_scores(rows, "model_group", "category", "performance",
                          len(category_map) - 1, len(category_map))
 

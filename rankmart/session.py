@@ -28,11 +28,8 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
     """Apply the session-level SQL settings the jobs rely on (UTC clock, AQE) to a session
     built elsewhere (e.g. by a scheduler or a notebook)."""
     for k, v in RUNTIME_CONF.items():
-        if spark.conf.get(k, None) != v:
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # a read-only setting on a shared session
-                pass
+        if spark.conf.get(k, None) != v:  # a session that refuses one would give other answers: let it raise
+            spark.conf.set(k, v)
     return spark
 
 
@@ -58,11 +55,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     for k, v in conf.items():
-        if not k.startswith("spark.ui") and not k.startswith("spark.master"):
-            try:
-                spark.conf.set(k, v)
-            except Exception:  # static conf of an already running session
-                pass
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):  # core settings hold from the session's start
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -70,8 +64,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) a scratch folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    local master gets a scratch folder (driver and executors are one process);
+    any other master is an error, as executors would write to their own disks.
     """
     try:
         sc = spark.sparkContext
@@ -81,11 +76,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path and sc is not None:
         path = sc.getCheckpointDir()
     if not path:
+        if sc is None or not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="rankmart-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # core confs may be read-only at runtime
-            pass
     if sc is not None:
         sc.setCheckpointDir(path)
     return path

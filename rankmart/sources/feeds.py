@@ -96,7 +96,17 @@ PACKAGE_RECENT = T.StructType([
 SRC_ORDER = "struct<part int, file string, block bigint, row bigint>"
 
 
-FILE_COLUMNS = ("src_file", "fetched_at", "src_order", "src_pos")
+FILE_COLUMNS = ("src_file", "src_snapshot", "fetched_at", "src_order", "src_pos")
+
+
+def _snapshot():
+    """Which landing a file belongs to: its ``snapshot=<stamp>`` folder, else the write job named in a part file's
+    name (all part files of one write share it), else the file itself."""
+    folder = F.regexp_extract("_metadata.file_path", r"/snapshot=([^/]+)/", 1)
+    job = F.regexp_extract("_metadata.file_name", r"^part-\d+-([0-9a-f-]{36})", 1)
+    one = lambda x: F.when(x != "", x)
+    return F.struct(F.coalesce(one(folder), F.lit("")).alias("stamp"),
+                    F.coalesce(one(folder), one(job), F.col("_metadata.file_name")).alias("id")).alias("src_snapshot")
 
 
 def _fetched_at():
@@ -119,9 +129,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, with_order: b
     df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
           .option("nanValue", "NaN").option("enforceSchema", False).csv(path))
     dbl = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
-    cols = [nan_to_null(F.col(f"`{c}`")).alias(c) if c in dbl else F.col(f"`{c}`") for c in df.columns]
+    cols = [nan_to_null(F.col(f"`{c}`")).alias(c) if c in dbl else F.col(f"`{c}`") for c in schema.names]
     if with_file:
-        cols += [F.col("_metadata.file_name").alias("src_file"), _fetched_at().alias("fetched_at")]
+        cols += [F.col("_metadata.file_name").alias("src_file"), _snapshot(), _fetched_at().alias("fetched_at")]
     if with_order:
         cols.append(F.struct(F.lit(0).alias("part"), F.col("_metadata.file_name").alias("file"),
                              F.col("_metadata.file_block_start").alias("block"),
@@ -134,18 +144,18 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     position in the file (``src_pos``, the "first seen" order) and file name."""
     wrapper = T.StructType([T.StructField("data", T.ArrayType(CATALOG_MODEL))])
     raw = spark.read.schema(wrapper).option("multiLine", True).json(path) \
-        .select("data", F.col("_metadata.file_name").alias("src_file"), _fetched_at().alias("fetched_at"))
-    return (raw.select("src_file", "fetched_at", F.posexplode("data").alias("src_pos", "m"))
-               .select("src_file", "fetched_at", "src_pos", "m.*"))
+        .select("data", F.col("_metadata.file_name").alias("src_file"), _snapshot(), _fetched_at().alias("fetched_at"))
+    return (raw.select("src_file", "src_snapshot", "fetched_at", F.posexplode("data").alias("src_pos", "m"))
+               .select("src_file", "src_snapshot", "fetched_at", "src_pos", "m.*"))
 
 
 def read_hub_models(spark: SparkSession, path: str) -> DataFrame:
     """JSON array of hub models (S6, S7) with their position in the response."""
     wrapper = T.ArrayType(HUB_MODEL)
     txt = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("src_file"),
-                                                       _fetched_at().alias("fetched_at"))
-    return (txt.select("src_file", "fetched_at", F.posexplode(F.from_json("value", wrapper)).alias("src_pos", "m"))
-               .select("src_file", "fetched_at", "src_pos", "m.*"))
+                                                       _snapshot(), _fetched_at().alias("fetched_at"))
+    return (txt.select("src_file", "src_snapshot", "fetched_at", F.posexplode(F.from_json("value", wrapper)).alias("src_pos", "m"))
+               .select("src_file", "src_snapshot", "fetched_at", "src_pos", "m.*"))
 
 
 def hub_top(df: DataFrame, order_col: str, n: int, pipeline_tag: str | None = fixed.HUB_PIPELINE_TAG) -> DataFrame:
@@ -163,7 +173,8 @@ def modality_champions_from_hub(spark: SparkSession, hub: DataFrame, tags=fixed.
     from rankmart.operators.dedup import keep_first
 
     dim = spark.createDataFrame(list(tags), "tag string, label string")
-    champ = keep_first(hub.withColumnRenamed("pipeline_tag", "tag"), "tag",
+    listed = hub.filter(F.col("pipeline_tag").isin([t for t, _ in tags]))  # before the window, so it reaches the scan
+    champ = keep_first(listed.withColumnRenamed("pipeline_tag", "tag"), "tag",
                        [F.col("downloads").desc_nulls_last(), F.col("id").asc()])
     return (champ.join(F.broadcast(dim), "tag")
                  .select("tag", "label", F.col("id").alias("model_id"), short_name("id").alias("model_name"),
@@ -180,14 +191,14 @@ def read_leaderboard_page(spark: SparkSession, path: str, category: str = fixed.
     """
     pages = spark.read.text(path, wholetext=True)
     block = (pages.select(F.regexp_extract("value", pattern, 1).alias("js"),
-                          F.col("_metadata.file_name").alias("src_file"), _fetched_at().alias("fetched_at"))
+                          F.col("_metadata.file_name").alias("src_file"), _snapshot(), _fetched_at().alias("fetched_at"))
                   .filter(F.col("js") != ""))
-    cats = block.select("src_file", "fetched_at", F.from_json("js", LEADERBOARD_DATA).alias("cats"))
+    cats = block.select("src_file", "src_snapshot", "fetched_at", F.from_json("js", LEADERBOARD_DATA).alias("cats"))
     pick = F.coalesce(F.get(F.filter("cats", lambda c: c["name"] == category), 0), F.get(F.col("cats"), 0))
-    return (cats.select("src_file", "fetched_at", pick.alias("cat"))
-                .select("src_file", "fetched_at", F.col("cat.name").alias("category"),
+    return (cats.select("src_file", "src_snapshot", "fetched_at", pick.alias("cat"))
+                .select("src_file", "src_snapshot", "fetched_at", F.col("cat.name").alias("category"),
                         F.posexplode("cat.results").alias("src_pos", "r"))
-                .select("src_file", "fetched_at", "category", "src_pos", "r.*"))
+                .select("src_file", "src_snapshot", "fetched_at", "category", "src_pos", "r.*"))
 
 
 def read_package_downloads(spark: SparkSession, path: str) -> DataFrame:
@@ -196,10 +207,10 @@ def read_package_downloads(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType(PACKAGE_RECENT.fields + [T.StructField("_corrupt_record", T.StringType())])
     raw = (spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-           .select("*", F.col("_metadata.file_name").alias("file_name"), _fetched_at().alias("fetched_at")))
+           .select("*", F.col("_metadata.file_name").alias("file_name"), _snapshot(), _fetched_at().alias("fetched_at")))
     ok = raw.filter(F.col("_corrupt_record").isNull() & F.col("data").isNotNull())
     pkg = F.coalesce(F.col("package"), F.regexp_extract("file_name", r"^([^.]+)", 1))
-    return ok.select(pkg.alias("package"), F.col("file_name").alias("src_file"), "fetched_at",
+    return ok.select(pkg.alias("package"), F.col("file_name").alias("src_file"), "src_snapshot", "fetched_at",
                      F.coalesce("data.last_day", F.lit(0)).alias("last_day"),
                      F.coalesce("data.last_week", F.lit(0)).alias("last_week"),
                      F.coalesce("data.last_month", F.lit(0)).alias("last_month"))
@@ -220,19 +231,20 @@ def read_latest_dated_csv(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def newest_snapshot(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Rows of the newest landed file, overall or per ``key`` (e.g. per package).
+    """All rows of the newest landed snapshot, overall or per ``key`` (a package, a tag).
 
-    Feeds land one file per fetch, so a folder accumulates snapshots; the
-    dashboard always used its latest fetch. The newest file is the largest
-    (fetched_at, src_file); overall it is a one-row aggregate (broadcast),
-    per key an aggregate joined back on the key.
+    A snapshot is one landing, of any number of files (``src_snapshot``): a ``snapshot=<stamp>`` folder, the part files of
+    one write, or a single file. A folder's stamp orders it; other snapshots are ordered by their last file's
+    landing time, then by name, and come before stamped ones. Overall the newest is a one-row aggregate
+    (broadcast), per key an aggregate joined back on the key; either way every file of it stays.
     """
-    snap = F.struct("fetched_at", "src_file")
+    by = [] if key is None else [key]
+    landed = df.groupBy(*by, "src_snapshot").agg(F.max("fetched_at").alias("_at"))
+    newest = landed.groupBy(*by).agg(F.max(F.struct("src_snapshot.stamp", "_at", "src_snapshot.id")).alias("_new"))
+    newest = newest.select(*by, F.struct(F.col("_new.stamp").alias("stamp"), F.col("_new.id").alias("id")).alias("_snap"))
     if key is None:
-        newest = df.agg(F.max(snap).alias("_snap"))
-        return df.join(F.broadcast(newest), snap == F.col("_snap"), "left_semi")
-    newest = df.groupBy(key).agg(F.max(snap).alias("_snap"))
-    return df.join(newest, [key], "inner").filter(snap == F.col("_snap")).drop("_snap")
+        return df.join(F.broadcast(newest), F.col("src_snapshot") == F.col("_snap"), "left_semi")
+    return df.join(newest, [key], "inner").filter(F.col("src_snapshot") == F.col("_snap")).drop("_snap")
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

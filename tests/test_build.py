@@ -92,3 +92,54 @@ def test_build_uses_newest_snapshot_only(spark, tmp_dir):
     assert names == ["google/gemini-x", "openai/new-model"]
     pk = {r["package"]: r["last_week"] for r in read_mart(spark, out["packages"]).collect()}
     assert pk == {"openai": 7, "anthropic": 3}
+
+
+def test_every_file_of_the_newest_snapshot_stays(spark, tmp_dir):
+    from rankmart.sources import feeds as S
+    land = os.path.join(tmp_dir, "bench")
+    rows = spark.range(1000).selectExpr("'m' || id AS model", "'g' || (id % 7) AS model_group", "'MATH level 5' AS benchmark",
+                                        "id / 1000.0 AS performance", "'2025-05-01' AS date")
+    rows.repartition(4).write.option("header", True).csv(land)
+    assert S.newest_snapshot(S.read_csv(spark, land, S.BENCH_SCORES, with_file=True)).count() == 1000
+    # a newer complete landing wins, and the older one never mixes in
+    rows.limit(300).repartition(3).write.mode("append").option("header", True).csv(land)
+    assert S.newest_snapshot(S.read_csv(spark, land, S.BENCH_SCORES, with_file=True)).count() == 300
+    stamped = os.path.join(tmp_dir, "stamped")
+    for stamp, n in (("20250102", 5), ("20250101", 9)):  # the older stamp lands last
+        for part in range(2):
+            write(f"{stamped}/snapshot={stamp}/{part}.csv", "Manufacturer\n" + "NVIDIA\n" * n)
+    got = S.newest_snapshot(S.read_csv(spark, stamped, S.ML_HARDWARE, with_file=True))
+    assert got.count() == 10 and got.columns[0] == "Manufacturer"
+
+
+def test_every_tag_response_gives_its_champion(spark, tmp_dir):
+    from rankmart import fixed
+    land = os.path.join(tmp_dir, "landing")
+    tags = [t for t, _ in fixed.HF_MODALITY_TAGS]
+    for i, tag in enumerate(tags):
+        write(f"{land}/hub_modality/{tag}.json", json.dumps([{"id": f"org/m{i}", "downloads": i, "pipeline_tag": tag},
+                                                             {"id": f"org/n{i}", "downloads": i + 1, "pipeline_tag": tag}]))
+    written = build_all(spark, land, os.path.join(tmp_dir, "marts"), "2025-06-01 00:00:00")
+    got = {r["label"]: r["model_name"] for r in read_mart(spark, written["modality_champions"]).collect()}
+    assert got == {label: f"n{i}" for i, (_, label) in enumerate(fixed.HF_MODALITY_TAGS)}
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from rankmart.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(Session())
