@@ -4,7 +4,8 @@ A text becomes a row of canonical tokens: the white-space separated words withou
 numbers, units (after a number) and names (capitalised inside a sentence) are replaced by the typed placeholders
 ``<num>``, ``<unit>`` and ``<name>``. Windows of ``WINDOW`` canonical tokens are hashed and joined with the benchmark's.
 A match must fill the placeholders consistently: along one alignment of document and item, equal values of the item
-stand for equal values of the document, and different ones for different ones. An item counts as leaked when the
+stand for equal values of the document, and different ones for different ones. Windows with names are hashed with the names as plain words, too, so that an
+item is found again in capitals or small letters alone. An item counts as leaked when the
 windows matched this way make up at least ``COVERAGE`` of its own.
 
 Null text counts as empty. Items with fewer tokens than a window are one window of what they have if that is at
@@ -72,7 +73,7 @@ class Canonical:
         return n
 
     def tokens(self, texts: list[str]):
-        """Over all texts: each token's canonical hash, kind, chunk number; the texts' offsets."""
+        """Over all texts: each token's canonical hash, plain hash, kind, chunk number; the texts' offsets."""
         if len(self.number) > self.LIMIT:
             self.clear()
         numbers, sizes = [], []
@@ -96,7 +97,7 @@ class Canonical:
         number, of = number[word], of[word]
         offsets = np.searchsorted(of, np.arange(len(texts) + 1))
         if not len(number):
-            return np.empty(0, np.uint64), np.empty(0, np.int8), number, offsets
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8), number, offsets
         f = flags[number]
         head = np.zeros(len(number), dtype=bool)
         head[offsets[:-1][np.diff(offsets) > 0]] = True
@@ -105,10 +106,10 @@ class Canonical:
         kind[(kind == PLAIN) & ((f & 8) > 0) & ~first] = NAME
         after_num = np.concatenate(([False], kind[:-1] == NUM)) & ~head
         kind[((f & 4) > 0) & after_num] = UNIT
-        h = hashes[number]
+        plain = h = hashes[number]
         for k, v in _HASH.items():
             h = np.where(kind == k, v, h)
-        return h, kind, number, offsets
+        return h, np.where(kind == NAME, plain, h), kind, number, offsets
 
 
 def windows(h: np.ndarray, kind: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -147,18 +148,25 @@ def window_rows(texts: DataFrame, keep=None) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                h, kind, number, offsets = canon.tokens(part.column("t").to_pylist())
+                h, nameless, kind, number, offsets = canon.tokens(part.column("t").to_pylist())
                 if not len(h):
                     continue
                 at, w = windows(h, kind, offsets)
+                # with names as plain words: every window again that has one (there are no fewer plain tokens then)
+                at2, w2 = windows(nameless, np.where(kind == NAME, PLAIN, kind), offsets)
+                n = np.bincount(np.searchsorted(offsets, at2, side="right") - 1, minlength=part.num_rows)
+                typed = np.zeros(len(h), dtype=np.uint64)
+                typed[at] = w
+                more = typed[at2] != w2
+                named = np.concatenate([np.ones(len(at), bool), np.zeros(int(more.sum()), bool)])
+                at, w = np.concatenate([at, at2[more]]), np.concatenate([w, w2[more]])
                 of = np.searchsorted(offsets, at, side="right") - 1
-                n = np.bincount(of, minlength=part.num_rows)
                 if wanted is not None:
                     i = np.searchsorted(wanted, w)
                     hit = wanted[np.minimum(i, len(wanted) - 1)] == w if len(wanted) else np.zeros(len(w), bool)
-                    at, w, of = at[hit], w[hit], of[hit]
-                slots = [[f"{kind[k]} {canon.value[number[k]]}" for k in range(a, min(a + WINDOW, offsets[d + 1])) if kind[k]]
-                         for a, d in zip(at, of)]
+                    at, w, of, named = at[hit], w[hit], of[hit], named[hit]
+                slots = [[f"{kind[k]} {canon.value[number[k]]}" for k in range(a, min(a + WINDOW, offsets[d + 1]))
+                          if kind[k] and (names or kind[k] != NAME)] for a, d, names in zip(at, of, named)]
                 rows = part.take(pa.array(of))
                 yield pa.RecordBatch.from_arrays(
                     [*[rows.column(c) for c in columns], pa.array((at - offsets[of]).astype(np.int32)), pa.array(w.astype(np.int64)),

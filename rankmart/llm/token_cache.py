@@ -64,11 +64,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, key: str = "doc_id
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = tokenizing.loaded(tokenizing.PieceCounts, tokenizer)
+        done: set[str] = set()  # repeated rows of the chosen key meet in one task
         for pdf in batches:
+            pdf = pdf.drop_duplicates("digest")
+            pdf = pdf[[d not in done for d in pdf["digest"]]]
+            done.update(pdf["digest"])
             yield pd.DataFrame({"version": version, "digest": pdf["digest"],
                                 "n_tokens": [counter.count(t) for t in pdf["t"]]})
 
-    todo.select("digest", "t").mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    counted = todo.select("digest", "t").mapInPandas(encode, CACHE_SCHEMA)
+    counted = counted.groupBy("version", "digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counted.write.mode("append").parquet(cache)
     counts = _read_cache(spark, cache, version).withColumnRenamed("digest", "cached")
     out = docs.select(F.col(key).alias(key), normalised(F.col(text)).alias("t"))
     out = out.select(key, F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("digest"))
