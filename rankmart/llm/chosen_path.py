@@ -255,14 +255,22 @@ def candidate_ties(sigs: DataFrame) -> DataFrame:
                     near = (sig[x] == sig[x + d]).sum(axis=1) >= AGREE * COORDS
                     edges_a.append(x[near])
                     edges_b.append(x[near] + d)
-            label = local_components(len(group), np.concatenate([*edges_a, np.empty(0, np.int64)]).astype(np.int64),
-                                     np.concatenate([*edges_b, np.empty(0, np.int64)]).astype(np.int64))
-            tied = np.flatnonzero(label != np.arange(len(label)))
+            a = np.concatenate([*edges_a, np.empty(0, np.int64)]).astype(np.int64)
+            b = np.concatenate([*edges_b, np.empty(0, np.int64)]).astype(np.int64)
+            label = local_components(len(group), a, b)
+            # what is tied within a chunk comes from the chunk's own block; a block of two chunks adds one tie for each
+            # of their parts that it joins, so a large bucket gives each member about once, not once per block
+            chunk = t.column("c").to_numpy()
+            own = chunk[a] == chunk[b]
+            part = local_components(len(group), a[own], b[own])
+            at = np.arange(len(label))
+            across = t.column("i").to_numpy() != t.column("j").to_numpy()
+            tied = np.flatnonzero((label != at) & (~across | (part == at)))
             h = t.column("h").combine_chunks()
             yield pa.RecordBatch.from_arrays([pa.chunked_array([h]).take(pa.array(tied)).combine_chunks(),
                                               pa.chunked_array([h]).take(pa.array(label[tied])).combine_chunks()], names=["a", "b"])
 
-    return rows.select("path", "i", "j", "h", "sig").mapInArrow(tie, "a string, b string")
+    return rows.select("path", "i", "j", "c", "h", "sig").mapInArrow(tie, "a string, b string")
 
 
 def exact_links(members: DataFrame) -> DataFrame:

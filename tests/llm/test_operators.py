@@ -261,7 +261,9 @@ def brute_classes(rows):
     return sorted(((d, first.get(group[i]), sum(link[i]), len(texts[t]) - 1) for i, t in enumerate(keys) for d in texts[t]), key=key)
 
 
-def test_near_duplicate_classes(spark, make_docs, odd_docs):
+@pytest.mark.parametrize("chunk", [512, 24])
+def test_near_duplicate_classes(spark, make_docs, odd_docs, monkeypatch, chunk):
+    monkeypatch.setattr(chosen_path, "CHUNK", chunk)
     rng = np.random.default_rng(2)
     words = [f"v{i}" for i in range(500)]
     rows, n = [], 100
