@@ -194,7 +194,8 @@ def place(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     before = counts.select(F.col("part").alias("b_part"), F.col("length").alias("b_length"), F.coalesce(
         F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("before"))
-    rows = pieces.join(before, (F.col("part") == F.col("b_part")) & (F.col("length") == F.col("b_length")))
+    # the counts have a row per part and length and grow with the parts: joined by shuffle, never broadcast
+    rows = pieces.join(before.hint("merge"), (F.col("part") == F.col("b_part")) & (F.col("length") == F.col("b_length")))
     rows = rows.select(*[pieces[f"`{c}`"] for c in pieces.columns if c != "rank"], (F.col("rank") + F.col("before")).alias("rank"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
