@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 
 
 def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "inner",
-                hot_share: float = 0.01, salts: int = 16, salt_by: Sequence[str] | None = None,
-                broadcast_max_rows: int | None = None) -> DataFrame:
-    """``fact JOIN dim ON fact_key = dim_key`` with hot keys spread over ``salts`` tasks.
-
-    * hot keys: keys holding more than ``hot_share`` of the fact rows, found by
-      a partial aggregate and a one-row total; there are at most
-      1 / ``hot_share`` of them, so the list is broadcast with a proven bound;
-    * a hot key's fact rows get a salt 0..salts-1 from a hash of ``salt_by``
+                hot_share: float | None = None, salts: int | None = None,
+                salt_by: Sequence[str] | None = None) -> DataFrame:
+    """``fact JOIN dim ON fact_key = dim_key`` with hot keys spread over many tasks.
+
+    * hot keys: keys holding more than ``hot_share`` of the fact rows (default:
+      twice an even shuffle partition's share), found by a partial aggregate
+      and a one-row total; there are at most 1 / ``hot_share`` of them, half
+      the shuffle width by default, so the list is broadcast with a proven bound;
+    * each hot key gets ``salts`` salts, by default as many as its share of the
+      shuffle width, so a half of all rows is dealt over half of the tasks at any size;
+    * its fact rows get a salt 0..salts-1 from a hash of ``salt_by``
       (default: all fact columns), so retries and re-runs salt identically;
     * the dimension rows of hot keys are repeated once per salt (a handful
       of rows), all others carry salt 0;
     * the join is on (key, salt): the hot key's rows land in ``salts``
       different tasks instead of one.
 
-    ``broadcast_max_rows``: when given, the dimension's rows are counted
-    first (one number to the driver); at or under the limit the dimension is
-    broadcast and the fact side never moves (a hot key costs nothing then),
-    above it the salted plan runs. Broadcast only behind that size check.
+    A dimension that AQE measures under the broadcast threshold is broadcast at
+    run time by itself; building the join starts no job.
 
     ``fact_key`` and ``dim_key`` must be different column names (rename one
     side first when they clash). Null keys never match, as in a plain join.
@@ -41,21 +42,21 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
         raise ValueError("salted_join supports inner, left, left_semi and left_anti joins")
     if fact_key == dim_key:
         raise ValueError("salted_join needs different key column names on the two sides")
-    if broadcast_max_rows is not None and dim.count() <= broadcast_max_rows:
-        return fact.join(F.broadcast(dim), F.col(fact_key) == F.col(dim_key), how)
+    width = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = hot_share if hot_share is not None else min(0.5, 2.0 / width)
+    n_salts = F.lit(int(salts)) if salts else F.greatest(F.lit(2), F.ceil(F.col("_n") / F.col("_total") * width)).cast("int")
     counts = fact.groupBy(F.col(fact_key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n"))
     total = fact.agg(F.count(F.lit(1)).alias("_total"))
     hot = (counts.crossJoin(F.broadcast(total))
-                 .filter(F.col("_n") > F.col("_total") * F.lit(float(hot_share)))
-                 .select("_hk", F.lit(True).alias("_hot")))
+                 .filter(F.col("_n") > F.col("_total") * F.lit(float(share)))
+                 .select("_hk", n_salts.alias("_salts")))
     cols = list(salt_by) if salt_by else fact.columns
     f = (fact.join(F.broadcast(hot), F.col(fact_key) == F.col("_hk"), "left")
-             .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*cols), F.lit(salts))).otherwise(F.lit(0)))
-             .drop("_hk", "_hot"))
+             .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*cols), F.col("_salts")), F.lit(0).cast("long")))
+             .drop("_hk", "_salts"))
     d = (dim.join(F.broadcast(hot), F.col(dim_key) == F.col("_hk"), "left")
-            .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-                                           .otherwise(F.array(F.lit(0).cast("long")))))
-            .drop("_hk", "_hot"))
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("_salts", F.lit(1)) - 1).cast("long"))))
+            .drop("_hk", "_salts"))
     cond = (F.col(fact_key) == F.col(dim_key)) & (f["_salt"] == d["_salt"])
     joined = f.join(d, cond, how).drop(f["_salt"])
     return joined if how in ("left_semi", "left_anti") else joined.drop(d["_salt"])

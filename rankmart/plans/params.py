@@ -75,7 +75,6 @@ TL_ORG_MAP = {"AUTOMOBILE": "Motors", "BUILDING": "Build", "FURNITURE": "Home",
 TL_PREFIX_RULES = [(["AUTO"], "Motors"), (["BUILD", "FURN"], "Build"), (["MACH"], "Machines")]
 TL_FALLBACK_SIZE = 12.0
 # the customer side is broadcast when it has at most this many rows (checked), else the join is salted
-TL_BROADCAST_MAX_ROWS = 1_000_000
 
 # Flagship variants on part/lineitem: model = "brand Noun Adjective".
 FL_AS_OF = "2001-11-05"

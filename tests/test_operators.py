@@ -108,13 +108,14 @@ def test_salted_semi_anti_and_wrappers(spark):
     assert salted == plain
 
 
-def test_salted_join_broadcast_behind_size_check(spark):
+def test_salted_join_takes_its_salts_from_the_keys_share(spark):
     from rankmart.operators import salted_join
     fact = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(90)], "k long, v long")
     dim = spark.createDataFrame([(k, f"n{k}") for k in range(0, 90, 3)], "dk long, name string")
     plain = sorted(tuple(r) for r in fact.join(dim, fact.k == dim.dk).collect())
-    small = salted_join(fact, dim, "k", "dk", broadcast_max_rows=100)
-    big = salted_join(fact, dim, "k", "dk", broadcast_max_rows=10, hot_share=0.05, salts=4)
+    small = salted_join(fact, dim, "k", "dk")
+    big = salted_join(fact, dim, "k", "dk", hot_share=0.05, salts=4)
     assert sorted(tuple(r) for r in small.collect()) == plain == sorted(tuple(r) for r in big.collect())
-    assert "_salt" not in small._jdf.queryExecution().optimizedPlan().toString()
+    for df in (small, big):
+        assert "_salt" in df._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in big._jdf.queryExecution().optimizedPlan().toString()
