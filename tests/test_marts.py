@@ -44,7 +44,7 @@ def test_single_qualified_score_gives_z_zero(spark):
 
 
 def test_leaderboard_no_match_raises(spark):
-    with pytest.raises(ValueError, match="No matching benchmarks"):
+    with pytest.raises(ValueError, match="mapped benchmarks is in the feed"):
         M.leaderboard_matrix(bench_rows(spark, [("m", "A", "Other", 0.5, "2025-01-01")]))
 
 
