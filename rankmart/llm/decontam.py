@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmart.llm.common import mix, stored, whole_text
+from rankmart.llm.common import span_sums, stored, whole_text
 
 WINDOW = 8
 MIN_PLAIN = 4
@@ -43,8 +44,7 @@ _HASH = {NUM: np.uint64(0x1F83D9ABFB41BD6B), UNIT: np.uint64(0x5BE0CD19137E2179)
 
 
 def _text_hash(s: str) -> int:
-    import hashlib
-    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 class Canonical:
@@ -59,13 +59,27 @@ class Canonical:
         # number of a chunk, and by number: hash of its plain form, value, kind flags
         self.number: dict[str, int] = {}
         self.hash, self.value, self.flags = [], [], []
+        self.hash_array, self.flag_array = np.empty(0, np.uint64), np.empty(0, np.uint8)
+
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and flags by number; what was added since the last call is appended."""
+        n = len(self.hash_array)
+        if n < len(self.hash):
+            self.hash_array = np.concatenate([self.hash_array, np.array(self.hash[n:], dtype=np.uint64)])
+            self.flag_array = np.concatenate([self.flag_array, np.array(self.flags[n:], dtype=np.uint8)])
+        return self.hash_array, self.flag_array
 
     def _add(self, chunk: str) -> int:
-        m = _CORE.search(chunk)
-        core = m.group() if m else ""
+        body = chunk if chunk[-1:] not in (",", ".") else chunk[:-1]
+        if body.isalpha():  # letters alone, or with one mark behind: what the patterns below would find
+            core, number, ends = body, False, chunk[-1] == "."
+        else:
+            m = _CORE.search(chunk)
+            core = m.group() if m else ""
+            number, ends = bool(core and _NUMBER.match(core)), bool(_ENDS.search(chunk))
         low = core.lower()
-        flags = 1 * bool(core) | 2 * bool(core and _NUMBER.match(core)) | 4 * (low in UNITS)
-        flags |= 8 * (len(core) > 1 and core[0].isupper() and core[1:].islower()) | 16 * bool(_ENDS.search(chunk))
+        flags = 1 * bool(core) | 2 * number | 4 * (low in UNITS)
+        flags |= 8 * (len(core) > 1 and core[0].isupper() and core[1:].islower()) | 16 * ends
         n = self.number[chunk] = len(self.hash)
         self.hash.append(_text_hash(low))
         self.value.append(low)
@@ -88,7 +102,7 @@ class Canonical:
             numbers.append(np.array(own, dtype=np.int64))
             sizes.append(len(own))
         number = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
-        hashes, flags = np.array(self.hash, dtype=np.uint64), np.array(self.flags, dtype=np.uint8)
+        hashes, flags = self._arrays()
         of = np.repeat(np.arange(len(texts)), sizes)
         word = (flags[number] & 1) > 0 if len(number) else np.empty(0, bool)
         ends = (flags[number] & 16) > 0 if len(number) else np.empty(0, bool)
@@ -114,22 +128,15 @@ class Canonical:
 
 def windows(h: np.ndarray, kind: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """(start token, hash) of all windows with enough plain tokens; a shorter text is one window."""
-    n = len(h)
-    last = np.repeat(offsets[1:], np.diff(offsets))
-    size = np.minimum(width, np.repeat(np.diff(offsets), np.diff(offsets)))
+    n, sizes = len(h), np.diff(offsets)
     at = np.arange(n)
-    first = np.repeat(offsets[:-1], np.diff(offsets))
-    ok = (at + size <= last) & ((size == width) | (at == first))
-    total, plain = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            idx = np.minimum(at + k, n - 1)
-            inside = k < size
-            total += np.where(inside, mix(h[idx] + np.uint64(k + 1)), np.uint64(0)) * np.uint64(2 * k + 3)
-            plain += inside & (kind[idx] == PLAIN)
-        total = mix(total + size.astype(np.uint64))
-    ok &= plain >= MIN_PLAIN
-    return at[ok], total[ok]
+    end = np.minimum(at + width, np.repeat(offsets[1:], sizes))
+    plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
+    ok = (end - at == width) & (plain[end] - plain[at] >= MIN_PLAIN)
+    short = offsets[:-1][(sizes > 0) & (sizes < width)]
+    ok[short] = plain[end[short]] - plain[short] >= MIN_PLAIN
+    at = np.flatnonzero(ok)
+    return at, span_sums(h, at, end[at])
 
 
 WINDOW_ROWS = "pos int, w long, slots array<string>, n_windows int"
