@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankmart import fixed
-from rankmart.functions import family_key_dated, family_key_tagged, org_of, to_double
-from rankmart.operators import bucket_counts, capability_counts, keep_first, log_minmax, map_lookup
+from rankmart.functions import family_key_dated, family_key_tagged, org_of, short_tokens, to_double
+from rankmart.operators import bucket_counts, bucketize, capability_counts, keep_first, log_minmax, map_lookup
 from rankmart.operators.capability import modality_count
 from rankmart.operators.dedup import first_by_aggregate, number_duplicates
 from rankmart.plans import params as P
@@ -172,6 +172,7 @@ def _bucket_sql():
     return f"(CASE {' '.join(whens)} END)"
 
 
+_SWEET_SPOT = [lab for lab, _, _ in fixed.CONTEXT_BUCKETS].index("32–128K") + 1
 _BUCKET_DIM = ", ".join(f"({i}, {q(lab)})" for i, (lab, _, _) in enumerate(fixed.CONTEXT_BUCKETS, start=1))
 
 
@@ -192,15 +193,26 @@ def size_buckets(spark, sf):
 
 
 @query("context_kpis", f"""
-WITH {_CTX_SQL}
-SELECT (SELECT count(*) FROM fam) AS total_unique, name AS max_name, ctx AS max_ctx
-FROM fam ORDER BY ctx DESC, first_pos LIMIT 1""")
+WITH {_CTX_SQL},
+  k AS (SELECT (SELECT count(*) FROM fam) AS total_unique,
+               (SELECT count(*) FROM fam WHERE {_bucket_sql()} = {_SWEET_SPOT}) AS sweet_spot,
+               (SELECT count(*) FROM fam WHERE {_bucket_sql()} = {len(fixed.CONTEXT_BUCKETS)}) AS over_1m,
+               name AS max_name, ctx AS max_ctx
+        FROM fam ORDER BY ctx DESC, first_pos LIMIT 1)
+SELECT *, printf({q(fixed.INSIGHT_CONTEXT)}, total_unique, sweet_spot, over_1m, max_name,
+                 CASE WHEN max_ctx >= 1000000 THEN printf('%.1fM', {spark_round('max_ctx / 1000000.0', 1)})
+                      ELSE printf('%dK', max_ctx // 1000) END) AS insight
+FROM k""")
 def context_kpis(spark, sf):
-    """Unique families and the largest one."""
-    fam = context_families(spark, sf)
+    """Unique families, the sweet-spot and over-1M bucket counts, the largest family."""
+    fam = context_families(spark, sf).withColumn("ord", bucketize("ctx", fixed.CONTEXT_BUCKETS))
     top = F.min(F.struct((-F.col("ctx")).alias("c"), F.col("first_pos").alias("p"), F.col("name").alias("n")))
-    one = fam.agg(F.count(F.lit(1)).alias("total_unique"), top.alias("t"))
-    return one.select("total_unique", F.col("t.n").alias("max_name"), (-F.col("t.c")).alias("max_ctx"))
+    one = fam.agg(F.count(F.lit(1)).alias("total_unique"), F.count_if(F.col("ord") == _SWEET_SPOT).alias("sweet_spot"),
+                  F.count_if(F.col("ord") == len(fixed.CONTEXT_BUCKETS)).alias("over_1m"), top.alias("t"))
+    one = one.where("t IS NOT NULL").select("total_unique", "sweet_spot", "over_1m", F.col("t.n").alias("max_name"),
+                                            (-F.col("t.c")).alias("max_ctx"))
+    return one.withColumn("insight", F.format_string(
+        fixed.INSIGHT_CONTEXT, "total_unique", "sweet_spot", "over_1m", "max_name", short_tokens("max_ctx")))
 
 
 # ----------------------------------------------------------------------- M5

@@ -177,7 +177,7 @@ def trending_kpis(spark, sf):
 _MC_VALUES = ", ".join(f"({q(t)}, {q(lab)})" for t, lab in P.MC_TAGS)
 
 
-@query("modality_champions", f"""
+_MC_SQL = f"""
 WITH c AS (
   SELECT event_type AS tag, 'user' || CAST(user_id AS VARCHAR) || '/event-' || CAST(event_id AS VARCHAR) AS model_id,
          value AS downloads, user_id AS likes,
@@ -189,7 +189,10 @@ SELECT c.tag, t.label, c.model_id,
        coalesce({case_map("split_part(c.model_id, '/', 1)", P.MC_ORGS)}, split_part(c.model_id, '/', 1)) AS display_org,
        c.downloads, c.likes
 FROM c JOIN (VALUES {_MC_VALUES}) AS t(tag, label) ON c.tag = t.tag
-WHERE c.rn = 1""")
+WHERE c.rn = 1"""
+
+
+@query("modality_champions", _MC_SQL)
 def modality_champions(spark, sf):
     """Top-1 per tag by downloads; a tag without rows yields no row.
 
@@ -209,6 +212,24 @@ def modality_champions(spark, sf):
                        "downloads", "likes")
 
 
+@query("modality_kpis", f"""
+WITH ch AS ({_MC_SQL}),
+  k AS (SELECT {len(P.MC_TAGS)} AS n_modalities, label, model_name, display_org, downloads
+        FROM ch ORDER BY downloads DESC, label LIMIT 1)
+SELECT *, printf({q(fixed.INSIGHT_MODALITY)}, n_modalities, display_org, model_name, label,
+                 {_SHORT_SQL.format(c='downloads')}) AS insight
+FROM k""")
+def modality_kpis(spark, sf):
+    """The champion with the most downloads over all listed tags."""
+    lead = F.min(F.struct((-F.col("downloads")).alias("d"), F.col("label").alias("l"), F.col("model_name").alias("m"),
+                          F.col("display_org").alias("o")))
+    one = modality_champions(spark, sf).agg(lead.alias("x")).where("x IS NOT NULL").select(
+        F.lit(len(P.MC_TAGS)).alias("n_modalities"), F.col("x.l").alias("label"), F.col("x.m").alias("model_name"),
+        F.col("x.o").alias("display_org"), (-F.col("x.d")).alias("downloads"))
+    return one.withColumn("insight", F.format_string(
+        fixed.INSIGHT_MODALITY, "n_modalities", "display_org", "model_name", "label", short_number("downloads")))
+
+
 # ---------------------------------------------------------------------- M12
 
 @query("package_downloads", f"""

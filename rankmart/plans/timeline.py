@@ -105,15 +105,19 @@ def release_timeline(spark, sf):
 WITH {_TL_SQL},
   oc AS (SELECT org, count(*) AS n FROM tl WHERE org IS NOT NULL GROUP BY org ORDER BY n DESC, org LIMIT 1),
   big AS (SELECT model, org, compute_flop FROM tl WHERE has_compute
-          ORDER BY compute_flop DESC, model, date LIMIT 1)
-SELECT (SELECT count(*) FROM tl) AS n_rows,
+          ORDER BY compute_flop DESC, model, date LIMIT 1),
+  k AS (SELECT (SELECT count(*) FROM tl) AS n_rows,
        (SELECT count(*) FROM tl WHERE has_compute) AS n_with_compute,
        (SELECT org FROM oc) AS most_active_org, (SELECT n FROM oc) AS most_active_count,
        (SELECT model FROM big) AS biggest_model, (SELECT org FROM big) AS biggest_org,
        (SELECT compute_flop FROM big) AS biggest_compute,
-       round((SELECT min(compute_flop) FROM tl WHERE has_compute) * 0.15, 6) AS rug_level""")
+       round((SELECT min(compute_flop) FROM tl WHERE has_compute) * 0.15, 6) AS rug_level)
+SELECT *, CASE WHEN biggest_model IS NULL THEN printf({q(fixed.INSIGHT_TIMELINE_NO_COMPUTE)}, most_active_org, most_active_count)
+               ELSE printf({q(fixed.INSIGHT_TIMELINE)}, most_active_org, most_active_count, biggest_model, biggest_org,
+                           biggest_compute) END AS insight
+FROM k""")
 def release_timeline_kpis(spark, sf):
-    """Most active org over the whole union, largest run, rug level."""
+    """Most active org over the whole union, largest run, rug level."""
     tl = timeline(spark, sf)
     # One partial aggregate per org carries every statistic; the global answer is
     # a reduction of that small per-org table (one pass over the union).
@@ -124,10 +128,14 @@ def release_timeline_kpis(spark, sf):
     one = per_org.agg(
         F.sum("n").alias("n_rows"), F.sum("nc").alias("n_with_compute"), F.min("b").alias("b"), F.min("mn").alias("mn"),
         F.min(F.when(F.col("org").isNotNull(), F.struct((-F.col("n")).alias("k"), F.col("org").alias("o")))).alias("m"))
-    return one.select(
+    one = one.select(
         "n_rows", "n_with_compute", F.col("m.o").alias("most_active_org"), (-F.col("m.k")).alias("most_active_count"),
         F.col("b.m").alias("biggest_model"), F.col("b.o").alias("biggest_org"), (-F.col("b.c")).alias("biggest_compute"),
         F.round(F.col("mn") * 0.15, 6).alias("rug_level"))
+    with_compute = F.format_string(fixed.INSIGHT_TIMELINE, "most_active_org", "most_active_count", "biggest_model",
+                                   "biggest_org", "biggest_compute")
+    no_compute = F.format_string(fixed.INSIGHT_TIMELINE_NO_COMPUTE, "most_active_org", "most_active_count")
+    return one.withColumn("insight", F.when(F.col("biggest_model").isNotNull(), with_compute).otherwise(no_compute))
 
 
 @query("group_median_impute", f"""
