@@ -226,8 +226,11 @@ def modality_kpis(spark, sf):
     one = modality_champions(spark, sf).agg(lead.alias("x")).where("x IS NOT NULL").select(
         F.lit(len(P.MC_TAGS)).alias("n_modalities"), F.col("x.l").alias("label"), F.col("x.m").alias("model_name"),
         F.col("x.o").alias("display_org"), (-F.col("x.d")).alias("downloads"))
+    # the table's values are fractional: below a thousand the nearest whole number is shown
+    shown = F.when(F.col("downloads") >= 1000, short_number("downloads")).otherwise(
+        F.bround("downloads", 0).cast("long").cast("string"))
     return one.withColumn("insight", F.format_string(
-        fixed.INSIGHT_MODALITY, "n_modalities", "display_org", "model_name", "label", short_number("downloads")))
+        fixed.INSIGHT_MODALITY, "n_modalities", "display_org", "model_name", "label", shown))
 
 
 # ---------------------------------------------------------------------- M12
