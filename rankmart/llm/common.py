@@ -137,13 +137,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         return mix(out + (ends - starts).astype(np.uint64) * _GOLD)
 
 
-def span_sums(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of hashes, in order: a polynomial over them, from prefix sums."""
+def span_sums(h: np.ndarray):
+    """A function of (starts, ends): 64-bit hash of each span of ``h``, in order, a polynomial over them from prefix sums."""
+    pre = np.zeros(len(h) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        pre = np.zeros(len(h) + 1, dtype=np.uint64)
         np.cumsum(mix(h) * _power_table(len(h)), out=pre[1:])
-        total = (pre[ends] - pre[starts]) * _power_table(len(h) + 1, True)[starts]
-        return mix(total + (ends - starts).astype(np.uint64) * _GOLD)
+
+    def sums(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            total = (pre[ends] - pre[starts]) * _power_table(len(h) + 1, True)[starts]
+            return mix(total + (ends - starts).astype(np.uint64) * _GOLD)
+
+    return sums
 
 
 _TABLES: dict[bool, np.ndarray] = {}

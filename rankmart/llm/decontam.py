@@ -2,16 +2,18 @@
 
 A text becomes a row of canonical tokens: the white-space separated words without the marks around them, lower-cased;
 numbers, units (after a number) and names (capitalised inside a sentence) are replaced by the typed placeholders
-``<num>``, ``<unit>`` and ``<name>``. Windows of ``WINDOW`` canonical tokens are hashed and joined with the benchmark's.
+``<num>``, ``<unit>`` and ``<name>``. In scripts written without spaces every character is a word. Windows of ``WINDOW``
+canonical tokens are hashed and joined with the benchmark's.
 A match must fill the placeholders consistently: along one alignment of document and item, equal values of the item
 stand for equal values of the document, and different ones for different ones. Windows with names are hashed with the names as plain words, too, so that an
 item is found again in capitals or small letters alone. An item counts as leaked when the
 windows matched this way make up at least ``COVERAGE`` of its own.
 
-Null text counts as empty. Items with fewer tokens than a window are one window of what they have if that is at
-least ``MIN_PLAIN`` plain tokens, else they match nothing (so do empty items). Windows with fewer plain tokens are too
-general and are left out on both sides. Null or repeated keys and repeated rows keep their rows; an empty table on
-either side gives no pairs.
+Null text counts as empty; items without a word match nothing. Items with fewer tokens than a window are one window of
+what they have, and documents give windows of these widths, too. Windows with fewer than ``MIN_PLAIN`` plain tokens are
+too general as templates and are left out on both sides; items that are short or have no other windows are found by their
+words as they stand, values included (an item of one word is in every document with this word). Null or repeated keys
+and repeated rows keep their rows; an empty table on either side gives no pairs.
 """
 
 from __future__ import annotations
@@ -40,7 +42,11 @@ PLAIN, NUM, UNIT, NAME = 0, 1, 2, 3
 _NUMBER = re.compile(r"[-+]?[$€£]?\d[\d.,:/]*%?$")
 _ENDS = re.compile(r"[.!?:][^\w]*$")
 _CORE = re.compile(r"\w.*\w|\w", re.S)
+# Thai, Lao, Tibetan, Burmese, Khmer, kana and Han: no spaces between words
+_UNSPACED = re.compile("([\u0e01-\u0e4f\u0e80-\u0ecf\u0edc-\u0eff\u0f40-\u0fbf\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3040-\u30ff"
+                       "\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff])")
 _HASH = {NUM: np.uint64(0x1F83D9ABFB41BD6B), UNIT: np.uint64(0x5BE0CD19137E2179), NAME: np.uint64(0x3C6EF372FE94F82B)}
+_EXACT = np.uint64(0xA54FF53A5F1D36F1)  # keeps hashes of plain words apart from those of templates
 
 
 def _text_hash(s: str) -> int:
@@ -87,11 +93,13 @@ class Canonical:
         return n
 
     def tokens(self, texts: list[str]):
-        """Over all texts: each token's canonical hash, plain hash, kind, chunk number; the texts' offsets."""
+        """Over all texts: each token's canonical hash, hash with names plain, plain hash, kind, chunk number; the texts' offsets."""
         if len(self.number) > self.LIMIT:
             self.clear()
         numbers, sizes = [], []
         for t in texts:
+            if not t.isascii():
+                t = _UNSPACED.sub(r" \1 ", t)
             chunks = t.replace("\n", " ").split(" ")
             if "\t" in t or "\r" in t:
                 chunks = t.split()
@@ -111,7 +119,7 @@ class Canonical:
         number, of = number[word], of[word]
         offsets = np.searchsorted(of, np.arange(len(texts) + 1))
         if not len(number):
-            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8), number, offsets
+            return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8), number, offsets
         f = flags[number]
         head = np.zeros(len(number), dtype=bool)
         head[offsets[:-1][np.diff(offsets) > 0]] = True
@@ -123,29 +131,60 @@ class Canonical:
         plain = h = hashes[number]
         for k, v in _HASH.items():
             h = np.where(kind == k, v, h)
-        return h, np.where(kind == NAME, plain, h), kind, number, offsets
+        return h, np.where(kind == NAME, plain, h), plain, kind, number, offsets
 
 
-def windows(h: np.ndarray, kind: np.ndarray, offsets: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(start token, hash) of all windows with enough plain tokens; a shorter text is one window."""
-    n, sizes = len(h), np.diff(offsets)
-    at = np.arange(n)
-    end = np.minimum(at + width, np.repeat(offsets[1:], sizes))
-    plain = np.concatenate(([0], np.cumsum(kind == PLAIN)))
-    ok = (end - at == width) & (plain[end] - plain[at] >= MIN_PLAIN)
-    short = offsets[:-1][(sizes > 0) & (sizes < width)]
-    ok[short] = plain[end[short]] - plain[short] >= MIN_PLAIN
-    at = np.flatnonzero(ok)
-    return at, span_sums(h, at, end[at])
+# (exact, width): templates need MIN_PLAIN plain tokens, exact windows none
+WINDOW_KINDS = [*[(False, n) for n in range(MIN_PLAIN, WINDOW + 1)], *[(True, n) for n in range(1, WINDOW + 1)]]
+WINDOW_ROWS = "pos int, w long, slots array<string>, n_windows int, exact boolean, width int"
+_CANON: list[Canonical] = []
 
 
-WINDOW_ROWS = "pos int, w long, slots array<string>, n_windows int"
-_CANON: list[Canonical] = []
+def windows(tokens, kinds, whole: bool):
+    """For each of ``kinds``: (exact, width, start tokens, hashes, whether names are placeholders); and the number of windows
+    per text. ``whole``: texts are items, so widths under WINDOW are for texts of this size alone and exact windows for
+    those that are short or have no others."""
+    h, nameless, raw, kind, _, offsets = tokens
+    sizes = np.diff(offsets)
+    of, stop = np.repeat(np.arange(len(sizes)), sizes), np.repeat(offsets[1:], sizes)
+    plain, names = (np.concatenate(([0], np.cumsum(kind == k))) for k in (PLAIN, NAME))
+    n, sums, out = np.zeros(len(sizes), np.int64), {}, []
+
+    def hashes(name, values, at, width):
+        if name not in sums:
+            sums[name] = span_sums(values)
+        return sums[name](at, at + width)
+
+    for exact, width in kinds:
+        at = np.arange(max(len(h) - width + 1, 0))
+        fits = at + width <= stop[at]
+        if whole and width < WINDOW:
+            fits &= sizes[of[at]] == width
+        elif whole and exact:
+            fits &= n[of[at]] == 0
+        if exact:
+            at = at[fits]
+            out.append((True, width, at, hashes("raw", raw, at, width) ^ _EXACT, np.zeros(len(at), bool)))
+            if whole:
+                n = np.maximum(n, np.bincount(of[at], minlength=len(n)))
+            continue
+        n_plain, n_names = plain[width:] - plain[:-width], names[width:] - names[:-width]
+        typed = at[fits & (n_plain >= MIN_PLAIN)]
+        # with names as plain words: every window again that has one (there are no fewer plain tokens then)
+        enough = fits & (n_plain + n_names >= MIN_PLAIN)
+        again = at[enough & (n_names > 0)]
+        if whole:
+            n += np.bincount(of[at[enough]], minlength=len(n))
+        out.append((False, width, np.concatenate([typed, again]),
+                    np.concatenate([hashes("typed", h, typed, width), hashes("nameless", nameless, again, width)]),
+                    np.arange(len(typed) + len(again)) < len(typed)))
+    return out, n
 
 
-def window_rows(texts: DataFrame, keep=None) -> DataFrame:
+def window_rows(texts: DataFrame, kinds=None, keep=None) -> DataFrame:
     """One row per window of ``texts`` (columns and the text in ``t``): the columns but t, pos, w (hash), slots ("kind value" per
-    placeholder), n_windows of the text. ``keep``: a broadcast sorted array of hashes, other windows are left out."""
+    placeholder), n_windows of the text, exact, width. ``kinds``: the (exact, width) that the items have; none: the texts are
+    the items. ``keep``: a broadcast dictionary of sorted hashes by kind, other windows are left out."""
     columns = [c for c in texts.columns if c != "t"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,30 +194,27 @@ def window_rows(texts: DataFrame, keep=None) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                h, nameless, kind, number, offsets = canon.tokens(part.column("t").to_pylist())
-                if not len(h):
+                tokens = canon.tokens(part.column("t").to_pylist())
+                _, _, _, kind, number, offsets = tokens
+                if not len(kind):
                     continue
-                at, w = windows(h, kind, offsets)
-                # with names as plain words: every window again that has one (there are no fewer plain tokens then)
-                at2, w2 = windows(nameless, np.where(kind == NAME, PLAIN, kind), offsets)
-                n = np.bincount(np.searchsorted(offsets, at2, side="right") - 1, minlength=part.num_rows)
-                typed = np.zeros(len(h), dtype=np.uint64)
-                typed[at] = w
-                more = typed[at2] != w2
-                named = np.concatenate([np.ones(len(at), bool), np.zeros(int(more.sum()), bool)])
-                at, w = np.concatenate([at, at2[more]]), np.concatenate([w, w2[more]])
-                of = np.searchsorted(offsets, at, side="right") - 1
-                if wanted is not None:
-                    i = np.searchsorted(wanted, w)
-                    hit = wanted[np.minimum(i, len(wanted) - 1)] == w if len(wanted) else np.zeros(len(w), bool)
-                    at, w, of, named = at[hit], w[hit], of[hit], named[hit]
-                slots = [[f"{kind[k]} {canon.value[number[k]]}" for k in range(a, min(a + WINDOW, offsets[d + 1]))
-                          if kind[k] and (names or kind[k] != NAME)] for a, d, names in zip(at, of, named)]
-                rows = part.take(pa.array(of))
-                yield pa.RecordBatch.from_arrays(
-                    [*[rows.column(c) for c in columns], pa.array((at - offsets[of]).astype(np.int32)), pa.array(w.astype(np.int64)),
-                     pa.array(slots, pa.list_(pa.string())), pa.array(n[of].astype(np.int32))],
-                    names=[*columns, "pos", "w", "slots", "n_windows"])
+                found, n = windows(tokens, WINDOW_KINDS if kinds is None else kinds, kinds is None)
+                for exact, width, at, w, named in found:
+                    if wanted is not None and len(w):
+                        own = wanted[exact, width]
+                        hit = own[np.minimum(np.searchsorted(own, w), len(own) - 1)] == w
+                        at, w, named = at[hit], w[hit], named[hit]
+                    if not len(at):
+                        continue
+                    of = np.searchsorted(offsets, at, side="right") - 1
+                    slots = [[] if exact else [f"{kind[k]} {canon.value[number[k]]}" for k in range(a, a + width)
+                                               if kind[k] and (names or kind[k] != NAME)] for a, names in zip(at, named)]
+                    rows = part.take(pa.array(of))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[rows.column(c) for c in columns], pa.array((at - offsets[of]).astype(np.int32)), pa.array(w.view(np.int64)),
+                         pa.array(slots, pa.list_(pa.string())), pa.array(n[of].astype(np.int32)),
+                         pa.array(np.full(len(at), exact)), pa.array(np.full(len(at), width, np.int32))],
+                        names=[*columns, "pos", "w", "slots", "n_windows", "exact", "width"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "t")
     return texts.mapInArrow(emit, f"{kept}, {WINDOW_ROWS}")
@@ -190,14 +226,17 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).alias("item_id"), whole_text(item_text).alias("t"))
     own = stored(window_rows(items), "benchmark-windows")
-    hashes = own.select("w").distinct()
+    kinds = sorted((r["exact"], r["width"]) for r in own.select("exact", "width").distinct().collect())
+    hashes = own.select("exact", "width", "w").distinct()
     n = hashes.limit(FILTER_WINDOWS + 1).count()
     keep = None
     if n <= FILTER_WINDOWS:
-        found = np.sort(np.array([r["w"] for r in hashes.collect()], dtype=np.int64).astype(np.uint64))
-        keep = spark.sparkContext.broadcast(found)
+        found = {k: [] for k in kinds}
+        for r in hashes.collect():
+            found[r["exact"], r["width"]].append(r["w"])
+        keep = spark.sparkContext.broadcast({k: np.sort(np.array(v, dtype=np.int64).view(np.uint64)) for k, v in found.items()})
     rows = docs.select(F.col(key).alias("doc_key"), whole_text(text).alias("t")).withColumn("doc_h", F.md5("t"))
-    seen = window_rows(rows.select("doc_key", "doc_h", "t"), keep).select("doc_key", "doc_h", "pos", "w", "slots")
+    seen = window_rows(rows.select("doc_key", "doc_h", "t"), kinds, keep).select("doc_key", "doc_h", "pos", "w", "slots")
     right = own.select("item_id", F.col("pos").alias("item_pos"), F.col("w").alias("item_w"), F.col("slots").alias("item_slots"), "n_windows")
     if own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         right = F.broadcast(right)

@@ -226,6 +226,17 @@ def test_decontamination(spark, make_docs):
     assert decontam.leaked_items(docs, bench.limit(0)).count() == 0 and decontam.leaked_items(docs.limit(0), bench).count() == 0
 
 
+def test_short_and_placeholder_heavy_items_are_found_inside_documents(spark, make_docs):
+    items = {1: "short item only five words", 2: "What is 12 + 34?", 3: "1 2 3 5 8 13 21 34 55 89", 4: "法国的首都是哪座城市", 5: "two words",
+             6: "A dog has four legs", 7: "Paris"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = [(i, "Before it there are some other things, exercise 5. " + t + " and after it follow more of them too") for i, t in items.items()]
+    rows += [(14, "问题如下：法国的首都是哪座城市？请回答。"), (20, "What is 12 + 35? we ask, and 1 2 3 5 then 4 6 8 9 10 11, two other words")]
+    got = {(r["doc_key"], r["item_id"]) for r in decontam.leaked_items(make_docs(rows), bench).collect()}
+    assert got == {(i, i) for i in items} | {(14, 4)}
+    assert {r["doc_id"] for r in decontam.keep_clean(make_docs(rows), bench).collect()} == {20}
+
+
 def test_inconsistent_slots_are_no_match(spark, make_docs):
     item = "Take 5 of the red boxes and put 5 of them on the table then take 5 more boxes away"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
