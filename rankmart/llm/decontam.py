@@ -5,7 +5,8 @@ numbers, units (after a number) and names (capitalised inside a sentence) are re
 ``<num>``, ``<unit>`` and ``<name>``. In scripts written without spaces every character is a word. Windows of ``WINDOW``
 canonical tokens are hashed and joined with the benchmark's.
 A match must fill the placeholders consistently: along one alignment of document and item, equal values of the item
-stand for equal values of the document, and different ones for different ones. Windows with names are hashed with the names as plain words, too, so that an
+stand for equal values of the document (different ones may coincide). Windows with a value that stands for several are left
+out, unless they have the item's own values throughout. Windows with names are hashed with the names as plain words, too, so that an
 item is found again in capitals or small letters alone. An item counts as leaked when the
 windows matched this way make up at least ``COVERAGE`` of its own.
 
@@ -241,15 +242,17 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     if own.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         right = F.broadcast(right)
     hits = seen.join(right, F.col("w") == F.col("item_w"))
-    pair = F.explode_outer(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")))
-    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
+    pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     by = ["doc_key", "doc_h", "item_id", "shift"]
-    slots = hits.select(*by, "item_pos", "n_windows", pair.alias("s"))
-    # along one alignment: each value of the item stands for one of the document, and the other way round
-    one = slots.groupBy(*by).agg(
-        F.collect_set("item_pos").alias("found"), F.max("n_windows").alias("n"), F.count_distinct("s.a").alias("na"),
-        F.count_distinct("s.b").alias("nb"), F.count_distinct("s.a", "s.b").alias("nab"))
-    good = one.where((F.col("na") == F.col("nab")) & (F.col("nb") == F.col("nab")))
+    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
+    # along one alignment: the windows, and the values of the item that stand for more than one of the document
+    one = hits.groupBy(*by).agg(
+        F.collect_set(F.struct("item_pos", (F.col("item_slots") == F.col("slots")).alias("same"), pairs.alias("pairs"))).alias("found"),
+        F.max("n_windows").alias("n"))
+    one = one.withColumn("pairs", F.array_sort(F.array_distinct(F.flatten("found.pairs"))))
+    one = one.withColumn("torn", F.transform(F.filter("pairs", lambda p, i: (i > 0) & (p["a"] == F.get("pairs", i - 1)["a"])), lambda p: p["a"]))
+    good = F.filter("found", lambda x: x["same"] | ~F.arrays_overlap(x["pairs"]["a"], F.col("torn")))
+    good = one.select(*by, "n", F.array_distinct(F.transform(good, lambda x: x["item_pos"])).alias("found"))
     out = good.groupBy("doc_key", "doc_h", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("n_matched"), F.max("n").alias("n"))
     out = out.withColumn("coverage", F.col("n_matched") / F.col("n"))

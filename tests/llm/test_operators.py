@@ -245,6 +245,16 @@ def test_inconsistent_slots_are_no_match(spark, make_docs):
     assert got == {1}
 
 
+def test_one_changed_value_or_equal_new_values_do_not_hide_a_leak(spark, make_docs):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(50)]
+    long = " ".join(["5" if i in (10, 40) else w for i, w in enumerate(words)])
+    trip = "the train leaves town at 9 km and someone buys apples for 3 dollars before the long way home"
+    bench = spark.createDataFrame([(1, long), (2, trip)], "item_id long, text string")
+    docs = make_docs([(1, "6".join(long.rsplit("5", 1))), (2, trip.replace("9", "7").replace("3", "7"))])
+    got = {(r["doc_key"], r["item_id"]): (r["n_matched"], r["coverage"]) for r in decontam.leaked_items(docs, bench).collect()}
+    assert got == {(1, 1): (35, 35 / 43), (2, 2): (12, 1.0)}
+
+
 # ------------------------------------------------------------------------------------------ 8
 def brute_classes(rows):
     texts = {}
