@@ -372,3 +372,39 @@ def test_colliding_surrogates_are_drawn_again(spark, make_docs):
     new = {r["doc_id"]: re.sub(r"\D", "", r["text"]) for r in out}
     real = {re.sub(r"\D", "", x) for x in numbers}
     assert len(set(new.values())) == len(real) and not set(new.values()) & real
+
+
+PHONES = ["+14155552671", "4155552671", "1-415-555-2671", "+44 20 7946 0958", "+49 30 901820", "+33 1 42 68 53 00", "+442079460958"]
+SECRETS = [("client_secret=", "Zq7!x$9"), ("access_token=", "abc.def-12"), ("api-key: ", "k3y"), ('{"password": "', "p@ss, wörd"), ("pwd=", "a"), ("Password: ", "ключ12")]
+ADDRESSES = ["2001:db8:85a3::8a2e:370:7334", "2001:0DB8:85a3:0:0:8a2e:0370:7334", "fe80::1", "::ffff:192.168.7.9"]
+IBANS = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "DE89370400440532013000"]
+
+
+def test_every_format_is_found(spark, make_docs):
+    """Each entity alone goes, what stands around it stays."""
+    found = [("ask ", x, " times" if x.startswith("+49") else " 12 times") for x in PHONES + ADDRESSES + IBANS] + [("so " + a, x, '"} then') if '"' in a else ("so " + a, x, " then") for a, x in SECRETS]
+    plain = ["std::vector<int> a::b at 12:30:45", "1733200000 and 12345 of 2024-01-02", "tokens: none, passwords are long", "AB12 is a room"]
+    names = pii.names_table([("title", "f", "", "Dame"), *[("given", g, s, w) for (g, s), ws in pii.GIVEN.items() for w in ws[:3]], ("given", "m", "latin", "Zebulon")])
+    docs = make_docs([*[(i, "".join(x)) for i, x in enumerate(found)], *[(100 + i, x) for i, x in enumerate(plain)], (200, "James Brown sang")])
+    got = {r["doc_id"]: (r["text"], [s["type"] for s in r["pii"]["spans"] or []]) for r in pii.replace_entities(docs, "k").collect()}
+    new = {}
+    for i, (a, x, z) in enumerate(found):
+        t, types = got[i]
+        new[x] = t[len(a):len(t) - len(z)]
+        assert t.startswith(a) and t.endswith(z) and len(types) == 1 and new[x] != x and (len(x) == 1 or x not in t) and "wörd" not in t and "ключ" not in t, (x, t)
+    assert [got[100 + i] for i in range(len(plain))] == [(x, []) for x in plain]
+    assert got[200][1] == ["name"] and "Brown" not in got[200][0]
+    assert re.match(r"\+44 \d\d \d{4} \d{4}$", new["+44 20 7946 0958"]) and new["+442079460958"] == new["+44 20 7946 0958"].replace(" ", "")
+    assert re.match(r"\+49 \d\d \d{6}$", new["+49 30 901820"]) and new["+33 1 42 68 53 00"].startswith("+33 ")
+    assert new[ADDRESSES[0]] == new[ADDRESSES[1]] and new[IBANS[0]].replace(" ", "") == new[IBANS[2]]
+    for x in IBANS:
+        s = new[x].replace(" ", "")
+        assert len(s) == 22 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    own = pii.replace_entities(make_docs([(1, "Dame Judi and Zebulon Carter met James Brown")]), "k", names=names).collect()[0]["text"]
+    assert "Judi" not in own and "Carter" not in own and "James Brown" in own
+
+
+def test_short_secrets_do_not_run_out_of_surrogates(spark, make_docs):
+    docs = make_docs([(i, f"token={c}") for i, c in enumerate("abcdef0123456789*")])
+    got = [r["text"] for r in pii.replace_entities(docs, "k").collect()]
+    assert len(set(got)) == 17 and all(len(t) > 7 for t in got if "*" not in t)
