@@ -12,7 +12,10 @@ roles line ends are escaped as well. The loss mask marks the assistants' texts a
 formatted string.
 
 Null role or text counts as empty; a conversation without turns is an empty string; equal turn numbers are ordered by role and
-text; a conversation is one row here, so it has to fit in one (a single sequence of turns is a single string).
+text. A conversation is one record, or, if it is long, several in order (``bucket``, ``part``), each with at most ``TURNS``
+turns and, unless one turn alone has more, ``CHARS`` characters; its formatted string is theirs in a row. Buckets of turn
+numbers are dealt out alone, so the records of one conversation are made by many tasks; only its running digests
+need all of them in order, and read them as a stream.
 """
 
 from __future__ import annotations
@@ -23,10 +26,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
+TURNS, CHARS = 256, 1 << 15  # of a record
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "prompter": "user"}
 
 
@@ -120,65 +126,135 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_records(records: DataFrame, key: str = "conv_id", record: str = "record", mappings: dict | None = None) -> DataFrame:
-    """key, fingerprint, known, n_turns, formatted, loss (array of start, end) from JSON records."""
+    """key, fingerprint, known, n_turns, formatted, loss (array of start, end) from JSON records; bucket and part, if they have these."""
     known = registry(mappings)
+    order = [c for c in ORDER if c in records.columns]
     kind = records.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, text in zip(pdf["k"], pdf["r"]):
+            for k, text, *at in zip(pdf["k"], pdf["r"], *[pdf[c] for c in order]):
                 value = json.loads(text) if text else {}
                 mark = fingerprint(field_paths(value))
                 mapping = known.get(mark)
                 turns = canonical_turns(value, mapping) if mapping else []
                 formatted, spans = render(turns)
-                rows.append((k, mark, mapping is not None, len(turns), formatted, [{"start": a, "end": z} for a, z in spans]))
-            yield pd.DataFrame(rows, columns=["k", "fingerprint", "known", "n_turns", "formatted", "loss"])
+                rows.append((k, mark, mapping is not None, len(turns), formatted, [{"start": a, "end": z} for a, z in spans], *at))
+            yield pd.DataFrame(rows, columns=["k", "fingerprint", "known", "n_turns", "formatted", "loss", *order])
 
-    rows = records.select(F.col(key).alias("k"), F.col(record).alias("r"))
+    rows = records.select(F.col(key).alias("k"), F.col(record).alias("r"), *order)
     out = rows.mapInPandas(work, f"k {kind}, fingerprint string, known boolean, n_turns long, formatted string, "
-                                 "loss array<struct<start:long,end:long>>")
+                                 "loss array<struct<start:long,end:long>>" + "".join(f", {c} long" for c in order))
     return out.withColumnRenamed("k", key)
 
 
-def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Digests of the turns and of the text under the loss mask, from the formatted strings and spans alone."""
-    kind = formatted.schema[key].dataType.simpleString()
+ORDER = ("bucket", "part")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, text, spans in zip(pdf["k"], pdf["formatted"], pdf["loss"]):
+
+def read_back(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Digests of the turns and of the text under the loss mask, from the formatted strings and spans alone. Rows with bucket
+    and part are streamed in order, with a conversation's running digests as the only state."""
+    field = formatted.schema[key]
+    whole = not set(ORDER) <= set(formatted.columns)
+    names = ["k", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, state, schema = [], None, None
+
+        def close():
+            if state:
+                k, turns, sha, chars, loss, size = state
+                done.append((k, turns, sha.hexdigest(), chars, loss.hexdigest(), size))
+
+        def batch():
+            rows = list(zip(*done))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, schema)], names=names)
+
+        for b in batches:
+            schema = schema or [b.schema.field("k").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            spans = b.column("loss")
+            for i, k in enumerate(b.column("k").to_pylist()):
+                if state is None or whole or k != state[0]:
+                    close()
+                    state = [k, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    if len(done) >= 5000:
+                        yield batch()
+                text = b.column("formatted")[i].as_py()
                 turns = parse(text)
-                sha, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
-                for role, body in turns:
-                    sha.update(f"{role}\n{body}\n".encode())
-                for s in spans:
+                state[1] += len(turns)
+                state[2].update("".join([f"{role}\n{body}\n" for role, body in turns]).encode())
+                for s in spans[i].as_py():
                     part = _unescape_text(text[s["start"]:s["end"]])
-                    chars += len(part)
-                    loss.update(part.encode())
-                rows.append((k, len(turns), sha.hexdigest(), chars, loss.hexdigest(), len(text)))
-            yield pd.DataFrame(rows, columns=["k", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    out = formatted.select(F.col(key).alias("k"), "formatted", "loss").mapInPandas(
-        work, f"k {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+                    state[3] += len(part)
+                    state[4].update(part.encode())
+                state[5] += len(text)
+        close()
+        if done:
+            yield batch()
+
+    rows = formatted.select(F.col(key).alias("k"), "formatted", "loss", *([] if whole else ORDER))
+    if not whole:
+        rows = rows.repartition("k").sortWithinPartitions("k", *ORDER).drop(*ORDER)
+    out = rows.mapInArrow(work, f"k {field.dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, "
+                                "loss_sha256 string, formatted_chars long")
     return out.withColumnRenamed("k", key)
 
 
+def _record(k, turns: list[tuple[str, str]], plain: bool) -> str:
+    """The turns as JSON, in the layout their shape allows."""
+    ident = {} if k is None else {"id": k}
+    roles, texts = [r for r, _ in turns], [t for _, t in turns]
+    if roles == ["user", "assistant"]:
+        value = ident | {"prompt": texts[0], "completion": texts[1]}
+    elif roles == ["system", "user", "assistant"]:
+        value = {"instruction": texts[0], "input": texts[1], "output": texts[2]}
+    elif plain:
+        value = {"messages": [{"role": r, "content": t} for r, t in turns]}
+    else:
+        value = ident | {"conversations": [{"from": r, "value": t} for r, t in turns]}
+    return json.dumps(value, ensure_ascii=False, default=str)
+
+
 def conversation_records(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, record): each conversation as one JSON record, in the layout its own shape allows: prompt and
-    completion, instruction with input and output, or a list of messages (every other one in the from/value form)."""
-    turn = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-                    F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = turns.groupBy(F.col(key).alias("k")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    roles = F.transform("t", lambda x: x["role"])
-    at = lambda i: F.get("t", F.lit(i))["text"]
-    shape = lambda *r: roles == F.array(*[F.lit(x) for x in r])
-    named = lambda role, text: F.transform("t", lambda x: F.struct(x["role"].alias(role), x["text"].alias(text)))
-    record = (F.when(shape("user", "assistant"), F.to_json(F.struct(F.col("k").alias("id"), at(0).alias("prompt"), at(1).alias("completion"))))
-              .when(shape("system", "user", "assistant"),
-                    F.to_json(F.struct(at(0).alias("instruction"), at(1).alias("input"), at(2).alias("output"))))
-              .when(F.pmod(F.xxhash64("k"), F.lit(2)) == 0, F.to_json(F.struct(named("role", "content").alias("messages"))))
-              .otherwise(F.to_json(F.struct(F.col("k").alias("id"), named("from", "value").alias("conversations")))))
-    return rows.select(F.col("k").alias(key), record.alias("record"))
+    """(key, record, bucket, part): each conversation as one JSON record, or one per bounded part, in the layout its own shape
+    allows: prompt and completion, instruction with input and output, or a list of messages (every other one in the
+    from/value form)."""
+    kind = turns.schema[key].dataType.simpleString()
+    # a bucket's turns come after those of the bucket before; other than whole numbers are one bucket
+    bucket = F.expr(f"turn div {TURNS}") if isinstance(turns.schema["turn"].dataType, T.IntegralType) else F.lit(0)
+    rows = turns.select(F.col(key).alias("k"), bucket.cast("long").alias("bucket"), (F.pmod(F.xxhash64(key), F.lit(2)) == 0).alias("plain"),
+                        "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("bucket", F.coalesce("bucket", F.lit(-(1 << 62))))  # turns without a number come first
+    rows = rows.repartition("k", "bucket").sortWithinPartitions("k", "bucket", "turn", "role", "text").drop("turn")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, at, size, part, plain, kinds = [], [], None, 0, 0, False, None
+
+        def close():
+            if held:
+                out.append((at[0], _record(at[0], held, plain), at[1], part))
+
+        def batch():
+            rows = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["k", "record", "bucket", "part"])
+
+        for b in batches:
+            kinds = kinds or [b.schema.field("k").type, pa.string(), pa.int64(), pa.int64()]
+            for k, z, p, role, text in zip(*[b.column(c).to_pylist() for c in ("k", "bucket", "plain", "role", "text")]):
+                if at != (k, z) or len(held) == TURNS or held and size + len(text) > CHARS:
+                    close()
+                    part = part + 1 if at == (k, z) else 0
+                    at, plain, held, size = (k, z), p, [], 0
+                    if len(out) >= 500:
+                        yield batch()
+                held.append((role, text))
+                size += len(text)
+        close()
+        if out:
+            yield batch()
+
+    return rows.mapInArrow(work, f"k {kind}, record string, bucket long, part long").withColumnRenamed("k", key)

@@ -203,6 +203,20 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.format_records(chat.conversation_records(df.limit(0)))).count() == 0
 
 
+def test_a_long_conversation_is_many_bounded_records(spark):
+    df = spark.range(3000).selectExpr("7L AS conv_id", "CASE WHEN id < 5 THEN NULL ELSE id DIV 2 END AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role",
+                                      "concat('text ', id, repeat('<|', id % 90)) AS text").repartition(5)
+    records = chat.conversation_records(df).collect()
+    assert len(records) > 6 and len({(r["bucket"], r["part"]) for r in records}) == len(records) and max(len(r["record"]) for r in records) < 2 * chat.CHARS
+    formatted = chat.format_records(chat.conversation_records(df)).repartition(3)
+    assert formatted.where("NOT known").count() == 0
+    turns = sorted(((r["turn"] is not None, r["turn"] or 0, r["role"], r["text"].encode()) for r in df.collect()))
+    loss = "".join(x.decode() for _, _, r, x in turns if r == "assistant")
+    want = (7, 3000, hashlib.sha256(b"".join(r.encode() + b"\n" + x + b"\n" for _, _, r, x in turns)).hexdigest(), len(loss),
+            hashlib.sha256(loss.encode()).hexdigest(), len(chat.render([(r, x.decode()) for _, _, r, x in turns])[0]))
+    assert [tuple(r) for r in chat.read_back(formatted).collect()] == [want]
+
+
 def test_unknown_layout_keeps_its_fingerprint(spark):
     df = spark.createDataFrame([(1, '{"question": "a", "answer": "b"}'), (2, '{"prompt": "a", "completion": "b"}'), (3, None)],
                                "conv_id long, record string")
