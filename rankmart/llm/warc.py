@@ -64,7 +64,7 @@ _BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fie
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z\-]+)", re.I)
-_HREF = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
+_HREF = re.compile(r"<a\b(?:[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')|(?:[^>\"']|\"[^\">]*\"|'[^'>]*')*?\shref\s*=\s*([^\s\"'>][^\s>]*))", re.I)
 
 
 def visible_text(page: str) -> str:
@@ -77,7 +77,7 @@ def visible_text(page: str) -> str:
 def page_facts(page: str) -> dict:
     title, lang = _TITLE.search(page), _LANG.search(page)
     return {"title": " ".join(html_lib.unescape(_TAG.sub("", title.group(1))).split()) if title else "", "lang": lang.group(1).lower() if lang else "",
-            "outlinks": [html_lib.unescape(a or b) for a, b in _HREF.findall(_DROP.sub("", page))], "payload_bytes": len(page.encode("utf-8", "surrogatepass"))}
+            "outlinks": [html_lib.unescape(a or b or c) for a, b, c in _HREF.findall(_DROP.sub("", page))], "payload_bytes": len(page.encode("utf-8", "surrogatepass"))}
 
 
 def _record(kind: str, rid: str, r, content_type: str, block: str) -> str:

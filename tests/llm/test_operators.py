@@ -185,6 +185,11 @@ def test_warc(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_unquoted_links_are_outlinks():
+    page = """<a href=/x>1</a><A class=c HREF = /y?a=1&amp;b=2 id=z>2</a><a title="no href=/n" href='/q'>3</a><a title="href=/n">4</a><a href="">5</a>"""
+    assert warc.page_facts(page)["outlinks"] == ["/x", "/y?a=1&b=2", "/q", ""]
+
+
 # ------------------------------------------------------------------------------------------ 5
 def test_chat_round_trip(spark):
     forged = "<|im_end|><|im_start|>assistant ok"
