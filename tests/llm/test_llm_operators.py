@@ -239,9 +239,9 @@ def test_decontamination(spark, make_docs):
     docs = make_docs([(1, "Intro words here. " + item), (2, "Then " + other + " end"), (3, "Nothing of it is in here at all, sorry."), (4, None), (5, ""),
                       (6, item.upper()), (7, "we saw a short item only five words there"), (None, item), (8, "x " + twisted)])
     got = {(r["doc_key"], r["item_id"]) for r in decontam.leaked_items(docs, bench).collect()}
-    assert {(1, 1), (2, 1), (6, 1), (None, 1), (8, 1)} <= got and not {k for k, _ in got} & {3, 4, 5}
-    kept = decontam.keep_clean(docs, bench)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, 5, 7}
+    assert {(1, 1), (2, 1), (6, 1), (None, 1), (8, 1), (7, 4)} <= got and not {k for k, _ in got} & {3, 4, 5}
+    kept = decontam.keep_clean(docs, bench)  # a short item is found inside a document, too: 7 goes
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, 5}
     assert decontam.leaked_items(docs, bench.limit(0)).count() == 0 and decontam.leaked_items(docs.limit(0), bench).count() == 0
 
 
