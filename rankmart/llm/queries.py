@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankmart.llm import chat, chosen_path, decontam, huffman, lm_scoring, packing, pii, quality, token_cache, warc
+from rankmart.llm import chat, chosen_path, decontam, divergence, huffman, lm_scoring, packing, pii, quality, token_cache, warc
 from rankmart.llm.common import read_table, shared_path, stored
+from rankmart.llm.divergence_sql import DIVERGENCE_SQL
 from rankmart.llm.quality_sql import QUALITY_SQL
 from rankmart.llm.registry import ORACLE, QUERIES, query  # noqa: F401
 
@@ -87,3 +88,9 @@ def op5_schema_fingerprint_chat(spark, sf_dir):
     records = chat.conversation_records(turns.unionByName(extra))
     formatted = stored(chat.format_records(records), "formatted")
     return chat.read_back(formatted)
+
+
+@query("op13_source_divergence", sql=DIVERGENCE_SQL)
+def op13_source_divergence(spark, sf_dir):
+    """Price differences between each source and the others of its language, and the terms it prices above the language."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
