@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankmart.llm import chat, chosen_path, decontam, divergence, huffman, lm_scoring, packing, pii, quality, token_cache, warc
+from rankmart.llm import chat, chosen_path, conversation_repair, decontam, divergence, huffman, lm_scoring, packing, pii, quality, token_cache, warc
 from rankmart.llm.common import read_table, shared_path, stored
 from rankmart.llm.divergence_sql import DIVERGENCE_SQL
 from rankmart.llm.quality_sql import QUALITY_SQL
@@ -94,3 +94,10 @@ def op5_schema_fingerprint_chat(spark, sf_dir):
 def op13_source_divergence(spark, sf_dir):
     """Price differences between each source and the others of its language, and the terms it prices above the language."""
     return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    """Damaged conversations, audited and repaired by the cheapest edits."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair(conversation_repair.damage(turns), turns)

@@ -46,7 +46,7 @@ def test_stages_and_run(spark, folder):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, len(QUERIES) + 1)) and set(ORACLE) <= set(QUERIES)
 
 
 def test_quality_twin(spark, folder):
