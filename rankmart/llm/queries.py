@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from rankmart.llm import chat, chosen_path, conversation_repair, decontam, divergence, huffman, lm_scoring, packing, pii, quality, token_cache, warc
+from rankmart.llm import chat, chosen_path, conversation_repair, decontam, divergence, huffman, lm_scoring, packing, pii, quality, templates, token_cache, warc
 from rankmart.llm.common import read_table, shared_path, stored
 from rankmart.llm.divergence_sql import DIVERGENCE_SQL
 from rankmart.llm.quality_sql import QUALITY_SQL
@@ -101,3 +101,9 @@ def op12_conversation_repair(spark, sf_dir):
     """Damaged conversations, audited and repaired by the cheapest edits."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return conversation_repair.repair(conversation_repair.damage(turns), turns)
+
+
+@query("op11_template_extraction")
+def op11_template_extraction(spark, sf_dir):
+    """The main text of every page, by the templates of their hosts."""
+    return templates.extract(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
