@@ -97,3 +97,9 @@ SN_SOURCES = ["click", "view", "purchase", "signup", "error", "refund"]
 TOPK_LANG = "en"
 TOPK_N = 200
 PAGE_PATTERN = r"^https?://[^/]+/([a-z]{2})/([0-9]+)"
+
+# Newest landing on pages: landed day by id, in dated folders. Publication: three refreshes of events.
+LD_FIRST_DAY = "2024-03-01"
+LD_DAYS = 30
+PB_VERSIONS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00", "2024-01-31 00:00:00"]
+PB_COHORTS = 7

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from rankmart import fixed
 from rankmart.functions.numeric import nan_to_null
+from rankmart.sources.manifest import list_files, newest_paths, read_manifest
 
 BENCH_SCORES = T.StructType([
     T.StructField("model", T.StringType()),
@@ -113,7 +114,7 @@ def _fetched_at():
     return F.col("_metadata.file_modification_time").cast("timestamp_ntz")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, with_order: bool = False,
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, with_order: bool = False,
              with_file: bool = False) -> DataFrame:
     """CSV with header and an explicit schema.
 
@@ -217,17 +218,19 @@ def read_package_downloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_latest_dated_csv(spark: SparkSession, path: str, schema: T.StructType,
-                          pattern: str = fixed.ARENA_FILE_PATTERN) -> DataFrame:
-    """Rows of the newest dated file in a folder.
+                          pattern: str = fixed.ARENA_FILE_PATTERN, manifest: str | None = None) -> DataFrame:
+    """Rows of the newest dated file in a folder (S11, X22), with its name and stamp.
 
-    Files are matched by name; the newest stamp (lexical max of YYYYMMDD)
-    is a one-row aggregate joined back (broadcast of a proven size).
+    Files are matched by name from the listing (or the folder's manifest); only the newest one (lexical max of
+    YYYYMMDD) is opened. Files whose names don't match are none of the feed; without any there are no rows.
     """
-    df = read_csv(spark, path, schema).select("*", F.col("_metadata.file_name").alias("file_name"))
-    stamped = df.withColumn("file_stamp", F.regexp_extract("file_name", "^" + pattern + "$", 1)) \
-                .filter(F.col("file_stamp") != "")
-    newest = stamped.agg(F.max("file_stamp").alias("file_stamp"))
-    return stamped.join(F.broadcast(newest), "file_stamp", "left_semi")
+    files = list_files(spark, path, pattern) if manifest is None else read_manifest(spark, manifest)
+    paths = newest_paths(files.filter(F.col("name").rlike("^" + pattern + "$")))
+    if not paths:
+        fields = schema.fields + [T.StructField("file_name", T.StringType()), T.StructField("file_stamp", T.StringType())]
+        return spark.createDataFrame([], T.StructType(fields))
+    df = read_csv(spark, paths, schema).select("*", F.col("_metadata.file_name").alias("file_name"))
+    return df.withColumn("file_stamp", F.regexp_extract("file_name", "^" + pattern + "$", 1))
 
 
 def newest_snapshot(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rankmart.session import checkpoint_dir
+from rankmart.sources.manifest import batch_files, record
 
 
 def start_refresh(spark: SparkSession, landing_dir: str, schema: StructType, snapshot_table: str,
                   source: str, fmt: str = "json", rebuild: Callable[[SparkSession, DataFrame], None] | None = None,
                   available_now: bool = True, interval: str = "5 minutes", checkpoint: str | None = None,
-                  options: dict | None = None):
+                  options: dict | None = None, manifest: str | None = None):
     """Start the landing stream; returns the StreamingQuery.
 
     * new files in ``landing_dir`` are read with an explicit schema;
@@ -28,8 +29,10 @@ def start_refresh(spark: SparkSession, landing_dir: str, schema: StructType, sna
       modification time) and written as Parquet to ``snapshot_table``,
       partitioned by source and batch id (a replayed batch overwrites only
       its own partition, so the table never holds a batch twice);
+    * ``manifest`` names a table that gets one row per landed file of the batch, for readers that want
+      the newest landing's files only (see ``rankmart.sources.manifest``);
     * ``rebuild(spark, snapshots)`` then recomputes the marts from the whole
-      snapshot table.
+      snapshot table (``rankmart.streaming.incremental`` has marts that merge the batch instead).
 
     ``available_now`` processes what is there and stops (a scheduled job);
     otherwise it polls every ``interval`` (the 5-minute timer). The stream's
@@ -44,11 +47,16 @@ def start_refresh(spark: SparkSession, landing_dir: str, schema: StructType, sna
         "*",
         F.lit(source).alias("source"),
         F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("fetched_at"),
-        F.col("_metadata.file_name").alias("payload_file"))
+        F.col("_metadata.file_name").alias("payload_file"),
+        *([F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_size"),
+                    F.col("_metadata.file_modification_time")).alias("_metadata")] if manifest else []))
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         # A replayed epoch (after a failure) rewrites its own partition instead of
         # appending its rows a second time: the landing is idempotent per batch.
+        if manifest is not None:
+            record(batch_files(df), manifest, int(epoch_id))
+            df = df.drop("_metadata")
         (df.withColumn("batch_id", F.lit(int(epoch_id)).cast("long"))
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("source", "batch_id").parquet(snapshot_table))
