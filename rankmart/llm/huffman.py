@@ -18,12 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankmart.llm import tokenizing
-from rankmart.llm.common import pack_ints, shuffle_width, unpack_ints, whole_text
+from rankmart.llm.common import pack_ints, shuffle_width, stored, unpack_ints, whole_text
 
 MAX_BITS = 18
 BLOCK = 256            # ids between two bit-offset checkpoints
@@ -121,25 +121,92 @@ def decode_bits(payload: bytes, offsets: np.ndarray, n_ids: int, table: np.ndarr
     return ids.reshape(-1)[:n_ids]
 
 
-def _ids_of(tokenizer: str, end_id: int):
-    bpe = tokenizing.loaded(tokenizing.ByteBpe, tokenizer)
-    end = np.array([end_id], dtype="<u4").tobytes()
-    return lambda t: bpe.ids(t) + end
+RAW = "part int, segment int, ids_before long, n_ids long, n_docs long, keys binary, null_keys binary, lengths binary, ids binary"
 
 
-def global_counts(docs: DataFrame, tokenizer: str, end_id: int, vocab: int, text: str = "text") -> np.ndarray:
-    """Occurrences of every id in all documents; each task sends at most one row per id of the vocabulary."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, total = _ids_of(tokenizer, end_id), np.zeros(vocab, dtype=np.int64)
-        for pdf in batches:
-            for t in pdf["t"]:
-                total += np.bincount(np.frombuffer(ids_of(t), "<u4"), minlength=vocab) if len(t) > 400_000 else 0
-            short = b"".join(ids_of(t) for t in pdf["t"] if len(t) <= 400_000)
-            total += np.bincount(np.frombuffer(short, "<u4"), minlength=vocab)
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def key_bounds(keys: DataFrame, parts: int) -> np.ndarray:
+    """At most ``parts`` - 1 ascending keys that cut the documents' keys into ranges of about one size (one row of them)."""
+    shares = [(i + 1) / parts for i in range(parts - 1)]
+    if not shares:
+        return np.empty(0, np.int64)
+    found = keys.agg(F.percentile_approx("k", shares, 20 * parts).alias("b")).first()["b"]
+    return np.unique(np.array(found or [], dtype=np.int64))
+
+
+def raw_segments(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str) -> DataFrame:
+    """Segments of consecutive documents in ascending key order, their ids in two bytes each (four for a vocabulary that needs them).
+
+    Each text is encoded once, where it is read; only ids move. The range of a document's key is its partition, found from
+    the keys alone, so the partitioner has no texts to sample."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("long").alias("k"), whole_text(text).alias("t"))
+    bounds = spark.sparkContext.broadcast(key_bounds(rows.select("k"), shuffle_width(spark)))  # eight bytes per partition
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizing.loaded(tokenizing.ByteBpeBatch, tokenizer)
+        end = np.array([end_id], dtype=bpe.dtype).tobytes()
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                some = b.slice(lo, 500)
+                ids = [x + end for x in bpe.batch(some.column("t").to_pylist())]
+                k = some.column("k")
+                part = np.searchsorted(bounds.value, k.fill_null(-(1 << 63)).to_numpy(), side="left").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), k, pa.array(ids, pa.binary())], names=["part", "k", "ids"])
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.dtype(tokenizing.loaded(tokenizing.ByteBpeBatch, tokenizer).dtype).itemsize
+        part, seq, before, keys, docs_ids, held = None, 0, 0, [], [], 0
+
+        def flush():
+            nonlocal keys, docs_ids, held, seq, before
+            data = b"".join(docs_ids)
+            n = len(data) // width
+            row = (part, seq, before, n, len(keys), pack_ints(np.array([0 if k is None else k for k in keys], dtype="<i8")),
+                   pack_ints(np.array([k is None for k in keys], dtype=np.uint8)),
+                   pack_ints(np.array([len(d) // width for d in docs_ids], dtype="<u8")), pack_ints(np.frombuffer(data, f"<u{width}")))
+            seq, before, keys, docs_ids, held = seq + 1, before + n, [], [], 0
+            kinds = [pa.int32(), pa.int32()] + [pa.int64()] * 3 + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=_columns(RAW))
+
+        for b in batches:
+            for p, k, ids in zip(b.column("part").to_pylist(), b.column("k").to_pylist(), b.column("ids").to_pylist()):
+                if p != part:
+                    if keys:
+                        yield flush()
+                    part, seq, before = p, 0, 0
+                docs_ids.append(ids)
+                keys.append(k)
+                held += len(ids) // width
+                if held >= SEGMENT:
+                    yield flush()
+        if keys:
+            yield flush()
+
+    encoded = rows.mapInArrow(encode, "part int, k long, ids binary")
+    dealt = encoded.repartition(shuffle_width(spark), "part").sortWithinPartitions("part", "k")
+    return stored(dealt.mapInArrow(segments, RAW), "raw-segments")
+
+
+def _raw_ids(batch: pa.RecordBatch, dtype: str) -> Iterator[np.ndarray]:
+    for ids, n in zip(batch.column("ids"), batch.column("n_ids")):
+        yield unpack_ints(ids.as_py(), n.as_py(), dtype)
+
+
+def global_counts(raw: DataFrame, vocab: int, dtype: str) -> np.ndarray:
+    """Occurrences of every id in all segments; each task sends at most one row per id of the vocabulary."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocab, dtype=np.int64)
+        for b in batches:
+            for ids in _raw_ids(b, dtype):
+                total += np.bincount(ids, minlength=vocab)
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "n": total[used]})
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["id", "n"])
 
-    rows = docs.select(whole_text(text).alias("t")).mapInPandas(count, "id long, n long")
+    rows = raw.select("n_ids", "ids").mapInArrow(count, "id long, n long")
     out = np.zeros(vocab, dtype=np.int64)
     for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most one row per id of the vocabulary
         out[r["id"]] = r["n"]
@@ -151,41 +218,25 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str
     """Encode all documents and write them, in ascending key order, to ``path``."""
     from tokenizers import Tokenizer
     spark = docs.sparkSession
-    vocab = vocab or max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
-    lengths = code_lengths(global_counts(docs, tokenizer, end_id, vocab, text))
+    size = Tokenizer.from_file(tokenizer).get_vocab_size()
+    vocab, dtype = vocab or max(size, end_id + 1), "<u2" if size <= 1 << 16 else "<u4"
+    if end_id >= 1 << 16 and dtype == "<u2":
+        raise ValueError("the end id doesn't fit the ids' two bytes")
+    raw = raw_segments(docs, tokenizer, end_id, key, text)
+    lengths = code_lengths(global_counts(raw, vocab, dtype))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/book")
     codes = spark.sparkContext.broadcast((canonical_codes(lengths), lengths))  # 5 bytes per id of the vocabulary
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of, (code, length) = _ids_of(tokenizer, end_id), codes.value
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
-        keys, docs_ids, held = [], [], 0
-
-        def flush():
-            nonlocal keys, docs_ids, held, seq, before
-            ids = np.frombuffer(b"".join(docs_ids), "<u4")
-            payload, offsets = encode_bits(ids, code, length)
-            null = np.array([k is None for k in keys], dtype=np.uint8)
-            row = (part, seq, before, len(ids), len(keys),
-                   pack_ints(np.array([0 if k is None else k for k in keys], dtype="<i8")), pack_ints(null),
-                   pack_ints(np.array([len(d) // 4 for d in docs_ids], dtype="<u8")), pack_ints(offsets.astype("<u8")), payload)
-            seq, before, keys, docs_ids, held = seq + 1, before + len(ids), [], [], 0
-            return pd.DataFrame([row], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, length = codes.value
+        for b in batches:
+            for i, ids in enumerate(_raw_ids(b, dtype)):
+                payload, offsets = encode_bits(ids, code, length)
+                same = [b.column(c).slice(i, 1) for c in _columns(SCHEMA)[:8]]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([pack_ints(offsets.astype("<u8"))], pa.binary()), pa.array([payload], pa.binary())],
+                                                 names=_columns(SCHEMA))
 
-        for pdf in batches:
-            for k, null, t in zip(pdf["k"], pdf["k_null"], pdf["t"]):
-                docs_ids.append(ids_of(t))
-                keys.append(None if null else int(k))
-                held += len(docs_ids[-1]) // 4
-                if held >= SEGMENT:
-                    yield flush()
-        if keys:
-            yield flush()
-
-    rows = docs.select(F.col(key).cast("long").alias("k"), whole_text(text).alias("t"))
-    rows = rows.repartitionByRange(shuffle_width(spark), "k").sortWithinPartitions("k")
-    rows = rows.select(F.coalesce("k", F.lit(0)).alias("k"), F.col("k").isNull().alias("k_null"), "t")
-    rows.mapInPandas(segments, SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
+    raw.mapInArrow(pack, SCHEMA).write.mode("overwrite").option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:

@@ -132,6 +132,109 @@ class ByteBpe(_Cached):
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+class ByteBpeBatch(ByteBpe):
+    """The same ids for many texts at once: the chunks that are not known yet are encoded in one call of the library.
+
+    Ids are kept as 16-bit integers where the vocabulary allows, else as 32-bit ones (``dtype``). Known chunks stand in two
+    generations; when the younger is full it becomes the older one, and what is looked up there moves back, so that
+    common chunks are never lost and memory stays bounded.
+    """
+
+    GENERATION = 500_000  # entries
+    JOINED = 5_000        # chunks encoded in one call
+    BATCH_CHARS = 2_000_000
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        size = self.whole.get_vocab_size()
+        self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        self.width = np.array([len(self.whole.id_to_token(i) or "") for i in range(size)])  # a letter of a token is a byte of the text
+        self.older: dict = {}
+
+    def _plain(self, chunk: str) -> bool:
+        """Whether a chunk's ids don't depend on what stands around it (see ``ByteBpe``)."""
+        body = chunk[1:] if chunk[:1] == "\n" else chunk
+        if not body or body[0].isspace() or body[-1].isspace() or "\x85" in body:
+            return False
+        return body.isprintable() or not any(x.isspace() for x in body)
+
+    def _learn(self, chunks: list[str]) -> None:
+        for lo in range(0, len(chunks), self.JOINED):
+            some = chunks[lo:lo + self.JOINED]
+            pieces = [c if c[:1] == "\n" else " " + c for c in some]
+            raw = np.array(self.whole.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.cumsum([len(x) if x.isascii() else len(x.encode()) for x in pieces])
+            at = np.cumsum(self.width[raw])
+            cuts = np.searchsorted(at, ends)
+            if not (at[cuts] == ends).all():
+                raise RuntimeError("a token runs over a chunk's end; this tokenizer needs the whole text")
+            data, size, before = raw.tobytes(), raw.itemsize, 0
+            for c, cut in zip(some, ((cuts + 1) * size).tolist()):
+                self.known[c] = data[before:cut]
+                before = cut
+
+    def _find(self, chunks: set) -> None:
+        """Entries for chunks that aren't in the younger generation. A word with a comma or full stop behind it is the word's
+        ids and the mark's."""
+        known, older, new, marked = self.known, self.older, {}, []
+        for c in chunks:
+            got = older.get(c)
+            if got is not None:
+                known[c] = got
+            elif c[-1:] in (",", ".") and c[:-1].isascii() and c[:-1].isalpha():
+                marked.append(c)
+                word = c[:-1]
+                if word not in known:
+                    if word in older:
+                        known[word] = older[word]
+                    else:
+                        new[word] = True
+            elif self._plain(c):
+                new[c] = True
+        self._learn(list(new))
+        mark = {x: np.frombuffer(self._pre(x), "<u4").astype(self.dtype).tobytes() for x in ",."}
+        for c in marked:
+            known[c] = known[c[:-1]] + mark[c[-1]]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.GENERATION:
+            self.older, self.known = self.known, {}
+        known, work, missing = self.known, [], set()
+        for t in texts:
+            if t and "<|" not in t:
+                first, *rest = t.replace("\n", " \n").split(" ")
+                if first and not first[0].isspace() and not first[-1].isspace() and first.isprintable():
+                    ids = list(map(known.get, rest))
+                    gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else ()
+                    missing.update([rest[i] for i in gaps])
+                    work.append((first, ids, [(i, rest[i]) for i in gaps]))
+                    continue
+            work.append(None)
+        self._find(missing)
+        out = []
+        for t, found in zip(texts, work):
+            if found is not None:
+                first, ids, gaps = found
+                for i, c in gaps:
+                    ids[i] = known.get(c)
+                if not gaps or None not in ids:
+                    head = self._raw(first)
+                    out.append((head if self.dtype == "<u4" else np.frombuffer(head, "<u4").astype("<u2").tobytes()) + b"".join(ids))
+                    continue
+            out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes())
+        return out
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as ``dtype`` integers; a bounded number of characters is worked on at once, a text being the least."""
+        out, lo, held = [], 0, 0
+        for i, t in enumerate(texts):
+            if i > lo and held + len(t) > self.BATCH_CHARS:
+                out += self._some(texts[lo:i])
+                lo, held = i, 0
+            held += len(t)
+        return out + self._some(texts[lo:]) if lo < len(texts) else out
+
+
 class PieceCounts(_Cached):
     """Token counts of a sentencepiece BPE model whose pieces never hold the space mark behind another
     character: no merge crosses a space, so a text's count is the sum over its space-separated runs, as long

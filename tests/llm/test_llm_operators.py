@@ -113,6 +113,10 @@ def test_chunked_ids_are_the_library_s():
     for cls, path in ((tokenizing.WordBpe, WORD_BPE), (tokenizing.ByteBpe, BYTE_BPE)):
         tok = cls(path)
         assert [tok.ids(t) for t in texts] == [ids(t, tok) for t in texts]
+    tok = tokenizing.ByteBpeBatch(BYTE_BPE)
+    for generation in (tok.GENERATION, 300):  # with a small one, chunks move between the generations
+        tok.GENERATION, tok.BATCH_CHARS = generation, 500
+        assert [np.frombuffer(x, tok.dtype).tolist() for x in tok.batch(texts)] == [tok.whole.encode(t, add_special_tokens=False).ids for t in texts]
     tok = tokenizing.PieceCounts(PIECES)
     assert [tok.count(t) for t in texts] == [len(tok.whole.encode(t)) for t in texts]
 
