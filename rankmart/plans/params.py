@@ -103,3 +103,23 @@ LD_FIRST_DAY = "2024-03-01"
 LD_DAYS = 30
 PB_VERSIONS = ["2024-01-11 00:00:00", "2024-01-21 00:00:00", "2024-01-31 00:00:00"]
 PB_COHORTS = 7
+
+# Incremental decayed totals on events.
+IN_AS_OF = "2024-02-15"
+
+# Drifting documents on events: pages of seven events; the category looked for is often absent. Package files of 40 events' span.
+VA_EVENTS = 7
+VA_CATEGORY = "view"
+VA_PATTERN = r'(?s)id="leaderboard-data"[^>]*>\s*(.*?)\s*</script>'
+QU_EVENTS = 200
+
+# Rule table over part phrases; interval table over prices; sketches of visitors; heavy customers; freshness replay.
+RT_RULES = 5000
+RT_ADJECTIVES = ["small", "red", "blue", "hot", "old", "large", "new", "cold"]
+RT_NOUNS = ["ring", "widget", "bolt", "gear", "gizmo", "plate", "rod", "cog"]
+RT_TYPES = ["ECONOMY", "SMALL", "MEDIUM", "PROMO", "LARGE", "STANDARD"]
+IV_INTERVALS = 10000
+SK_RANGES = [("all", "2024-01-01", "2024-01-31"), ("first week", "2024-01-01", "2024-01-07"), ("one day", "2024-01-15", "2024-01-15"),
+             ("last ten days", "2024-01-22", "2024-01-31")]
+HH_TOP_N = 25
+FR_CUTS = ["2000-01-01", "2024-01-08", "2024-01-16", "2024-01-24", "2100-01-01"]
