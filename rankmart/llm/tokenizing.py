@@ -140,9 +140,10 @@ class ByteBpeBatch(ByteBpe):
     common chunks are never lost and memory stays bounded.
     """
 
-    GENERATION = 500_000  # entries
+    GENERATION = 350_000  # entries
     JOINED = 5_000        # chunks encoded in one call
     BATCH_CHARS = 2_000_000
+    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -174,27 +175,31 @@ class ByteBpeBatch(ByteBpe):
                 before = cut
 
     def _find(self, chunks: set) -> None:
-        """Entries for chunks that aren't in the younger generation. A word with a comma or full stop behind it is the word's
-        ids and the mark's."""
+        """Entries for chunks that aren't in the younger generation. Letters with marks behind them are two pre-tokens,
+        so such a chunk is the letters' ids and the marks'."""
         known, older, new, marked = self.known, self.older, {}, []
         for c in chunks:
             got = older.get(c)
             if got is not None:
                 known[c] = got
-            elif c[-1:] in (",", ".") and c[:-1].isascii() and c[:-1].isalpha():
-                marked.append(c)
-                word = c[:-1]
+                continue
+            word = c.rstrip(self.MARKS)
+            if len(word) < len(c) and word.isalpha():
+                marked.append((c, word))
                 if word not in known:
                     if word in older:
                         known[word] = older[word]
                     else:
                         new[word] = True
-            elif self._plain(c):
+            elif word.isalpha() or self._plain(c):
                 new[c] = True
         self._learn(list(new))
-        mark = {x: np.frombuffer(self._pre(x), "<u4").astype(self.dtype).tobytes() for x in ",."}
-        for c in marked:
-            known[c] = known[c[:-1]] + mark[c[-1]]
+        marks: dict = {}
+        for c, word in marked:
+            end = c[len(word):]
+            if end not in marks:
+                marks[end] = np.frombuffer(self._raw(end), "<u4").astype(self.dtype).tobytes()
+            known[c] = known[word] + marks[end]
 
     def _some(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.GENERATION:
