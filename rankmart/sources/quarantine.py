@@ -44,6 +44,16 @@ def scan(spark: SparkSession, path: str | list[str], required: dict[str, str], o
     judged = judged.select("file", "bytes", *layout, F.when(F.col("reason").isNull(), F.col("value")).alias("value"), "reason",
                            F.when(F.col("reason").isNotNull(), F.substring("value", 1, 80)).alias("head"),
                            F.when(F.col("reason").isNull(), GOOD).otherwise("quarantined").alias("status"))
+    # a scan has no row for a file of no bytes: these are what is listed and not scanned (the driver holds the listing anyway)
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
+    bare = F.regexp_replace("path", "^file:/+", "file:/")
+    seen = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("seen"))
+    kinds = dict(judged.dtypes)
+    folder = [F.regexp_extract("path", f"/{c}=([^/]*)/", 1).try_cast(kinds[c]).alias(c) for c in layout]
+    none = listed.join(seen, bare == F.col("seen"), "left_anti").select(
+        F.col("path").alias("file"), F.lit(0).cast("long").alias("bytes"), *folder, F.lit(None).cast("string").alias("value"),
+        F.lit("empty").alias("reason"), F.lit("").alias("head"), F.lit("quarantined").alias("status"))
+    judged = judged.unionByName(none)
     judged.write.mode("overwrite").partitionBy("status").parquet(out)
     table = spark.read.schema(judged.schema).parquet(out)  # status is a folder: each side reads its own files
     good = table.filter(F.col("status") == GOOD).select("file", *layout, F.parse_json("value").alias("doc"))
