@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def hot_keys(rows: DataFrame, key: str, share: float) -> list[tuple]:
+    """(key, its share) of the keys that hold more than ``share`` of the rows, null aside: at most 1 / ``share`` of them, from
+    one pass over the key column."""
+    seen = Observation()
+    counts = (rows.select(F.col(key).alias("k")).observe(seen, F.count(F.lit(1)).alias("n"))
+                  .groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("k").isNotNull()))
+    top = counts.orderBy(F.col("n").desc(), "k").limit(math.ceil(1 / share)).collect()
+    total = seen.get["n"]
+    return [(r["k"], r["n"] / total) for r in top if r["n"] > share * total]
 
 
 def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, how: str = "inner",
@@ -14,9 +27,10 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
     """``fact JOIN dim ON fact_key = dim_key`` with hot keys spread over many tasks.
 
     * hot keys: keys holding more than ``hot_share`` of the fact rows (default:
-      twice an even shuffle partition's share), found by a partial aggregate
-      and a one-row total; there are at most 1 / ``hot_share`` of them, half
-      the shuffle width by default, so the list is broadcast with a proven bound;
+      twice an even shuffle partition's share). One job over the key column alone
+      counts them when the join is built, each task sending its partial counts; at
+      most 1 / ``hot_share`` keys come back, half the shuffle width by default. Without
+      hot keys the join is the plain one, with no extra scan, column or exchange;
     * each hot key gets ``salts`` salts, by default as many as its share of the
       shuffle width, so a half of all rows is dealt over half of the tasks at any size;
     * its fact rows get a salt 0..salts-1 from a hash of ``salt_by``
@@ -27,7 +41,7 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
       different tasks instead of one.
 
     A dimension that AQE measures under the broadcast threshold is broadcast at
-    run time by itself; building the join starts no job.
+    run time by itself.
 
     ``fact_key`` and ``dim_key`` must be different column names (rename one
     side first when they clash). Null keys never match, as in a plain join.
@@ -44,12 +58,13 @@ def salted_join(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, ho
         raise ValueError("salted_join needs different key column names on the two sides")
     width = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = hot_share if hot_share is not None else min(0.5, 2.0 / width)
-    n_salts = F.lit(int(salts)) if salts else F.greatest(F.lit(2), F.ceil(F.col("_n") / F.col("_total") * width)).cast("int")
-    counts = fact.groupBy(F.col(fact_key).alias("_hk")).agg(F.count(F.lit(1)).alias("_n"))
-    total = fact.agg(F.count(F.lit(1)).alias("_total"))
-    hot = (counts.crossJoin(F.broadcast(total))
-                 .filter(F.col("_n") > F.col("_total") * F.lit(float(share)))
-                 .select("_hk", n_salts.alias("_salts")))
+    hot = hot_keys(fact, fact_key, share)
+    if not hot:
+        return fact.join(dim, F.col(fact_key) == F.col(dim_key), how)
+    spark = fact.sparkSession
+    rows = [(k, int(salts) if salts else max(2, math.ceil(part * width))) for k, part in hot]
+    schema = T.StructType([T.StructField("_hk", fact.schema[fact_key].dataType), T.StructField("_salts", T.IntegerType())])
+    hot = spark.createDataFrame(rows, schema)  # at most 1 / share rows
     cols = list(salt_by) if salt_by else fact.columns
     f = (fact.join(F.broadcast(hot), F.col(fact_key) == F.col("_hk"), "left")
              .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*cols), F.col("_salts")), F.lit(0).cast("long")))

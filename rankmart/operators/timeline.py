@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from rankmart.functions.text import normalise_name
 
 
-def append_missing(a: DataFrame, b: DataFrame, a_key: str, b_key: str, salted: bool = False) -> DataFrame:
+def append_missing(a: DataFrame, b: DataFrame, a_key: str, b_key: str, salted: bool = False,
+                   names: DataFrame | None = None) -> DataFrame:
     """A, plus the rows of B whose case/space-normalised name is not among A's.
 
     A left anti join (null-safe, unlike NOT IN), then UNION ALL by name with
     missing columns null. AQE picks broadcast or shuffle for A's name set
     from its measured size; ``salted=True`` spreads names that hold a large
-    share of B's rows over several tasks (``salted_join``).
+    share of B's rows over several tasks (``salted_join``). ``names`` has A's names
+    in a column ``a_key`` where they can be had without A's rows.
     """
     from rankmart.operators.skew import salted_join
 
     # distinct is a partial aggregate: each map task ships one row per name.
-    names = a.select(normalise_name(a_key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
+    names = (a if names is None else names).select(normalise_name(a_key).alias("_k")).filter(F.col("_k").isNotNull()).distinct()
     keyed = b.withColumn("_bk", normalise_name(b_key))
     if salted:
         extra = salted_join(keyed, names, "_bk", "_k", "left_anti")

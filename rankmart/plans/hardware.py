@@ -159,29 +159,47 @@ SELECT row_number() OVER (ORDER BY h100_total DESC, owner) AS rank, owner, h100_
 FROM o ORDER BY h100_total DESC, owner LIMIT {P.GEO_OWNER_TOP_N}""")
 def owner_totals(spark, sf):
     """Capacity per owner, top n."""
-    o = (geo_base(spark, sf).filter(F.col("owner").isNotNull())
+    return top_owners(geo_base(spark, sf)).select("rank", "owner", "h100_total")
+
+
+def top_owners(base):
+    o = (base.filter(F.col("owner").isNotNull())
          .groupBy("owner").agg(F.round(F.sum("h100_equiv"), 6).alias("h100_total")))
-    return top_n(o, [F.col("h100_total").desc(), F.col("owner").asc()], P.GEO_OWNER_TOP_N) \
-        .select("rank", "owner", "h100_total")
+    return top_n(o, [F.col("h100_total").desc(), F.col("owner").asc()], P.GEO_OWNER_TOP_N)
 
 
 @query("geo_stats", f"""
-WITH {_GEO_BASE}
-SELECT count(*) AS total_clusters, round(coalesce(sum(power_mw), 0.0), 6) AS total_mw,
+WITH {_GEO_BASE},
+  k AS (SELECT count(*) AS total_clusters, round(coalesce(sum(power_mw), 0.0), 6) AS total_mw,
        count(DISTINCT country) AS n_countries, count(*) FILTER (WHERE anonymized) AS n_anonymized,
        count(*) FILTER (WHERE region = 'United States') AS us_clusters,
        count(*) FILTER (WHERE region = 'China') AS cn_clusters
-FROM geo""")
+  FROM geo),
+  o AS (SELECT owner, round(sum(h100_equiv), 6) AS h FROM geo WHERE owner IS NOT NULL GROUP BY owner ORDER BY h DESC, owner LIMIT {P.GEO_OWNER_TOP_N}),
+  t AS (SELECT coalesce(string_agg(CASE WHEN h >= 1000000 THEN owner || ' (' || printf('%.1f', {spark_round('h / 1000000', 1)}) || 'M)'
+                                   ELSE owner || ' (' || format('{{:,}}', CAST({spark_round('h / 1000', 0)} AS BIGINT)) || 'K)' END, ', ' ORDER BY h DESC, owner), '') AS owners FROM o)
+SELECT k.*, printf({q(fixed.INSIGHT_GPU.replace('%,.0f', '%s'))}, total_clusters, n_countries, cn_clusters, us_clusters,
+                   format('{{:,}}', CAST({spark_round('total_mw', 0)} AS BIGINT)), owners) AS insight
+FROM k, t""")
 def geo_stats(spark, sf):
     """Totals after the coordinate filter; an all-missing power column sums to 0 (N11);
-    per-region counts are 0 when the region is absent (A22, A23)."""
-    return geo_base(spark, sf).agg(
+    per-region counts are 0 when the region is absent; the sentence names the largest owners (A22, A23, X31)."""
+    base = geo_base(spark, sf)
+    k = base.agg(
         F.count(F.lit(1)).alias("total_clusters"),
         F.round(F.coalesce(F.sum("power_mw"), F.lit(0.0)), 6).alias("total_mw"),
         F.count_distinct("country").alias("n_countries"),
         F.count_if("anonymized").alias("n_anonymized"),
         F.count_if(F.col("region") == "United States").alias("us_clusters"),
         F.count_if(F.col("region") == "China").alias("cn_clusters"))
+    h = F.col("h100_total")
+    part = (F.when(h >= 1_000_000, F.format_string(fixed.OWNER_MILLIONS, "owner", F.round(h / 1_000_000, 1)))
+             .otherwise(F.format_string(fixed.OWNER_THOUSANDS, "owner", F.round(h / 1_000, 0))))
+    shown = F.array_sort(F.collect_list(F.struct("rank", "part")))  # at most the top owners
+    owners = top_owners(base).withColumn("part", part).agg(F.array_join(F.transform(shown, lambda x: x["part"]), ", ").alias("owners"))
+    one = k.crossJoin(F.broadcast(owners))  # one row each
+    sentence = F.format_string(fixed.INSIGHT_GPU, "total_clusters", "n_countries", "cn_clusters", "us_clusters", F.round("total_mw", 0), "owners")
+    return one.select(*k.columns, sentence.alias("insight"))
 
 
 @query("log_size_scale", """

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rankmart.plans.registry import ORACLE, QUERIES, q, query
 
 SOURCES = ["leaderboard_kpis", "decayed_downloads_kpis", "trending_kpis", "chip_share_stats",
-           "price_latest_family_kpis", "rule_leaderboard_kpis", "context_kpis", "modality_kpis", "release_timeline_kpis"]
+           "price_latest_family_kpis", "rule_leaderboard_kpis", "context_kpis", "modality_kpis", "release_timeline_kpis", "geo_stats"]
 
 _SQL = "\nUNION ALL\n".join(f"SELECT {q(name)} AS mart, insight FROM ({ORACLE[name]}) AS s{i}"
                             for i, name in enumerate(SOURCES))

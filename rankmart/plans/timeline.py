@@ -16,16 +16,17 @@ from rankmart.sources import table
 # ------------------------------------------------------------- M4 sources
 
 
-def last_seen(spark, sf):
-    """Benchmark-style entities: last date per name, org by prefix rule, unmatched dropped.
-
-    Orders are reduced to one row per customer key before the customer join.
-    """
+def last_orders(spark, sf):
+    """Customers with orders and the time of the last one; orders are one row per customer key before the join."""
     last = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_date"))
-    cust = (table(spark, sf, "customer")
-            .withColumn("org", classify_first("c_mktsegment", P.TL_PREFIX_RULES, "prefix"))
-            .filter(F.col("org").isNotNull()))
-    return (last.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    cust = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return last.join(cust, F.col("o_custkey") == F.col("c_custkey"))
+
+
+def last_seen(spark, sf, seen=None):
+    """Benchmark-style entities: last date per name, org by prefix rule, unmatched dropped."""
+    rows = (last_orders(spark, sf) if seen is None else seen).withColumn("org", classify_first("c_mktsegment", P.TL_PREFIX_RULES, "prefix"))
+    return (rows.filter(F.col("org").isNotNull())
                 .select(F.col("c_name").alias("model_group"),
                         strict_date(F.to_date("last_date").cast("string")).alias("date"), "org")
                 .filter(F.col("date").isNotNull()))
@@ -49,32 +50,36 @@ def entity_last_seen(spark, sf):
 def notable(spark, sf):
     """Catalogue-style rows: parsed date from 2020-like bound, mapped org (inner), numeric
     columns from text with unparsable -> null (S2 N3 F9 J4 F12 F13)."""
-    o = table(spark, sf, "orders")
-    c = table(spark, sf, "customer")
+    # the bound stands on the raw column, so it reaches the scan; a date at or after it is one whose day is
+    o = (table(spark, sf, "orders").filter(F.col("o_orderdate") >= F.lit(P.TL_MIN_DATE).cast("timestamp_ntz"))
+         .select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "o_totalprice", "o_orderpriority"))
+    c = (table(spark, sf, "customer").withColumn("org", map_lookup("c_mktsegment", P.TL_ORG_MAP))
+         .filter(F.col("org").isNotNull()).select("c_custkey", "c_name", "org"))
     # one row per order is needed here (no pre-aggregation possible), so a customer
     # holding a large share of the orders is spread over several tasks
-    rows = salted_join(o, c, "o_custkey", "c_custkey").select(
-        F.col("c_name").alias("model"),
-        map_lookup("c_mktsegment", P.TL_ORG_MAP).alias("org"),
+    rows = salted_join(o, c, "o_custkey", "c_custkey", salt_by=["o_orderkey"]).select(
+        F.col("c_name").alias("model"), "org",
         strict_date(F.to_date("o_orderdate").cast("string")).alias("date"),
         to_double(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("string"))
                    .otherwise(F.lit("unknown"))).alias("compute_flop"),
         to_double(F.when(F.col("o_orderpriority") != "5-LOW", (F.col("o_totalprice") / 1000).cast("string"))
                    .otherwise(F.lit(""))).alias("parameters"))
-    return (rows.filter(F.col("date") >= F.lit(P.TL_MIN_DATE).cast("date"))
-                .filter(F.col("org").isNotNull())
-                .withColumn("has_compute", F.col("compute_flop").isNotNull()))
+    return rows.filter(F.col("date").isNotNull()).withColumn("has_compute", F.col("compute_flop").isNotNull())
 
 
 def timeline(spark, sf):
     """A plus the B names absent from A (case/space-insensitive), B without compute."""
     a = notable(spark, sf)
-    b = (last_seen(spark, sf)
+    seen = last_orders(spark, sf)
+    # a customer is in A if the last order is late enough: its names come from the rows per customer, not from A's join
+    names = (seen.filter((F.col("last_date") >= F.lit(P.TL_MIN_DATE).cast("timestamp_ntz")) & map_lookup("c_mktsegment", P.TL_ORG_MAP).isNotNull())
+                 .select(F.col("c_name").alias("model")))
+    b = (last_seen(spark, sf, seen)
          .select(F.col("model_group").alias("model"), "org", "date",
                  F.lit(None).cast("double").alias("compute_flop"),
                  F.lit(None).cast("double").alias("parameters"),
                  F.lit(False).alias("has_compute")))
-    return append_missing(a, b, "model", "model")
+    return append_missing(a, b, "model", "model", names=names)
 
 
 _TL_SQL = _LS_SQL + f""",
@@ -138,6 +143,20 @@ def release_timeline_kpis(spark, sf):
     return one.withColumn("insight", F.when(F.col("biggest_model").isNotNull(), with_compute).otherwise(no_compute))
 
 
+@query("timeline_series", f"""
+WITH {_TL_SQL}
+SELECT org || CASE WHEN has_compute THEN '' ELSE ' (awaiting compute)' END AS series, org, has_compute, count(*) AS n,
+       min(date) AS first_date, max(date) AS last_date, max(compute_flop) AS largest
+FROM tl GROUP BY org, has_compute""")
+def timeline_series(spark, sf):
+    """One plan for all series of the timeline: the series is a column that a chart filters on (F16)."""
+    tl = timeline(spark, sf)
+    label = F.concat("org", F.when(F.col("has_compute"), "").otherwise(" (awaiting compute)")).alias("series")
+    return (tl.groupBy("org", "has_compute").agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+                                                 F.max("compute_flop").alias("largest"))
+              .select(label, "org", "has_compute", "n", "first_date", "last_date", "largest"))
+
+
 @query("group_median_impute", f"""
 WITH {_TL_SQL},
   c AS (SELECT model, org, date, compute_flop, CASE WHEN parameters IS NOT NULL THEN greatest(parameters, 1.0) END AS p
