@@ -140,9 +140,9 @@ class ByteBpeBatch(ByteBpe):
     common chunks are never lost and memory stays bounded.
     """
 
-    GENERATION = 350_000  # entries
-    JOINED = 5_000        # chunks encoded in one call
-    BATCH_CHARS = 2_000_000
+    GENERATION = 250_000  # entries
+    JOINED = 1_000        # chunks encoded in one call
+    BATCH_CHARS = 500_000
     MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
