@@ -5,7 +5,11 @@ it with the probability of their similarity. A run starts with all sets in one b
 ``BRANCHES`` coordinates by a hash of its own path and sends each set to one child per coordinate, named by the
 token found there. Buckets of at most ``SMALL`` sets are compared by brute force, larger ones are split again,
 and a bucket that no longer shrinks (its sets are alike) is compared by brute force as well, in blocks of
-``CHUNK`` sets so that no group is ever gathered whole. Runs repeat until the chance to miss a pair at the
+``CHUNK`` sets so that no group is ever gathered whole. Before a large bucket is split or compared, all its sets are compared
+with one of them, its pivot: those that agree with it somewhat (``PIVOT``) are tied to it, and those that
+agree well (``LEAVE``) leave the bucket. As the share of different tokens is a distance, what is
+similar to a set that left is at most a little farther from the pivot, so it is tied to the pivot, too, and no link is lost;
+a group of near copies costs a row or two for each of its sets and run, however large it is. Runs repeat until the chance to miss a pair at the
 threshold is under 1 - ``RECALL``.
 
 Compared sets whose coordinates agree well enough are tied together; texts tied directly or by a chain are then
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmart.llm.common import mix, span_hashes, stored, text_buffer, whole_text, word_spans
+from rankmart.llm.common import free_name, mix, span_hashes, stored, temporary, text_buffer, whole_text, word_spans
 
 WORDS = 5
 THRESHOLD = (4, 5)   # similarity as a fraction, so that 0.8 is compared exactly
@@ -35,11 +39,16 @@ COORDS = 64
 BRANCHES = 4
 SMALL = 64
 CHUNK = 512          # sets of a brute-force block of signatures
-TEXT_CHUNK = 128     # texts of a block of exact comparisons
+TEXT_CHUNK = 512     # texts of a block of exact comparisons
+CHUNK_BYTES = 8 << 20  # bytes of these texts, about
 RECALL = 0.99999
 SHRINK = 0.5         # a child this large beside its parent is not split any more
 AGREE = 0.55         # share of coordinates; 5 standard deviations below the threshold
+PIVOT = 0.40         # share of coordinates for a tie to the pivot
+LEAVE = 0.84         # share of coordinates to leave with the pivot: distance 0.26 at two deviations, 0.46 with the threshold's 0.2
 MAX_DEPTH = 30
+MAX_ROUNDS = 100
+BROADCAST_ROWS = 20_000
 
 
 def runs_needed(recall: float = RECALL, depth: int = 6) -> int:
@@ -155,12 +164,14 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield held, number(held)
 
 
-def _blocks(rows: DataFrame, size: str, chunk: int, spread) -> DataFrame:
-    """Each member of a group once per pair of chunks it takes part in: columns i <= j and own chunk c."""
+def _blocks(rows: DataFrame, size: str, chunk: int, spread, weight: str | None = None) -> DataFrame:
+    """Each member of a group once per pair of chunks it takes part in: columns i <= j and own chunk c. ``weight``: bytes of the group."""
     chunks = F.greatest(F.lit(1), F.ceil(F.col(size) / chunk)).cast("int")
+    if weight:
+        chunks = F.greatest(chunks, F.least(F.col(size), F.ceil(F.col(weight) / CHUNK_BYTES)).cast("int"))
     rows = rows.withColumn("n_chunks", chunks).withColumn("c", F.pmod(spread, F.col("n_chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    return rows.withColumns({"i": F.least("c", "other"), "j": F.greatest("c", "other")}).drop("n_chunks", "other", size)
+    return rows.withColumns({"i": F.least("c", "other"), "j": F.greatest("c", "other")}).drop("n_chunks", "other", size, *([weight] if weight else []))
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -171,7 +182,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     e = stored(e, name)
-    for _ in range(100):
+    for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(
             F.col("a").alias("k"), F.least("a", "low").alias("m"))
@@ -186,6 +197,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         e = new
         if same:
             break
+    else:
+        raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -222,11 +235,43 @@ def candidate_ties(sigs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([h.take(pa.array(at)), pa.array(path.astype(np.int64)), pa.array(parent, pa.int64())],
                                              names=["h", "path", "parent"])
 
+    def pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ties to the pivot (p set), and the sets that stay (p null)."""
+        for b in batches:
+            agree = (_matrix(b.column("sig")) == _matrix(b.column("pivot_sig"))).mean(axis=1)
+            h, p = b.column("h"), b.column("pivot")
+            other = np.array(h.to_pylist(), dtype=object) != np.array(p.to_pylist(), dtype=object)
+            tied, stay = pa.array(np.flatnonzero((agree >= PIVOT) & other)), pa.array(np.flatnonzero(agree < LEAVE))
+            n = len(tied)
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([h.take(tied), h.take(stay)]), pa.concat_arrays([p.take(tied), pa.nulls(len(stay), pa.string())]),
+                 *(pa.concat_arrays([pa.nulls(n, pa.int64()), b.column(c).take(stay)]) for c in ("path", "parent"))], names=["h", "p", "path", "parent"])
+
+    def less_pivots(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members of large buckets that stay, with the bucket's new size; ties (a, b) to the pivots."""
+        large = large.join(sigs, "h")
+        first = large.groupBy("path").agg(F.min_by(F.struct("h", "sig"), "h").alias("f")).select(F.col("path").alias("at"), F.col("f.h").alias("pivot"), F.col("f.sig").alias("pivot_sig"))
+        first = stored(first, "pivots")
+        if first.count() <= BROADCAST_ROWS:  # 300 bytes each
+            first = F.broadcast(first)
+        found = large.join(first, F.col("path") == F.col("at")).select("h", "path", "parent", "sig", "pivot", "pivot_sig")
+        found = stored(found.mapInArrow(pivot, "h string, p string, path long, parent long"), "pivoted")
+        stay = found.where("p IS NULL").select("h", "path", "parent")
+        left = stay.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("path", "at")
+        return stay.join(left, F.col("path") == F.col("at")).drop("at"), found.where("p IS NOT NULL").select(F.col("h").alias("a"), F.col("p").alias("b"))
+
     level = stored(sigs.mapInArrow(grow, "h string, path long, parent long"), "paths")
-    leaves = []
+    leaves, ties = [], []
     for depth in range(MAX_DEPTH):
         size = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("path", "p")
         rows = stored(level.join(size, F.col("path") == F.col("p")).drop("p"), "buckets")
+        leaves.append(rows.where(F.col("n") <= SMALL).select("h", "path", "n"))
+        large = rows.where(F.col("n") > SMALL)
+        if large.isEmpty():
+            break
+        stay, tied = less_pivots(large.select("h", "path", "parent"))
+        ties.append(tied)
+        rows = stored(stay, "buckets")
         split = (F.col("n") > SMALL) & (F.col("n") < F.col("parent") * SHRINK)
         if depth == MAX_DEPTH - 1:
             split = F.lit(False)
@@ -270,13 +315,16 @@ def candidate_ties(sigs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.chunked_array([h]).take(pa.array(tied)).combine_chunks(),
                                               pa.chunked_array([h]).take(pa.array(label[tied])).combine_chunks()], names=["a", "b"])
 
-    return rows.select("path", "i", "j", "c", "h", "sig").mapInArrow(tie, "a string, b string")
+    out = rows.select("path", "i", "j", "c", "h", "sig").mapInArrow(tie, "a string, b string")
+    for tied in ties:
+        out = out.unionByName(tied)
+    return out
 
 
 def exact_links(members: DataFrame) -> DataFrame:
-    """Rows (h, links, root) from texts (root, n, h, t): exact comparison of all texts under one root."""
+    """Rows (h, links, root) from texts (root, n, bytes, h, t): exact comparison of all texts under one root."""
     num, den = THRESHOLD
-    rows = _blocks(members, "n", TEXT_CHUNK, F.xxhash64("h"))
+    rows = _blocks(members, "n", TEXT_CHUNK, F.xxhash64("h"), "bytes")
     keys = ["root", "i", "j"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
 
@@ -337,16 +385,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """One row per distinct text: h (its digest), first (smallest key with it), n_rows, n_links (other texts at or over the threshold), class_h
     (the class's smallest digest)."""
     rows = docs.select(F.col(key).alias("k"), whole_text(text).alias("t")).withColumn("h", F.md5("t"))
-    texts = rows.groupBy("h").agg(F.min("k").alias("first"), F.count("*").alias("n_rows"))
+    texts = rows.groupBy("h").agg(F.min("k").alias("first"), F.count("*").alias("n_rows"), F.first(F.octet_length("t")).alias("size"))
     texts = stored(texts, "texts")
     sigs = stored(_signature_rows(rows.select("h", "t")).dropDuplicates(["h"]), "signatures")
     ties = components(candidate_ties(sigs), "ties")
-    sizes = ties.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "r")
-    tied = ties.join(sizes, F.col("root") == F.col("r")).join(texts.select(F.col("h").alias("node"), "first"), "node")
+    tied = ties.join(texts.select(F.col("h").alias("node"), "first", "size"), "node")
+    sizes = tied.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).withColumnRenamed("root", "r")
+    tied = tied.join(sizes, F.col("root") == F.col("r"))
     # one row's text per tied node: the condition names the text as well as the key, so shared or null keys pick right
-    tied = stored(tied.select(F.col("node").alias("x"), "root", "n", "first"), "tied")
+    tied = stored(tied.select(F.col("node").alias("x"), "root", "n", "bytes", "first"), "tied")
     members = rows.join(tied, (F.col("h") == F.col("x")) & F.col("k").eqNullSafe(F.col("first")))
-    links = stored(exact_links(members.select("root", "n", "h", "t")), "links")
+    links = stored(exact_links(members.select("root", "n", "bytes", "h", "t")), "links")
     classes = components(links.select(F.col("h").alias("a"), F.col("root").alias("b")), "classes")
     counted = links.groupBy("h").agg(F.sum("links").alias("n_links")).withColumnRenamed("h", "lh")
     found = stored(counted.join(classes, F.col("lh") == F.col("node")).select("lh", "n_links", "root"), "linked")
@@ -354,25 +403,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         "h", "first", "n_rows", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "h").alias("class_h"))
 
 
+def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``near_duplicates`` as a table of its own; what it was made from is removed."""
+    with temporary(docs.sparkSession):
+        return stored(near_duplicates(docs, key, text), "near-duplicates", keep=True)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, class_id (smallest key of its class), n_links (other texts linked to its text) and
     n_copies (other documents with its very text)."""
-    found = stored(near_duplicates(docs, key, text), "near-duplicates")
+    found = _found(docs, key, text)
     names = found.groupBy("class_h").agg(F.min("first").alias("class_id")).withColumnRenamed("class_h", "ch")
     per_text = found.join(names, F.col("class_h") == F.col("ch")).select(
         F.col("h").alias("x"), "class_id", "n_links", (F.col("n_rows") - 1).alias("n_copies"))
-    rows = docs.select(F.col(key).alias(key), F.md5(whole_text(text)).alias("h"))
-    return rows.join(per_text, F.col("h") == F.col("x")).select(key, "class_id", "n_links", "n_copies")
+    rows = docs.select(F.col(key).alias("k"), F.md5(whole_text(text)).alias("h"))
+    return rows.join(per_text, F.col("h") == F.col("x")).select(F.col("k").alias(key), "class_id", "n_links", "n_copies")
 
 
 def keep_one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents (own columns) with each class's smallest key, ties by the text's digest; one row each."""
-    found = stored(near_duplicates(docs, key, text), "near-duplicates")
+    found = _found(docs, key, text)
     chosen = found.groupBy("class_h").agg(F.min(F.struct(F.col("first").isNull().alias("z"), "first", "h")).alias("c"))
-    chosen = stored(chosen.select(F.col("c.first").alias("_k"), F.col("c.h").alias("_h")), "chosen")
-    rows = docs.withColumn("_row_h", F.md5(whole_text(text)))
-    kept = rows.join(chosen, (F.col("_row_h") == F.col("_h")) & docs[f"`{key}`"].eqNullSafe(F.col("_k")), "left_semi")
+    h, k, row_h = (free_name(x, docs.columns) for x in ("_h", "_k", "_row_h"))
+    chosen = stored(chosen.select(F.col("c.first").alias(k), F.col("c.h").alias(h)), "chosen")
+    rows = docs.withColumn(row_h, F.md5(whole_text(text)))
+    kept = rows.join(chosen, (F.col(row_h) == F.col(h)) & rows[f"`{key}`"].eqNullSafe(F.col(k)), "left_semi")
     pairs = docs.select(docs[f"`{key}`"].alias("k"), F.md5(whole_text(text)).alias("h")).groupBy("k", "h").count()
     if not pairs.where("count > 1").isEmpty():  # repeated rows of one document: the first stays
-        kept = kept.dropDuplicates([key, "_row_h"])
-    return kept.drop("_row_h")
+        kept = kept.dropDuplicates([key, row_h])
+    return kept.drop(row_h)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmart.session import checkpoint_dir
+from rankmart.sources.files import Store
 
 # words are runs of anything but ASCII space and \t \n \v \f \r
 WORD_RE = r"[^\x20\x09-\x0D]+"
@@ -26,15 +28,45 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+_OPEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables that ``stored`` writes in this block are removed at its end, other than those stored with ``keep``.
+
+    What the block returns must be kept, or read nothing but kept tables. After an error nothing is removed."""
+    _OPEN.append([])
+    try:
+        yield
+    except BaseException:
+        _OPEN.pop()
+        raise
+    for path in _OPEN.pop():
+        Store(spark, path).delete(path)
+
+
+def stored(df: DataFrame, name: str, path: str | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage is cut there,
-    so a lost executor costs only the files' next reader a retry."""
+    so a lost executor costs only the files' next reader a retry. In a ``temporary`` block the table goes with the
+    block, unless ``keep`` hands it to the block around (or to the caller)."""
     spark = df.sparkSession
     path = path or shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    at = len(_OPEN) - 1 - keep
+    if at >= 0:
+        _OPEN[at].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(name: str, *taken) -> str:
+    """``name``, with underscores in front until no column in the lists of names has it (names match without case)."""
+    used = {c.lower() for cols in taken for c in cols}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
