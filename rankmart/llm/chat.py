@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS, CHARS = 256, 1 << 15  # of a record
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "prompter": "user"}
+ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "prompter": "user"}  # of layouts that have their own names for them
 
 
 def field_paths(value, path: str = "") -> set[str]:
@@ -49,10 +49,10 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-# declarative mappings: a list of turns with the names of its fields, or (role, field) pairs in order
+# declarative mappings: a list of turns with the names of its fields and the roles it calls otherwise, or (role, field) pairs in order
 MAPPINGS = {
     "messages": {"list": "messages", "role": "role", "text": "content"},
-    "sharegpt": {"list": "conversations", "role": "from", "text": "value"},
+    "sharegpt": {"list": "conversations", "role": "from", "text": "value", "roles": ROLES},
     "prompt": {"turns": [("user", "prompt"), ("assistant", "completion")]},
     "instruction": {"turns": [("system", "instruction"), ("user", "input"), ("assistant", "output")]},
 }
@@ -78,7 +78,7 @@ def registry(mappings: dict | None = None, extra_fields: tuple[str, ...] = ("id"
 def canonical_turns(record: dict, mapping: dict) -> list[tuple[str, str]]:
     """The record's (role, text) turns under the mapping."""
     if "list" in mapping:
-        return [(ROLES.get(r := t.get(mapping["role"]) or "", r), t.get(mapping["text"]) or "") for t in record[mapping["list"]]]
+        return [(mapping.get("roles", {}).get(r := t.get(mapping["role"]) or "", r), t.get(mapping["text"]) or "") for t in record[mapping["list"]]]
     return [(role, record.get(field) or "") for role, field in mapping["turns"]]
 
 
@@ -210,7 +210,7 @@ def _record(k, turns: list[tuple[str, str]], plain: bool) -> str:
         value = ident | {"prompt": texts[0], "completion": texts[1]}
     elif roles == ["system", "user", "assistant"]:
         value = {"instruction": texts[0], "input": texts[1], "output": texts[2]}
-    elif plain:
+    elif plain or not ROLES.keys().isdisjoint(roles):  # the other layout would rename these roles
         value = {"messages": [{"role": r, "content": t} for r, t in turns]}
     else:
         value = ident | {"conversations": [{"from": r, "value": t} for r, t in turns]}

@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmart.llm.common import free_name, mix, span_hashes, stored, temporary, text_buffer, whole_text, word_spans
+from rankmart.llm.common import free_name, mix, pieces, span_hashes, stored, temporary, text_buffer, whole_text, word_spans
 
 WORDS = 5
 THRESHOLD = (4, 5)   # similarity as a fraction, so that 0.8 is compared exactly
@@ -40,7 +41,7 @@ BRANCHES = 4
 SMALL = 64
 CHUNK = 512          # sets of a brute-force block of signatures
 TEXT_CHUNK = 512     # texts of a block of exact comparisons
-CHUNK_BYTES = 8 << 20  # bytes of these texts, about
+CHUNK_BYTES = 2 << 20  # bytes of these texts, about
 RECALL = 0.99999
 SHRINK = 0.5         # a child this large beside its parent is not split any more
 AGREE = 0.55         # share of coordinates; 5 standard deviations below the threshold
@@ -205,7 +206,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 def _signature_rows(texts: DataFrame) -> DataFrame:
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, "t"):
             hashes, offsets = shingles(b.column("t"))
             sig = signatures(hashes, offsets)
             raw = np.ascontiguousarray(sig.astype("<u4")).tobytes()
@@ -222,64 +223,58 @@ def candidate_ties(sigs: DataFrame) -> DataFrame:
     spark = sigs.sparkSession
     runs = runs_needed()
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each set's first buckets, one round of children for every run."""
         for b in batches:
             sig, h = _matrix(b.column("sig")), b.column("h")
-            if "path" in b.schema.names:
-                at, path = _children(b.column("path").to_numpy().astype(np.uint64), sig)
-                parent = b.column("n").to_numpy()[at]
-            else:
-                got = [_children(np.full(len(sig), mix(np.array([r + 1], np.uint64))[0]), sig) for r in range(runs)]
-                at, path = (np.concatenate(x) for x in zip(*got))
-                parent = np.full(len(at), 1 << 62)
-            yield pa.RecordBatch.from_arrays([h.take(pa.array(at)), pa.array(path.astype(np.int64)), pa.array(parent, pa.int64())],
+            got = [_children(np.full(len(sig), mix(np.array([r + 1], np.uint64))[0]), sig) for r in range(runs)]
+            at, path = (np.concatenate(x) for x in zip(*got))
+            yield pa.RecordBatch.from_arrays([h.take(pa.array(at)), pa.array(path.astype(np.int64)), pa.array(np.full(len(at), 1 << 62), pa.int64())],
                                              names=["h", "path", "parent"])
 
-    def pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ties to the pivot (p set), and the sets that stay (p null)."""
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of large buckets: ties to the pivot (p), the children of sets that stay, or the sets themselves where the bucket
+        is not split any more (whole)."""
         for b in batches:
-            agree = (_matrix(b.column("sig")) == _matrix(b.column("pivot_sig"))).mean(axis=1)
-            h, p = b.column("h"), b.column("pivot")
+            sig, h, p = _matrix(b.column("sig")), b.column("h"), b.column("pivot")
+            agree = (sig == _matrix(b.column("pivot_sig"))).mean(axis=1)
             other = np.array(h.to_pylist(), dtype=object) != np.array(p.to_pylist(), dtype=object)
-            tied, stay = pa.array(np.flatnonzero((agree >= PIVOT) & other)), pa.array(np.flatnonzero(agree < LEAVE))
-            n = len(tied)
+            whole, path, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("whole", "path", "n"))
+            tied = np.flatnonzero((agree >= PIVOT) & other)
+            stay = np.flatnonzero((agree < LEAVE) & whole)
+            down = np.flatnonzero((agree < LEAVE) & ~whole)
+            at, child = _children(path[down].astype(np.uint64), sig[down])
+            rows = np.concatenate([tied, stay, down[at]])
+            kind = np.repeat([0, 1, 2], [len(tied), len(stay), len(at)])
+            to = pa.array(np.where(kind == 0, rows, 0))
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([h.take(tied), h.take(stay)]), pa.concat_arrays([p.take(tied), pa.nulls(len(stay), pa.string())]),
-                 *(pa.concat_arrays([pa.nulls(n, pa.int64()), b.column(c).take(stay)]) for c in ("path", "parent"))], names=["h", "p", "path", "parent"])
-
-    def less_pivots(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The members of large buckets that stay, with the bucket's new size; ties (a, b) to the pivots."""
-        large = large.join(sigs, "h")
-        first = large.groupBy("path").agg(F.min_by(F.struct("h", "sig"), "h").alias("f")).select(F.col("path").alias("at"), F.col("f.h").alias("pivot"), F.col("f.sig").alias("pivot_sig"))
-        first = stored(first, "pivots")
-        if first.count() <= BROADCAST_ROWS:  # 300 bytes each
-            first = F.broadcast(first)
-        found = large.join(first, F.col("path") == F.col("at")).select("h", "path", "parent", "sig", "pivot", "pivot_sig")
-        found = stored(found.mapInArrow(pivot, "h string, p string, path long, parent long"), "pivoted")
-        stay = found.where("p IS NULL").select("h", "path", "parent")
-        left = stay.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("path", "at")
-        return stay.join(left, F.col("path") == F.col("at")).drop("at"), found.where("p IS NOT NULL").select(F.col("h").alias("a"), F.col("p").alias("b"))
+                [h.take(pa.array(rows)), pc.if_else(pa.array(kind == 0), p.take(to), pa.scalar(None, pa.string())),
+                 pa.array(np.concatenate([path[tied], path[stay], child.astype(np.int64)])), pa.array(n[rows], pa.int64()), pa.array(kind == 1)],
+                names=["h", "p", "path", "parent", "whole"])
 
-    level = stored(sigs.mapInArrow(grow, "h string, path long, parent long"), "paths")
+    level = stored(sigs.mapInArrow(start, "h string, path long, parent long"), "paths")
     leaves, ties = [], []
     for depth in range(MAX_DEPTH):
-        size = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("path", "p")
-        rows = stored(level.join(size, F.col("path") == F.col("p")).drop("p"), "buckets")
+        size = level.groupBy("path").agg(F.count("*").alias("n"), F.min("h").alias("pivot")).where("n > 1").withColumnRenamed("path", "at")
+        rows = stored(level.join(size, F.col("path") == F.col("at")).drop("at"), "buckets")
         leaves.append(rows.where(F.col("n") <= SMALL).select("h", "path", "n"))
         large = rows.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        stay, tied = less_pivots(large.select("h", "path", "parent"))
-        ties.append(tied)
-        rows = stored(stay, "buckets")
-        split = (F.col("n") > SMALL) & (F.col("n") < F.col("parent") * SHRINK)
-        if depth == MAX_DEPTH - 1:
-            split = F.lit(False)
-        leaves.append(rows.where(~split).select("h", "path", "n"))
-        large = rows.where(split).select("h", "path", "n")
-        if large.isEmpty():
+        pivots = large.select(F.col("pivot").alias("x")).distinct()
+        few = pivots.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # 300 bytes each with their coordinates
+        small = F.broadcast if few else (lambda df: df)
+        pivots = stored(sigs.join(small(pivots), F.col("h") == F.col("x")).select("x", F.col("sig").alias("pivot_sig")), "pivots")
+        whole = (F.col("n") >= F.col("parent") * SHRINK) | F.lit(depth == MAX_DEPTH - 1)
+        large = large.join(sigs, "h").join(small(pivots), F.col("pivot") == F.col("x")).select("h", "path", "n", whole.alias("whole"), "pivot", "sig", "pivot_sig")
+        found = stored(large.mapInArrow(grow, "h string, p string, path long, parent long, whole boolean"), "paths")
+        ties.append(found.where("p IS NOT NULL").select(F.col("h").alias("a"), F.col("p").alias("b")))
+        stay = found.where("whole")
+        left = stay.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("path", "at")
+        leaves.append(stay.join(left, F.col("path") == F.col("at")).select("h", "path", "n"))
+        level = found.where("p IS NULL AND NOT whole").select("h", "path", "parent")
+        if level.isEmpty():
             break
-        level = stored(large.join(sigs, "h").mapInArrow(grow, "h string, path long, parent long"), "paths")
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)

@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,6 +137,20 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batches, column: str, most: int = 6 << 20):
+    """Batches of about ``most`` bytes of text, a row being the least, so that arrays made per byte or word stay bounded."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy()
+        lo, held = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > lo and held + n > most:
+                yield b.slice(lo, i - lo)
+                lo, held = i, 0
+            held += n
+        if lo < len(sizes):
+            yield b.slice(lo)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte start and end of every word of the rows' texts, in order."""
     if len(data) == 0:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmart.llm.common import span_sums, stored, whole_text
+from rankmart.llm.common import free_name, span_sums, stored, temporary, whole_text
 
 WINDOW = 8
 MIN_PLAIN = 4
@@ -221,6 +221,11 @@ def window_rows(texts: DataFrame, kinds=None, keep=None) -> DataFrame:
     return texts.mapInArrow(emit, f"{kept}, {WINDOW_ROWS}")
 
 
+def _packed(group: pa.Table) -> pa.Table:
+    w = np.sort(group.column("w").to_numpy().view(np.uint64))
+    return pa.table({"exact": group.column("exact")[:1], "width": group.column("width")[:1].cast(pa.int32()), "w": pa.array([w.astype("<u8").tobytes()], pa.binary())})
+
+
 def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                  item_text: str = "text") -> DataFrame:
     """One row per document and item leaked into it: doc_key, doc_h (md5 of the text), item_id, n_matched (item windows), coverage."""
@@ -232,10 +237,8 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     n = hashes.limit(FILTER_WINDOWS + 1).count()
     keep = None
     if n <= FILTER_WINDOWS:
-        found = {k: [] for k in kinds}
-        for r in hashes.collect():
-            found[r["exact"], r["width"]].append(r["w"])
-        keep = spark.sparkContext.broadcast({k: np.sort(np.array(v, dtype=np.int64).view(np.uint64)) for k, v in found.items()})
+        packed = hashes.groupBy("exact", "width").applyInArrow(_packed, "exact boolean, width int, w binary").collect()  # a row per kind
+        keep = spark.sparkContext.broadcast({(r["exact"], r["width"]): np.frombuffer(bytes(r["w"]), "<u8") for r in packed})
     rows = docs.select(F.col(key).alias("doc_key"), whole_text(text).alias("t")).withColumn("doc_h", F.md5("t"))
     seen = window_rows(rows.select("doc_key", "doc_h", "t"), kinds, keep).select("doc_key", "doc_h", "pos", "w", "slots")
     right = own.select("item_id", F.col("pos").alias("item_pos"), F.col("w").alias("item_w"), F.col("slots").alias("item_slots"), "n_windows")
@@ -261,6 +264,9 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without a leaked item, with their own columns."""
-    bad = stored(leaked_items(docs, benchmark, key, text).select("doc_key", "doc_h").distinct(), "leaks")
-    rows = docs.withColumn("_row_h", F.md5(whole_text(text)))
-    return rows.join(bad, (F.col("_row_h") == F.col("doc_h")) & rows[f"`{key}`"].eqNullSafe(F.col("doc_key")), "left_anti").drop("_row_h")
+    k, h, row_h = (free_name(x, docs.columns) for x in ("doc_key", "doc_h", "_row_h"))
+    with temporary(docs.sparkSession):
+        bad = leaked_items(docs, benchmark, key, text).select(F.col("doc_key").alias(k), F.col("doc_h").alias(h))
+        bad = stored(bad.distinct(), "leaks", keep=True)
+    rows = docs.withColumn(row_h, F.md5(whole_text(text)))
+    return rows.join(bad, (F.col(row_h) == F.col(h)) & rows[f"`{key}`"].eqNullSafe(F.col(k)), "left_anti").drop(row_h)

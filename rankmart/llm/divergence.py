@@ -17,18 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmart.llm.common import mix, span_hashes, stored, text_buffer
+from rankmart.llm.common import mix, pieces, span_hashes, stored, text_buffer
 
 KEEP = 30               # documents of the language a kept term is in
 SMOOTH = 5
 SCALE = 1_000_000_000
 BLOCK_TERMS = 1 << 16   # expected terms in a block of ids
 TOP_TERMS = 50
-SLICE_BYTES = 6 << 20   # text that a task tokenizes at once
 HELD_ROWS = 1 << 20     # distinct (group, term) rows that a task holds before it sends them
 
 COUNTED = "lang string, source string, term string, n long, df long"
@@ -105,20 +103,6 @@ class _Held:
                                           names=["lang", "source", "term", "n", "df"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of about SLICE_BYTES of text, a document being the least."""
-    for b in batches:
-        sizes = np.array([0 if x is None else x for x in pc.binary_length(b.column("t")).to_pylist()], dtype=np.int64)
-        lo, held = 0, 0
-        for i, n in enumerate(sizes):
-            if i > lo and held + n > SLICE_BYTES:
-                yield b.slice(lo, i - lo)
-                lo, held = i, 0
-            held += int(n)
-        if lo < len(sizes):
-            yield b.slice(lo)
-
-
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """(lang, source, term, n, df) of the documents' terms, added up within each task only."""
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -126,7 +110,7 @@ def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", tex
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple[str, str], int] = {}
         held = _Held()
-        for b in _pieces(batches):
+        for b in pieces(batches, "t"):
             of = np.array([groups.setdefault(g, len(groups)) for g in zip(b.column("l").to_pylist(), b.column("s").to_pylist())], dtype=np.int64)
             held.add(b.column("t"), of)
             if held.rows > HELD_ROWS:

@@ -13,7 +13,8 @@ IBANs keep the country and are valid, names keep gender, script, number of words
 
 Collision checks run over the distinct cores of the whole table: a surrogate that is a real core of its type, or that
 two cores share, is drawn again with the next attempt (the smallest core keeps it) until none is left. Attempts
-other than 0 are exceptions; only documents that mention one are joined with them.
+other than 0 are exceptions; they go to all tasks as one row of small maps, so texts stay where they are, up to
+``BROADCAST_EXCEPTIONS``; beyond, the documents are joined with their exceptions.
 
 Null text stays null and has no entities; null or repeated keys and repeated rows keep their rows; an empty table gives
 an empty result. Columns of the input keep their names; the measures are in one struct column.
@@ -27,9 +28,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankmart.llm.common import stored, whole_text
+from rankmart.llm.common import free_name, stored, temporary, whole_text
 
 MAX_ROUNDS = 24
+BROADCAST_EXCEPTIONS = 500_000  # some 40 bytes each
+PER_MAP = 4
 WIDER = 4  # from this attempt on, surrogates leave their reserved range for a wider one
 # fixed lists: titles by gender, given names by gender and script, syllables of invented surnames by script
 TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Madame", "г-жа"),
@@ -285,9 +288,29 @@ def _cased(like: Column, word: Column) -> Column:
     return F.when(like == F.upper(like), F.upper(word)).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word))))
 
 
+def _bucket(k: Column, n: Column) -> Column:
+    return F.pmod(F.xxhash64(k), n).cast("int")
+
+
+def exception_maps(odd: DataFrame) -> DataFrame | None:
+    """One row: all exceptions as an array of small maps, about ``PER_MAP`` entries each, so that a look-up inside an
+    expression takes a few comparisons. None if there are more than ``BROADCAST_EXCEPTIONS``."""
+    n = odd.count()
+    if n > BROADCAST_EXCEPTIONS:
+        return None
+    size = F.lit(n // PER_MAP + 1)
+    told = odd.select(F.concat_ws("|", "type", "core").alias("k"), F.col("attempt"))
+    maps = told.groupBy(_bucket(F.col("k"), size).cast("long").alias("b")).agg(F.collect_list(F.struct("k", "attempt")).alias("m"))
+    every = odd.sparkSession.range(n // PER_MAP + 1).join(maps, F.col("id") == F.col("b"), "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "m"))), lambda x: F.map_from_entries(x["m"])).alias("_attempts"))
+
+
 def drawn(e: Column, attempts: Column, key: str, names: Names = NAMES) -> Column:
-    """A parsed mention with the surrogates of its parts; ``attempts``: map from "type|core" to attempt, exceptions alone."""
-    attempt = lambda x: F.coalesce(F.try_element_at(attempts, F.concat_ws("|", x["type"], x["core"])), F.lit(0))
+    """A parsed mention with the surrogates of its parts; ``attempts``: array of maps from "type|core" to attempt, exceptions
+    alone, each in the map that its hash names."""
+    def attempt(x):
+        return _let(F.concat_ws("|", x["type"], x["core"]), lambda k: F.coalesce(F.try_element_at(F.get(attempts, _bucket(k, F.size(attempts))), k), F.lit(0)))
+
     new = F.transform(e["parts"], lambda x: _let(attempt(x), lambda n: surrogate(x["type"], x["core"], n, key, names)))
     return F.struct(e["m"].alias("m"), e["type"].alias("type"), e["title"].alias("title"), e["words"].alias("words"), new.alias("new"))
 
@@ -321,21 +344,24 @@ def exceptions(found: DataFrame, key: str, names: Names = NAMES) -> DataFrame:
 
 
 def replace_entities(docs: DataFrame, secret_key: str, key: str = "doc_id", text: str = "text", names: Names = NAMES) -> DataFrame:
-    """``docs`` with the entities of ``text`` replaced, and a struct column ``pii``: n_entities and spans (type, start and
+    """``docs`` with the entities of ``text`` replaced, and a struct column ``pii`` (``_pii`` beside a column of that name): n_entities and spans (type, start and
     length in the new text, 0-based code points). ``secret_key`` keys all surrogates, ``names`` are the lists to find names by."""
     c = F.col
-    all_cores = docs.select(F.explode(parsed(whole_text(text), names)).alias("m")).select(F.explode("m.parts").alias("e"))
-    odd = exceptions(stored(all_cores.select("e.type", "e.core").distinct(), "entities"), secret_key, names)
+    with temporary(docs.sparkSession):
+        all_cores = docs.select(F.explode(parsed(whole_text(text), names)).alias("m")).select(F.explode("m.parts").alias("e"))
+        odd = exceptions(stored(all_cores.select("e.type", "e.core").distinct(), "entities"), secret_key, names)
+        odd = stored(odd, "exceptions", keep=True)
     row = F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("_row")
     rows = docs.select(row, docs[f"`{key}`"].alias("_key"), docs[f"`{text}`"].cast("string").alias("_text"))
     rows = rows.withColumn("_m", parsed(c("_text"), names))
-    if odd.isEmpty():
-        rows = rows.withColumn("_attempts", F.lit(None).cast("map<string,int>"))
+    maps = exception_maps(odd)
+    if maps is not None:  # texts don't move: every task has the exceptions
+        rows = rows.crossJoin(F.broadcast(maps))  # one row
     else:
         told = odd.select(F.concat_ws("|", "type", "core").alias("ek"), "attempt")
         inside = rows.where(F.size("_m") > 0).select("_key", F.md5("_text").alias("_h"), F.explode("_m").alias("m"))
         inside = inside.select("_key", "_h", F.explode("m.parts").alias("e")).select("_key", "_h", F.concat_ws("|", "e.type", "e.core").alias("k")).distinct()
-        per = inside.join(told, c("k") == c("ek")).groupBy("_key", "_h").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_attempts"))
+        per = inside.join(told, c("k") == c("ek")).groupBy("_key", "_h").agg(F.array(F.map_from_entries(F.collect_list(F.struct("k", "attempt")))).alias("_attempts"))
         per = per.select(c("_key").alias("_pk"), c("_h").alias("_ph"), "_attempts")
         rows = rows.withColumn("_h", F.md5("_text")).join(per, (c("_h") == c("_ph")) & c("_key").eqNullSafe(c("_pk")), "left")
     rows = rows.withColumn("_new", F.when(F.size("_m") > 0, F.transform(
@@ -348,6 +374,6 @@ def replace_entities(docs: DataFrame, secret_key: str, key: str = "doc_id", text
                                                                        F.length(e["s"]).alias("length")))).alias("spans"))
     rows = rows.withColumn("_done", F.when(c("_new").isNotNull(), F.aggregate("_new", begin, step)))
     rows = rows.withColumn("_out", F.coalesce(c("_done")["o"], c("_text")))
-    pii = F.struct(F.coalesce(F.size(c("_done")["spans"]), F.lit(0)).cast("long").alias("n_entities"), c("_done")["spans"].alias("spans")).alias("pii")
+    pii = F.struct(F.coalesce(F.size(c("_done")["spans"]), F.lit(0)).cast("long").alias("n_entities"), c("_done")["spans"].alias("spans")).alias(free_name("pii", docs.columns))
     back = [c("_out").alias(x) if x == text else c("_row")[x].alias(x) for x in docs.columns]
     return rows.select(*back, pii)
