@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankmart.llm import chosen_path, decontam, packing, pii, quality
-from rankmart.llm.common import read_table, stored
+from rankmart.llm.common import free_name, read_table, shared_path, stored, temporary
 from rankmart.llm.queries import PII_KEY
 from rankmart.llm.registry import prepare
+from rankmart.sources.files import Store
 
 ORACLE_SQL = None  # tokenizers and min-hash paths have no SQL form; tests/llm holds the brute-force version
 
@@ -40,7 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced; n_chars follows the new text."""
     prepare(spark)
-    out = pii.replace_entities(docs, PII_KEY).drop("pii")
+    out = pii.replace_entities(docs, PII_KEY).drop(free_name("pii", docs.columns))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -62,7 +63,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the last one's rows."""
-    docs = read_table(prepare(spark), sf_dir, "documents")
+    docs, before = read_table(prepare(spark), sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name}")
+        with temporary(spark):  # what a stage wrote on its way goes when its output stands, and so does its input
+            docs = stored(stage(spark, docs, sf_dir), name, path, keep=True)
+        if before is not None:
+            Store(spark, before).delete(before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
