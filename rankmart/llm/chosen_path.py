@@ -37,7 +37,7 @@ from rankmart.llm.common import free_name, mix, pieces, span_hashes, stored, tem
 WORDS = 5
 THRESHOLD = (4, 5)   # similarity as a fraction, so that 0.8 is compared exactly
 COORDS = 64
-BRANCHES = 4
+BRANCHES = 5         # with two runs the least buckets per set for the recall below
 SMALL = 64
 CHUNK = 512          # sets of a brute-force block of signatures
 TEXT_CHUNK = 512     # texts of a block of exact comparisons
