@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -250,26 +249,25 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     placed = blocks.join(F.broadcast(parts), blocks["part"] == parts["p"])
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(np.frombuffer(shared.value, np.uint8))
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                offsets = unpack_ints(r.offsets, -(-r.n_ids // BLOCK), "<u8")
-                ids = decode_bits(r.payload, offsets, r.n_ids, table)
-                lengths = unpack_ints(r.lengths, r.n_docs, "<u8").astype(np.int64)
-                keys = unpack_ints(r.keys, r.n_docs, "<i8")
-                null = unpack_ints(r.null_keys, r.n_docs, np.uint8).astype(bool)
+        for b in batches:
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                offsets = unpack_ints(r["offsets"], -(-r["n_ids"] // BLOCK), "<u8")
+                ids = decode_bits(r["payload"], offsets, r["n_ids"], table)
+                lengths = unpack_ints(r["lengths"], r["n_docs"], "<u8").astype(np.int64)
+                keys = unpack_ints(r["keys"], r["n_docs"], "<i8")
+                null = unpack_ints(r["null_keys"], r["n_docs"], np.uint8).astype(bool)
                 ends = np.cumsum(lengths)
                 raw = ids.astype("<u4").tobytes()
-                at = 0
-                for lo in range(0, r.n_docs, 256):  # documents in slices: a batch of whole segments would be large
-                    hi = min(lo + 256, r.n_docs)
+                for lo in range(0, r["n_docs"], 256):  # documents in slices: a batch of whole segments would be large
+                    hi = min(lo + 256, r["n_docs"])
                     cut = [0 if lo == 0 else int(ends[lo - 1]), *map(int, ends[lo:hi])]
-                    yield pd.DataFrame({
-                        key: pd.array(keys[lo:hi], dtype="Int64").copy() if not null[lo:hi].any() else
-                        pd.array([None if z else int(k) for k, z in zip(keys[lo:hi], null[lo:hi])], dtype="Int64"),
-                        "start": r.part_start + r.ids_before + np.array(cut[:-1], dtype=np.int64),
-                        "n_tokens": lengths[lo:hi], "ids": [raw[4 * a:4 * b] for a, b in zip(cut, cut[1:])]})
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[lo:hi], mask=null[lo:hi]), pa.array(r["part_start"] + r["ids_before"] + np.array(cut[:-1], dtype=np.int64)),
+                         pa.array(lengths[lo:hi]), pa.array([raw[4 * a:4 * z] for a, z in zip(cut, cut[1:])], pa.binary())],
+                        names=[key, "start", "n_tokens", "ids"])
 
-    return placed.select("n_ids", "n_docs", "keys", "null_keys", "lengths", "offsets", "payload", "ids_before", "part_start").mapInPandas(
+    return placed.select("n_ids", "n_docs", "keys", "null_keys", "lengths", "offsets", "payload", "ids_before", "part_start").mapInArrow(
         decode, f"`{key}` long, start long, n_tokens long, ids binary")
