@@ -73,7 +73,7 @@ def shingles(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
         total = np.zeros(len(h), dtype=np.uint64)
         for k in range(words):  # a short text's single n-gram takes the words there are
             shifted = np.zeros_like(h)
-            shifted[:len(h) - k or None] = h[k:] if k else h
+            shifted[:max(len(h) - k, 0)] = h[k:]
             inside = np.arange(len(h)) + k < np.repeat(first[1:], n)
             total += np.where(inside, mix(shifted + np.uint64(k)), np.uint64(0)) * np.uint64(2 * k + 1)
         total = mix(total)
