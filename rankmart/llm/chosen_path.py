@@ -50,6 +50,7 @@ LEAVE = 0.84         # share of coordinates to leave with the pivot: distance 0.
 MAX_DEPTH = 30
 MAX_ROUNDS = 100
 BROADCAST_ROWS = 20_000
+BROADCAST_KEYS = 300_000  # rows of digests and keys, about 100 bytes each, that go to the texts; beyond, the texts are shuffled
 
 
 def runs_needed(recall: float = RECALL, depth: int = 6) -> int:
@@ -376,6 +377,11 @@ def common_counts(texts) -> tuple[np.ndarray, np.ndarray]:
     return common, size
 
 
+def few_keys(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, broadcast if it is small, so that the texts it is joined with stay where they are."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per distinct text: h (its digest), first (smallest key with it), n_rows, n_links (other texts at or over the threshold), class_h
     (the class's smallest digest)."""
@@ -389,7 +395,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     tied = tied.join(sizes, F.col("root") == F.col("r"))
     # one row's text per tied node: the condition names the text as well as the key, so shared or null keys pick right
     tied = stored(tied.select(F.col("node").alias("x"), "root", "n", "bytes", "first"), "tied")
-    members = rows.join(tied, (F.col("h") == F.col("x")) & F.col("k").eqNullSafe(F.col("first")))
+    members = rows.join(few_keys(tied), (F.col("h") == F.col("x")) & F.col("k").eqNullSafe(F.col("first")))
     links = stored(exact_links(members.select("root", "n", "bytes", "h", "t")), "links")
     classes = components(links.select(F.col("h").alias("a"), F.col("root").alias("b")), "classes")
     counted = links.groupBy("h").agg(F.sum("links").alias("n_links")).withColumnRenamed("h", "lh")
@@ -420,10 +426,14 @@ def keep_one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text")
     found = _found(docs, key, text)
     chosen = found.groupBy("class_h").agg(F.min(F.struct(F.col("first").isNull().alias("z"), "first", "h")).alias("c"))
     h, k, row_h = (free_name(x, docs.columns) for x in ("_h", "_k", "_row_h"))
-    chosen = stored(chosen.select(F.col("c.first").alias(k), F.col("c.h").alias(h)), "chosen")
-    rows = docs.withColumn(row_h, F.md5(whole_text(text)))
-    kept = rows.join(chosen, (F.col(row_h) == F.col(h)) & rows[f"`{key}`"].eqNullSafe(F.col(k)), "left_semi")
+    chosen = chosen.select(F.col("c.first").alias("ck"), F.col("c.h").alias("ch"))
     pairs = docs.select(docs[f"`{key}`"].alias("k"), F.md5(whole_text(text)).alias("h")).groupBy("k", "h").count()
+    pairs = stored(pairs, "pairs")
+    # the rows that go are far fewer than those that stay
+    gone = pairs.join(chosen, (F.col("h") == F.col("ch")) & F.col("k").eqNullSafe(F.col("ck")), "left_anti").select(F.col("k").alias(k), F.col("h").alias(h))
+    gone = few_keys(stored(gone, "gone"))
+    rows = docs.withColumn(row_h, F.md5(whole_text(text)))
+    kept = rows.join(gone, (F.col(row_h) == F.col(h)) & rows[f"`{key}`"].eqNullSafe(F.col(k)), "left_anti")
     if not pairs.where("count > 1").isEmpty():  # repeated rows of one document: the first stays
         kept = kept.dropDuplicates([key, row_h])
     return kept.drop(row_h)
