@@ -140,7 +140,7 @@ class ByteBpeBatch(ByteBpe):
     common chunks are never lost and memory stays bounded.
     """
 
-    GENERATION = 250_000  # entries
+    GENERATION = 200_000  # entries
     JOINED = 1_000        # chunks encoded in one call
     BATCH_CHARS = 500_000
     MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
