@@ -2,7 +2,7 @@
 
 Each file holds one JSON document. A single scan reads and judges every file and writes it to one of two partitions of a
 table, so the good rows, the quarantine list and the counts of both come from the same reading: a file can't be counted
-good in one place and bad in another, and nothing is parsed twice.
+good in one place and bad in another, and nothing is opened or parsed twice.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rankmart.sources.variant import field
 
 GOOD = "good"
+TASK_FILES = 1000  # small files of a task, at least
 
 
 def reason(text: Column, doc: Column, required: dict[str, str]) -> Column:
@@ -44,17 +45,19 @@ def scan(spark: SparkSession, path: str | list[str], required: dict[str, str], o
     judged = judged.select("file", "bytes", *layout, F.when(F.col("reason").isNull(), F.col("value")).alias("value"), "reason",
                            F.when(F.col("reason").isNotNull(), F.substring("value", 1, 80)).alias("head"),
                            F.when(F.col("reason").isNull(), GOOD).otherwise("quarantined").alias("status"))
-    # a scan has no row for a file of no bytes: these are what is listed and not scanned (the driver holds the listing anyway)
-    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string")
-    bare = F.regexp_replace("path", "^file:/+", "file:/")
-    seen = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("seen"))
+    names = files.inputFiles()
+    # a partition of the scan holds a few dozen small files and would write two of its own: a task takes several of them
+    judged.coalesce(max(4 * spark.sparkContext.defaultParallelism, len(names) // TASK_FILES)).write.mode("overwrite").partitionBy("status").parquet(out)
+    # a scan has no row for a file of no bytes: these are what is listed and not in the table (the driver holds the listing anyway)
+    listed = spark.createDataFrame([(f,) for f in names], "path string")
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     kinds = dict(judged.dtypes)
     folder = [F.regexp_extract("path", f"/{c}=([^/]*)/", 1).try_cast(kinds[c]).alias(c) for c in layout]
-    none = listed.join(seen, bare == F.col("seen"), "left_anti").select(
+    seen = spark.read.schema(judged.schema).parquet(out).select(bare("file").alias("seen"))
+    none = listed.join(seen, bare("path") == F.col("seen"), "left_anti").select(
         F.col("path").alias("file"), F.lit(0).cast("long").alias("bytes"), *folder, F.lit(None).cast("string").alias("value"),
         F.lit("empty").alias("reason"), F.lit("").alias("head"), F.lit("quarantined").alias("status"))
-    judged = judged.unionByName(none)
-    judged.write.mode("overwrite").partitionBy("status").parquet(out)
+    none.write.mode("append").partitionBy("status").parquet(out)
     table = spark.read.schema(judged.schema).parquet(out)  # status is a folder: each side reads its own files
     good = table.filter(F.col("status") == GOOD).select("file", *layout, F.parse_json("value").alias("doc"))
     return good, table.filter(F.col("status") != GOOD).select("file", *layout, "reason", "bytes", "head")

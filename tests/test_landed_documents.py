@@ -5,6 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from rankmart.plans import params as P
+from rankmart.plans.documents import land_packages
 from rankmart.sources.quarantine import counts, scan
 from rankmart.sources.variant import category_results, embedded_json, field, items, named_or_first, unknown_fields
 
@@ -75,3 +77,38 @@ def test_one_scan_feeds_both_sides(spark, tmp_dir):
     for side, folder in ((good, "status=good"), (bad, "status=quarantined")):
         plan = side._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [" in plan and "status" in plan.split("PartitionFilters:", 1)[1].split("]")[0]
+
+
+def events(spark, n: int, path: str) -> None:
+    rows = spark.range(n).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 7 AS user_id", "concat('t', id % 2) AS event_type",
+                                     "CAST(id AS DOUBLE) AS value", "'{}' AS props")
+    rows.coalesce(1).write.parquet(f"{path}/events.parquet")
+
+
+def test_packages_land_by_many_tasks(spark, tmp_dir):
+    """One task does not write all small files, and a folder holds a file per type and part."""
+    events(spark, 14 * P.QU_EVENTS, f"{tmp_dir}/sf")
+    land_packages(spark, f"{tmp_dir}/sf", f"{tmp_dir}/landed")
+    names = [n for t in ("t0", "t1") for n in os.listdir(f"{tmp_dir}/landed/event_type={t}") if n.startswith("part-")]
+    assert len(names) == 28 and len({n.split("-")[1] for n in names}) > 4
+
+
+def test_files_are_opened_by_one_scan(spark, tmp_dir, monkeypatch):
+    """The empty files come from the listing and the written table: they are found with the files themselves gone."""
+    os.makedirs(f"{tmp_dir}/in/day=1")
+    for name, text in FILES.items():
+        with open(f"{tmp_dir}/in/day=1/{name}", "w") as f:
+            f.write(text)
+    made = type(spark).createDataFrame
+
+    def gone(self, *args, **kw):  # the listing is made a table once the scan has run
+        for name in FILES:
+            os.remove(f"{tmp_dir}/in/day=1/{name}")
+        return made(self, *args, **kw)
+
+    monkeypatch.setattr(type(spark), "createDataFrame", gone)
+    good, bad = scan(spark, f"{tmp_dir}/in", REQUIRED, f"{tmp_dir}/out")
+    monkeypatch.undo()
+    assert good.count() == 4 and good.count() + bad.count() == len(FILES)
+    assert {(r["file"].rsplit("/", 1)[1], r["day"], r["bytes"], r["head"]) for r in bad.filter("reason = 'empty'").collect()} == {
+        ("empty.json", 1, 0, ""), ("blank.json", 1, 3, " \n\t")}
