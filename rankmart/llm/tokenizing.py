@@ -8,6 +8,7 @@ which that is not certain goes to the library whole.
 from __future__ import annotations
 
 import os
+import struct
 
 import numpy as np
 
@@ -24,6 +25,26 @@ def loaded(kind, path: str):
     return _LOADED[key]
 
 
+def packed(tokens: list) -> bytes:
+    """The tokens' ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in byte-level models
+_LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def latin(word: str) -> bool:
+    """Letters of Latin-1 alone: such a word is one run of letters to every splitter, is its own NFC, and each letter has one lower form."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0100")
+
+
+def byte_letters(word: str) -> str:
+    """The letters that byte-level models have for the word's UTF-8 bytes."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+
+
 class _Cached:
     LIMIT = 500_000  # entries; the dictionary is emptied when full, so a worker's memory stays bounded
 
@@ -33,22 +54,23 @@ class _Cached:
     def look_up(self, chunks: list):
         """The chunks' entries in order; None if one of them has no entry of its own."""
         known = self.known
-        try:
-            return list(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > self.LIMIT:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = self.entry(c)
-            return list(map(known.__getitem__, chunks))
+        found = list(map(known.get, chunks))  # most texts hold a chunk that is new: only these are looked at again
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps and len(known) > self.LIMIT:
+            known.clear()
+        for i in gaps:
+            c = chunks[i]
+            if c not in known:
+                known[c] = self.entry(c)
+            found[i] = known[c]
+        return found
 
 
 class WordBpe(_Cached):
     """Tokenizers whose pre-splitting drops white space: chunks are the runs between spaces and line ends.
 
     No pre-token holds white space, normalisation never joins across it, so the ids of the runs in order are
-    the ids of the text. A run of ASCII letters (with , or . after it) is one lower-cased pre-token (and a
+    the ids of the text. A run of Latin-1 letters (with ASCII marks after it) is one lower-cased pre-token (and a
     second one) of the model; other runs go through the library's own normaliser and splitter.
     """
 
@@ -64,15 +86,14 @@ class WordBpe(_Cached):
         if ids is None:
             if len(self.pre) > self.LIMIT:
                 self.pre.clear()
-            ids = self.pre[token] = np.array([t.id for t in self.model.tokenize(token)], dtype="<u4").tobytes()
+            ids = self.pre[token] = packed(self.model.tokenize(token))
         return ids
 
     def entry(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            if chunk.isalpha():
-                return self._pre(chunk.lower())
-            if chunk[-1:] in (",", ".") and chunk[:-1].isalpha():
-                return self._pre(chunk[:-1].lower()) + self._pre(chunk[-1])
+        word = chunk.rstrip(MARKS)
+        if latin(word):
+            ids = self._pre(byte_letters(word.lower()))
+            return ids if len(word) == len(chunk) else ids + self._pre(chunk[len(word):])
         return b"".join(self._pre(p) for p, _ in self.split.pre_tokenize_str(self.norm.normalize_str(chunk)))
 
     def ids(self, text: str) -> bytes:
@@ -102,7 +123,7 @@ class ByteBpe(_Cached):
         if ids is None:
             if len(self.pre) > self.LIMIT:
                 self.pre.clear()
-            ids = self.pre[token] = np.array([t.id for t in self.model.tokenize(token)], dtype="<u4").tobytes()
+            ids = self.pre[token] = packed(self.model.tokenize(token))
         return ids
 
     def _raw(self, piece: str) -> bytes:
@@ -143,7 +164,6 @@ class ByteBpeBatch(ByteBpe):
     GENERATION = 200_000  # entries
     JOINED = 1_000        # chunks encoded in one call
     BATCH_CHARS = 500_000
-    MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -183,7 +203,7 @@ class ByteBpeBatch(ByteBpe):
             if got is not None:
                 known[c] = got
                 continue
-            word = c.rstrip(self.MARKS)
+            word = c.rstrip(MARKS)
             if len(word) < len(c) and word.isalpha():
                 marked.append((c, word))
                 if word not in known:

@@ -121,6 +121,41 @@ def test_chunked_ids_are_the_library_s():
     assert [tok.count(t) for t in texts] == [len(tok.whole.encode(t)) for t in texts]
 
 
+def test_latin_words_with_marks_need_no_splitter():
+    tok = tokenizing.WordBpe(WORD_BPE)
+    letters = [chr(c) for c in range(0xAA, 0x100) if chr(c).isalpha()]
+    chunks = [x + e for e in ("", ",", "&&&", "'s", "'", "_-", "...\"") for x in letters] + ["Éa" + x + "Zß" + m for x in letters for m in tokenizing.MARKS]
+    want = [np.array(tok.whole.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks]
+    assert [tok.ids(c) for c in chunks] == want
+    tok = tokenizing.WordBpe(WORD_BPE)
+    tok.split = tok.norm = None
+    assert [tok.entry(c) for c in chunks if not c.endswith("'s")] == [w for c, w in zip(chunks, want) if not c.endswith("'s")]
+
+
+def test_known_chunks_are_looked_up_once():
+    class Counted(dict):
+        n = 0
+
+        def get(self, c):
+            Counted.n += 1
+            return dict.get(self, c)
+
+        def __getitem__(self, c):
+            Counted.n += 1
+            return dict.__getitem__(self, c)
+
+        def __contains__(self, c):
+            Counted.n += 1
+            return dict.__contains__(self, c)
+
+    tok = tokenizing.WordBpe(WORD_BPE)
+    tok.known = Counted()
+    tok.ids("a b c d e f g h")
+    Counted.n = 0
+    tok.ids("a b c d e f g new")
+    assert Counted.n <= 11
+
+
 def test_token_cache(spark, odd_docs, make_docs):
     cache = shared_path(spark, "cache")
     whole = tokenizing.PieceCounts(PIECES).whole
