@@ -69,7 +69,8 @@ _HREF = re.compile(r"<a\b(?:[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')|(?:[^>\
 
 def visible_text(page: str) -> str:
     """The page's text: scripts, styles and comments dropped, a line per block, white space folded, character references resolved."""
-    body = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub("", re.sub(r"[ \t\r\n\f]+", " ", page))))
+    # the page's own line ends are spaces; runs of white space fold when a line is split below
+    body = _TAG.sub("", _BLOCK.sub("\n", _DROP.sub("", page.replace("\n", " ").replace("\r", " "))))
     lines = (" ".join(html_lib.unescape(x).replace("\r", " ").split()) for x in body.split("\n"))
     return "\n".join((" " + x if x.startswith("WARC/") else x) for x in lines if x)
 
