@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankmart.llm.common import free_name, mix, pieces, span_hashes, stored, temporary, text_buffer, whole_text, word_spans
@@ -42,6 +42,7 @@ SMALL = 64
 CHUNK = 512          # sets of a brute-force block of signatures
 TEXT_CHUNK = 512     # texts of a block of exact comparisons
 CHUNK_BYTES = 2 << 20  # bytes of these texts, about
+PIECE_BYTES = 2 << 20  # text that is hashed at once, a text being the least
 RECALL = 0.99999
 SHRINK = 0.5         # a child this large beside its parent is not split any more
 AGREE = 0.55         # share of coordinates; 5 standard deviations below the threshold
@@ -176,14 +177,26 @@ def _blocks(rows: DataFrame, size: str, chunk: int, spread, weight: str | None =
     return rows.withColumns({"i": F.least("c", "other"), "j": F.greatest("c", "other")}).drop("n_chunks", "other", size, *([weight] if weight else []))
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Distinct edges (a > b) that connect what ``edges`` (a, b) do: every a keeps the smallest node it is tied to, and hands that to the others.
+
+    The members of a group name the same few nodes again and again, so about one edge a member is left of their ties. No node is
+    gathered: an a has as many rows as blocks and buckets it was in."""
+    edges = stored(edges.where("a != b").distinct(), "edges")
+    low = F.least("a", F.min("b").over(Window.partitionBy("a"))).alias("low")
+    own = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("low")).select("a", F.col("low").alias("b"))
+    handed = edges.select(F.col("b").alias("a"), low).select("a", F.col("low").alias("b"))
+    both = own.unionByName(handed).where("a != b")
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b): root is the smallest node connected.
 
     Rounds of the large-star and small-star steps: every node hands its neighbours the smallest node it knows. Stored
     after each round; the rounds end when the edges stay the same (their number grows with the log of the longest chain).
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    e = stored(e, name)
+    e = stored(_stars(edges), name)
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(
@@ -207,7 +220,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
 def _signature_rows(texts: DataFrame) -> DataFrame:
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "t"):
+        for b in pieces(batches, "t", PIECE_BYTES):
             hashes, offsets = shingles(b.column("t"))
             sig = signatures(hashes, offsets)
             raw = np.ascontiguousarray(sig.astype("<u4")).tobytes()

@@ -55,3 +55,15 @@ def test_visible_text_does_not_replace_every_space():
         return min(times)
 
     assert took(lambda: warc.visible_text(page)) < took(lambda: re.sub(r"[ \t\r\n\f]+", " ", page))
+
+
+# ------------------------------------------------------------------------------------------ op8
+def test_members_keep_one_edge(spark):
+    prepare(spark)
+    members, pivots = [f"m{i:04d}" for i in range(400)], [f"a{i}" for i in range(6)]
+    rng = random.Random(2)
+    ties = [(m, p) for m in members for p in rng.sample(pivots, 4)] + [("z1", "z0"), ("z2", "z1"), ("b", "m9999"), ("q", "q")]
+    edges = spark.createDataFrame(ties, "a string, b string")
+    assert chosen_path._stars(edges).count() <= len(members) + len(pivots) ** 2 + 3
+    found = {r["node"]: r["root"] for r in chosen_path.components(edges, "few").collect()}
+    assert found == {x: "a0" for x in members + pivots} | {x: "z0" for x in ("z0", "z1", "z2")} | {"b": "b", "m9999": "b"}
