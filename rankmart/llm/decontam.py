@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankmart.llm.common import free_name, span_sums, stored, temporary, whole_text
+from rankmart.llm.common import free_name, pieces, span_sums, stored, temporary, whole_text
 
 WINDOW = 8
 MIN_PLAIN = 4
 COVERAGE = 0.5
 FILTER_WINDOWS = 4_000_000     # item windows (8 bytes each) that tasks may hold as a filter; beyond, all windows are joined
+PIECE_BYTES = 1 << 20          # text that a task looks at at once, a document being the least
 BROADCAST_WINDOWS = 50_000     # item windows (about 100 bytes each) on a broadcast side of the join
 UNITS = frozenset("""mm cm m km in inch inches ft foot feet yd yards mile miles mg g kg t lb lbs oz pound pounds ton tons ml cl l
 liter liters litre litres s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month
@@ -192,30 +193,28 @@ def window_rows(texts: DataFrame, kinds=None, keep=None) -> DataFrame:
         if not _CANON:
             _CANON.append(Canonical())
         canon, wanted = _CANON[0], None if keep is None else keep.value
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                tokens = canon.tokens(part.column("t").to_pylist())
-                _, _, _, kind, number, offsets = tokens
-                if not len(kind):
+        for part in pieces(batches, "t", PIECE_BYTES):  # the windows of all kinds stand side by side: tens of bytes for one of text
+            tokens = canon.tokens(part.column("t").to_pylist())
+            _, _, _, kind, number, offsets = tokens
+            if not len(kind):
+                continue
+            found, n = windows(tokens, WINDOW_KINDS if kinds is None else kinds, kinds is None)
+            for exact, width, at, w, named in found:
+                if wanted is not None and len(w):
+                    own = wanted[exact, width]
+                    hit = own[np.minimum(np.searchsorted(own, w), len(own) - 1)] == w
+                    at, w, named = at[hit], w[hit], named[hit]
+                if not len(at):
                     continue
-                found, n = windows(tokens, WINDOW_KINDS if kinds is None else kinds, kinds is None)
-                for exact, width, at, w, named in found:
-                    if wanted is not None and len(w):
-                        own = wanted[exact, width]
-                        hit = own[np.minimum(np.searchsorted(own, w), len(own) - 1)] == w
-                        at, w, named = at[hit], w[hit], named[hit]
-                    if not len(at):
-                        continue
-                    of = np.searchsorted(offsets, at, side="right") - 1
-                    slots = [[] if exact else [f"{kind[k]} {canon.value[number[k]]}" for k in range(a, a + width)
-                                               if kind[k] and (names or kind[k] != NAME)] for a, names in zip(at, named)]
-                    rows = part.take(pa.array(of))
-                    yield pa.RecordBatch.from_arrays(
-                        [*[rows.column(c) for c in columns], pa.array((at - offsets[of]).astype(np.int32)), pa.array(w.view(np.int64)),
-                         pa.array(slots, pa.list_(pa.string())), pa.array(n[of].astype(np.int32)),
-                         pa.array(np.full(len(at), exact)), pa.array(np.full(len(at), width, np.int32))],
-                        names=[*columns, "pos", "w", "slots", "n_windows", "exact", "width"])
+                of = np.searchsorted(offsets, at, side="right") - 1
+                slots = [[] if exact else [f"{kind[k]} {canon.value[number[k]]}" for k in range(a, a + width)
+                                           if kind[k] and (names or kind[k] != NAME)] for a, names in zip(at, named)]
+                rows = part.take(pa.array(of))
+                yield pa.RecordBatch.from_arrays(
+                    [*[rows.column(c) for c in columns], pa.array((at - offsets[of]).astype(np.int32)), pa.array(w.view(np.int64)),
+                     pa.array(slots, pa.list_(pa.string())), pa.array(n[of].astype(np.int32)),
+                     pa.array(np.full(len(at), exact)), pa.array(np.full(len(at), width, np.int32))],
+                    names=[*columns, "pos", "w", "slots", "n_windows", "exact", "width"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name != "t")
     return texts.mapInArrow(emit, f"{kept}, {WINDOW_ROWS}")

@@ -13,6 +13,8 @@ from rankmart.session import apply_runtime_conf
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings, and this package's folder on the Python workers' path (a cluster gets it by --py-files)."""
@@ -20,6 +22,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+    if spark.conf.get(BATCH_BYTES, None) != str(4 << 20):
+        spark.conf.set(BATCH_BYTES, str(4 << 20))  # whole texts go to the workers by size: ten thousand of them at once cost tens of MB on both sides
     return apply_runtime_conf(spark)
 
 
