@@ -25,6 +25,66 @@ class Captured:
         return self
 
 
+# ------------------------------------------------------------------------------------------ pipeline
+def test_texts_go_to_workers_by_size(spark):
+    prepare(spark)
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    sizes = [r["n"] for r in spark.range(0, 6000, 1, 1).selectExpr("repeat('abcdefgh ', 400) AS t").mapInArrow(rows, "n long").collect()]
+    assert sum(sizes) > 20_000_000
+    assert max(sizes) < 6_000_000
+
+
+@pytest.mark.parametrize("operator", ["windows", "signatures"])
+def test_text_worked_on_at_once(monkeypatch, operator):
+    rng, seen = random.Random(5), []
+    texts = [" ".join(rng.choice(["ab", "cde", "f"]) for _ in range(3000)) for _ in range(600)] + [None, ""]
+    tokens, shingles = decontam.Canonical.tokens, chosen_path.shingles
+    monkeypatch.setattr(decontam.Canonical, "tokens", lambda self, some: seen.append(sum(map(len, some))) or tokens(self, some))
+    monkeypatch.setattr(chosen_path, "shingles", lambda c: seen.append(sum(len(x or "") for x in c.to_pylist())) or shingles(c))
+    one = Captured()
+    if operator == "windows":
+        decontam.window_rows(one, [(False, 8)])
+        batch = pa.RecordBatch.from_arrays([pa.array([x or "" for x in texts])], names=["t"])
+    else:
+        chosen_path._signature_rows(one)
+        batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts)], names=["h", "t"])
+    for _ in one.work(iter([batch])):
+        pass
+    assert sum(seen) == sum(len(x or "") for x in texts)
+    assert max(seen) <= (1 << 20 if operator == "windows" else 2 << 20)
+
+
+# ------------------------------------------------------------------------------------------ op6
+class Counted:
+    def __init__(self, inner):
+        self.inner, self.calls = inner, 0
+
+    def encode_batch_fast(self, *args, **kw):
+        self.calls += 1
+        return self.inner.encode_batch_fast(*args, **kw)
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+
+def test_new_chunks_are_encoded_together():
+    tok = tokenizing.ByteBpeBatch(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    words = list({"".join(rng.choice("abcdeéßж") for _ in range(rng.randint(3, 9))) for _ in range(4500)})
+    odd = ["x  y", "a  b", " lead", "tab\tin", "end ", "\n\nx", "mark! (two) 3.5", "line\nnext, line.\nlast", "", "<|endoftext|> z", "日本 語。", "\x85 q", "don't DON'T"]
+    texts = [" ".join(words[i:i + 50]) for i in range(0, len(words), 50)] + odd
+    plain = [b"".join(i.to_bytes(2, "little") for i in tok.whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    tok.whole = Counted(tok.whole)
+    assert tok.batch(texts) == plain
+    assert tok.whole.calls == 1
+    assert tok.batch(texts) == plain  # all known now
+    assert tok.whole.calls == 1
+
+
 # ------------------------------------------------------------------------------------------ op4
 def folded_first(page):
     """``visible_text`` with the page's white space folded before anything else."""
@@ -67,34 +127,3 @@ def test_members_keep_one_edge(spark):
     assert chosen_path._stars(edges).count() <= len(members) + len(pivots) ** 2 + 3
     found = {r["node"]: r["root"] for r in chosen_path.components(edges, "few").collect()}
     assert found == {x: "a0" for x in members + pivots} | {x: "z0" for x in ("z0", "z1", "z2")} | {"b": "b", "m9999": "b"}
-# ------------------------------------------------------------------------------------------ pipeline
-def test_texts_go_to_workers_by_size(spark):
-    prepare(spark)
-
-    def rows(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
-
-    sizes = [r["n"] for r in spark.range(0, 6000, 1, 1).selectExpr("repeat('abcdefgh ', 400) AS t").mapInArrow(rows, "n long").collect()]
-    assert sum(sizes) > 20_000_000
-    assert max(sizes) < 6_000_000
-
-
-@pytest.mark.parametrize("operator", ["windows", "signatures"])
-def test_text_worked_on_at_once(monkeypatch, operator):
-    rng, seen = random.Random(5), []
-    texts = [" ".join(rng.choice(["ab", "cde", "f"]) for _ in range(3000)) for _ in range(600)] + [None, ""]
-    tokens, shingles = decontam.Canonical.tokens, chosen_path.shingles
-    monkeypatch.setattr(decontam.Canonical, "tokens", lambda self, some: seen.append(sum(map(len, some))) or tokens(self, some))
-    monkeypatch.setattr(chosen_path, "shingles", lambda c: seen.append(sum(len(x or "") for x in c.to_pylist())) or shingles(c))
-    one = Captured()
-    if operator == "windows":
-        decontam.window_rows(one, [(False, 8)])
-        batch = pa.RecordBatch.from_arrays([pa.array([x or "" for x in texts])], names=["t"])
-    else:
-        chosen_path._signature_rows(one)
-        batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(len(texts))]), pa.array(texts)], names=["h", "t"])
-    for _ in one.work(iter([batch])):
-        pass
-    assert sum(seen) == sum(len(x or "") for x in texts)
-    assert max(seen) <= (1 << 20 if operator == "windows" else 2 << 20)
