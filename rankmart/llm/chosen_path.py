@@ -3,9 +3,9 @@
 Sets are embedded as ``COORDS`` min-hash coordinates: each is one sampled token of the set, and two sets share
 it with the probability of their similarity. A run starts with all sets in one bucket; a bucket picks
 ``BRANCHES`` coordinates by a hash of its own path and sends each set to one child per coordinate, named by the
-token found there. Buckets of at most ``SMALL`` sets are compared by brute force, larger ones are split again,
-and a bucket that no longer shrinks (its sets are alike) is compared by brute force as well, in blocks of
-``CHUNK`` sets so that no group is ever gathered whole. Before a large bucket is split or compared, all its sets are compared
+token found there. Buckets are compared by brute force in blocks of ``CHUNK`` sets, so that no group is ever gathered whole;
+a block gives a set one row for each chunk of its bucket, a split one for each branch, so only buckets of more than ``BRANCHES``
+chunks (``whole_limit``) are split again, unless they no longer shrink (their sets are alike). Before such a large bucket is split or compared, all its sets are compared
 with one of them, its pivot: those that agree with it somewhat (``PIVOT``) are tied to it, and those that
 agree well (``LEAVE``) leave the bucket. As the share of different tokens is a distance, what is
 similar to a set that left is at most a little farther from the pivot, so it is tied to the pivot, too, and no link is lost;
@@ -38,7 +38,6 @@ WORDS = 5
 THRESHOLD = (4, 5)   # similarity as a fraction, so that 0.8 is compared exactly
 COORDS = 64
 BRANCHES = 5         # with two runs the least buckets per set for the recall below
-SMALL = 64
 CHUNK = 512          # sets of a brute-force block of signatures
 TEXT_CHUNK = 512     # texts of a block of exact comparisons
 CHUNK_BYTES = 2 << 20  # bytes of these texts, about
@@ -64,6 +63,11 @@ def runs_needed(recall: float = RECALL, depth: int = 6) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(miss)))
 
 
+def whole_limit() -> int:
+    """Sets of the largest bucket that is compared and not split: its blocks have no more rows than its children would have."""
+    return BRANCHES * CHUNK
+
+
 def shingles(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all word n-grams (A-Z folded) of each text, and the texts' offsets among them."""
     data, offsets = text_buffer(column)
@@ -190,14 +194,24 @@ def _stars(edges: DataFrame) -> DataFrame:
     return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether distinct edges (a > b) are stars: every a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    per_node = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return per_node.where("down > 1 OR down = 1 AND up = 1").isEmpty()
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for all nodes of ``edges`` (a, b): root is the smallest node connected.
 
     Rounds of the large-star and small-star steps: every node hands its neighbours the smallest node it knows. Stored
-    after each round; the rounds end when the edges stay the same (their number grows with the log of the longest chain).
+    after each round; the rounds end when the edges are stars (their number grows with the log of the longest chain).
     """
     e = stored(_stars(edges), name)
     for _ in range(MAX_ROUNDS):
+        if _settled(e):
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(
             F.col("a").alias("k"), F.least("a", "low").alias("m"))
@@ -206,12 +220,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         small = large.join(low2, F.col("a") == F.col("k"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        new = stored(small.where("a != b").distinct(), name)
-        same = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first() == e.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
-        e = new
-        if same:
-            break
+        e = stored(small.where("a != b").distinct(), name)
     else:
         raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
@@ -271,8 +280,8 @@ def candidate_ties(sigs: DataFrame) -> DataFrame:
     for depth in range(MAX_DEPTH):
         size = level.groupBy("path").agg(F.count("*").alias("n"), F.min("h").alias("pivot")).where("n > 1").withColumnRenamed("path", "at")
         rows = stored(level.join(size, F.col("path") == F.col("at")).drop("at"), "buckets")
-        leaves.append(rows.where(F.col("n") <= SMALL).select("h", "path", "n"))
-        large = rows.where(F.col("n") > SMALL)
+        leaves.append(rows.where(F.col("n") <= whole_limit()).select("h", "path", "n"))
+        large = rows.where(F.col("n") > whole_limit())
         if large.isEmpty():
             break
         pivots = large.select(F.col("pivot").alias("x")).distinct()
@@ -294,7 +303,7 @@ def candidate_ties(sigs: DataFrame) -> DataFrame:
         rows = rows.unionByName(more)
     rows = _blocks(rows.join(sigs, "h"), "n", CHUNK, F.xxhash64("h"))
     keys = ["path", "i", "j"]
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "h")  # what a block ties is named by its smallest digest, in every block
 
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in grouped(batches, keys):

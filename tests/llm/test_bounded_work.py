@@ -127,3 +127,46 @@ def test_members_keep_one_edge(spark):
     assert chosen_path._stars(edges).count() <= len(members) + len(pivots) ** 2 + 3
     found = {r["node"]: r["root"] for r in chosen_path.components(edges, "few").collect()}
     assert found == {x: "a0" for x in members + pivots} | {x: "z0" for x in ("z0", "z1", "z2")} | {"b": "b", "m9999": "b"}
+
+
+def test_buckets_that_fit_their_blocks_are_not_split(spark, make_docs, monkeypatch):
+    stored, grown = chosen_path.stored, []
+
+    def seen(df, name, *more, **kw):
+        out = stored(df, name, *more, **kw)
+        if name in ("paths", "pivots"):
+            grown.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(chosen_path, "stored", seen)
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, copy = words(60), words(100)
+    rows = [(i, " ".join(passage + words(40))) for i in range(150)]  # a common passage, far from the threshold
+    rows += [(1000 + i, " ".join(copy[:95] + words(5))) for i in range(150)]  # near copies
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in chosen_path.classes(make_docs(rows)).collect()}
+    assert found == {i: (i, 0) for i in range(150)} | {1000 + i: (1000, 149) for i in range(150)}
+    most = chosen_path.BRANCHES * chosen_path.runs_needed() * len(rows)
+    assert [name for name, _ in grown] == ["paths"] and grown[0][1] <= most, grown  # no bucket of 64 to 2560 sets makes children
+
+
+def test_blocks_name_ties_by_the_smallest_digest(spark):
+    prepare(spark)
+    digests, rng = [f"{i:04d}" for i in range(300)], random.Random(6)
+    sig = bytes(range(256))
+    rng.shuffle(digests)
+    sigs = spark.createDataFrame([(h, bytearray(sig)) for h in digests], "h string, sig binary")
+    ties = {(r["a"], r["b"]) for r in chosen_path.candidate_ties(sigs).where("a != b").collect()}
+    assert ties == {(h, "0000") for h in digests if h != "0000"}
+
+
+def test_components_end_when_the_edges_are_stars(spark, monkeypatch):
+    prepare(spark)
+    stored, rounds = chosen_path.stored, []
+    monkeypatch.setattr(chosen_path, "stored", lambda df, name, *more: rounds.append(name) or stored(df, name, *more))
+    found = lambda ties: {r["node"]: r["root"] for r in chosen_path.components(spark.createDataFrame(ties, "a string, b string"), "few").collect()}
+    assert found([(f"m{i}", "a") for i in range(30)] + [("z", "y")]) == {f"m{i}": "a" for i in range(30)} | {"a": "a", "z": "y", "y": "y"}
+    assert rounds == ["edges", "few"]
+    chain = [f"{i:03d}" for i in range(60)]
+    assert found(list(zip(chain, chain[1:]))) == dict.fromkeys(chain, "000")
+    assert found([("q", "q")]) == {}
