@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankmart.llm import tokenizing
-from rankmart.llm.common import pack_ints, shuffle_width, stored, unpack_ints, whole_text
+from rankmart.llm.common import pack_ints, pieces, shuffle_width, stored, unpack_ints, whole_text
 
 MAX_BITS = 18
 BLOCK = 256            # ids between two bit-offset checkpoints
@@ -149,13 +149,11 @@ def raw_segments(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: s
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizing.loaded(tokenizing.ByteBpeBatch, tokenizer)
         end = np.array([end_id], dtype=bpe.dtype).tobytes()
-        for b in batches:
-            for lo in range(0, b.num_rows, 500):
-                some = b.slice(lo, 500)
-                ids = [x + end for x in bpe.batch(some.column("t").to_pylist())]
-                k = some.column("k")
-                part = np.searchsorted(bounds.value, k.fill_null(-(1 << 63)).to_numpy(), side="left").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), k, pa.array(ids, pa.binary())], names=["part", "k", "ids"])
+        for b in pieces(batches, "t", bpe.BATCH_CHARS):
+            ids = [x + end for x in bpe.batch(b.column("t"))]
+            k = b.column("k")
+            part = np.searchsorted(bounds.value, k.fill_null(-(1 << 63)).to_numpy(), side="left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), k, pa.array(ids, pa.binary())], names=["part", "k", "ids"])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.dtype(tokenizing.loaded(tokenizing.ByteBpeBatch, tokenizer).dtype).itemsize

@@ -11,6 +11,10 @@ import os
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from rankmart.llm.common import pieces
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -33,6 +37,9 @@ def packed(tokens: list) -> bytes:
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves in byte-level models
 _LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_LETTER_CODES = np.array([ord(_LETTERS.get(b, chr(b))) for b in range(256)], dtype="<u2")
+
+_ASCII_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
 
 def latin(word: str) -> bool:
@@ -154,7 +161,8 @@ class ByteBpe(_Cached):
 
 
 class ByteBpeBatch(ByteBpe):
-    """The same ids for many texts at once: the chunks that are not known yet are encoded in one call of the library.
+    """The same ids for many texts at once: Arrow splits the texts and numbers their distinct chunks, each of which is looked
+    up once, and the chunks that are not known yet are encoded in one call of the library.
 
     Ids are kept as 16-bit integers where the vocabulary allows, else as 32-bit ones (``dtype``). Known chunks stand in two
     generations; when the younger is full it becomes the older one, and what is looked up there moves back, so that
@@ -163,13 +171,15 @@ class ByteBpeBatch(ByteBpe):
 
     GENERATION = 300_000  # entries; with a batch more they fit a dictionary of half a million places
     JOINED = 5_000        # chunks encoded in one call
-    BATCH_CHARS = 500_000
+    BATCH_CHARS = 1_000_000  # bytes of UTF-8, so no more characters
 
     def __init__(self, path: str):
         super().__init__(path)
         size = self.whole.get_vocab_size()
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
         self.width = np.array([len(self.whole.id_to_token(i) or "") for i in range(size)])  # a letter of a token is a byte of the text
+        self.id_bytes = [np.array(i, self.dtype).tobytes() for i in range(size)]
+        self.line_end = self._narrow(self._raw("\n"))
         self.older: dict = {}
 
     def _plain(self, chunk: str) -> bool:
@@ -193,74 +203,132 @@ class ByteBpeBatch(ByteBpe):
             stops = ((cuts + 1) * raw.itemsize).tolist()
             self.known.update(zip(some, map(raw.tobytes().__getitem__, map(slice, [0, *stops], stops))))
 
-    def _find(self, chunks: set) -> None:
-        """Entries for chunks that aren't in the younger generation. Letters with marks behind them are two pre-tokens,
-        so such a chunk is the letters' ids and the marks'."""
-        known, older, new, marked = self.known, self.older, {}, []
+    def _words(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of words of Latin-1 letters with ``before`` (a space or nothing) in front: the splitter keeps such a run whole, so
+        the model gets it directly."""
+        data = np.frombuffer((before + ("\n" + before).join(words)).encode(), np.uint8)
+        tokenize, of = self.model.tokenize, self.id_bytes
+        letters = _LETTER_CODES[data].tobytes().decode("utf-16-le").split(_LETTERS[10]) if words else []
+        return [b"".join([of[t.id] for t in tokenize(x)]) for x in letters]
+
+    def _find(self, chunks: list[str]) -> list[bytes | None]:
+        """Entries of chunks that aren't in the younger generation. Letters with marks behind them are two pre-tokens, so such a
+        chunk is the letters' ids and the marks', and only the letters are kept (with their line end, if one is before them)."""
+        known, older = self.known, self.older
+        spaced, lines, other, marked = {}, {}, {}, {}
         for c in chunks:
-            got = older.get(c)
+            body = c[1:] if c[:1] == "\n" else c
+            key, word = c, body
+            if not body.isalpha():
+                word = body.rstrip(MARKS)
+                if word.isalpha():
+                    key = c[:len(c) - len(body) + len(word)]
+                    marked[c] = key
+                    if key in known:
+                        continue
+                elif not self._plain(c):
+                    continue
+            got = older.get(key)
             if got is not None:
-                known[c] = got
-            elif c.isalpha():
-                new[c] = True
+                known[key] = got
+            elif not word.isascii() and max(word) > "\u00ff" or not word.isalpha():
+                other[key] = True
+            elif body is c:
+                spaced[key] = True
             else:
-                word = c.rstrip(MARKS)
-                if word.isalpha():
-                    marked.append((c, word))
-                    if word not in known:
-                        if word in older:
-                            known[word] = older[word]
-                        else:
-                            new[word] = True
-                elif self._plain(c):
-                    new[c] = True
-        self._learn(list(new))
-        marks: dict = {}
-        for c, word in marked:
-            end = c[len(word):]
-            if end not in marks:
-                marks[end] = np.frombuffer(self._raw(end), "<u4").astype(self.dtype).tobytes()
-            known[c] = known[word] + marks[end]
-
-    def _some(self, texts: list[str]) -> list[bytes]:
+                lines[key] = word
+        known.update(zip(spaced, self._words(list(spaced), " ")))
+        known.update(zip(lines, [self.line_end + x for x in self._words(list(lines.values()), "")]))
+        self._learn(list(other))
+        ends: dict = {}
+        for c, key in marked.items():
+            end = c[len(key):]
+            if end not in ends:
+                ends[end] = self._narrow(self._raw(end))
+            marked[c] = known[key] + ends[end]
+        return [marked[c] if c in marked else known.get(c) for c in chunks]
+
+    def _narrow(self, ids: bytes) -> bytes:
+        """32-bit ids as ``dtype`` integers."""
+        return ids if self.dtype == "<u4" else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+
+    def _head(self, first: str) -> bytes | None:
+        """Ids of a text's first chunk, which no space stands before; None where the text goes to the library whole."""
+        if not first or first[0].isspace() or first[-1].isspace() or not first.isprintable():
+            return None
+        return self._narrow(self._raw(first))
+
+    def _cut_marks(self, chunks: pa.Array, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The chunks with the ASCII marks at their end as parts of their own, whether a part is such marks, and the texts' offsets
+        among the parts. The splitter breaks between a letter or digit and marks; only those of ASCII and letters of
+        Latin-1 are seen as such here, and a text's first chunk stays whole."""
+        n, (_, at, raw) = len(chunks), chunks.buffers()
+        bounds, data = np.frombuffer(at, np.int64)[chunks.offset:chunks.offset + n + 1], np.frombuffer(raw or b"", np.uint8)
+        cuts = bounds[:-1] + pc.binary_length(pc.ascii_rtrim(chunks, MARKS)).to_numpy()
+        marked = (cuts > bounds[:-1]) & (cuts < bounds[1:])
+        marked[offsets[:-1]] = False
+        found = np.flatnonzero(marked)
+        cuts = cuts[found]
+        last, before = data[cuts - 1], data[cuts - 2]
+        sure = _ASCII_ALNUM[last] | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)  # not the signs of times and division
+        found, cuts = found[sure], cuts[sure]
+        parts = pa.LargeStringArray.from_buffers(n + len(found), pa.py_buffer(np.insert(bounds, found + 1, cuts)), raw)
+        is_marks = np.zeros(n + len(found), bool)
+        is_marks[found + 1 + np.arange(len(found))] = True
+        return parts, is_marks, offsets + np.searchsorted(found, offsets)
+
+    def _some(self, texts: pa.Array) -> list[bytes]:
         if len(self.known) > self.GENERATION:
             self.older, self.known = self.known, {}
-        known, work, missing = self.known, [], set()
-        for t in texts:
-            if t and "<|" not in t:
-                first, *rest = t.replace("\n", " \n").split(" ")
-                if first and not first[0].isspace() and not first[-1].isspace() and first.isprintable():
-                    ids = list(map(known.get, rest))
-                    gaps = [i for i, x in enumerate(ids) if x is None]
-                    new = [rest[i] for i in gaps]
-                    missing.update(new)
-                    work.append((first, ids, gaps, new))
-                    continue
-            work.append(None)
-        self._find(missing)
-        out = []
-        for t, found in zip(texts, work):
-            if found is not None:
-                first, ids, gaps, new = found
-                got = list(map(known.get, new))
-                if None not in got:
-                    for i, x in zip(gaps, got):
-                        ids[i] = x
-                    head = self._raw(first)
-                    out.append((head if self.dtype == "<u4" else np.frombuffer(head, "<u4").astype("<u2").tobytes()) + b"".join(ids))
-                    continue
-            out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes())
-        return out
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as ``dtype`` integers; a bounded number of characters is worked on at once, a text being the least."""
-        out, lo, held = [], 0, 0
-        for i, t in enumerate(texts):
-            if i > lo and held + len(t) > self.BATCH_CHARS:
-                out += self._some(texts[lo:i])
-                lo, held = i, 0
-            held += len(t)
-        return out + self._some(texts[lo:]) if lo < len(texts) else out
+        # the texts' parts (chunks, and marks cut from them) in order, as numbers of the distinct ones; each text has at least one
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        parts, is_marks, offsets = self._cut_marks(split.flatten(), split.offsets.to_numpy())
+        coded = parts.dictionary_encode()
+        codes, names = coded.indices.to_numpy(), coded.dictionary
+        starts = offsets[:-1]
+        special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)  # may hold a special token's string
+        heads = [None if x else self._head(f) for x, f in zip(special, names.take(coded.indices.take(pa.array(starts))).to_numpy(zero_copy_only=False))]
+        whole = np.array([h is None for h in heads])
+        rest = np.repeat(~whole, np.diff(offsets))
+        rest[starts] = False
+        asked = np.flatnonzero(np.bincount(codes[rest & ~is_marks], minlength=len(names)))
+        ends_asked = np.flatnonzero(np.bincount(codes[is_marks], minlength=len(names)))
+        chunks = names.take(pa.array(asked)).to_numpy(zero_copy_only=False).tolist()  # quicker than to_pylist
+        found = list(map(self.known.get, chunks))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(gaps, self._find([chunks[i] for i in gaps])):
+            found[i] = x
+        # entries: the distinct chunks, the distinct marks behind words, then one for each text's first chunk or whole
+        failed = np.zeros(len(names), bool)
+        failed[asked[[i for i in gaps if found[i] is None]]] = True
+        whole |= np.logical_or.reduceat(failed[codes] & rest & ~is_marks, starts)
+        rest &= np.repeat(~whole, np.diff(offsets))
+        todo = np.flatnonzero(whole)
+        for i, t in zip(todo.tolist(), texts.take(pa.array(todo)).to_pylist()):
+            heads[i] = np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        marks = [self._narrow(self._raw(x)) for x in names.take(pa.array(ends_asked)).to_numpy(zero_copy_only=False)]
+        entries = [x or b"" for x in found] + marks + heads
+        pool = np.frombuffer(b"".join(entries), self.dtype)
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // pool.itemsize
+        place = np.zeros(len(names), np.int64)
+        place[asked] = np.arange(len(asked))
+        at = place[codes]
+        place[ends_asked] = len(asked) + np.arange(len(marks))
+        at[is_marks] = place[codes[is_marks]]
+        at[starts] = len(asked) + len(marks) + np.arange(len(texts))
+        n = np.where(rest, sizes[at], 0)
+        n[starts] = sizes[at[starts]]
+        ends = np.cumsum(n)
+        data = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n) + np.arange(ends[-1])].tobytes()
+        stops = (ends[offsets[1:] - 1] * pool.itemsize).tolist()
+        return list(map(data.__getitem__, map(slice, [0, *stops], stops)))
+
+    def batch(self, texts) -> list[bytes]:
+        """Ids of each text (a list or an Arrow array, without nulls) as ``dtype`` integers; a bounded number of bytes is worked on
+        at once, a text being the least."""
+        some = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        one = pa.RecordBatch.from_arrays([some.cast(pa.large_string())], names=["t"])
+        return [x for b in pieces([one], "t", self.BATCH_CHARS) for x in self._some(b.column("t"))]
 
 
 class PieceCounts(_Cached):

@@ -85,6 +85,25 @@ def test_new_chunks_are_encoded_together():
     assert tok.whole.calls == 1
 
 
+def test_marks_are_cut_from_words_before_they_are_looked_up():
+    tok = tokenizing.ByteBpeBatch(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["alpha", "Straße", "ÿÀé"]
+    texts = [f"go {w}{m} {w} {w}{m}{m} x\n{w}{m}" for w in words for m in tokenizing.MARKS]
+    odd = ["a ×, ÷. é× b×, “a”, …, x…, ж, жук. 12, €. don't' it's, l'été! \n×, z", "a,", "\n, a", "ab\n, \né, \n12. b", ", , ,", "a\u0301, b\u0301.",
+           "日本, 語。,", "² ½, ª, µ. b²,", "<|endoftext|>, a, b,", "a  b, c", "", "x\tb, c,", "\x85, q,", "a,\x85 b,", "it's 's, 's", "é,", " é,", "a word2, word2!!"]
+    rng = random.Random(11)
+    signs = ["a", "Z", "é", "ß", "×", "÷", "ж", "1", "²", "“", "…", "\u0301", " ", " ", "\n", "\t", "'", "s", "t", ",", ".", "!", "<", "|", ">", "_", "日"]
+    odd += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    plain = [b"".join(i.to_bytes(2, "little") for i in tok.whole.encode(t, add_special_tokens=False).ids) for t in texts + odd]
+    tok.whole = Counted(tok.whole)
+    assert tok.batch(texts) == plain[:len(texts)]
+    assert tok.whole.calls == 0  # letters of Latin-1 go to the model itself
+    assert not [c for c in tok.known if c.strip("\n")[-1] in tokenizing.MARKS]  # a word is kept once, whatever stands behind it
+    assert tok.batch(pa.array(texts + odd)) == plain
+    for t, want in zip(odd, plain[len(texts):]):  # each by itself too
+        assert tok.batch([t]) == [want], t
+
+
 # ------------------------------------------------------------------------------------------ op4
 def folded_first(page):
     """``visible_text`` with the page's white space folded before anything else."""
