@@ -162,7 +162,8 @@ class ByteBpe(_Cached):
 
 class ByteBpeBatch(ByteBpe):
     """The same ids for many texts at once: Arrow splits the texts and numbers their distinct chunks, each of which is looked
-    up once, and the chunks that are not known yet are encoded in one call of the library.
+    up once. Of the chunks that are not known yet, words of Latin-1 letters go to the library's model and the others to the
+    whole tokenizer in one call.
 
     Ids are kept as 16-bit integers where the vocabulary allows, else as 32-bit ones (``dtype``). Known chunks stand in two
     generations; when the younger is full it becomes the older one, and what is looked up there moves back, so that
